@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.codes import as_number, canonical_code
 from tapeloom.operators.current import current_bars
+from tapeloom.operators.small import checked_broadcast
 
 
 @dataclass(frozen=True)
@@ -22,10 +23,10 @@ class Tolerance:
     relative: float = 0.0
 
 
-def _cells(df: DataFrame, keys: Sequence[str], fields: Sequence[str], sign: int) -> DataFrame:
+def _cells(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     cell = [F.struct(F.lit("").alias("field"), F.lit(None).cast("double").alias("value"))]
-    cell += [F.struct(F.lit(f).alias("field"), as_number(F.col(f)).alias("value")) for f in fields]
-    return df.select(*keys, F.lit(sign).alias("sign"), F.inline(F.array(*cell)))
+    cell += [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
+    return rows.select(*keys, "sign", F.inline(F.array(*cell)))
 
 
 def diff_copies(
@@ -44,13 +45,13 @@ def diff_copies(
     pair of values does. Columns beside ``keys`` and ``fields`` are ignored, clashing names included. Empty
     copies give a missing row for every key of the other.
 
-    If both inputs are already partitioned by ``keys``, the union keeps that partitioning and the final
-    aggregation shuffles nothing; otherwise its partial step combines repeats before the shuffle. The
-    key is the whole of ``keys``, so no source can be a hot one.
+    The rows of both sides are shuffled once, by the whole key, so no source can be a hot one; they are
+    unpivoted behind that shuffle, and the cells are grouped where they are.
     """
-    sides = [_cells(df.select(*keys, *fields).dropna(subset=list(keys)), keys, list(fields), sign) for df, sign in ((left, 1), (right, -1))]
+    sides = [df.select(*keys, F.lit(sign).alias("sign"), *[as_number(F.col(f)).alias(f) for f in fields]).dropna(subset=list(keys)) for df, sign in ((left, 1), (right, -1))]
+    rows = sides[0].unionByName(sides[1]).repartition(*[F.col(k) for k in keys])
     mine, theirs = F.col("sign") > 0, F.col("sign") < 0
-    cells = sides[0].unionByName(sides[1]).groupBy(*keys, "field").agg(
+    cells = _cells(rows, keys, list(fields)).groupBy(*keys, "field").agg(
         F.count_if(mine).alias("n_left"),
         F.count_if(theirs).alias("n_right"),
         F.min(F.when(mine, F.col("value"))).alias("l_min"),
@@ -93,12 +94,11 @@ def forward_adjusted(bars: DataFrame, factors: DataFrame) -> DataFrame:
     """Bars with prices times their factor over ``factors.last_factor``; no value where a factor has none."""
     last = F.nullif(F.col("last_factor"), F.lit(0.0))
     adjusted = [(F.col(p) * F.col("adj_factor") / last).alias(p) for p in PRICES]
-    return bars.join(factors, "ts_code", "left").select("ts_code", "date", *adjusted, "vol", "amount")
+    return bars.join(checked_broadcast(factors), "ts_code", "left").select("ts_code", "date", *adjusted, "vol", "amount")
 
 
 def bar_differences(stock_daily: DataFrame, stock_daily_qfq: DataFrame) -> DataFrame:
     """Differences between the current bars, forward-adjusted, and the second system's adjusted copy."""
     left = forward_adjusted(current_bars(stock_daily), last_factor(stock_daily))
     right = stock_daily_qfq.dropna(subset=["ts_code", "date"]).select(canonical_code(F.col("ts_code")).alias("ts_code"), "date", *PRICES, "vol", "amount")
-    right = right.groupBy("ts_code", "date").agg(*[F.max(F.col(c)).alias(c) for c in (*PRICES, "vol", "amount")])
     return diff_copies(left, right, ("ts_code", "date"), BAR_TOLERANCES, "missing_in_qfq", "missing_in_daily")
