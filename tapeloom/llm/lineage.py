@@ -1,0 +1,15 @@
+"""Cutting lineage at tables that are read more than once."""
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder that the session names in spark.checkpoint.dir, and read from
+    there. Only where neither that setting nor a folder is set (as in tests) a temporary one is made."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-"))
+    return df.checkpoint()

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from tapeloom.functions.boards import board_of_event
 from tapeloom.llm.digest import certified_percentiles
 from tapeloom.llm.encode import count_tokens, encode_corpus
+from tapeloom.llm.packing import Packing, pack_items
+from tapeloom.llm.reading import reading_levels
 from tapeloom.llm.topn import top_n
 from tapeloom.operators.current import current_bars, current_events
 from tapeloom.plans.problems import CURRENT_BARS_SQL, CURRENT_EVENTS_SQL
@@ -36,7 +38,29 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_percentiles, p6_ids, p6_counts)}
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's part with its container of 2,048 tokens."""
+    return pack_items(count_tokens(table(spark, sf_dir, "documents")), Packing())
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused share by the tier of the container's longest part."""
+    packed = p7_containers(spark, sf_dir).filter("container_id is not null")
+    each = packed.groupBy("container_tier", "container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("parts"))
+    return each.groupBy("container_tier").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("parts").alias("parts"), (1.0 - F.sum("used") / (F.count("*") * 2048.0)).alias("unused_share"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_passages"))
+    return levels.filter(F.col("grade").isin(1, 5)).select("doc_id", "grade").distinct()
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, level and grade of every document."""
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_passages"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_percentiles, p6_ids, p6_counts, p7_containers, p7_fill, p8_found, p8_levels)}
 
 ORACLE = {
     "p3_found": f"""WITH {CURRENT_BARS_SQL}, {CURRENT_EVENTS_SQL},
