@@ -21,7 +21,7 @@ def connect(sf_dir: str):
 
 
 def cell(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return ""
     if isinstance(x, bool):
         return str(x)
