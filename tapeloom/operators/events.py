@@ -17,14 +17,14 @@ def true(x):
     return F.coalesce(x, F.lit(False))
 
 
-def one_price_pullbacks(bars: DataFrame, start: str, month_cap: float = 0.5, over_low: float = 1.2) -> DataFrame:
+def one_price_pullbacks(bars: DataFrame, start: str, month_cap: float = 0.5, over_low: float = 1.2, reach: float | None = None) -> DataFrame:
     """Signals after a one-price limit-up: the first of the two next bars that closes below it.
 
     The board day (D0) is one-price up to a cent, at a limit, on no new listing, with no limit-up in the
     three bars before, and at most ``over_low`` times the lowest low of the 63 bars before; month returns at
     the signal are at most ``month_cap``. All features see the whole history; ``start`` filters last.
     """
-    df = monthly_momentum(backward_adjusted(limit_features(bars)))
+    df = monthly_momentum(backward_adjusted(limit_features(bars, reach)))
     o, h, lo, c = (cents(F.col(x)) for x in ("open", "high", "low", "close"))
     like = (h - lo <= 1) & (c - o <= 1) & (c - lo <= 1)
     df = df.withColumn("one_price_up", like & F.col("any_limit_up") & ~F.col("new_stock"))

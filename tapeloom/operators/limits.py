@@ -11,10 +11,11 @@ NEW_BARS = 60
 UPS_BEFORE = 3
 
 
-def limit_features(bars: DataFrame) -> DataFrame:
+def limit_features(bars: DataFrame, reach: float | None = None) -> DataFrame:
     """Adds bar_no, board, limit_pct, ref_price (the last close in today's terms), the limit prices in cents
     (``up_c``, ``down_c``; ``up5_c``, ``down5_c`` on the main board), close_c, is_one_price, new_stock,
-    any_limit_up and limit_ups_prev3. All windows share one sort."""
+    any_limit_up and limit_ups_prev3. All windows share one sort. With ``reach``, a close also counts as at a
+    limit if it moved that share of it, for feeds whose boards do not stand at the limit to the cent."""
     main = F.col("board") == "main"
     df = numbered(bars).withColumn("board", board_of(F.col("ts_code")))
     df = df.withColumns({
@@ -32,6 +33,10 @@ def limit_features(bars: DataFrame) -> DataFrame:
     })
     up = F.coalesce(F.col("close_c") == F.col("up_c"), F.lit(False)) | F.coalesce(F.col("close_c") == F.col("up5_c"), F.lit(False))
     down = F.coalesce(F.col("close_c") == F.col("down_c"), F.lit(False)) | F.coalesce(F.col("close_c") == F.col("down5_c"), F.lit(False))
+    if reach is not None:
+        move = F.col("close") / F.col("ref_price") - 1
+        up = up | F.coalesce(move >= F.col("limit_pct") * reach, F.lit(False))
+        down = down | F.coalesce(move <= F.col("limit_pct") * -reach, F.lit(False))
     df = df.withColumns({"any_limit_up": up, "any_limit_down": down})
     ups = F.sum(F.col("any_limit_up").cast("int")).over(rows_between(-UPS_BEFORE, -1))
     return df.withColumn("limit_ups_prev3", F.coalesce(ups, F.lit(0)))

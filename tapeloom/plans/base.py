@@ -42,15 +42,19 @@ b AS (SELECT *, row_number() OVER w - 1 AS bar_no, c*f AS hc, open*f AS ho, high
  CASE WHEN left(ts_code,2) IN ('60','00') THEN 'main' WHEN left(ts_code,2)='30' THEN 'chinext' WHEN left(ts_code,2)='68' THEN 'star' WHEN left(ts_code,2)='92' THEN 'bse' ELSE 'other' END AS board
  FROM b0 WINDOW w AS (PARTITION BY ts_code ORDER BY date))"""
 
-LIMITS_SQL = f"""{BARS_SQL},
+_LIMITS = f"""{BARS_SQL},
 l0 AS (SELECT *, pc*pf/f AS ref, (open=high AND high=low AND low=c) AS one,
  CASE WHEN board='main' OR (board='chinext' AND date < DATE '2020-08-24') THEN 0.1::DOUBLE WHEN board IN ('chinext','star') THEN 0.2::DOUBLE WHEN board='bse' THEN 0.3::DOUBLE END AS lim, round_even(c*100.0::DOUBLE, 0) AS cc FROM b),
 l1 AS (SELECT *, floor(ref*(1+lim)*100.0::DOUBLE+0.5::DOUBLE+1e-6::DOUBLE) AS up_c, floor(ref*(1-lim)*100.0::DOUBLE+0.5::DOUBLE+1e-6::DOUBLE) AS down_c,
  CASE WHEN board='main' THEN floor(ref*1.05::DOUBLE*100.0::DOUBLE+0.5::DOUBLE+1e-6::DOUBLE) END AS up5_c, CASE WHEN board='main' THEN floor(ref*0.95::DOUBLE*100.0::DOUBLE+0.5::DOUBLE+1e-6::DOUBLE) END AS down5_c,
  (NOT bool_or(NOT one) OVER (PARTITION BY ts_code ORDER BY date)) OR bar_no < 60 AS new_stock FROM l0),
-l2 AS (SELECT *, coalesce(cc=up_c, false) OR coalesce(cc=up5_c, false) AS up, coalesce(cc=down_c, false) OR coalesce(cc=down5_c, false) AS down FROM l1),
+l2 AS (SELECT *, coalesce(cc=up_c, false) OR coalesce(cc=up5_c, false) OR coalesce(c/ref - 1 >= lim * __REACH__, false) AS up, coalesce(cc=down_c, false) OR coalesce(cc=down5_c, false) OR coalesce(c/ref - 1 <= lim * -__REACH__, false) AS down FROM l1),
 l AS (SELECT *, coalesce(sum(up::INT) OVER (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS ups3 FROM l2)"""
 
+LIMITS_SQL = _LIMITS.replace("__REACH__", "1e9::DOUBLE")
+REACH = 0.3
+REACH_SQL = _LIMITS.replace("__REACH__", f"{REACH}::DOUBLE")
+
 EVENTS_SQL = f"""{CURRENT_EVENTS_SQL},
 e AS (SELECT ts_code, signal_date, coalesce(CASE WHEN lower(replace(board,' ','')) IN ('主板','main','mainboard') THEN 'main' WHEN lower(replace(board,' ','')) IN ('创业板','創業板','chinext','gem') THEN 'chinext'
   WHEN lower(replace(board,' ','')) IN ('科创板','科創板','star','starmarket') THEN 'star' WHEN lower(replace(board,' ','')) IN ('北交所','bse','beijing') THEN 'bse' END,

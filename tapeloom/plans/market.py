@@ -7,7 +7,7 @@ from tapeloom.functions.boards import board_strict, limit_share_by_code
 from tapeloom.functions.regimes import regime, regime_number, regime_of_span
 from tapeloom.operators import adjust, bars as B, events as E, limits, ranking, returns
 from tapeloom.operators.small import checked_broadcast
-from tapeloom.plans.base import BARS_SQL, LIMITS_SQL, bars, q6, r6
+from tapeloom.plans.base import BARS_SQL, LIMITS_SQL, REACH, REACH_SQL, bars, q6, r6
 from tapeloom.sources.tables import table
 
 START, END = "2023-01-01", "2025-12-31"
@@ -87,14 +87,14 @@ def month_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_price_pullbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = E.one_price_pullbacks(bars(spark, sf_dir), "2018-01-01", 5.0, 3.0)
+    df = E.one_price_pullbacks(bars(spark, sf_dir), "2018-01-01", 5.0, 3.0, REACH)
     return _rounded(df.drop("st_like", "board_close", "d1_close", "close", "prior_63_low"), "d1_return", "drop_pct", "signal_day_pct", "current_month_return", "prev_month_return")
 
 
 def pullback_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of the one-price pullbacks; only the series of instruments that have one are walked."""
     b = bars(spark, sf_dir)
-    found = E.one_price_pullbacks(b, "2018-01-01", 5.0, 3.0).select("ts_code", F.col("board_date").alias("date"), "gap_bars")
+    found = E.one_price_pullbacks(b, "2018-01-01", 5.0, 3.0, REACH).select("ts_code", F.col("board_date").alias("date"), "gap_bars")
     series = B.backward_adjusted(b).join(found.select("ts_code").distinct(), "ts_code", "left_semi").join(found, ["ts_code", "date"], "left")
     df = returns.lowest_bar_path(series, "gap_bars")
     return df.select("ts_code", "date", "entry", "entry_date", "exit_date", "horizon_date", r6("path_return"))
@@ -197,7 +197,7 @@ wa AS (SELECT *, prev AS cc, (prev - cash/10 + rp*rig/10)/(1 + bon/10 + rig/10)
 ac AS (SELECT *, CASE WHEN prev IS NULL THEN 'before_listing' WHEN trade IS NULL THEN 'after_data_end' WHEN ref <= 0 OR cc <= 0 THEN 'invalid' ELSE 'applied' END AS status FROM wa)"""
 _MONTHS = """mo AS (SELECT ts_code, date_trunc('month', date) m, arg_max(hc, date) last FROM b GROUP BY 1, 2),
 mp AS (SELECT *, lag(last,1) OVER (PARTITION BY ts_code ORDER BY m) base, lag(last,2) OVER (PARTITION BY ts_code ORDER BY m) base2 FROM mo)"""
-_ONE = f"""{LIMITS_SQL}, {_MONTHS},
+_ONE = f"""{REACH_SQL}, {_MONTHS},
 o0 AS (SELECT l.*, hc/base - 1 AS cur_m, base/base2 - 1 AS prev_m, hc/phc - 1 AS pct,
  (round_even(high*100.0::DOUBLE,0)-round_even(low*100.0::DOUBLE,0) <= 1 AND cc-round_even(open*100.0::DOUBLE,0) <= 1 AND cc-round_even(low*100.0::DOUBLE,0) <= 1 AND up AND NOT new_stock AND ups3 = 0) AS d0,
  CASE WHEN count(*) OVER (PARTITION BY l.ts_code ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) = 63 THEN min(hl) OVER (PARTITION BY l.ts_code ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) END AS low63
