@@ -40,7 +40,7 @@ def diff_copies(
     """Keys that one copy lacks, and fields in which the copies disagree: ``keys``, ``diff_kind``, values.
 
     Numeric fields are compared as doubles. NaN and null are "no value"; one side without a value differs
-    from the other with one, two without don't differ. Rows with a null key are no part of either copy.
+    from the other with one, two without don't differ; an infinite value only equals itself. Rows with a null key are no part of either copy.
     Repeated rows of one side count once; if they contradict each other, the field differs as soon as any
     pair of values does. Columns beside ``keys`` and ``fields`` are ignored, clashing names included. Empty
     copies give a missing row for every key of the other.
@@ -64,9 +64,10 @@ def diff_copies(
     bound = F.lit(None).cast("double")
     for name, t in fields.items():
         scale = F.greatest(F.abs(F.col("l_min")), F.abs(F.col("l_max")))
-        bound = F.when(F.col("field") == name, F.lit(t.absolute) + F.lit(t.relative) * scale).otherwise(bound)
-    same = (F.col("l_min") == F.col("r_max")) & (F.col("l_max") == F.col("r_min"))  # infinities among them
-    differs = F.coalesce(~same & (apart > bound), F.col("l_min").isNull() != F.col("r_min").isNull())
+        bound = F.when(F.col("field") == name, F.lit(t.absolute) + F.lit(t.relative) * scale if t.relative else F.lit(t.absolute)).otherwise(bound)
+    same = (F.col("l_min") == F.col("r_max")) & (F.col("l_max") == F.col("r_min"))
+    endless = F.greatest(F.abs("l_min"), F.abs("l_max"), F.abs("r_min"), F.abs("r_max")) == float("inf")
+    differs = F.coalesce(~same & (endless | (apart > bound)), F.col("l_min").isNull() != F.col("r_min").isNull())
     kind = (
         F.when(both & (F.col("field") != "") & differs, F.col("field"))
         .when((F.col("field") == "") & (F.col("n_right") == 0), F.lit(missing_right))

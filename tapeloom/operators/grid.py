@@ -94,7 +94,7 @@ def regular_grid(readings: DataFrame, slots: DataFrame, rules: Imputation = Impu
     """
     order = W.partitionBy("calendar").orderBy("period")
     numbered = slots.select("calendar", "period").dropna().distinct().withColumn("slot", F.row_number().over(order))
-    known = readings.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    known = readings.select("source", "calendar", "period", F.col("value").cast("double").alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     placed = known.join(F.broadcast(numbered), ["calendar", "period"]).select("source", "calendar", "slot", "value")
     ahead = W.partitionBy("source").orderBy("slot")
     placed = placed.withColumns({"next_slot": F.lead("slot").over(ahead), "next_value": F.lead("value").over(ahead)})
