@@ -32,10 +32,10 @@ class SpikeRules:
     block_days: int = 2922
     margin_days: int = 120
     rank: int = 2
-    cut: float = 2.9
-    run: int = 5
+    cut: float = 2.6
+    run: int = 6
     chance: float = 0.01
-    factor_step: float = 1e-4
+    factor_step: float = 0.05
 
 
 def _shift(x: np.ndarray, by: int) -> np.ndarray:
@@ -143,10 +143,15 @@ def faulty_readings(day: np.ndarray, price: dict[str, np.ndarray], rules: SpikeR
         found.append((f, "swapped", swapped, np.where(swapped, np.abs(m[:, j]), 0.0)))
     h, lo = np.where(swapped, lo, h), np.where(swapped, h, lo)
 
-    # A sparse entry is a spike unless the bar's close or neighbours moved along with it.
+    # A sparse entry is a spike if it stands out from the bar's other prices. An open that is missing or outside
+    # the bar says nothing, so the neighbouring days' prices stand in for it.
+    doubtful = np.isnan(o) | (o > h + 1e-9) | (o < lo - 1e-9)
+    top = np.where(doubtful, np.fmax(np.fmax(c, before), after), top)
+    floor = np.where(doubtful, np.fmin(np.fmin(c, before), after), floor)
+    least_over = np.where(doubtful, 2.0 * rules.cut, rules.cut)
     for j, f, x in ((1, "high", h), (2, "low", lo)):
         over = (x - top if f == "high" else floor - x) / scale
-        bad = traded & ~swapped & (np.abs(sparse[:, j]) > 0) & (over > rules.cut)
+        bad = traded & ~swapped & (np.abs(sparse[:, j]) > 0) & (over > least_over)
         found.append((f, "spike", bad, np.where(bad, over, 0.0)))
         if f == "high":
             h = np.where(bad, np.nan, h)
