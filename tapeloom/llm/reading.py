@@ -80,6 +80,11 @@ def own_sentences(text: str) -> list[str]:
 
 SYNTAX = ("words a sentence", "letters a word", "long words", "very long words", "commas a sentence")
 VOCABULARY = ("mean grade of words", "mean grade of sentences", "plain words", "demanding words")
+SENTENCES = ("nested sentences", "sentences of demanding words", "either", "words in either")
+FEATURES = (*SYNTAX, *VOCABULARY, *SENTENCES)
+# Known words at which a sentence counts as nested by half, share of demanding words at which it counts as
+# demanding by half, and the widths of both transitions.
+NESTED, NESTED_WIDTH, DEMANDING, DEMANDING_WIDTH = 52.0, 6.0, 0.3, 0.04
 
 
 @dataclass(frozen=True)
@@ -113,12 +118,19 @@ def _features(sentences: Sequence[str], words: dict, grades: np.ndarray, sizes:
             commas += s.count(",")
     n = len(bounds) - 1
     if not n:
-        return np.zeros(len(SYNTAX) + len(VOCABULARY)), np.zeros(0, int)
+        return np.zeros(len(FEATURES)), np.zeros(0, int)
     at = np.asarray(at)
     g, letters = grades[at], sizes[at]
-    each = np.add.reduceat(g, bounds[:-1]) / np.diff(bounds)
+    length = np.diff(bounds)
+    each = np.add.reduceat(g, bounds[:-1]) / length
+    hard = np.add.reduceat((g > 4.2).astype(float), bounds[:-1]) / length
+    nested = 1.0 / (1.0 + np.exp(-np.clip((length - NESTED) / NESTED_WIDTH, -30, 30)))
+    demanding = 1.0 / (1.0 + np.exp(-np.clip((hard - DEMANDING) / DEMANDING_WIDTH, -30, 30)))
+    whole = length > 3 if (length > 3).any() else length > 0
+    either = np.maximum(nested, demanding)[whole]
+    sentences_ = [nested[whole].mean(), demanding[whole].mean(), either.mean(), np.average(either, weights=length[whole])]
     syntax = [np.log(len(at) / n), letters.mean(), (letters >= 8).mean(), (letters >= 12).mean(), np.log1p(commas / n)]
-    return np.array([*syntax, g.mean(), each.mean(), (g < 1.8).mean(), (g > 4.2).mean()]), at
+    return np.array([*syntax, g.mean(), each.mean(), (g < 1.8).mean(), (g > 4.2).mean(), *sentences_]), at
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +146,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[2] for b in blocks]), np.array([b[0] for b in blocks])
 
 
-def _rank(x: np.ndarray, grade: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+def _rank(x: np.ndarray, grade: np.ndarray, ridge: float = 30.0, steps: int = 60) -> np.ndarray:
     """Weights of the pairwise logistic ranker: every pair of different grades, the higher minus the lower."""
     i, j = np.nonzero(grade[:, None] > grade[None, :])
     d = x[i] - x[j]
