@@ -111,3 +111,13 @@ def halvings(bars: DataFrame, window: int = 63, horizon: int = 25, long_window:
         "end_date", (F.col("end_close") / F.col("hfq_close") - 1).alias("terminal_return"), F.col("best.d").alias("best_date"), (F.col("best.v") / F.col("hfq_close") - 1).alias("best_return"),
         F.coalesce(F.col("peak.v") > F.col("peak_long_high"), F.lit(False)).alias("peak_is_long_high"), F.when(F.col("best").isNotNull(), "complete").otherwise("no_complete_window").alias("status"),
     )
+
+
+def limit_downs_after(bars: DataFrame, starts: DataFrame, days: int = 3) -> DataFrame:
+    """Starts (ts_code, date) with the dates, in order, on which the next ``days`` bars closed at the lower limit;
+    an empty array if none did. Starts without a bar drop out."""
+    df = limit_features(bars)
+    each = [F.struct(F.lead("date", k).over(series()).alias("day"), F.lead("any_limit_down", k).over(series()).alias("down")) for k in range(1, days + 1)]
+    df = df.select("ts_code", "date", F.array(*each).alias("next"))
+    downs = F.transform(F.filter("next", lambda x: F.coalesce(x["down"], F.lit(False))), lambda x: x["day"])
+    return df.join(starts.select("ts_code", "date").distinct(), ["ts_code", "date"], "left_semi").select("ts_code", "date", downs.alias("limit_downs"))

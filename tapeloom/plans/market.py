@@ -176,8 +176,15 @@ def relative_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy(F.substring("ts_code", 8, 2).alias("exchange")).agg(F.count("*").alias("bars"), F.min("date").alias("first_date"))
 
 
+def limit_downs_after_strong_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong-day signals with how many of the three bars behind them closed at the lower limit."""
+    b = bars(spark, sf_dir)
+    starts = E.strong_day_pullbacks(b, "2018-01-01").select("ts_code", F.col("signal_date").alias("date"))
+    return E.limit_downs_after(b, starts).select("ts_code", "date", F.size("limit_downs").alias("limit_downs"))
+
+
 QUERIES = {f.__name__: f for f in (
-    amount_leaders, weekly_bars, monthly_bars, weekly_averages, adjusted_view, placed_actions, built_factors, board_labels, limit_days, strict_boards, market_index, forward_returns, best_closes, month_returns,
+    limit_downs_after_strong_days, amount_leaders, weekly_bars, monthly_bars, weekly_averages, adjusted_view, placed_actions, built_factors, board_labels, limit_days, strict_boards, market_index, forward_returns, best_closes, month_returns,
     one_price_pullbacks, pullback_paths, strong_day_pullbacks, halvings, holding_returns, return_panel, return_deciles, endpoint_leaders, run_ups, run_up_boards, index_drawdown, regime_days,
     bars_around_events, weeks_overlapping, latest_dates, relative_start,
 )}
@@ -213,6 +220,10 @@ h AS (SELECT ts_code, a AS first_date, z AS last_date, z - a AS days, cz/ca - 1
 _RUN = f"""r0 AS (SELECT *, min(hl) OVER (PARTITION BY ts_code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) lb FROM b WHERE date BETWEEN DATE '2024-09-23' AND DATE '2026-06-30'),
 r1 AS (SELECT *, last_value(CASE WHEN hl <= coalesce(lb, hl) THEN date END IGNORE NULLS) OVER (PARTITION BY ts_code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ld FROM r0),
 r AS (SELECT ts_code, hh/lb - 1 AS up, ld AS low_date, date AS high_date FROM r1 WHERE lb IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY hh/lb - 1 DESC, date) = 1)"""
+_STRONG = f"""z0 AS (SELECT *, coalesce(c/pc > 1.09::DOUBLE, false) strong FROM b), z1 AS (SELECT *, last_value(CASE WHEN strong THEN bar_no END IGNORE NULLS) OVER (PARTITION BY ts_code ORDER BY date ROWS UNBOUNDED PRECEDING) run FROM z0),
+z2 AS (SELECT z1.*, s.c sc, s.pc sp, s.date sd, z1.bar_no - run AS t FROM z1 JOIN z0 s ON s.ts_code = z1.ts_code AND s.bar_no = run WHERE z1.bar_no - run BETWEEN 1 AND 7),
+z3 AS (SELECT *, max(high) OVER w tp, min(low) OVER w bt, avg(c) OVER w mn, min(c) OVER w ls, sum((c/pc <= 0.95::DOUBLE OR c/open <= 0.95::DOUBLE)::INT) OVER w bad FROM z2 WINDOW w AS (PARTITION BY ts_code, run ORDER BY date ROWS UNBOUNDED PRECEDING)),
+z4 AS (SELECT * FROM z3 WHERE tp <= sc*1.08::DOUBLE AND bt >= sp + (sc - sp)*0.5::DOUBLE AND mn >= sc*0.98::DOUBLE AND ls >= sc*0.96::DOUBLE AND c >= sc*0.97::DOUBLE AND bad = 0 AND date >= DATE '2018-01-01')"""
 _STRICT = """CASE WHEN right(ts_code,2)='SH' AND left(ts_code,3) IN ('688','689') THEN 'star' WHEN right(ts_code,2)='SZ' AND left(ts_code,3) IN ('300','301','302') THEN 'chinext'
  WHEN right(ts_code,2)='BJ' AND left(ts_code,2)='92' THEN 'bse' WHEN (right(ts_code,2)='SH' AND left(ts_code,3) BETWEEN '600' AND '605') OR (right(ts_code,2)='SZ' AND left(ts_code,3) BETWEEN '000' AND '003') THEN 'main' END"""
 _YI = lambda x, n: f"floor(({x})/1e8::DOUBLE*1e4::DOUBLE+0.5::DOUBLE)/1e4::DOUBLE AS {n}"
@@ -252,12 +263,11 @@ t4 AS (SELECT t3.ts_code, board_date, entry, max(CASE WHEN b.bar_no = k+entry TH
   max(CASE WHEN b.bar_no > k+entry THEN b.hc END) xc, arg_max(CASE WHEN b.bar_no > k+entry THEN b.date END, CASE WHEN b.bar_no > k+entry THEN struct_pack(v := b.hc, n := -b.bar_no) END) exit_date
  FROM t3 JOIN b ON b.ts_code = t3.ts_code AND b.bar_no BETWEEN k+entry AND k+entry+25 WHERE n3 = 3 AND entry >= gap_bars GROUP BY ALL)
 SELECT ts_code, board_date AS date, entry::INT AS entry, entry_date, exit_date, horizon_date, {q6('xc/ec - 1', 'path_return')} FROM t4 WHERE horizon_date IS NOT NULL""",
-    "strong_day_pullbacks": f"""WITH {BARS_SQL}, z0 AS (SELECT *, coalesce(c/pc > 1.09::DOUBLE, false) strong FROM b), z1 AS (SELECT *, last_value(CASE WHEN strong THEN bar_no END IGNORE NULLS) OVER (PARTITION BY ts_code ORDER BY date ROWS UNBOUNDED PRECEDING) run FROM z0),
-z2 AS (SELECT z1.*, s.c sc, s.pc sp, s.date sd, z1.bar_no - run AS t FROM z1 JOIN z0 s ON s.ts_code = z1.ts_code AND s.bar_no = run WHERE z1.bar_no - run BETWEEN 1 AND 7),
-z3 AS (SELECT *, max(high) OVER w tp, min(low) OVER w bt, avg(c) OVER w mn, min(c) OVER w ls, sum((c/pc <= 0.95::DOUBLE OR c/open <= 0.95::DOUBLE)::INT) OVER w bad FROM z2 WINDOW w AS (PARTITION BY ts_code, run ORDER BY date ROWS UNBOUNDED PRECEDING))
+    "strong_day_pullbacks": f"""WITH {BARS_SQL}, {_STRONG}
 SELECT ts_code, date AS signal_date, sd AS strong_date, t::INT AS t, {q6('sc/sp - 1', 'strong_return')}, {q6('c*f/(pc*pf) - 1', 'signal_day_pct')}, {q6('c/sc - 1', 'pullback_pct')}, {q6('mn/sc - 1', 'center_ratio')}, {q6('tp/sc - 1', 'high_ratio')}, {q6('bt/sc - 1', 'low_ratio')},
- CASE WHEN c*f/(pc*pf) - 1 < 0 THEN 'down' WHEN c*f/(pc*pf) - 1 > 0 THEN 'up' ELSE 'flat' END AS signal_direction, date_part('year', date)::INT AS year
-FROM z3 WHERE tp <= sc*1.08::DOUBLE AND bt >= sp + (sc - sp)*0.5::DOUBLE AND mn >= sc*0.98::DOUBLE AND ls >= sc*0.96::DOUBLE AND c >= sc*0.97::DOUBLE AND bad = 0 AND date >= DATE '2018-01-01'""",
+ CASE WHEN c*f/(pc*pf) - 1 < 0 THEN 'down' WHEN c*f/(pc*pf) - 1 > 0 THEN 'up' ELSE 'flat' END AS signal_direction, date_part('year', date)::INT AS year FROM z4""",
+    "limit_downs_after_strong_days": f"""WITH {LIMITS_SQL}, {_STRONG}, d AS (SELECT ts_code, date, coalesce(lead(down,1) OVER w, false)::INT + coalesce(lead(down,2) OVER w, false)::INT + coalesce(lead(down,3) OVER w, false)::INT AS k FROM l WINDOW w AS (PARTITION BY ts_code ORDER BY date))
+SELECT d.ts_code, d.date, k AS limit_downs FROM d JOIN z4 ON z4.ts_code = d.ts_code AND z4.date = d.date""",
     "holding_returns": f"WITH {BARS_SQL}, {_HOLD} SELECT ts_code, first_date, last_date, days::INT AS days, {q6('ret', 'total_return')}, {q6('ann', 'annualized')}, high_date, low_date, bars FROM h",
     "return_panel": f"""WITH {BARS_SQL}, {_HOLD}, g AS (SELECT 'all' g, ret, ann FROM h UNION ALL SELECT CASE WHEN first_date <= DATE '2023-01-10' THEN 'full_period' ELSE 'later' END, ret, ann FROM h UNION ALL SELECT 'a_year_or_more', ret, ann FROM h WHERE ann IS NOT NULL)
 SELECT g AS "group", count(*) AS n, {q6('avg(ret)', 'mean')}, {q6('median(ret)', 'median')}, {q6('avg((ret > 0)::INT)', 'up_share')}, {q6('median(ann)', 'median_annualized')} FROM g GROUP BY 1""",

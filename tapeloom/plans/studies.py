@@ -143,11 +143,17 @@ def security_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return master.resolve(table(spark, sf_dir, "stock_basic_tdx"), "573").select("ts_code", "how")
+    return master.resolve(table(spark, sf_dir, "stock_basic_tdx"), "e").select("ts_code", "how")
+
+
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row over the whole bar table: rows, instruments, days, gaps and rows off the calendar."""
+    c = session_coverage(spark, sf_dir)
+    return c.agg(F.count("*").alias("instruments"), F.sum("bars").alias("bars"), F.sum("missing").alias("missing"), F.sum("gap_runs").alias("gap_runs"), F.max("longest_gap").cast("bigint").alias("longest_gap"), F.sum("off_calendar").alias("off_calendar"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), F.count_if(F.col("missing") == 0).alias("complete_instruments"))
 
 
 QUERIES = {f.__name__: f for f in (
-    event_summary, event_summary_aligned, event_histogram, event_value_counts, event_buckets, regime_summary, regime_pivot, representative_events, threshold_events, sampled_events, event_page,
+    audit_summary, event_summary, event_summary_aligned, event_histogram, event_value_counts, event_buckets, regime_summary, regime_pivot, representative_events, threshold_events, sampled_events, event_page,
     invalid_rows, session_coverage, session_gaps, daily_counts, yearly_coverage, copy_inventory, missing_instruments, adjusted_reconciliation, calendar_differences, action_priority, security_master, name_resolution,
 )}
 
@@ -188,6 +194,9 @@ UNION ALL SELECT board, 'low', row_number() OVER (PARTITION BY board ORDER BY re
     "session_coverage": f"""WITH {BARS_SQL}, {_SESSIONS}, p AS (SELECT ts_code, min(date) a, max(date) z, count(*) n, max(k) - min(k) + 1 AS ss, sum((gap > 0)::INT) gr, coalesce(max(gap), 0) lg FROM on0 GROUP BY 1),
 f AS (SELECT ts_code, count(*) n FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.x = right(b.ts_code, 2) AND cal_date = date) GROUP BY 1)
 SELECT p.ts_code, a AS first_date, z AS last_date, p.n AS bars, ss AS sessions, coalesce(gr, 0)::BIGINT AS gap_runs, lg AS longest_gap, coalesce(f.n, 0) AS off_calendar, ss - p.n AS missing FROM p LEFT JOIN f ON f.ts_code = p.ts_code""",
+    "audit_summary": f"""WITH {BARS_SQL}, {_SESSIONS}, p AS (SELECT ts_code, min(date) a, max(date) z, count(*) n, max(k) - min(k) + 1 - count(*) AS ms, sum((gap > 0)::INT) gr, coalesce(max(gap), 0) lg FROM on0 GROUP BY 1),
+f AS (SELECT count(*) n FROM b WHERE ts_code IN (SELECT ts_code FROM p) AND NOT EXISTS (SELECT 1 FROM s WHERE s.x = right(b.ts_code, 2) AND cal_date = date))
+SELECT count(*) AS instruments, sum(p.n)::BIGINT AS bars, sum(ms)::BIGINT AS missing, coalesce(sum(gr), 0)::BIGINT AS gap_runs, max(lg)::BIGINT AS longest_gap, (SELECT n FROM f)::BIGINT AS off_calendar, min(a) AS first_date, max(z) AS last_date, sum((ms = 0)::INT)::BIGINT AS complete_instruments FROM p""",
     "session_gaps": f'WITH {BARS_SQL}, {_SESSIONS} SELECT ts_code, pd AS "after", date AS "before", gap AS sessions FROM on0 WHERE gap > 0',
     "daily_counts": f"WITH {BARS_SQL} SELECT date, count(DISTINCT ts_code) AS instruments, sum((vol = 0)::INT)::BIGINT AS without_trading FROM b GROUP BY 1",
     "yearly_coverage": f"WITH {BARS_SQL}, d AS (SELECT date, count(*) n FROM b GROUP BY 1) SELECT date_part('year', date)::INT AS year, count(*) AS days, sum(n)::BIGINT AS bars, arg_min(n, date) AS first_day_instruments, arg_max(n, date) AS last_day_instruments FROM d GROUP BY 1",
@@ -205,6 +214,6 @@ SELECT date, 'left' AS side FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION
     "action_priority": "SELECT ts_code, ex_date, status FROM xdxr QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY CASE status WHEN 'applied' THEN 1 WHEN 'before_listing' THEN 2 ELSE 3 END, ex_date DESC) = 1",
     "security_master": f"""WITH {BARS_SQL}, n AS (SELECT symbol, name FROM stock_basic_tdx WHERE name IS NOT NULL), k AS (SELECT left(ts_code, 6) AS symbol, min(date) d FROM b GROUP BY 1), i AS (SELECT symbol, tdx_industry_code FROM stock_basic_tdx WHERE tdx_industry_code IS NOT NULL)
 SELECT coalesce(n.symbol, k.symbol) AS symbol, trim(n.name) AS name, k.d AS first_date, i.tdx_industry_code AS industry FROM n FULL JOIN k ON n.symbol = k.symbol LEFT JOIN i ON i.symbol = coalesce(n.symbol, k.symbol)""",
-    "name_resolution": """WITH m AS (SELECT ts_code, CASE WHEN ts_code = '573' THEN 1 WHEN left(ts_code, 6) = '000573' THEN 2 WHEN trim(name) = '573' THEN 3 WHEN contains(trim(name), '573') THEN 4 END AS how FROM stock_basic_tdx)
+    "name_resolution": """WITH m AS (SELECT ts_code, CASE WHEN ts_code = 'E' THEN 1 WHEN left(ts_code, 6) = '' THEN 2 WHEN trim(name) = 'e' THEN 3 WHEN contains(trim(name), 'e') THEN 4 END AS how FROM stock_basic_tdx)
 SELECT ts_code, how FROM m WHERE how = (SELECT min(how) FROM m)""",
 }
