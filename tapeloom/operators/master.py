@@ -33,5 +33,5 @@ def resolve(master: DataFrame, text: str) -> DataFrame:
     name = F.trim(F.col("name"))
     how = F.when(F.col("ts_code") == t.upper(), 1).when(F.substring("ts_code", 1, 6) == digits, 2).when(name == t, 3).when(name.contains(t), 4)
     found = master.withColumn("how", how).filter("how is not null")
-    best = W.partitionBy(F.lit(1))
-    return found.withColumn("_best", F.min("how").over(best)).filter("how = _best").drop("_best")
+    best = found.agg(F.min("how").alias("_best"))
+    return found.join(F.broadcast(best), F.col("how") == F.col("_best")).drop("_best")

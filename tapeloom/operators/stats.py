@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapeloom.operators.small import checked_broadcast
+
 # Edges of the return histograms, open at both ends.
 RETURN_EDGES = (-0.3, -0.2, -0.1, -0.05, 0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0)
 
@@ -14,7 +16,8 @@ def description(ret: str, excess: str | None = None, aligned: bool = False) -> l
     """Aggregates of a return: n, mean, median, win, std, p10..p90, t, and of an excess one its mean and win.
 
     Missing values are left out of each column by itself, or with ``aligned`` the excess where the return is
-    missing. ``t`` has no value for one row or no spread. Percentiles are exact and linear.
+    missing. ``t`` has no value for one row or no spread. Percentiles are exact and linear, which keeps a
+    group's distinct values in memory; for groups of billions there are digests.
     """
     r = F.col(ret)
     std, n = F.stddev_samp(r), F.count(r)
@@ -73,9 +76,13 @@ def value_counts(events: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spread_pick(events: DataFrame, group: Sequence[str], value: str, ties: Sequence[str], n: int) -> DataFrame:
-    """The n highest, the n lowest and the n nearest to the mean of each group, with ``kind`` and ``place``."""
+    """The n highest, the n lowest and the n nearest to the mean of each group, with ``kind`` and ``place``.
+
+    Means come from an aggregation (a window would bring a whole group into one task); the ranks are cut to
+    n before their shuffles."""
     known = events.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    df = known.withColumn("_mean", F.avg(value).over(W.partitionBy(*group)))
+    means = known.groupBy(*group).agg(F.avg(value).alias("_mean"))
+    df = known.join(checked_broadcast(means), list(group))
     picked = []
     for kind, order in (("high", F.col(value).desc()), ("low", F.col(value).asc()), ("middle", F.abs(F.col(value) - F.col("_mean")).asc())):
         by = W.partitionBy(*group).orderBy(order, *[F.col(t) for t in ties])

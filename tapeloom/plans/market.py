@@ -231,7 +231,7 @@ _YI = lambda x, n: f"floor(({x})/1e8::DOUBLE*1e4::DOUBLE+0.5::DOUBLE)/1e4::DOUBL
 ORACLE = {
     "amount_leaders": f"""WITH {BARS_SQL}, q AS (SELECT * FROM b WHERE date BETWEEN DATE '{START}' AND DATE '{END}' AND amount >= 0), m AS (SELECT count(DISTINCT date) md FROM q),
 p AS (SELECT ts_code, count(DISTINCT date) td, sum(amount) s, avg(amount) a, max(amount) x FROM q GROUP BY 1 HAVING count(DISTINCT date) >= 100 ORDER BY a DESC, td DESC, ts_code LIMIT 50)
-SELECT row_number() OVER (ORDER BY a DESC, td DESC, p.ts_code) AS rank, p.ts_code, n.name, td AS trading_days, md AS market_days, {q6('td/md', 'coverage')}, {_YI('s', 'total_amount_yi')}, {_YI('a', 'average_daily_amount_yi')}, {_YI('x', 'max_daily_amount_yi')}
+SELECT (row_number() OVER (ORDER BY a DESC, td DESC, p.ts_code))::INT AS rank, p.ts_code, n.name, td AS trading_days, md AS market_days, {q6('td/md', 'coverage')}, {_YI('s', 'total_amount_yi')}, {_YI('a', 'average_daily_amount_yi')}, {_YI('x', 'max_daily_amount_yi')}
 FROM p CROSS JOIN m LEFT JOIN (SELECT ts_code, min(trim(name)) AS name FROM stock_basic_tdx GROUP BY 1) n ON n.ts_code = p.ts_code""",
     "weekly_bars": f'WITH {BARS_SQL}, {_WEEKLY} SELECT ts_code, date, open, high, low, c AS "close", vol, bars FROM wk',
     "monthly_bars": f'WITH {BARS_SQL} SELECT ts_code, last_day(date) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(c, date) AS "close", sum(coalesce(vol,0))::BIGINT AS vol, count(*) AS bars FROM b GROUP BY ts_code, last_day(date)',
@@ -273,7 +273,7 @@ SELECT d.ts_code, d.date, k AS limit_downs FROM d JOIN z4 ON z4.ts_code = d.ts_c
 SELECT g AS "group", count(*) AS n, {q6('avg(ret)', 'mean')}, {q6('median(ret)', 'median')}, {q6('avg((ret > 0)::INT)', 'up_share')}, {q6('median(ann)', 'median_annualized')} FROM g GROUP BY 1""",
     "return_deciles": f"WITH {BARS_SQL}, {_HOLD}, d AS (SELECT unnest([10,20,30,40,50,60,70,80,90]) decile, unnest((SELECT quantile_cont(ret, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) FROM h)) v) SELECT decile, {q6('v', 'value')} FROM d",
     "endpoint_leaders": f"""WITH {BARS_SQL}, p AS (SELECT ts_code, max(CASE WHEN date = DATE '2024-01-03' THEN hc END) a, max(CASE WHEN date = DATE '2025-12-03' THEN hc END) z FROM b GROUP BY 1),
-t AS (SELECT ts_code, z/a - 1 AS r FROM p WHERE a > 0 AND z > 0 ORDER BY r DESC, ts_code LIMIT 20) SELECT row_number() OVER (ORDER BY r DESC, ts_code) AS rank, ts_code, {q6('r', 'total_return')} FROM t""",
+t AS (SELECT ts_code, z/a - 1 AS r FROM p WHERE a > 0 AND z > 0 ORDER BY r DESC, ts_code LIMIT 20) SELECT (row_number() OVER (ORDER BY r DESC, ts_code))::INT AS rank, ts_code, {q6('r', 'total_return')} FROM t""",
     "run_ups": f"WITH {BARS_SQL}, {_RUN} SELECT ts_code, {q6('up', 'run_up')}, low_date, high_date FROM r",
     "run_up_boards": f"WITH {BARS_SQL}, {_RUN} SELECT {_STRICT} AS board, count(*) AS n, {q6('median(up)', 'median')}, {q6('avg((up > 2.0::DOUBLE + 1e-8::DOUBLE)::INT)', 'over_200')}, {q6('avg((up > 5)::INT)', 'over_500')} FROM r GROUP BY 1",
     "index_drawdown": f"""WITH {BARS_SQL}, {_IDX}, d AS (SELECT date, ci, ci/max(ci) OVER (ORDER BY date) - 1 dd FROM mi), o AS (SELECT min(date) a, max(date) z, arg_max(ci, date)/arg_min(ci, date) - 1 t, min(dd) w, arg_min(date, struct_pack(dd := dd, d := date)) wd FROM d)

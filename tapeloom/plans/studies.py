@@ -1,7 +1,6 @@
 """Queries over events and tables: statistics, picks, audits and the security master."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions.regimes import regime_of_span
@@ -68,9 +67,9 @@ def representative_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with a return above 30 per cent in rank order."""
+    """Events with a return above 30 per cent, the highest first."""
     df = events(spark, sf_dir).filter("ret > 0.3")
-    return df.select(F.row_number().over(W.orderBy(F.col("ret").desc(), "ts_code", "signal_date")).alias("place"), "ts_code", "signal_date", r6("ret"))
+    return df.orderBy(F.col("ret").desc(), "ts_code", "signal_date").select("ts_code", "signal_date", r6("ret"))
 
 
 def sampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +142,7 @@ def security_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return master.resolve(table(spark, sf_dir, "stock_basic_tdx"), "e").select("ts_code", "how")
+    return master.resolve(table(spark, sf_dir, "stock_basic_tdx"), "食品").select("ts_code", "how")
 
 
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +183,8 @@ SELECT "column", "value", count(*) AS n FROM u GROUP BY 1, 2""",
     "regime_summary": f"WITH {EVENTS_SQL}, {_REGIME} SELECT coalesce(regime, 'total') AS regime, coalesce(sign, 'total') AS sign, count(*) AS n, {q6('avg(ret)', 'mean')}, {q6('median(ret)', 'median')} FROM g GROUP BY ROLLUP (regime, sign)",
     "regime_pivot": f"WITH {EVENTS_SQL}, {_REGIME} SELECT regime, sum((sign='gain')::INT)::BIGINT AS gain, sum((sign='loss')::INT)::BIGINT AS loss, sum((sign='flat')::INT)::BIGINT AS flat FROM g GROUP BY 1",
     "representative_events": f"""WITH {EVENTS_SQL}, h AS (SELECT board, 'high' AS kind, row_number() OVER (PARTITION BY board ORDER BY ret DESC, ts_code, signal_date) AS place, ts_code, signal_date, ret FROM e WHERE ret IS NOT NULL
-UNION ALL SELECT board, 'low', row_number() OVER (PARTITION BY board ORDER BY ret, ts_code, signal_date), ts_code, signal_date, ret FROM e WHERE ret IS NOT NULL) SELECT board, kind, place, ts_code, signal_date, {q6('ret')} FROM h WHERE place <= 5""",
-    "threshold_events": f"WITH {EVENTS_SQL} SELECT row_number() OVER (ORDER BY ret DESC, ts_code, signal_date) AS place, ts_code, signal_date, {q6('ret')} FROM e WHERE ret > 0.3::DOUBLE",
+UNION ALL SELECT board, 'low', row_number() OVER (PARTITION BY board ORDER BY ret, ts_code, signal_date), ts_code, signal_date, ret FROM e WHERE ret IS NOT NULL) SELECT board, kind, place::INT AS place, ts_code, signal_date, {q6('ret')} FROM h WHERE place <= 5""",
+    "threshold_events": f"WITH {EVENTS_SQL} SELECT ts_code, signal_date, {q6('ret')} FROM e WHERE ret > 0.3::DOUBLE",
     "event_page": f"WITH {EVENTS_SQL} SELECT ts_code, signal_date FROM e ORDER BY signal_date DESC, ts_code LIMIT 200 OFFSET 200",
     "invalid_rows": f"""SELECT count(*) AS rows, sum((NOT ({_EVERY}))::INT)::BIGINT AS nonfinite_price, sum((({' OR '.join(f'({_NUM(p)} AND "{p}" <= 0)' for p in B.PRICES)}))::INT)::BIGINT AS nonpositive_price,
  sum((({_EVERY}) AND low > high)::INT)::BIGINT AS low_above_high, sum((({_EVERY}) AND (open > high OR open < low))::INT)::BIGINT AS open_outside, sum((({_EVERY}) AND ("close" > high OR "close" < low))::INT)::BIGINT AS close_outside,
@@ -193,11 +192,11 @@ UNION ALL SELECT board, 'low', row_number() OVER (PARTITION BY board ORDER BY re
  (count(*) - (SELECT count(*) FROM (SELECT DISTINCT ts_code, date FROM stock_daily)))::BIGINT AS repeated_keys FROM stock_daily""",
     "session_coverage": f"""WITH {BARS_SQL}, {_SESSIONS}, p AS (SELECT ts_code, min(date) a, max(date) z, count(*) n, max(k) - min(k) + 1 AS ss, sum((gap > 0)::INT) gr, coalesce(max(gap), 0) lg FROM on0 GROUP BY 1),
 f AS (SELECT ts_code, count(*) n FROM b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.x = right(b.ts_code, 2) AND cal_date = date) GROUP BY 1)
-SELECT p.ts_code, a AS first_date, z AS last_date, p.n AS bars, ss AS sessions, coalesce(gr, 0)::BIGINT AS gap_runs, lg AS longest_gap, coalesce(f.n, 0) AS off_calendar, ss - p.n AS missing FROM p LEFT JOIN f ON f.ts_code = p.ts_code""",
+SELECT p.ts_code, a AS first_date, z AS last_date, p.n AS bars, ss::INT AS sessions, coalesce(gr, 0)::BIGINT AS gap_runs, lg::INT AS longest_gap, coalesce(f.n, 0) AS off_calendar, ss - p.n AS missing FROM p LEFT JOIN f ON f.ts_code = p.ts_code""",
     "audit_summary": f"""WITH {BARS_SQL}, {_SESSIONS}, p AS (SELECT ts_code, min(date) a, max(date) z, count(*) n, max(k) - min(k) + 1 - count(*) AS ms, sum((gap > 0)::INT) gr, coalesce(max(gap), 0) lg FROM on0 GROUP BY 1),
 f AS (SELECT count(*) n FROM b WHERE ts_code IN (SELECT ts_code FROM p) AND NOT EXISTS (SELECT 1 FROM s WHERE s.x = right(b.ts_code, 2) AND cal_date = date))
 SELECT count(*) AS instruments, sum(p.n)::BIGINT AS bars, sum(ms)::BIGINT AS missing, coalesce(sum(gr), 0)::BIGINT AS gap_runs, max(lg)::BIGINT AS longest_gap, (SELECT n FROM f)::BIGINT AS off_calendar, min(a) AS first_date, max(z) AS last_date, sum((ms = 0)::INT)::BIGINT AS complete_instruments FROM p""",
-    "session_gaps": f'WITH {BARS_SQL}, {_SESSIONS} SELECT ts_code, pd AS "after", date AS "before", gap AS sessions FROM on0 WHERE gap > 0',
+    "session_gaps": f'WITH {BARS_SQL}, {_SESSIONS} SELECT ts_code, pd AS "after", date AS "before", gap::INT AS sessions FROM on0 WHERE gap > 0',
     "daily_counts": f"WITH {BARS_SQL} SELECT date, count(DISTINCT ts_code) AS instruments, sum((vol = 0)::INT)::BIGINT AS without_trading FROM b GROUP BY 1",
     "yearly_coverage": f"WITH {BARS_SQL}, d AS (SELECT date, count(*) n FROM b GROUP BY 1) SELECT date_part('year', date)::INT AS year, count(*) AS days, sum(n)::BIGINT AS bars, arg_min(n, date) AS first_day_instruments, arg_max(n, date) AS last_day_instruments FROM d GROUP BY 1",
     "copy_inventory": f"""WITH a AS (SELECT {_CODE} AS ts_code, count(*) n FROM stock_daily WHERE ts_code IS NOT NULL GROUP BY 1), z AS (SELECT {_CODE} AS ts_code, count(*) n FROM stock_daily_qfq WHERE ts_code IS NOT NULL GROUP BY 1)
@@ -214,6 +213,6 @@ SELECT date, 'left' AS side FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION
     "action_priority": "SELECT ts_code, ex_date, status FROM xdxr QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY CASE status WHEN 'applied' THEN 1 WHEN 'before_listing' THEN 2 ELSE 3 END, ex_date DESC) = 1",
     "security_master": f"""WITH {BARS_SQL}, n AS (SELECT symbol, name FROM stock_basic_tdx WHERE name IS NOT NULL), k AS (SELECT left(ts_code, 6) AS symbol, min(date) d FROM b GROUP BY 1), i AS (SELECT symbol, tdx_industry_code FROM stock_basic_tdx WHERE tdx_industry_code IS NOT NULL)
 SELECT coalesce(n.symbol, k.symbol) AS symbol, trim(n.name) AS name, k.d AS first_date, i.tdx_industry_code AS industry FROM n FULL JOIN k ON n.symbol = k.symbol LEFT JOIN i ON i.symbol = coalesce(n.symbol, k.symbol)""",
-    "name_resolution": """WITH m AS (SELECT ts_code, CASE WHEN ts_code = 'E' THEN 1 WHEN left(ts_code, 6) = '' THEN 2 WHEN trim(name) = 'e' THEN 3 WHEN contains(trim(name), 'e') THEN 4 END AS how FROM stock_basic_tdx)
+    "name_resolution": """WITH m AS (SELECT ts_code, CASE WHEN ts_code = '食品' THEN 1 WHEN left(ts_code, 6) = '' THEN 2 WHEN trim(name) = '食品' THEN 3 WHEN contains(trim(name), '食品') THEN 4 END AS how FROM stock_basic_tdx)
 SELECT ts_code, how FROM m WHERE how = (SELECT min(how) FROM m)""",
 }

@@ -296,7 +296,7 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         scanned = frame.filter(F.col("ts_code") != symbol).join(fresh.select("ts_code"), "ts_code", "left_semi")
     recalled = cut(scanned.groupBy("ts_code").applyInArrow(_recall_kernel(query, rules, history_only, exclude_query, latest, lengths), _CANDIDATE))
     shortlist = cut(bounded(recalled, rules.recall_n, bool(qe.any())))
-    near = frame.join(F.broadcast(shortlist.select("ts_code").distinct()), "ts_code", "left_semi")
+    near = cut(frame.join(F.broadcast(shortlist.select("ts_code").distinct()), "ts_code", "left_semi").repartition("ts_code"))
     pairs = lambda: shortlist.select("ts_code", "start_idx", "length").groupBy("ts_code").cogroup(near.groupBy("ts_code"))
     middle, spread = np.zeros(7), np.ones(7)
     if rules.mode == "fixed":
