@@ -34,6 +34,7 @@ _ASIDES = re.compile(r"[(\[][^()\[\]]{0,200}[)\]]")
 _HEADER = re.compile(r"\A\s*(?:Speech \d+\.\s*)?[^.!?:–—()\[\]\n]{1,60}(?:[(\[][^()\[\]\n]{1,40}[)\]]\s*(?:[.:]?\s*[–—]|:|\n)|\s*[.:]?\s*(?:[–—]\s|\n))")
 _ENDS = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=PRESIDENT\. –)\s+")
 _BROKEN = re.compile("[ÃÂâ][\x80-\xbfŒ-™¡-¿]")
+_MARKUP = re.compile(r"<[^<>\n]{1,40}>|&(?:amp|lt|gt|nbsp|quot|#\d+);")
 _WORDS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _FORMULAS = frozenset(FORMULAS)
@@ -50,6 +51,8 @@ def repaired(text: str) -> str:
                 continue
         else:
             text = _BROKEN.sub(lambda m: _undo(m.group()), text)
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub("", text)
     text = text.replace("\xa0", " ").replace("\xad", "").replace("​", "").replace("﻿", "")
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
@@ -103,7 +106,7 @@ class ReadingModel:
     weights: np.ndarray
     knots: np.ndarray
     levels: np.ndarray
-    least_words: int = 5
+    least_words: int = 12
 
 
 def _features(sentences: Sequence[str], words: dict, grades: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
