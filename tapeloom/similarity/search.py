@@ -276,6 +276,7 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         raise ValueError("unknown mode or timeframe")
     daily = valid_bars(bars, PRICES).select("ts_code", "date", *PRICES, F.coalesce("vol", F.lit(0)).cast("double").alias("vol"))
     frame = daily if timeframe == "D" else resample(daily.withColumn("amount", F.lit(0.0)), timeframe).select("ts_code", "date", *PRICES, F.col("vol").cast("double").alias("vol"))
+    frame = cut(frame)  # read by the query, the scan, the scale and the re-ranking
     own = frame.filter((F.col("ts_code") == symbol) & (F.col("date") <= F.lit(end).cast("date"))).orderBy(F.col("date").desc()).limit(rules.max_length + 64 + 8 * rules.weekly_prior).toPandas().sort_values("date")
     inside = (pd.to_datetime(own["date"]) >= pd.Timestamp(start)).to_numpy()
     if inside.sum() < 3 or inside.sum() > rules.max_length:
@@ -296,7 +297,7 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         scanned = frame.filter(F.col("ts_code") != symbol).join(fresh.select("ts_code"), "ts_code", "left_semi")
     recalled = cut(scanned.groupBy("ts_code").applyInArrow(_recall_kernel(query, rules, history_only, exclude_query, latest, lengths), _CANDIDATE))
     shortlist = cut(bounded(recalled, rules.recall_n, bool(qe.any())))
-    near = cut(frame.join(F.broadcast(shortlist.select("ts_code").distinct()), "ts_code", "left_semi").repartition("ts_code"))
+    near = frame.join(F.broadcast(shortlist.select("ts_code").distinct()), "ts_code", "left_semi")
     pairs = lambda: shortlist.select("ts_code", "start_idx", "length").groupBy("ts_code").cogroup(near.groupBy("ts_code"))
     middle, spread = np.zeros(7), np.ones(7)
     if rules.mode == "fixed":
@@ -325,6 +326,7 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         quality = F.col("coverage") * F.least(F.greatest(1.0 - F.col("event_seq"), F.lit(0.0)), F.lit(1.0))
         band = F.when((F.col("missing") == 0) & (F.col("event_seq") <= 1e-9), 0.5 + 0.5 * base).when(F.col("missing") == 0, 0.25 + 0.25 * base * quality).otherwise(0.25 * (0.5 * base + 0.5 * quality))
         df = df.withColumn("score", band)
+    df = cut(df)  # recall_n rows at most, read twice
     top = df.join(suppressed(df, rules.overlap), ["ts_code", "start_idx", "length"], "left_semi").orderBy(F.col("score").desc(), "ts_code", "start_date").limit(10 if latest else rules.top_k)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "ts_code", "start_date")))
 
