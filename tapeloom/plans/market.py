@@ -268,6 +268,15 @@ SELECT ts_code, date AS signal_date, sd AS strong_date, t::INT AS t, {q6('sc/sp
  CASE WHEN c*f/(pc*pf) - 1 < 0 THEN 'down' WHEN c*f/(pc*pf) - 1 > 0 THEN 'up' ELSE 'flat' END AS signal_direction, date_part('year', date)::INT AS year FROM z4""",
     "limit_downs_after_strong_days": f"""WITH {LIMITS_SQL}, {_STRONG}, d AS (SELECT ts_code, date, coalesce(lead(down,1) OVER w, false)::INT + coalesce(lead(down,2) OVER w, false)::INT + coalesce(lead(down,3) OVER w, false)::INT AS k FROM l WINDOW w AS (PARTITION BY ts_code ORDER BY date))
 SELECT d.ts_code, d.date, k AS limit_downs FROM d JOIN z4 ON z4.ts_code = d.ts_code AND z4.date = d.date""",
+    "halvings": f"""WITH RECURSIVE {BARS_SQL},
+v0 AS (SELECT *, CASE WHEN count(*) OVER p = 63 THEN max(struct_pack(v := hc, n := -bar_no, d := date)) OVER p END pk, CASE WHEN count(*) OVER q = 126 THEN max(hc) OVER q END lh, CASE WHEN count(*) OVER a = 25 THEN max(struct_pack(v := hh, n := -bar_no, d := date)) OVER a END bs,
+ lead(hc, 25) OVER (PARTITION BY ts_code ORDER BY date) ec, lead(date, 25) OVER (PARTITION BY ts_code ORDER BY date) ed FROM b
+ WINDOW p AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 126 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 25 FOLLOWING)),
+v1 AS (SELECT *, hc/pk.v - 1 AS dd, lag(hc/pk.v - 1) OVER (PARTITION BY ts_code ORDER BY date) ld FROM v0), v2 AS (SELECT * FROM v1 WHERE dd < -0.5::DOUBLE AND (ld IS NULL OR ld >= -0.5::DOUBLE)),
+th AS (SELECT ts_code, min(bar_no) k FROM v2 GROUP BY 1 UNION ALL SELECT v2.ts_code, min(v2.bar_no) FROM th JOIN v2 ON v2.ts_code = th.ts_code AND v2.bar_no >= th.k + 63 GROUP BY v2.ts_code)
+SELECT v2.ts_code, v2.date AS signal_date, v2.pk.d AS peak_date, (v2.bar_no + v2.pk.n)::INT AS peak_to_signal_bars, {q6('dd', 'drawdown')}, v2.ed AS end_date, {q6('v2.ec/v2.hc - 1', 'terminal_return')}, v2.bs.d AS best_date, {q6('v2.bs.v/v2.hc - 1', 'best_return')},
+ coalesce(v2.pk.v > o.lh, false) AS peak_is_long_high, CASE WHEN v2.bs IS NOT NULL THEN 'complete' ELSE 'no_complete_window' END AS status
+FROM v2 JOIN th ON th.ts_code = v2.ts_code AND th.k = v2.bar_no LEFT JOIN v0 o ON o.ts_code = v2.ts_code AND o.date = v2.pk.d""",
     "holding_returns": f"WITH {BARS_SQL}, {_HOLD} SELECT ts_code, first_date, last_date, days::INT AS days, {q6('ret', 'total_return')}, {q6('ann', 'annualized')}, high_date, low_date, bars FROM h",
     "return_panel": f"""WITH {BARS_SQL}, {_HOLD}, g AS (SELECT 'all' g, ret, ann FROM h UNION ALL SELECT CASE WHEN first_date <= DATE '2023-01-10' THEN 'full_period' ELSE 'later' END, ret, ann FROM h UNION ALL SELECT 'a_year_or_more', ret, ann FROM h WHERE ann IS NOT NULL)
 SELECT g AS "group", count(*) AS n, {q6('avg(ret)', 'mean')}, {q6('median(ret)', 'median')}, {q6('avg((ret > 0)::INT)', 'up_share')}, {q6('median(ann)', 'median_annualized')} FROM g GROUP BY 1""",

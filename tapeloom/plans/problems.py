@@ -49,7 +49,12 @@ def p5_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select(F.col("source").alias("ts_code"), _day("period"), F.col("value").alias("close"), "is_filled", "filled_value")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cells, p2_found, p2_readings, p5_found, p5_series)}
+def p5_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regular series with the sessions without a close marked."""
+    return p5_series(spark, sf_dir).select("ts_code", "trade_day", "close", "is_filled")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_cells, p2_found, p2_readings, p5_found, p5_series, p5_marked)}
 
 _CODE = """CASE WHEN regexp_matches(upper(trim(ts_code)), '^[0-9]{6}[.]?[A-Z]{2}$') THEN substr(upper(trim(ts_code)), 1, 6) || '.' || right(upper(trim(ts_code)), 2)
  ELSE right(upper(trim(ts_code)), 6) || '.' || left(upper(trim(ts_code)), 2) END"""
@@ -80,13 +85,16 @@ d AS (SELECT ts_code, trade_day, 'missing_in_qfq' diff_kind, NULL::DOUBLE a, NUL
  UNION ALL SELECT ts_code, trade_day, 'vol', lv, rv FROM j WHERE inl AND inr AND ((lv IS NULL) <> (rv IS NULL) OR lv <> rv)
  UNION ALL SELECT ts_code, trade_day, 'amount', la, ra FROM j WHERE inl AND inr AND ((la IS NULL) <> (ra IS NULL) OR abs(la-ra) > 1e-6*abs(la)))"""
 
+_GRID = """s AS (SELECT cal_date, 'SH' x FROM trade_calendar WHERE sh_open UNION ALL SELECT cal_date, 'SZ' FROM trade_calendar WHERE sz_open UNION ALL SELECT cal_date, 'BJ' FROM trade_calendar WHERE bj_open),
+b AS (SELECT ts_code, date, "close", right(ts_code, 2) x FROM cur JOIN s ON cal_date = date AND x = right(ts_code, 2) WHERE "close" IS NOT NULL),
+f AS (SELECT ts_code, x, min(date) a, max(date) z FROM b GROUP BY ALL)"""
+
 ORACLE = {
     "p1_found": f"{_DIFF} SELECT ts_code, trade_day, diff_kind FROM d",
     "p1_cells": f"{_DIFF} SELECT ts_code, trade_day, diff_kind, floor(a * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS left_value, floor(b * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS right_value FROM d",
-    "p5_found": f"""WITH {CURRENT_BARS_SQL},
-s AS (SELECT cal_date, 'SH' x FROM trade_calendar WHERE sh_open UNION ALL SELECT cal_date, 'SZ' FROM trade_calendar WHERE sz_open UNION ALL SELECT cal_date, 'BJ' FROM trade_calendar WHERE bj_open),
-b AS (SELECT ts_code, date, right(ts_code, 2) x FROM cur JOIN s ON cal_date = date AND x = right(ts_code, 2) WHERE "close" IS NOT NULL),
-f AS (SELECT ts_code, x, min(date) a, max(date) z FROM b GROUP BY ALL)
+    "p5_marked": f"""WITH {CURRENT_BARS_SQL}, {_GRID}
+SELECT f.ts_code, strftime(cal_date, '%Y-%m-%d') AS trade_day, b."close" AS "close", b."close" IS NULL AS is_filled FROM f JOIN s ON s.x = f.x AND cal_date BETWEEN a AND z LEFT JOIN b ON b.ts_code = f.ts_code AND b.date = cal_date""",
+    "p5_found": f"""WITH {CURRENT_BARS_SQL}, {_GRID}
 SELECT f.ts_code, strftime(cal_date, '%Y-%m-%d') AS trade_day FROM f JOIN s ON s.x = f.x AND cal_date BETWEEN a AND z
 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.ts_code = f.ts_code AND b.date = cal_date)""",
 }
