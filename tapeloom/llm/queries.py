@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.boards import board_of_event
 from tapeloom.llm.digest import certified_percentiles
-from tapeloom.llm.encode import count_tokens, encode_corpus
+from tapeloom.llm.encode import count_tokens, decode_corpus, encode_corpus
 from tapeloom.llm.packing import Packing, pack_items
 from tapeloom.llm.reading import reading_levels
 from tapeloom.llm.topn import top_n
 from tapeloom.operators.current import current_bars, current_events
+from tapeloom.plans.base import EVENTS_SQL
 from tapeloom.plans.problems import CURRENT_BARS_SQL, CURRENT_EVENTS_SQL
 from tapeloom.sources.tables import table
 
@@ -30,6 +31,12 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certified_percentiles(events, ("board", "year"), "ret", PERCENTILES)
 
 
+def p4_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per board and year the number of events and how many of the percentiles are certified."""
+    df = p4_percentiles(spark, sf_dir)
+    return df.groupBy("board", "year").agg(F.max("n").alias("n"), F.count_if("certified").alias("certified"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,11 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document's text after encoding and decoding."""
+    return decode_corpus(encode_corpus(table(spark, sf_dir, "documents"))).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's part with its container of 2,048 tokens."""
     return pack_items(count_tokens(table(spark, sf_dir, "documents")), Packing())
@@ -60,7 +72,7 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_passages"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_percentiles, p6_ids, p6_counts, p7_containers, p7_fill, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_percentiles, p4_certified, p6_ids, p6_counts, p6_round_trip, p7_containers, p7_fill, p8_found, p8_levels)}
 
 ORACLE = {
     "p3_found": f"""WITH {CURRENT_BARS_SQL}, {CURRENT_EVENTS_SQL},
@@ -68,4 +80,7 @@ a AS (SELECT 'amount' AS ranking, ts_code, date AS d, row_number() OVER (PARTITI
 b AS (SELECT 'ret' AS ranking, ts_code, signal_date AS d, row_number() OVER (PARTITION BY ts_code ORDER BY ret_close_to_best_close_25 DESC, signal_date) AS r FROM ev
  WHERE ret_close_to_best_close_25 IS NOT NULL AND isfinite(ret_close_to_best_close_25))
 SELECT ranking, ts_code, strftime(d, '%Y-%m-%d') AS trade_day FROM a WHERE r <= 5 UNION ALL SELECT ranking, ts_code, strftime(d, '%Y-%m-%d') FROM b WHERE r <= 3""",
+    "p4_certified": f"""WITH {EVENTS_SQL}, x AS (SELECT e.board, e.year FROM e JOIN ev ON ev.ts_code = e.ts_code AND ev.signal_date = e.signal_date WHERE isfinite(ev.ret_close_to_best_close_25))
+SELECT board, year, count(*) AS n, 6::BIGINT AS certified FROM x GROUP BY 1, 2""",
+    "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }
