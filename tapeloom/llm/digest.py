@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.operators.small import checked_broadcast
+
 DELTA = 1000.0
 
 
@@ -147,13 +149,13 @@ def certified_percentiles(df: DataFrame, group: Sequence[str], value: str, at: S
     estimates = digest_quantiles(digests(df, group, value, delta), group, at)
     number = F.col(value).cast("double")
     rows = df.select(*names, number.alias("_value")).filter(F.col("_value").isNotNull() & ~F.isnan("_value") & (F.abs(F.col("_value")) != float("inf")))
-    # The counts meet the estimates per partition and position of the sorted estimates, so every group is
-    # reduced to 2 * len(at) sums before the shuffle.
+    # The estimates, a row per group, are broadcast once they have been counted, so that no group's rows are
+    # brought together; every partition reduces them to 2 * len(at) sums a group before the shuffle.
     renamed = estimates.select(*[F.col(c).alias(f"_g_{c}") for c in names], F.col("n"), F.col("estimates"))
     same = F.lit(True)
     for c in names:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    joined = rows.join(renamed, same)
+    joined = rows.join(checked_broadcast(renamed), same)
     below = [F.count_if(F.col("_value") < F.col("estimates")[i]).alias(f"below{i}") for i in range(len(at))]
     upto = [F.count_if(F.col("_value") <= F.col("estimates")[i]).alias(f"upto{i}") for i in range(len(at))]
     counted = joined.groupBy(*names).agg(F.first("n").alias("n"), F.first("estimates").alias("estimates"), *below, *upto)
