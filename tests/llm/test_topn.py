@@ -20,3 +20,9 @@ def test_small_and_empty_groups(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("b", 2, None)], "g string, id int, score double")
     assert [(r.g, r["rank"]) for r in top_n(df, ("g",), "score", ("id",), 3).collect()] == [("a", 1)]
     assert top_n(df.limit(0), ("g",), "score", ("id",), 3).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, 7, "x"), ("a", 2, 2.0, 8, "y")], "g string, id int, score double, rank int, _sub string")
+    got = top_n(df, ("g",), "score", ("id",), 1).collect()
+    assert [(r.id, r["rank"], r._sub) for r in got] == [(2, 1, "y")]
