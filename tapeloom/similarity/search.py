@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -264,13 +264,13 @@ def _feature_rows(query: Query, rules: SearchRules):
     return rows
 
 
-def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRules = SearchRules(), timeframe: str = "D", history_only: bool = False, exclude_query: bool = True, latest: bool = False) -> DataFrame:
+def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRules = SearchRules(), timeframe: str = "D", history_only: bool = False, exclude_query: bool = True, latest: bool = False, counters: Observation | None = None) -> DataFrame:
     """The best ``top_k`` windows like the query's: rank, ts_code, dates, length, score and all distances.
 
     ``bars``: ts_code, date, open, high, low, close, vol, unique by key; bars that are not finite and positive are
     left out. ``timeframe`` W or M merges them first. ``history_only`` keeps windows that end before the query
     starts; ``exclude_query`` those of its own series that overlap it; ``latest`` looks only at the last window of
-    every other series that is not out of date. ValueError for unknown modes, less than three bars or too many.
+    every other series that is not out of date. ``counters`` gets the number of candidates and of each path's. ValueError for unknown modes, less than three bars or too many.
     """
     if rules.mode not in ("fixed", "elastic") or timeframe not in LAG_DAYS:
         raise ValueError("unknown mode or timeframe")
@@ -295,7 +295,10 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         newest = frame.agg(F.max("date").alias("newest"))
         fresh = frame.groupBy("ts_code").agg(F.max("date").alias("own_last")).join(F.broadcast(newest), F.col("own_last") >= F.date_sub("newest", LAG_DAYS[timeframe]))
         scanned = frame.filter(F.col("ts_code") != symbol).join(fresh.select("ts_code"), "ts_code", "left_semi")
-    recalled = cut(scanned.groupBy("ts_code").applyInArrow(_recall_kernel(query, rules, history_only, exclude_query, latest, lengths), _CANDIDATE))
+    recalled = scanned.groupBy("ts_code").applyInArrow(_recall_kernel(query, rules, history_only, exclude_query, latest, lengths), _CANDIDATE)
+    if counters is not None:
+        recalled = recalled.observe(counters, F.count("*").alias("candidates"), *[F.count_if(F.col("paths").contains(p)).alias(f"{p}_path") for p in ("mass", "structure", "event", "state")])
+    recalled = cut(recalled)
     shortlist = cut(bounded(recalled, rules.recall_n, bool(qe.any())))
     near = frame.join(F.broadcast(shortlist.select("ts_code").distinct()), "ts_code", "left_semi")
     pairs = lambda: shortlist.select("ts_code", "start_idx", "length").groupBy("ts_code").cogroup(near.groupBy("ts_code"))
