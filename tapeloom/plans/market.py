@@ -18,7 +18,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def amount_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = ranking.amount_leaders(bars(spark, sf_dir), START, END, 100, 50)
+    best = ranking.amount_leaders(bars(spark, sf_dir), "2018-01-01", "2026-12-31", 20, 50)
     names = table(spark, sf_dir, "stock_basic_tdx").groupBy("ts_code").agg(F.min(F.trim("name")).alias("name"))
     df = best.join(checked_broadcast(names), "ts_code", "left")
     yi = [(F.floor(F.col(c) / F.lit(1e8) * F.lit(1e4) + F.lit(0.5)).cast("double") / F.lit(1e4)).alias(f"{c}_yi") for c in ("total_amount", "average_daily_amount", "max_daily_amount")]
@@ -229,8 +229,8 @@ _STRICT = """CASE WHEN right(ts_code,2)='SH' AND left(ts_code,3) IN ('688','689'
 _YI = lambda x, n: f"floor(({x})/1e8::DOUBLE*1e4::DOUBLE+0.5::DOUBLE)/1e4::DOUBLE AS {n}"
 
 ORACLE = {
-    "amount_leaders": f"""WITH {BARS_SQL}, q AS (SELECT * FROM b WHERE date BETWEEN DATE '{START}' AND DATE '{END}' AND amount >= 0), m AS (SELECT count(DISTINCT date) md FROM q),
-p AS (SELECT ts_code, count(DISTINCT date) td, sum(amount) s, avg(amount) a, max(amount) x FROM q GROUP BY 1 HAVING count(DISTINCT date) >= 100 ORDER BY a DESC, td DESC, ts_code LIMIT 50)
+    "amount_leaders": f"""WITH {BARS_SQL}, q AS (SELECT * FROM b WHERE date BETWEEN DATE '2018-01-01' AND DATE '2026-12-31' AND amount >= 0), m AS (SELECT count(DISTINCT date) md FROM q),
+p AS (SELECT ts_code, count(DISTINCT date) td, sum(amount) s, avg(amount) a, max(amount) x FROM q GROUP BY 1 HAVING count(DISTINCT date) >= 20 ORDER BY a DESC, td DESC, ts_code LIMIT 50)
 SELECT (row_number() OVER (ORDER BY a DESC, td DESC, p.ts_code))::INT AS rank, p.ts_code, n.name, td AS trading_days, md AS market_days, {q6('td/md', 'coverage')}, {_YI('s', 'total_amount_yi')}, {_YI('a', 'average_daily_amount_yi')}, {_YI('x', 'max_daily_amount_yi')}
 FROM p CROSS JOIN m LEFT JOIN (SELECT ts_code, min(trim(name)) AS name FROM stock_basic_tdx GROUP BY 1) n ON n.ts_code = p.ts_code""",
     "weekly_bars": f'WITH {BARS_SQL}, {_WEEKLY} SELECT ts_code, date, open, high, low, c AS "close", vol, bars FROM wk',
