@@ -27,7 +27,8 @@ class SpikeRules:
     neighbours, at most one bar a day. ``cut`` is the sparse threshold in units of the source's usual daily
     range, ``run`` the least length of a constant stretch and ``chance`` the expected number of stretches
     of that length by chance that is still too small to be one. ``factor_step`` is the relative deviation
-    from both neighbours that makes a factor an outlier."""
+    from both neighbours that makes a factor an outlier, and ``factor_run`` the most bars that a wrong factor
+    stands for; they lie within ``margin_days``, so every block sees the whole of them."""
 
     block_days: int = 2922
     margin_days: int = 120
@@ -36,6 +37,7 @@ class SpikeRules:
     run: int = 6
     chance: float = 0.01
     factor_step: float = 0.05
+    factor_run: int = 20
 
 
 def _shift(x: np.ndarray, by: int) -> np.ndarray:
@@ -71,6 +73,58 @@ def _stuck(x: np.ndarray, moved: np.ndarray, rules: SpikeRules) -> np.ndarray:
     return out
 
 
+def _excursions(day: np.ndarray, factor: np.ndarray, close: np.ndarray, rules: SpikeRules) -> np.ndarray:
+    """How far the bars of short excursions are from the level around them, 0 elsewhere. ``factor`` and ``close``
+    are logarithms.
+
+    An excursion lies above or below the factors on both sides, the bars at its sides carry on without it (the
+    same level, or a step that the close takes the other way), and the closes inside fit the level of a side
+    better than their own. At the ends of the series there is one side, and the step must be a large one."""
+    score = np.zeros(len(factor))
+    at = np.flatnonzero(~np.isnan(factor))
+    if len(at) < 2:
+        return score
+    f, days = factor[at], day[at]
+    c = np.where(np.isnan(close), _near(close, 1), close)[at]
+    c = np.nan_to_num(np.where(np.isnan(c), _near(close, -1)[at], c))
+    bounds = np.concatenate([[0], np.flatnonzero(np.abs(np.diff(f)) > rules.factor_step) + 1, [len(f)]])
+    last = len(bounds) - 1
+    if last < 2:
+        return score
+
+    def fits(i: int, j: int) -> bool:
+        gap = f[j] - f[i]
+        return abs(gap) <= rules.factor_step or abs(gap + c[j] - c[i]) < 0.5 * abs(gap)
+
+    def short(s: int, e: int) -> bool:
+        return e - s <= rules.factor_run and days[min(e, len(f) - 1)] - days[max(s - 1, 0)] <= rules.margin_days
+
+    k = 1
+    while k < last:
+        s, i = bounds[k], bounds[k] - 1
+        for j in range(k + 1, last):
+            e = bounds[j]
+            if not short(s, e):
+                break
+            inside, sides = f[s:e], (f[i], f[e])
+            off = np.maximum(min(sides) - inside, inside - max(sides))
+            around = bounds[k] - bounds[k - 1] + bounds[j + 1] - e
+            level = 0.5 * (f[i] + c[i] + f[e] + c[e])
+            price = c[s:e] - level
+            own, other = np.median(np.abs(inside + price)), min(np.median(np.abs(x + price)) for x in sides)
+            same_side = (inside > max(sides)).all() or (inside < min(sides)).all()
+            if same_side and off.min() > rules.factor_step and around > e - s and fits(i, e) and own > other:
+                score[at[s:e]] = off
+                k = j
+                break
+        k += 1
+    for s, e, i, j in ((0, bounds[1], bounds[1], bounds[1] - 1), (bounds[-2], len(f), bounds[-2] - 1, bounds[-2])):
+        step, move = f[j] - f[i], c[j] - c[i]
+        if short(s, e) and 2 * (e - s) < len(f) and not score[at[i]] and abs(step) > 0.2 and abs(step + move) > abs(move) + 0.15:
+            score[at[s:e]] = np.abs(f[s:e] - f[i])
+    return score
+
+
 def _log(x: np.ndarray) -> np.ndarray:
     return np.log(np.where((x > 0) & np.isfinite(x), x, np.nan))
 
@@ -99,8 +153,12 @@ def faulty_readings(day: np.ndarray, price: dict[str, np.ndarray], rules: SpikeR
         found.append((f, "stuck", bad, bad * 1.0))
         use[f] = np.where(bad, np.nan, use[f])
 
-    # Factors: far from both neighbours, and the neighbours carry on without it.
+    # Factors: runs that leave the level and return to it, then single ones far from both neighbours, which carry on
+    # without it.
     factor = _log(use["adj_factor"])
+    left = _excursions(day, factor, _log(close), rules)
+    found.append(("adj_factor", "outlier", left > 0, left))
+    factor = np.where(left > 0, np.nan, factor)
     before, after = _near(factor, 1), _near(factor, -1)
     least, most = np.fmin(before, after), np.fmax(before, after)
     off = np.fmax(least - factor, factor - most)
