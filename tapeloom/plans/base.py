@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.boards import board_of_event
-from tapeloom.operators.bars import valid_bars
+from tapeloom.operators.bars import finite, valid_bars
 from tapeloom.operators.current import current_bars, current_events
 from tapeloom.plans.problems import CURRENT_BARS_SQL, CURRENT_EVENTS_SQL
 from tapeloom.sources.tables import table
@@ -19,7 +19,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current events with a canonical board, a year and finite returns as ``ret``; ``ex`` is a return of the signal day."""
     columns = ("board", "year", "drop_bucket", "d1_direction", "drop_pct", "signal_day_pct", "ret_close_to_best_close_25", "d1_return", "return_start_date", "return_end_date")
     ev = current_events(table(spark, sf_dir, "yizi_events"), columns)
-    keep = lambda c: F.when(F.abs(F.col(c)) < 10, F.col(c))
+    keep = lambda c: F.when(finite(F.col(c)), F.col(c))
     return ev.select("ts_code", "signal_date", board_of_event("board", "ts_code").alias("board"), F.coalesce("year", F.year("signal_date")).alias("year"), "drop_bucket", "d1_direction", "drop_pct", keep("ret_close_to_best_close_25").alias("ret"), keep("d1_return").alias("ex"), "return_start_date", "return_end_date")
 
 

@@ -1,8 +1,12 @@
 """Findings of the first review: each of these tests fails where an operator does less than the whole job."""
 
-from tests.test_quality import BARS, found, walk
+import datetime as dt
+import math
+
+from tests.test_quality import BARS, D0, found, walk
 
 from tapeloom.operators.spikes import SpikeRules, implausible_readings
+from tapeloom.plans import studies
 
 
 def test_factors_wrong_for_several_bars_are_found(spark):
@@ -26,3 +30,21 @@ def test_blocks_do_not_cut_wrong_factors(spark):
     df = spark.createDataFrame(rows, BARS)
     whole, split = ({(r.date, r.field) for r in implausible_readings(df, SpikeRules(block_days=b, margin_days=60)).collect()} for b in (5000, 7))
     assert whole == split and len(whole) == 30
+
+
+EVENTS = "ts_code string, signal_date date, loaded_at timestamp, board string, year int, drop_bucket string, d1_direction string, drop_pct double, signal_day_pct double, ret_close_to_best_close_25 double, d1_return double, return_start_date date, return_end_date date"
+
+
+def event_table(spark, folder, returns):
+    """A folder with an event of 600000.SH a day, of the given returns."""
+    rows = [("600000.SH", D0 + dt.timedelta(i), dt.datetime(2024, 1, 1), "main", 2024, "a", "up", -0.05, 0.0, r, r, D0, D0) for i, r in enumerate(returns)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(f"{folder}/yizi_events.parquet")
+    return str(folder)
+
+
+def test_large_returns_are_kept(spark, tmp_path):
+    sf_dir = event_table(spark, tmp_path, [0.5, 9.0, 14.0, 57.5, -0.4, math.inf, -math.inf, math.nan, None])
+    assert [r.ret for r in studies.threshold_events(spark, sf_dir).collect()] == [57.5, 14.0, 9.0, 0.5]
+    whole = studies.event_summary(spark, sf_dir).filter("grouping = 'all'").first()
+    assert (whole.n, whole["mean"], whole.ex_mean) == (5, 16.12, 16.12)
+    assert {r.sign: (r.n, r.mean) for r in studies.regime_summary(spark, sf_dir).filter("regime = 'total'").collect()} == {"total": (5, 16.12)}
