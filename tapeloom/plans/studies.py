@@ -111,7 +111,7 @@ def copy_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     basic = table(spark, sf_dir, "stock_basic_tdx").select("ts_code", F.trim("name").alias("name"))
-    lost = audit.missing_instruments(basic, bars(spark, sf_dir).filter("date < '2020-01-01'"), {"300573.SZ": "600831.SH"})
+    lost = audit.missing_instruments(basic, bars(spark, sf_dir), {"300573.SZ": "600831.SH"})
     return lost.select("ts_code", "name", "successor_present")
 
 

@@ -48,3 +48,13 @@ def test_large_returns_are_kept(spark, tmp_path):
     whole = studies.event_summary(spark, sf_dir).filter("grouping = 'all'").first()
     assert (whole.n, whole["mean"], whole.ex_mean) == (5, 16.12, 16.12)
     assert {r.sign: (r.n, r.mean) for r in studies.regime_summary(spark, sf_dir).filter("regime = 'total'").collect()} == {"total": (5, 16.12)}
+
+
+def test_instruments_with_late_bars_are_not_missing(spark, tmp_path):
+    late = [(dt.date(y, 3, 2), c, 1.0, 1.0, 1.0, 1.0, 100, 100.0, 1.0, dt.datetime(2026, 1, 1)) for y, c in ((2019, "600000.SH"), (2020, "600831.SH"), (2026, "bj920001"))]
+    late.append((dt.date(2021, 3, 2), "600002.SH", math.nan, 1.0, 1.0, 1.0, 100, 100.0, 1.0, dt.datetime(2026, 1, 1)))
+    spark.createDataFrame(late, "date date, ts_code string, open double, high double, low double, close double, vol bigint, amount double, adj_factor double, synced_at timestamp").write.parquet(f"{tmp_path}/stock_daily.parquet")
+    named = [("600000.SH", "a"), ("600831.SH", "b"), ("920001.BJ", "c"), ("300573.SZ", " d "), ("600001.SH", "e"), ("600002.SH", "f")]
+    spark.createDataFrame(named, "ts_code string, name string").write.parquet(f"{tmp_path}/stock_basic_tdx.parquet")
+    got = {tuple(r) for r in studies.missing_instruments(spark, str(tmp_path)).collect()}
+    assert got == {("300573.SZ", "d", True), ("600001.SH", "e", False), ("600002.SH", "f", False)}
