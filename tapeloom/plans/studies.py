@@ -63,7 +63,7 @@ def regime_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def representative_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest, lowest and middle returns of each board."""
     df = stats.spread_pick(events(spark, sf_dir), ("board",), "ret", ("ts_code", "signal_date"), 5)
-    return df.filter("kind <> 'middle'").select("board", "kind", "place", "ts_code", "signal_date", r6("ret"))
+    return df.select("board", "kind", "place", "ts_code", "signal_date", r6("ret"))
 
 
 def threshold_events(spark: SparkSession, sf_dir: str) -> DataFrame:

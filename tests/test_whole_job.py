@@ -58,3 +58,10 @@ def test_instruments_with_late_bars_are_not_missing(spark, tmp_path):
     spark.createDataFrame(named, "ts_code string, name string").write.parquet(f"{tmp_path}/stock_basic_tdx.parquet")
     got = {tuple(r) for r in studies.missing_instruments(spark, str(tmp_path)).collect()}
     assert got == {("300573.SZ", "d", True), ("600001.SH", "e", False), ("600002.SH", "f", False)}
+
+
+def test_middle_returns_are_picked(spark, tmp_path):
+    sf_dir = event_table(spark, tmp_path, [-1.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.2, 3.4, None])
+    got = {(r.kind, r.place): ((r.signal_date - D0).days, r.ret) for r in studies.representative_events(spark, sf_dir).collect()}
+    assert [got["middle", k] for k in range(1, 6)] == [(5, 0.5), (6, 0.6), (4, 0.4), (7, 0.7), (3, 0.3)]
+    assert [got["high", k][0] for k in range(1, 6)] == [9, 7, 6, 5, 4] and [got["low", k][0] for k in range(1, 6)] == [0, 1, 2, 8, 3] and len(got) == 15
