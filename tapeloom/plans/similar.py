@@ -30,8 +30,8 @@ def similar_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_elastic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of three lengths by elastic warping, every eighth start scanned."""
-    return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, SearchRules(mode="elastic", step=8)))
+    """Windows of three lengths by elastic warping, every start scanned."""
+    return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, SearchRules(mode="elastic")))
 
 
 def similar_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 from tests.test_quality import BARS, D0, found, walk
 
 from tapeloom.operators.spikes import SpikeRules, implausible_readings
-from tapeloom.plans import studies
+from tapeloom.plans import similar, studies
 
 
 def test_factors_wrong_for_several_bars_are_found(spark):
@@ -65,3 +65,18 @@ def test_middle_returns_are_picked(spark, tmp_path):
     got = {(r.kind, r.place): ((r.signal_date - D0).days, r.ret) for r in studies.representative_events(spark, sf_dir).collect()}
     assert [got["middle", k] for k in range(1, 6)] == [(5, 0.5), (6, 0.6), (4, 0.4), (7, 0.7), (3, 0.3)]
     assert [got["high", k][0] for k in range(1, 6)] == [9, 7, 6, 5, 4] and [got["low", k][0] for k in range(1, 6)] == [0, 1, 2, 8, 3] and len(got) == 15
+
+
+def test_elastic_search_sees_every_start(spark, tmp_path):
+    source = walk("605999.SH", n=480, seed=11, factor_at=900)
+    shifted = [[*r[:1], dt.date(2023, 1, 2) + dt.timedelta(i), *r[2:]] for i, r in enumerate(source)]
+    first = next(i for i, r in enumerate(shifted) if str(r[1]) == similar.FIRST)
+    length = sum(similar.FIRST <= str(r[1]) <= similar.LAST for r in shifted)
+    other = [["600009.SH", shifted[i][1], *r[2:]] for i, r in enumerate(walk("600009.SH", n=480, seed=12, factor_at=900))]
+    at = 8 * 20 + 4
+    for i in range(-1, length):
+        other[at + i][2:] = shifted[first + i][2:]
+    rows = [(*r, dt.datetime(2026, 1, 1)) for r in shifted + other]
+    spark.createDataFrame(rows, BARS + ", synced_at timestamp").write.parquet(f"{tmp_path}/stock_daily.parquet")
+    best = similar.similar_elastic(spark, str(tmp_path)).orderBy("rank").first()
+    assert (best.ts_code, best.start_date, best.length, best.mass) == ("600009.SH", other[at][1], length, 0.0)
