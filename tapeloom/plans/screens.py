@@ -13,23 +13,23 @@ AND CLOSE>MA(CLOSE,10); XG:B AND ABS(CLOSE/REF(A,1)-1)<0.03 AND BARSCOUNT(CLOSE)
 
 def screen_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which the 5-bar mean crosses the 20-bar mean upward on growing volume."""
-    return screen(bars(spark, sf_dir), CROSS, "2020-01-01", "2026-06-30")
+    return screen(bars(spark, sf_dir), CROSS)
 
 
 def screen_pullback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen(bars(spark, sf_dir), PULLBACK, "2020-01-01")
+    return screen(bars(spark, sf_dir), PULLBACK)
 
 
 def screen_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with their forward returns, latest first."""
     b = bars(spark, sf_dir)
-    df = forward_closes(screen(b, CROSS, "2020-01-01", "2026-06-30"), b)
+    df = forward_closes(screen(b, CROSS), b)
     return df.orderBy(F.col("date").desc(), "ts_code").select("ts_code", "date", *[r6(f"ret_{h}") for h in (1, 3, 5, 10, 20)])
 
 
 def screen_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
-    return horizon_summary(forward_closes(screen(b, CROSS, "2020-01-01", "2026-06-30"), b)).select("horizon", "samples", r6("average"))
+    return horizon_summary(forward_closes(screen(b, CROSS), b)).select("horizon", "samples", r6("average"))
 
 
 QUERIES = {f.__name__: f for f in (screen_cross, screen_pullback, screen_returns, screen_summary)}

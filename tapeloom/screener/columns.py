@@ -92,15 +92,19 @@ def evaluate(bars: DataFrame, formula: str) -> DataFrame:
     return df.withColumn("value", F.col(value).cast("double")).drop(*known.values(), *[f"_f{k}" for k in range(len(statements))])
 
 
-def screen(bars: DataFrame, formula: str, start: str, end: str | None = None) -> DataFrame:
-    """Hits (ts_code, date, value) from ``start`` to ``end``: the value is neither missing nor 0 nor infinite.
+def screen(bars: DataFrame, formula: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Hits (ts_code, date, value) from ``start`` to ``end``, without limits over the whole span: the value is
+    neither missing nor 0 nor infinite.
 
     Bars before ``start`` warm the windows up and are filtered after them; bars behind ``end`` are not read.
     """
     if end is not None:
         bars = bars.filter(F.col("date") <= F.lit(end).cast("date"))
     v = F.col("value")
-    hits = evaluate(bars, formula).filter((F.col("date") >= F.lit(start).cast("date")) & v.isNotNull() & ~F.isnan(v) & (v != 0) & (F.abs(v) != float("inf")))
+    hits = evaluate(bars, formula)
+    if start is not None:
+        hits = hits.filter(F.col("date") >= F.lit(start).cast("date"))
+    hits = hits.filter(v.isNotNull() & ~F.isnan(v) & (v != 0) & (F.abs(v) != float("inf")))
     return hits.select("ts_code", "date", "value")
 
 

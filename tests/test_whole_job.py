@@ -6,7 +6,7 @@ import math
 from tests.test_quality import BARS, D0, found, walk
 
 from tapeloom.operators.spikes import SpikeRules, implausible_readings
-from tapeloom.plans import similar, studies
+from tapeloom.plans import screens, similar, studies
 
 
 def test_factors_wrong_for_several_bars_are_found(spark):
@@ -80,3 +80,16 @@ def test_elastic_search_sees_every_start(spark, tmp_path):
     spark.createDataFrame(rows, BARS + ", synced_at timestamp").write.parquet(f"{tmp_path}/stock_daily.parquet")
     best = similar.similar_elastic(spark, str(tmp_path)).orderBy("rank").first()
     assert (best.ts_code, best.start_date, best.length, best.mass) == ("600009.SH", other[at][1], length, 0.0)
+
+
+def test_screens_see_the_whole_span(spark, tmp_path):
+    rows = []
+    for code, start in (("600004.SH", dt.date(2018, 1, 2)), ("600005.SH", dt.date(2026, 5, 1))):
+        rows += [(code, start + dt.timedelta(i), *r[2:], dt.datetime(2026, 10, 1)) for i, r in enumerate(walk(code, n=150, seed=21, factor_at=900))]
+    spark.createDataFrame(rows, BARS + ", synced_at timestamp").write.parquet(f"{tmp_path}/stock_daily.parquet")
+    for query in (screens.screen_cross, screens.screen_pullback, screens.screen_returns):
+        hits = query(spark, str(tmp_path)).select("ts_code", "date").collect()
+        days = [{(r.date - start).days for r in hits if r.ts_code == code} for code, start in (("600004.SH", dt.date(2018, 1, 2)), ("600005.SH", dt.date(2026, 5, 1)))]
+        assert days[0] == days[1] and max(days[0]) > 61
+        if query is screens.screen_returns:
+            assert screens.screen_summary(spark, str(tmp_path)).filter("horizon = 1").first().samples == len(hits)
