@@ -60,4 +60,4 @@ e AS (SELECT ts_code, signal_date, coalesce(CASE WHEN lower(replace(board,' ',''
   WHEN lower(replace(board,' ','')) IN ('科创板','科創板','star','starmarket') THEN 'star' WHEN lower(replace(board,' ','')) IN ('北交所','bse','beijing') THEN 'bse' END,
   CASE WHEN left(ts_code,2) IN ('60','00') THEN 'main' WHEN left(ts_code,2)='30' THEN 'chinext' WHEN left(ts_code,2)='68' THEN 'star' WHEN left(ts_code,2)='92' THEN 'bse' ELSE 'other' END) AS board,
  coalesce(year, date_part('year', signal_date)::INT) AS year, drop_bucket, d1_direction, CASE WHEN NOT isnan(drop_pct) THEN drop_pct END AS drop_pct,
- CASE WHEN abs(ret_close_to_best_close_25) < 10 THEN ret_close_to_best_close_25 END AS ret, CASE WHEN NOT isnan(d1_return) AND abs(d1_return) < 10 THEN d1_return END AS ex, return_start_date, return_end_date FROM ev)"""
+ CASE WHEN isfinite(ret_close_to_best_close_25) THEN ret_close_to_best_close_25 END AS ret, CASE WHEN isfinite(d1_return) THEN d1_return END AS ex, return_start_date, return_end_date FROM ev)"""

@@ -182,8 +182,9 @@ SELECT "column", "value", count(*) AS n FROM u GROUP BY 1, 2""",
     "event_buckets": f"WITH {EVENTS_SQL} SELECT CASE WHEN drop_pct <= -0.07::DOUBLE THEN 'steep' WHEN drop_pct <= -0.03::DOUBLE THEN 'medium' WHEN drop_pct IS NOT NULL THEN 'mild' END AS bucket, count(*) AS n, {q6('avg(ret)', 'mean')} FROM e GROUP BY 1",
     "regime_summary": f"WITH {EVENTS_SQL}, {_REGIME} SELECT coalesce(regime, 'total') AS regime, coalesce(sign, 'total') AS sign, count(*) AS n, {q6('avg(ret)', 'mean')}, {q6('median(ret)', 'median')} FROM g GROUP BY ROLLUP (regime, sign)",
     "regime_pivot": f"WITH {EVENTS_SQL}, {_REGIME} SELECT regime, sum((sign='gain')::INT)::BIGINT AS gain, sum((sign='loss')::INT)::BIGINT AS loss, sum((sign='flat')::INT)::BIGINT AS flat FROM g GROUP BY 1",
-    "representative_events": f"""WITH {EVENTS_SQL}, h AS (SELECT board, 'high' AS kind, row_number() OVER (PARTITION BY board ORDER BY ret DESC, ts_code, signal_date) AS place, ts_code, signal_date, ret FROM e WHERE ret IS NOT NULL
-UNION ALL SELECT board, 'low', row_number() OVER (PARTITION BY board ORDER BY ret, ts_code, signal_date), ts_code, signal_date, ret FROM e WHERE ret IS NOT NULL) SELECT board, kind, place::INT AS place, ts_code, signal_date, {q6('ret')} FROM h WHERE place <= 5""",
+    "representative_events": f"""WITH {EVENTS_SQL}, k AS (SELECT board, ts_code, signal_date, ret, avg(ret) OVER (PARTITION BY board) AS m FROM e WHERE ret IS NOT NULL), h AS (SELECT board, 'high' AS kind, row_number() OVER (PARTITION BY board ORDER BY ret DESC, ts_code, signal_date) AS place, ts_code, signal_date, ret FROM k
+UNION ALL SELECT board, 'low', row_number() OVER (PARTITION BY board ORDER BY ret, ts_code, signal_date), ts_code, signal_date, ret FROM k
+UNION ALL SELECT board, 'middle', row_number() OVER (PARTITION BY board ORDER BY abs(ret - m), ts_code, signal_date), ts_code, signal_date, ret FROM k) SELECT board, kind, place::INT AS place, ts_code, signal_date, {q6('ret')} FROM h WHERE place <= 5""",
     "threshold_events": f"WITH {EVENTS_SQL} SELECT ts_code, signal_date, {q6('ret')} FROM e WHERE ret > 0.3::DOUBLE",
     "event_page": f"WITH {EVENTS_SQL} SELECT ts_code, signal_date FROM e ORDER BY signal_date DESC, ts_code LIMIT 200 OFFSET 200",
     "invalid_rows": f"""SELECT count(*) AS rows, sum((NOT ({_EVERY}))::INT)::BIGINT AS nonfinite_price, sum((({' OR '.join(f'({_NUM(p)} AND "{p}" <= 0)' for p in B.PRICES)}))::INT)::BIGINT AS nonpositive_price,
@@ -201,7 +202,7 @@ SELECT count(*) AS instruments, sum(p.n)::BIGINT AS bars, sum(ms)::BIGINT AS mis
     "yearly_coverage": f"WITH {BARS_SQL}, d AS (SELECT date, count(*) n FROM b GROUP BY 1) SELECT date_part('year', date)::INT AS year, count(*) AS days, sum(n)::BIGINT AS bars, arg_min(n, date) AS first_day_instruments, arg_max(n, date) AS last_day_instruments FROM d GROUP BY 1",
     "copy_inventory": f"""WITH a AS (SELECT {_CODE} AS ts_code, count(*) n FROM stock_daily WHERE ts_code IS NOT NULL GROUP BY 1), z AS (SELECT {_CODE} AS ts_code, count(*) n FROM stock_daily_qfq WHERE ts_code IS NOT NULL GROUP BY 1)
 SELECT coalesce(a.ts_code, z.ts_code) AS ts_code, a.n AS left_rows, z.n AS right_rows, CASE WHEN a.n IS NULL THEN 'right_only' WHEN z.n IS NULL THEN 'left_only' ELSE 'both' END AS "where" FROM a FULL JOIN z ON a.ts_code = z.ts_code""",
-    "missing_instruments": f"""WITH {BARS_SQL}, k AS (SELECT DISTINCT ts_code FROM b WHERE date < DATE '2020-01-01') SELECT ts_code, trim(name) AS name, (ts_code = '300573.SZ' AND EXISTS (SELECT 1 FROM k WHERE ts_code = '600831.SH')) AS successor_present
+    "missing_instruments": f"""WITH {BARS_SQL}, k AS (SELECT DISTINCT ts_code FROM b) SELECT ts_code, trim(name) AS name, (ts_code = '300573.SZ' AND EXISTS (SELECT 1 FROM k WHERE ts_code = '600831.SH')) AS successor_present
 FROM stock_basic_tdx WHERE ts_code NOT IN (SELECT ts_code FROM k)""",
     "adjusted_reconciliation": f"""WITH {BARS_SQL}, z AS (SELECT *, last_value(f) OVER (PARTITION BY ts_code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) lf FROM b), r4 AS (SELECT ts_code, date, round_even(open*f/lf*1e4::DOUBLE,0)/1e4::DOUBLE o, round_even(high*f/lf*1e4::DOUBLE,0)/1e4::DOUBLE h,
  round_even(low*f/lf*1e4::DOUBLE,0)/1e4::DOUBLE lo, round_even(c*f/lf*1e4::DOUBLE,0)/1e4::DOUBLE cl FROM z),
