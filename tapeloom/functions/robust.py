@@ -24,25 +24,26 @@ def rolling_median(x: np.ndarray, half: int) -> np.ndarray:
     return row_median(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1))
 
 
-def robust_components(m: np.ndarray, rank: int, cut: np.ndarray, iterations: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def robust_components(m: np.ndarray, rank: int, cut: np.ndarray, iterations: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Robust principal components: ``m`` as a low-rank part plus a sparse one, by alternating projections.
 
-    ``m`` has a row per observation and no NaNs; an entry belongs to the sparse part as long as it is more
-    than its column's ``cut`` away from the low-rank part. Each step fits the ``rank`` leading components
-    to what the sparse part leaves, through the small Gram matrix of the columns, and thresholds what
-    remains; it ends when the sparse support no longer changes.
+    ``m`` has a row per observation; NaN is an entry that was not observed. An entry belongs to the sparse part
+    as long as it is more than its column's ``cut`` away from the low-rank part. Each step fits the ``rank``
+    leading components to what the sparse part leaves, through the small Gram matrix of the columns, and
+    thresholds what remains; entries not observed, and those in the sparse part, are filled from the low-rank
+    part of the step before. It ends when the sparse support no longer changes.
     """
-    sparse = np.where(np.abs(m) > cut, m, 0.0)
-    low = np.zeros_like(m)
+    lost = np.isnan(m)
+    low, support = np.zeros_like(m), np.abs(m) > cut
+    rest = np.where(lost, 0.0, m)
     for _ in range(iterations):
-        clean = m - sparse
+        clean = np.where(lost | support, low, m)
         _, axes = np.linalg.eigh(clean.T @ clean)
         axes = axes[:, -rank:]
         low = (clean @ axes) @ axes.T
-        rest = m - low
-        fresh = np.where(np.abs(rest) > cut, rest, 0.0)
-        if np.array_equal(fresh != 0, sparse != 0):
-            sparse = fresh
+        rest = np.where(lost, 0.0, m - low)
+        fresh = np.abs(rest) > cut
+        if np.array_equal(fresh, support):
             break
-        sparse = fresh
-    return low, sparse
+        support = fresh
+    return low, np.where(support, rest, 0.0)

@@ -1,9 +1,10 @@
 """Implausible readings of a source, relative to that source's own normal behaviour.
 
-Per source, the daily profiles (a day's readings beside the close, the neighbouring days' prices and the
-day's average price, as logarithms around the day's centre) form a matrix. Robust principal components
-separate its low-rank part, the normal behaviour, from a sparse one, the spikes. Constant runs and
-impossible ranges are tested separately.
+Per source, the daily profiles (a day's readings beside the close, the day's average price, the neighbouring
+days' prices, and the step of the factor, as logarithms around the day's centre and in units of the usual
+daily range) form a matrix. Robust principal components separate its low-rank part, the normal behaviour, from
+a sparse one. A spike of any field is an entry of the sparse part; the check behind it only says which of the
+day's readings it is. Constant runs and impossible values are tested separately.
 """
 
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ FOUND = pa.schema([("ts_code", pa.string()), ("date", pa.date32()), ("field", pa
 class SpikeRules:
     """``block_days`` and ``margin_days`` bound what one task sees of a source: its bars of a block and their
     neighbours, at most one bar a day. ``cut`` is the sparse threshold in units of the source's usual daily
-    range, ``run`` the least length of a constant stretch and ``chance`` the expected number of stretches
+    range, ``night`` times that for the prices of the neighbouring days, ``run`` the least length of a constant stretch and ``chance`` the expected number of stretches
     of that length by chance that is still too small to be one. ``factor_step`` is the relative deviation
     from both neighbours that makes a factor an outlier, and ``factor_run`` the most bars that a wrong factor
     stands for; they lie within ``margin_days``, so every block sees the whole of them."""
@@ -33,7 +34,8 @@ class SpikeRules:
     block_days: int = 2922
     margin_days: int = 120
     rank: int = 2
-    cut: float = 2.6
+    cut: float = 2.2
+    night: float = 2.0
     run: int = 6
     chance: float = 0.01
     factor_step: float = 0.05
@@ -73,9 +75,9 @@ def _stuck(x: np.ndarray, moved: np.ndarray, rules: SpikeRules) -> np.ndarray:
     return out
 
 
-def _excursions(day: np.ndarray, factor: np.ndarray, close: np.ndarray, rules: SpikeRules) -> np.ndarray:
+def _excursions(day: np.ndarray, factor: np.ndarray, close: np.ndarray, steps: np.ndarray, rules: SpikeRules) -> np.ndarray:
     """How far the bars of short excursions are from the level around them, 0 elsewhere. ``factor`` and ``close``
-    are logarithms.
+    are logarithms, ``steps`` marks the bars at which the factor leaves the level before in the sparse part.
 
     An excursion lies above or below the factors on both sides, the bars at its sides carry on without it (the
     same level, or a step that the close takes the other way), and the closes inside fit the level of a side
@@ -87,7 +89,7 @@ def _excursions(day: np.ndarray, factor: np.ndarray, close: np.ndarray, rules: S
     f, days = factor[at], day[at]
     c = np.where(np.isnan(close), _near(close, 1), close)[at]
     c = np.nan_to_num(np.where(np.isnan(c), _near(close, -1)[at], c))
-    bounds = np.concatenate([[0], np.flatnonzero(np.abs(np.diff(f)) > rules.factor_step) + 1, [len(f)]])
+    bounds = np.concatenate([[0], np.flatnonzero(steps[at][1:]) + 1, [len(f)]])
     last = len(bounds) - 1
     if last < 2:
         return score
@@ -113,7 +115,7 @@ def _excursions(day: np.ndarray, factor: np.ndarray, close: np.ndarray, rules: S
             price = c[s:e] - level
             own, other = np.median(np.abs(inside + price)), min(np.median(np.abs(x + price)) for x in sides)
             same_side = (inside > max(sides)).all() or (inside < min(sides)).all()
-            if same_side and off.min() > rules.factor_step and around > e - s and fits(i, e) and own > other:
+            if same_side and off.min() > rules.factor_step and (around > e - s or e - s == 1) and fits(i, e) and own > other:
                 score[at[s:e]] = off
                 k = j
                 break
@@ -153,46 +155,35 @@ def faulty_readings(day: np.ndarray, price: dict[str, np.ndarray], rules: SpikeR
         found.append((f, "stuck", bad, bad * 1.0))
         use[f] = np.where(bad, np.nan, use[f])
 
-    # Factors: runs that leave the level and return to it, then single ones far from both neighbours, which carry on
-    # without it.
+    # Daily profiles: logarithms around the day's centre in units of the usual daily range. The prices of the
+    # neighbouring days are carried to this day's factor; the last column is the factor's own step.
     factor = _log(use["adj_factor"])
-    left = _excursions(day, factor, _log(close), rules)
-    found.append(("adj_factor", "outlier", left > 0, left))
-    factor = np.where(left > 0, np.nan, factor)
-    before, after = _near(factor, 1), _near(factor, -1)
-    least, most = np.fmin(before, after), np.fmax(before, after)
-    off = np.fmax(least - factor, factor - most)
-    both = ~np.isnan(before) & ~np.isnan(after)
-    base = rolling_median(factor, 2)
-    away = np.abs(factor - base)
-    bad = both & (off > rules.factor_step) & (away > rules.factor_step)
-    raw_move = _log(close) - _near(_log(close), 1)
-    edge = ~both & ~(np.isnan(before) & np.isnan(after)) & (np.abs(factor - np.where(np.isnan(before), after, before)) > 0.2)
-    step = factor - before
-    bad |= edge & ~np.isnan(before) & (np.abs(step + raw_move) > np.abs(raw_move) + 0.15)
-    ahead = _near(_log(close), -1) - _log(close)
-    bad |= edge & np.isnan(before) & (np.abs((after - factor) + ahead) > np.abs(ahead) + 0.15)
-    found.append(("adj_factor", "outlier", bad, np.where(bad, np.abs(factor - base), 0.0)))
-    factor = np.where(bad | np.isnan(factor), rolling_median(np.where(bad, np.nan, factor), 2), factor)
-    factor = np.where(np.isnan(factor), np.fmax(_near(factor, 1), _near(factor, -1)), factor)
-    factor = np.nan_to_num(factor)
-
-    # Daily profiles: logarithms of adjusted prices around the day's centre.
     o, h, lo, c = (_log(x) for x in (use["open"], use["high"], use["low"], close))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        mean = _log(np.where(traded & (raw["vol"] > 0), raw["amount"] / raw["vol"], np.nan))
-    before, after = _near(c + factor, 1) - factor, _near(o + factor, -1) - factor
-    profile = np.stack([o, h, lo, c, mean, before, after], axis=1)
+    mean = _log(np.where(traded & (raw["vol"] > 0), raw["amount"] / raw["vol"], np.nan))
     day_range = np.where(traded & ~flat & (h > lo), h - lo, np.nan)
     usual = spread(day_range, 1e-3) / 1.4826
     local = rolling_median(day_range, 30)
     scale = np.maximum(np.where(np.isnan(local), usual, np.maximum(local, 0.5 * usual)), 1e-3)
-    centre = row_median(profile)
-    m = (profile - centre[:, None]) / scale[:, None]
-    m[np.isnan(m)] = 0.0
-    cut = np.full(m.shape[1], rules.cut)
-    cut[5:] = 4.0 * rules.cut  # gaps between days are no faults of this day's readings
-    low_rank, sparse = robust_components(m, rules.rank, cut)
+    cut = rules.cut * np.array([1.0, 1.0, 1.0, 1.0, 1.0, rules.night, rules.night, 1.0])
+
+    def separate(level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        before, after = _near(c + level, 1) - level, _near(o + level, -1) - level
+        bar = np.stack([o, h, lo, c, mean], axis=1)
+        centre = row_median(np.where(np.isnan(bar).all(axis=1)[:, None], np.stack([before, after, before, after, before], axis=1), bar))
+        steady = np.stack([o, c, mean, before, after], axis=1)
+        size = np.fmax(scale, 2.0 * row_median(np.abs(steady - row_median(steady)[:, None])))
+        profile = np.concatenate([bar - centre[:, None], np.stack([before - centre, after - centre, level - _near(level, 1)], axis=1)], axis=1) / size[:, None]
+        return profile, *robust_components(profile, rules.rank, cut), before, after
+
+    # Factors: a step of the sparse part that the prices don't take is the edge of an excursion if the factor
+    # returns from it. A genuine step leaves the price before, carried to its factor, where the low-rank part has it.
+    _, _, sparse, _, _ = separate(factor)
+    unexplained = (sparse[:, 7] != 0) & (np.sign(sparse[:, 5]) == -np.sign(sparse[:, 7]))
+    left = _excursions(day, factor, _log(close), unexplained, rules)
+    found.append(("adj_factor", "spike", left > 0, left))
+    level = np.where(left > 0, np.nan, factor)
+    level = np.where(np.isnan(level), np.where(np.isnan(_near(level, 1)), _near(level, -1), _near(level, 1)), level)
+    m, low_rank, sparse, before, after = separate(np.nan_to_num(level))
 
     # High and low exchanged: both readings are wrong.
     top, floor = np.fmax(o, c), np.fmin(o, c)
@@ -201,20 +192,19 @@ def faulty_readings(day: np.ndarray, price: dict[str, np.ndarray], rules: SpikeR
         found.append((f, "swapped", swapped, np.where(swapped, np.abs(m[:, j]), 0.0)))
     h, lo = np.where(swapped, lo, h), np.where(swapped, h, lo)
 
-    # A sparse entry is a spike if it stands out from the bar's other prices. An open that is missing or outside
-    # the bar says nothing, so the neighbouring days' prices stand in for it.
-    doubtful = np.isnan(o) | (o > h + 1e-9) | (o < lo - 1e-9)
-    top = np.where(doubtful, np.fmax(np.fmax(c, before), after), top)
-    floor = np.where(doubtful, np.fmin(np.fmin(c, before), after), floor)
-    least_over = np.where(doubtful, 2.0 * rules.cut, rules.cut)
-    for j, f, x in ((1, "high", h), (2, "low", lo)):
-        over = (x - top if f == "high" else floor - x) / scale
-        bad = traded & ~swapped & (np.abs(sparse[:, j]) > 0) & (over > least_over)
-        found.append((f, "spike", bad, np.where(bad, over, 0.0)))
-        if f == "high":
-            h = np.where(bad, np.nan, h)
-        else:
-            lo = np.where(bad, np.nan, lo)
+    # Sparse entries of the readings: the reading itself is off if it lies on that side of all other prices of the bar.
+    over = {"open": (o, 0, np.fmax(np.fmax(h, lo), c), np.fmin(np.fmin(h, lo), c)), "high": (h, 1, np.fmax(np.fmax(o, lo), c), None), "low": (lo, 2, None, np.fmin(np.fmin(o, h), c))}
+    kept = {"open": o, "high": h, "low": lo}
+    for f, (x, j, upper, lower) in over.items():
+        beyond = np.zeros(n, bool)
+        if upper is not None:
+            beyond |= (sparse[:, j] > 0) & (x > upper + 1e-9)
+        if lower is not None:
+            beyond |= (sparse[:, j] < 0) & (x < lower - 1e-9)
+        bad = traded & ~swapped & beyond
+        found.append((f, "spike", bad, np.where(bad, np.abs(sparse[:, j]), 0.0)))
+        kept[f] = np.where(bad, np.nan, x)
+    o, h, lo = kept["open"], kept["high"], kept["low"]
 
     # Impossible beside the others: the one reading without which the bar is consistent; of two such, the
     # one further from the low-rank profile.
