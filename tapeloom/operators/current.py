@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.codes import as_number, canonical_code
@@ -10,6 +10,17 @@ from tapeloom.functions.codes import as_number, canonical_code
 BAR_VALUES = ("open", "high", "low", "close", "vol", "amount", "adj_factor")
 
 
+def micros(at: Column, kind: str) -> Column:
+    """Microseconds of a timestamp, with a zone or without one, since 1970 on its own clock."""
+    if kind == "timestamp":
+        return F.unix_micros(at)
+    day = F.unix_date(at.cast("date")).cast("long")
+    if kind == "date":
+        return day * F.lit(86_400_000_000)
+    second = (F.extract(F.lit("SECOND"), at) * F.lit(1_000_000)).cast("long")
+    return ((day * F.lit(24) + F.hour(at)) * F.lit(60) + F.minute(at)) * F.lit(60_000_000) + second
+
+
 def current_rows(df: DataFrame, keys: Sequence[str], version: str, columns: Sequence[str]) -> DataFrame:
     """One row per key: ``columns`` of the row with the greatest ``version`` (a timestamp or date).
 
