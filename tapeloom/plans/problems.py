@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators.diff import bar_differences
-from tapeloom.operators.grid import session_closes
+from tapeloom.operators.grid import held_out_closes, session_closes, weekly_closes
 from tapeloom.operators.spikes import faulty_bar_readings
 from tapeloom.sources.tables import table
 
@@ -46,7 +46,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole regular series, with filled sessions marked."""
     grid = session_closes(table(spark, sf_dir, "stock_daily"), table(spark, sf_dir, "trade_calendar"))
-    return grid.select(F.col("source").alias("ts_code"), _day("period"), F.col("value").alias("close"), "is_filled", "filled_value")
+    return grid.select(F.col("source").alias("ts_code"), _day("period"), F.col("value").alias("close"), "is_filled", "filled_value", "line_value", "rounds", "converged")
 
 
 def p5_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,21 @@ def p5_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_series(spark, sf_dir).select("ts_code", "trade_day", "close", "is_filled")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cells, p2_found, p2_readings, p5_found, p5_series, p5_marked)}
+def p5_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closes put into weeks, with the weeks without any marked."""
+    grid = weekly_closes(table(spark, sf_dir, "stock_daily"))
+    return grid.select(F.col("source").alias("ts_code"), _day("period"), F.col("value").alias("close"), "is_filled")
+
+
+def p5_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors, in logarithms, of the imputation and of the straight line on one close in twenty, hidden before."""
+    hidden = held_out_closes(table(spark, sf_dir, "stock_daily"), table(spark, sf_dir, "trade_calendar"))
+    off = {name: F.abs(F.ln(c) - F.ln("value")) for name, c in (("imputed", "filled_value"), ("line", "line_value"))}
+    errors = [f(x).alias(f"{name}_{of}") for name, x in off.items() for of, f in (("median", F.median), ("mean", F.avg), ("rms", lambda e: F.sqrt(F.avg(e * e))))]
+    return hidden.agg(F.count("*").alias("hidden"), *errors, F.count_if(~F.col("converged")).alias("not_converged"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_cells, p2_found, p2_readings, p5_found, p5_series, p5_marked, p5_weekly, p5_holdout)}
 
 _CODE = """CASE WHEN regexp_matches(upper(trim(ts_code)), '^[0-9]{6}[.]?[A-Z]{2}$') THEN substr(upper(trim(ts_code)), 1, 6) || '.' || right(upper(trim(ts_code)), 2)
  ELSE right(upper(trim(ts_code)), 6) || '.' || left(upper(trim(ts_code)), 2) END"""
@@ -94,6 +108,9 @@ ORACLE = {
     "p1_cells": f"{_DIFF} SELECT ts_code, trade_day, diff_kind, floor(a * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS left_value, floor(b * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS right_value FROM d",
     "p5_marked": f"""WITH {CURRENT_BARS_SQL}, {_GRID}
 SELECT f.ts_code, strftime(cal_date, '%Y-%m-%d') AS trade_day, b."close" AS "close", b."close" IS NULL AS is_filled FROM f JOIN s ON s.x = f.x AND cal_date BETWEEN a AND z LEFT JOIN b ON b.ts_code = f.ts_code AND b.date = cal_date""",
+    "p5_weekly": f"""WITH {CURRENT_BARS_SQL}, w AS (SELECT ts_code, date_trunc('week', date)::DATE AS k, arg_max("close", date) AS c FROM cur WHERE "close" IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT ts_code, unnest(generate_series(min(k), max(k), INTERVAL 7 DAYS))::DATE AS k FROM w GROUP BY 1)
+SELECT g.ts_code, strftime(g.k, '%Y-%m-%d') AS trade_day, w.c AS "close", w.c IS NULL AS is_filled FROM g LEFT JOIN w ON w.ts_code = g.ts_code AND w.k = g.k""",
     "p5_found": f"""WITH {CURRENT_BARS_SQL}, {_GRID}
 SELECT f.ts_code, strftime(cal_date, '%Y-%m-%d') AS trade_day FROM f JOIN s ON s.x = f.x AND cal_date BETWEEN a AND z
 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.ts_code = f.ts_code AND b.date = cal_date)""",

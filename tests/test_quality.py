@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.codes import canonical_code
 from tapeloom.operators.current import current_bars, current_rows
 from tapeloom.operators.diff import Tolerance, diff_copies
-from tapeloom.operators.grid import Imputation, regular_grid, singular_spectrum_fill
+from tapeloom.operators.grid import Imputation, bucketed, chosen_pair, regular_grid, singular_spectrum_fill
 from tapeloom.operators.spikes import SpikeRules, implausible_readings
 
 NAN = float("nan")
@@ -169,15 +169,58 @@ def test_grid_blocks_mark_the_same(spark):
     assert len(one) == (rows[-1][2] - rows[0][2]).days + 1
 
 
-def test_imputation_recovers_a_periodic_series():
-    t = np.arange(300.0)
+def wave(n=300):
+    t = np.arange(float(n))
     truth = 5 + np.sin(t / 6) + 0.5 * np.cos(t / 11)
-    lost = np.random.default_rng(2).random(300) < 0.2
+    lost = np.random.default_rng(2).random(n) < 0.2
     lost[[0, -1]] = False
-    guess = np.where(lost, np.interp(t, t[~lost], truth[~lost]), truth)
-    got, rounds = singular_spectrum_fill(guess.copy(), lost, Imputation(rank=5, embed=30, tolerance=1e-6, iterations=500))
-    assert np.array_equal(got[~lost], truth[~lost]) or np.allclose(got[~lost], truth[~lost])
-    assert np.abs(got - truth)[lost].max() < 0.3 * np.abs(guess - truth)[lost].max() and rounds > 1
+    return t, truth, lost, np.where(lost, np.interp(t, t[~lost], truth[~lost]), truth)
+
+
+def test_imputation_recovers_a_periodic_series_with_the_defaults():
+    _, truth, lost, guess = wave()
+    pair = chosen_pair(guess, lost, Imputation())
+    got, rounds, converged = singular_spectrum_fill(guess.copy(), lost, *pair)
+    assert pair == (24, 5) and converged and rounds > 1 and np.allclose(got[~lost], truth[~lost])
+    assert np.abs(got - truth)[lost].max() < 0.3 * np.abs(guess - truth)[lost].max()
+
+
+def test_imputation_equals_plain_iteration():
+    _, _, lost, guess = wave(80)
+    y = guess - guess[~lost].mean()
+    for _ in range(20_000):
+        path = np.lib.stride_tricks.sliding_window_view(y, 6).T
+        u, s, vt = np.linalg.svd(path, full_matrices=False)
+        low = (u[:, :3] * s[:3]) @ vt[:3]
+        total, count = np.zeros(80), np.zeros(80)
+        for j in range(6):
+            total[j : j + 75] += low[j]
+            count[j : j + 75] += 1
+        fresh = (total / count)[lost]
+        done = np.abs(fresh - y[lost]).max() < 1e-12
+        y[lost] = fresh
+        if done:
+            break
+    got, _, converged = singular_spectrum_fill(guess.copy(), lost, 6, 3, 1e-10, 500)
+    assert converged and np.allclose(got, y + guess[~lost].mean(), atol=1e-5)
+    assert not singular_spectrum_fill(guess.copy(), lost, 6, 3, 1e-10, 1)[2]
+
+
+def test_irregular_times_are_put_into_their_slots(spark):
+    at = dt.datetime
+    rows = [("a", at(2024, 1, 1, 9), 1.0), ("a", at(2024, 1, 1, 17, 30), 2.0), ("a", at(2024, 1, 1, 23, 59), None), ("a", at(2024, 1, 4, 0, 1), 4.0), ("a", at(2024, 1, 5, 3), NAN), ("b", at(2024, 1, 2, 5), 7.0), (None, None, 1.0)]
+    readings = bucketed(spark.createDataFrame([(s, "Y", t, v, 9) for s, t, v in rows], "source string, calendar string, time timestamp, value double, period int"), F.to_date("time"))
+    slots = spark.createDataFrame([("Y", day(i)) for i in range(10)], "calendar string, period date")
+    got = {(r.source, (r.period - D0).days): r for r in regular_grid(readings, slots).collect()}
+    assert {k: r.value for k, r in got.items()} == {("a", 0): 2.0, ("a", 1): None, ("a", 2): None, ("a", 3): 4.0, ("b", 1): 7.0}
+    assert got["a", 1].converged and got["a", 1].line_value == pytest.approx(2 * 2 ** (1 / 3))
+
+
+def test_gaps_wider_than_blocks(spark):
+    rows = [("a", "Y", day(i), 1.0 + i) for i in (0, 1, 390, 399)]
+    got = grid(spark, rows, 400, Imputation(block=16, margin=4))
+    assert len(got) == 400 and sum(r.is_filled for r in got.values()) == 396
+    assert all(1 < got["a", i].filled_value < 400 for i in range(2, 390))
 
 
 def test_current_bars_normalise(spark):
