@@ -1,6 +1,7 @@
 """Queries over this subpackage's operators and their DuckDB counterparts."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions.boards import board_of_event
@@ -10,6 +11,7 @@ from tapeloom.llm.packing import Packing, pack_items
 from tapeloom.llm.reading import reading_levels
 from tapeloom.llm.topn import top_n
 from tapeloom.operators.current import current_bars, current_events
+from tapeloom.operators.lineage import cut
 from tapeloom.plans.base import EVENTS_SQL
 from tapeloom.plans.problems import CURRENT_BARS_SQL, CURRENT_EVENTS_SQL
 from tapeloom.sources.tables import table
@@ -56,10 +58,46 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers, tokens and unused share by the tier of the container's longest part."""
+    """Windows by tier, loose items of the shortest tier, and containers, with their tokens, parts and unused share."""
+    rules = Packing()
     packed = p7_containers(spark, sf_dir).filter("container_id is not null")
-    each = packed.groupBy("container_tier", "container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("parts"))
-    return each.groupBy("container_tier").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("parts").alias("parts"), (1.0 - F.sum("used") / (F.count("*") * 2048.0)).alias("unused_share"))
+    windows = packed.groupBy("container_id", "window", F.col("window_tier").alias("size")).agg(F.sum("n_tokens").alias("used"), F.count("*").alias("parts"))
+    loose = ~F.col("size").isin(*rules.tiers, rules.capacity)
+    own = F.struct(F.when(loose, "loose").otherwise("window").alias("kind"), F.when(~loose, F.col("size")).alias("size"))
+    both = F.array(own, F.struct(F.lit("container").alias("kind"), F.lit(rules.capacity).alias("size")))
+    each = windows.select("container_id", "window", "used", "parts", F.inline(both)).groupBy("kind", "size").agg(F.countDistinct("container_id").alias("containers"), F.count("*").alias("windows"), F.sum("used").alias("tokens"), F.sum("parts").alias("parts"))
+    places = F.when(F.col("kind") == "container", F.col("containers")).otherwise(F.col("windows"))
+    return each.withColumn("unused_share", 1.0 - F.col("tokens") / (places * F.col("size")))
+
+
+def p7_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed, and how often each rule of the packing is broken."""
+    capacity = Packing().capacity
+    tokens = count_tokens(table(spark, sf_dir, "documents"))
+    packed = cut(pack_items(tokens, Packing()))
+    held = packed.filter("container_id is not null")
+    per = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("parts"), F.count_if(F.col("n_tokens") == capacity).alias("full"))
+    docs = tokens.join(per, "doc_id", "left")
+    bins = held.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.countDistinct("step_group").alias("groups"), F.max("step_group").alias("step_group"), F.sum(F.col("n_tokens").cast("long") ** 2).alias("cost"))
+    windows = held.groupBy("container_id", "window").agg(F.sum("n_tokens").alias("used"), F.max("window_tier").alias("size"))
+    beside = held.withColumn("next", F.lead("start").over(W.partitionBy("container_id").orderBy("start")))
+    steps = bins.groupBy("step_group").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"))
+    all_ = W.partitionBy(F.lit(1))  # a row per step group of 64 containers
+    checks = [
+        docs.agg(F.lit("documents").alias("check"), F.count("*").alias("n")),
+        docs.filter("placed is distinct from n_tokens").agg(F.lit("documents not whole"), F.count("*")),
+        docs.filter((F.col("n_tokens") <= capacity) & (F.col("parts") > 1) | (F.col("n_tokens") > capacity) & (F.col("full") != F.floor(F.col("n_tokens") / capacity))).agg(F.lit("documents split without need"), F.count("*")),
+        bins.filter(F.col("used") > capacity).agg(F.lit("containers too full"), F.count("*")),
+        windows.filter("used > size").agg(F.lit("windows too full"), F.count("*")),
+        beside.filter("next <> start + n_tokens").agg(F.lit("parts not end to end"), F.count("*")),
+        bins.filter("groups > 1").agg(F.lit("containers in several groups"), F.count("*")),
+        bins.agg(F.lit("containers above 1.001 of the least number, and one"), F.greatest(F.count("*") - F.floor(1.001 * F.ceil(F.sum("used") / capacity)) - 1, F.lit(0))),
+        steps.withColumn("mean", F.sum("cost").over(all_) / F.sum("n").over(all_)).filter(F.abs(F.col("cost") / F.col("n") / F.col("mean") - 1) > 0.1).agg(F.lit("step groups off the mean cost by a tenth"), F.count("*")),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.union(c)
+    return out
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +110,7 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_passages"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_percentiles, p4_certified, p6_ids, p6_counts, p6_round_trip, p7_containers, p7_fill, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_percentiles, p4_certified, p6_ids, p6_counts, p6_round_trip, p7_containers, p7_fill, p7_valid, p8_found, p8_levels)}
 
 ORACLE = {
     "p3_found": f"""WITH {CURRENT_BARS_SQL}, {CURRENT_EVENTS_SQL},
@@ -82,5 +120,6 @@ b AS (SELECT 'ret' AS ranking, ts_code, signal_date AS d, row_number() OVER (PAR
 SELECT ranking, ts_code, strftime(d, '%Y-%m-%d') AS trade_day FROM a WHERE r <= 5 UNION ALL SELECT ranking, ts_code, strftime(d, '%Y-%m-%d') FROM b WHERE r <= 3""",
     "p4_certified": f"""WITH {EVENTS_SQL}, x AS (SELECT e.board, e.year FROM e JOIN ev ON ev.ts_code = e.ts_code AND ev.signal_date = e.signal_date WHERE isfinite(ev.ret_close_to_best_close_25))
 SELECT board, year, count(*) AS n, 6::BIGINT AS certified FROM x GROUP BY 1, 2""",
+    "p7_valid": "SELECT 'documents' AS \"check\", count(*) AS n FROM documents UNION ALL SELECT unnest(['documents not whole', 'documents split without need', 'containers too full', 'windows too full', 'parts not end to end', 'containers in several groups', 'containers above 1.001 of the least number, and one', 'step groups off the mean cost by a tenth']), 0",
     "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }
