@@ -12,13 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.small import checked_broadcast
+from tapeloom.operators.lineage import cut
+from tapeloom.operators.small import BROADCAST_BYTES, checked_broadcast, is_broadcast
 
 DELTA = 1000.0
+#: Parts into which a group is split when there are too many groups to broadcast their estimates.
+SALTS = 32
 
 
 def rank_bound(delta: float = DELTA) -> float:
-    """Bound on the rank error of a quantile, as a share of the group: the widest centroid, twice for merging."""
+    """Bound on the rank error of a quantile, as a share of the group: twice the widest centroid. It is what the counting
+    pass certifies; deeper merging may exceed it, and is then refined."""
     return 2.0 * np.pi / delta
 
 
@@ -45,36 +49,50 @@ def quantiles(means: np.ndarray, weights: np.ndarray, least: float, most: float,
 
 
 _DIGEST = "means array<double>, weights array<double>, least double, most double"
+#: Digests merged at once, within a partition and between partitions, and centroids that a task holds open.
+FAN, BETWEEN, HELD = 32, 512, 4_000_000
 
 
-def _digest_table(keys: list[tuple], names: Sequence[str], digests: list[tuple], types: dict) -> pa.RecordBatch:
+def _digest_table(keys: list[tuple], names: Sequence[str], digests: list[tuple], types: dict, part: int | None = None) -> pa.RecordBatch:
     columns = [pa.array([k[i] for k in keys], types[c]) for i, c in enumerate(names)]
     columns += [pa.array([d[0] for d in digests], pa.list_(pa.float64())), pa.array([d[1] for d in digests], pa.list_(pa.float64()))]
     columns += [pa.array([float(d[j]) for d in digests], pa.float64()) for j in (2, 3)]
-    return pa.RecordBatch.from_arrays(columns, names=[*names, "means", "weights", "least", "most"])
+    extra = [] if part is None else ["_part"]
+    columns += [pa.array([part] * len(keys), pa.int32()) for _ in extra]
+    return pa.RecordBatch.from_arrays(columns, names=[*names, "means", "weights", "least", "most", *extra])
 
 
-def digests(df: DataFrame, group: Sequence[str], value: str, delta: float = DELTA, parts: int = 16) -> DataFrame:
+def _merged(sets: list[tuple], delta: float) -> tuple:
+    m, w = cluster(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), delta)
+    return m, w, min(s[2] for s in sets), max(s[3] for s in sets)
+
+
+def _numbers(df: DataFrame, group: Sequence[str], value: str, extra: Sequence[str] = ()) -> DataFrame:
+    number = F.col(value).cast("double")
+    rows = df.select(*group, *extra, number.alias("_value"))
+    return rows.filter(F.col("_value").isNotNull() & ~F.isnan("_value") & (F.abs(F.col("_value")) != float("inf")))
+
+
+def digests(df: DataFrame, group: Sequence[str], value: str, delta: float = DELTA) -> DataFrame:
     """One digest per group: ``group``, means, weights, least, most. Digests of other tables with the same
     ``delta`` can be united with these and given to :func:`merge_digests`.
 
     Null, NaN and infinite values don't count; null group values form groups of their own. Every input
-    partition reduces its rows to one digest a group before anything is shuffled.
+    partition reduces its rows to one digest a group before anything is shuffled; it merges them by levels, so
+    that no value is clustered more often than the logarithm of its batches says, and hands its digests on early
+    where its groups together have too many centroids to be held.
     """
-    number = F.col(value).cast("double")
-    rows = df.select(*group, number.alias("_value")).filter(F.col("_value").isNotNull() & ~F.isnan("_value") & (F.abs(F.col("_value")) != float("inf")))
-    names, held = list(group), 20_000
+    rows, names = _numbers(df, group, value), list(group)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[tuple, list] = {}
-        types = {}
+        from pyspark import TaskContext
+
+        here = TaskContext.get().partitionId()
+        open_: dict[tuple, list[list[tuple]]] = {}
+        types, held = {}, 0
 
         def close() -> pa.RecordBatch:
-            done = []
-            for sets in open_.values():
-                m, w = cluster(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), delta)
-                done.append((m, w, min(s[2] for s in sets), max(s[3] for s in sets)))
-            return _digest_table(list(open_), names, done, types)
+            return _digest_table(list(open_), names, [_merged([s for level in levels for s in level], delta) for levels in open_.values()], types, here)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -85,25 +103,32 @@ def digests(df: DataFrame, group: Sequence[str], value: str, delta: float = DELT
             for i, key in enumerate(keys):
                 values = lists[i].values.to_numpy(zero_copy_only=False)
                 m, w = cluster(values, np.ones(len(values)), delta)
-                sets = open_.setdefault(key, [])
-                sets.append((m, w, values.min(), values.max()))
-                if len(sets) > 32:
-                    mm, ww = cluster(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), delta)
-                    sets[:] = [(mm, ww, min(s[2] for s in sets), max(s[3] for s in sets))]
-            if len(open_) > held:
+                fresh, at, levels = (m, w, values.min(), values.max()), 0, open_.setdefault(key, [[]])
+                held += len(m)
+                levels[0].append(fresh)
+                while len(levels[at]) >= FAN:
+                    one = _merged(levels[at], delta)
+                    held += len(one[0]) - sum(len(s[0]) for s in levels[at])
+                    levels[at] = []
+                    at += 1
+                    if at == len(levels):
+                        levels.append([])
+                    levels[at].append(one)
+            if held > HELD:
                 yield close()
                 open_.clear()
+                held = 0
         if open_:
             yield close()
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], _DIGEST])
-    return merge_digests(rows.mapInArrow(part, schema), group, delta, parts)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], _DIGEST, "_part int"])
+    return merge_digests(rows.mapInArrow(part, schema), group, delta)
 
 
-def merge_digests(parts: DataFrame, group: Sequence[str], delta: float = DELTA, fan: int = 16) -> DataFrame:
-    """One digest per group from any number of partial ones, merged in two steps so that no task gets all
-    the digests of a group."""
+def merge_digests(parts: DataFrame, group: Sequence[str], delta: float = DELTA) -> DataFrame:
+    """One digest per group from any number of partial ones, merged in two steps: first those of up to 512
+    neighbouring partitions (of one hash, for digests that don't say where they are from), then the rest."""
     names = list(group)
     kinds = dict(parts.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], _DIGEST])
@@ -115,13 +140,13 @@ def merge_digests(parts: DataFrame, group: Sequence[str], delta: float = DELTA,
         types = {c: table.schema.field(c).type for c in names}
         return pa.Table.from_batches([_digest_table(key, names, [(m, w, min(table["least"].to_pylist()), max(table["most"].to_pylist()))], types)])
 
-    salted = parts.withColumn("_salt", F.pmod(F.hash("least", "most"), F.lit(fan)))
-    some = salted.groupBy(*names, "_salt").applyInArrow(merge, schema)
+    salt = F.floor(F.col("_part") / F.lit(BETWEEN)) if "_part" in parts.columns else F.pmod(F.xxhash64("least", "most", F.size("means")), F.lit(BETWEEN))
+    some = parts.withColumn("_salt", salt).groupBy(*names, "_salt").applyInArrow(merge, schema)
     return some.groupBy(*names).applyInArrow(merge, schema)
 
 
-def digest_quantiles(merged: DataFrame, group: Sequence[str], at: Sequence[float]) -> DataFrame:
-    """``group``, n and an array ``estimates`` of the values at the quantiles ``at``."""
+def digest_quantiles(merged: DataFrame, group: Sequence[str], at: Sequence[float] | str) -> DataFrame:
+    """``group``, n and an array ``estimates`` of the values at the quantiles ``at``, or at the one in the column ``at``."""
     names = list(group)
     kinds = dict(merged.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], "n long, estimates array<double>"])
@@ -130,38 +155,91 @@ def digest_quantiles(merged: DataFrame, group: Sequence[str], at: Sequence[float
         for b in batches:
             weights = [x.values.to_numpy(zero_copy_only=False) for x in b["weights"]]
             means = [x.values.to_numpy(zero_copy_only=False) for x in b["means"]]
-            got = [quantiles(m, w, lo, hi, at).tolist() for m, w, lo, hi in zip(means, weights, b["least"].to_pylist(), b["most"].to_pylist(), strict=True)]
+            asked = [[q] for q in b[at].to_pylist()] if isinstance(at, str) else [at] * b.num_rows
+            got = [quantiles(m, w, lo, hi, q).tolist() for m, w, lo, hi, q in zip(means, weights, b["least"].to_pylist(), b["most"].to_pylist(), asked, strict=True)]
             columns = [b[c] for c in names] + [pa.array([int(round(w.sum())) for w in weights], pa.int64()), pa.array(got, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "n", "estimates"])
 
     return merged.mapInArrow(read, schema)
 
 
-def certified_percentiles(df: DataFrame, group: Sequence[str], value: str, at: Sequence[float], delta: float = DELTA) -> DataFrame:
-    """``group``, quantile, estimate, n, rank_error, rank_bound, certified.
-
-    The digests give the estimates; a second pass counts, for every group and estimate, the values below
-    and not above it. ``rank_error`` is the distance of the wanted rank from that interval as a share of
-    the group; ``certified`` says that it is within the stated bound. Ties count in favour: any rank that
-    equal values take is theirs. Values and groups count as in :func:`digests`; an empty table gives none.
-    """
-    names = list(group)
-    estimates = digest_quantiles(digests(df, group, value, delta), group, at)
-    number = F.col(value).cast("double")
-    rows = df.select(*names, number.alias("_value")).filter(F.col("_value").isNotNull() & ~F.isnan("_value") & (F.abs(F.col("_value")) != float("inf")))
-    # The estimates, a row per group, are broadcast once they have been counted, so that no group's rows are
-    # brought together; every partition reduces them to 2 * len(at) sums a group before the shuffle.
-    renamed = estimates.select(*[F.col(c).alias(f"_g_{c}") for c in names], F.col("n"), F.col("estimates"))
+def _same(names: Sequence[str], prefix: str):
     same = F.lit(True)
     for c in names:
-        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    joined = rows.join(checked_broadcast(renamed), same)
-    below = [F.count_if(F.col("_value") < F.col("estimates")[i]).alias(f"below{i}") for i in range(len(at))]
-    upto = [F.count_if(F.col("_value") <= F.col("estimates")[i]).alias(f"upto{i}") for i in range(len(at))]
-    counted = joined.groupBy(*names).agg(F.first("n").alias("n"), F.first("estimates").alias("estimates"), *below, *upto)
-    each = F.inline(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col("estimates")[i].alias("estimate"), F.col(f"below{i}").alias("n_below"), F.col(f"upto{i}").alias("n_upto")) for i, q in enumerate(at)]))
+        same = same & F.col(c).eqNullSafe(F.col(prefix + c))
+    return same
+
+
+def _judged(found: DataFrame, bound: float) -> DataFrame:
+    """Adds rank_error, rank_bound and certified to rows with quantile, n, n_below and n_upto."""
     wanted = F.col("quantile") * (F.col("n") - 1) + F.lit(0.5)
     error = F.greatest(F.col("n_below") - wanted, wanted - F.col("n_upto"), F.lit(0.0)) / F.col("n")
-    bound = F.lit(float(rank_bound(delta))) + F.lit(1.0) / F.col("n")
-    out = counted.select(*names, "n", each).withColumn("rank_error", error).withColumn("rank_bound", bound)
+    out = found.withColumn("rank_error", error).withColumn("rank_bound", F.lit(float(bound)) + F.lit(1.0) / F.col("n"))
     return out.withColumn("certified", F.col("rank_error") <= F.col("rank_bound"))
+
+
+_COUNTED = ("quantile", "estimate", "n", "n_below", "n_upto")
+
+
+def _refined(rows: DataFrame, names: Sequence[str], found: DataFrame, bound: float, delta: float) -> DataFrame:
+    """``found`` with every estimate outside the bound narrowed down until it is within: the values between the bounds
+    that the counts so far give are digested and counted again, which takes away one value at least a round, and all but
+    a small share as a rule. No round runs where all are certified."""
+    keys, done = [*names, "quantile"], []
+    low = F.col("n_below") > F.col("quantile") * (F.col("n") - 1) + F.lit(0.5)
+    ends = {"_low": F.when(low, F.coalesce("_low", F.lit(-float("inf")))).otherwise(F.col("estimate")), "_high": F.when(low, F.col("estimate")).otherwise(F.coalesce("_high", F.lit(float("inf")))), "_under": F.when(low, F.coalesce("_under", F.lit(0))).otherwise(F.col("n_upto"))}
+    null = F.lit(None)
+    left = cut(found.withColumns({"_low": null.cast("double"), "_high": null.cast("double"), "_under": null.cast("long")}))
+    while True:
+        done.append(left.filter("certified").drop("_low", "_high", "_under"))
+        asked = left.filter("not certified")
+        if asked.isEmpty():
+            break
+        asked = cut(asked.withColumns(ends).select(*[F.col(c).alias(f"_g_{c}") for c in names], F.col("quantile"), F.col("n"), "_low", "_high", "_under"))
+        inside = rows.join(checked_broadcast(asked), _same(names, "_g_")).filter((F.col("_value") > F.col("_low")) & (F.col("_value") < F.col("_high")))
+        own = digests(inside.select(*keys, "_value"), keys, "_value", delta)
+        size = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+        side = asked.withColumnsRenamed({f"_g_{c}": f"_d_{c}" for c in names}).withColumnRenamed("quantile", "_d_quantile")
+        at = F.least(F.greatest((F.col("quantile") * (F.col("n") - 1) - F.col("_under")) / F.greatest(size - 1, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+        placed = own.join(side, _same(keys, "_d_")).select(*keys, "means", "weights", "least", "most", at.alias("_at"))
+        fresh = checked_broadcast(digest_quantiles(placed, keys, "_at").select(*[F.col(c).alias(f"_e_{c}") for c in keys], F.col("estimates")[0].alias("estimate")))
+        counted = inside.join(fresh, _same(keys, "_e_")).groupBy(*keys, "estimate").agg(F.count_if(F.col("_value") < F.col("estimate")).alias("below"), F.count_if(F.col("_value") <= F.col("estimate")).alias("upto"))
+        whole = counted.join(side, _same(keys, "_d_")).select(*keys, "estimate", "n", (F.col("below") + F.col("_under")).alias("n_below"), (F.col("upto") + F.col("_under")).alias("n_upto"), "_low", "_high", "_under")
+        left = cut(_judged(whole, bound))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def certified_percentiles(df: DataFrame, group: Sequence[str], value: str, at: Sequence[float], delta: float = DELTA, bound: float | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``group``, quantile, estimate, n, n_below, n_upto, rank_error, rank_bound, certified.
+
+    The digests give the estimates; a second pass counts, for every group and estimate, the values below
+    and not above it. ``rank_error`` is the distance of the wanted rank from that interval as a share of
+    the group; ``certified`` says that it is within the stated bound (:func:`rank_bound` and one row, or
+    ``bound``). An estimate outside it is narrowed down by further passes over the values around it, so every row is
+    certified in the end. Ties count in favour: any rank that equal values take is theirs. Values and groups count as
+    in :func:`digests`; an empty table gives none.
+    """
+    names, bound = list(group), rank_bound(delta) if bound is None else bound
+    estimates = digest_quantiles(digests(df, group, value, delta), group, at)
+    rows = _numbers(df, names, value)
+    # The estimates, a row per group, are broadcast if they are small, so that no group's rows are brought together; every
+    # partition reduces them to 2 * len(at) sums a group. More groups than that are joined by shuffling, but
+    # after equal values of a group have been counted, and salted by value: a group is spread over its values.
+    each = [F.col("estimates")[i].alias(f"e{i}") for i in range(len(at))]
+    held = checked_broadcast(estimates.select(*[F.col(c).alias(f"_g_{c}") for c in names], F.col("n"), *each), broadcast_bytes)
+    marks = [f(F.col("_value"), F.col(f"e{i}")) for i in range(len(at)) for f in (lambda v, e: v < e, lambda v, e: v <= e)]
+    if is_broadcast(held):
+        joined, times = rows.join(held, _same(names, "_g_")), F.lit(1)
+    else:
+        salt = F.pmod(F.xxhash64("_value"), F.lit(SALTS)).cast("int").alias("_salt")
+        counts = rows.groupBy(*names, "_value").agg(F.count("*").alias("_times")).withColumn("_salt", salt)
+        copies = held.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined, times = counts.join(copies, _same(names, "_g_") & (F.col("_salt") == F.col("_s"))), F.col("_times")
+    counted = joined.groupBy(*names).agg(*[F.sum(F.when(m, times).otherwise(0)).cast("long").alias(f"c{i}") for i, m in enumerate(marks)])
+    whole = counted.join(held, _same(names, "_g_"))
+    long = F.inline(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.col(f"e{i}").alias("estimate"), F.col(f"c{2 * i}").alias("n_below"), F.col(f"c{2 * i + 1}").alias("n_upto")) for i, q in enumerate(at)]))
+    found = _judged(whole.select(*names, "n", long), bound)
+    return _refined(rows, names, found, bound, delta).select(*names, *_COUNTED, "rank_error", "rank_bound", "certified")

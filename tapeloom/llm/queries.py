@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions.boards import board_of_event
-from tapeloom.llm.digest import certified_percentiles
+from tapeloom.llm.digest import certified_percentiles, rank_bound
 from tapeloom.llm.encode import count_tokens, decode_corpus, encode_corpus
 from tapeloom.llm.packing import Packing, pack_items
 from tapeloom.llm.reading import reading_levels
@@ -26,11 +26,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best[0].unionByName(best[1]).select("ranking", "ts_code", F.date_format("day", "yyyy-MM-dd").alias("trade_day"))
 
 
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = current_events(table(spark, sf_dir, "yizi_events"), ("board", "year", "ret_close_to_best_close_25"))
+    return events.select(board_of_event("board", "ts_code").alias("board"), F.coalesce("year", F.year("signal_date")).alias("year"), F.col("ret_close_to_best_close_25").alias("ret"))
+
+
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of ret_close_to_best_close_25 per board and year with their certified rank errors."""
-    events = current_events(table(spark, sf_dir, "yizi_events"), ("board", "year", "ret_close_to_best_close_25"))
-    events = events.select(board_of_event("board", "ts_code").alias("board"), F.coalesce("year", F.year("signal_date")).alias("year"), F.col("ret_close_to_best_close_25").alias("ret"))
-    return certified_percentiles(events, ("board", "year"), "ret", PERCENTILES)
+    return certified_percentiles(_returns(spark, sf_dir), ("board", "year"), "ret", PERCENTILES)
 
 
 def p4_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +42,17 @@ def p4_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("board", "year").agg(F.max("n").alias("n"), F.count_if("certified").alias("certified"))
 
 
+def p4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every percentile beside the exact values at the ranks that the stated bound allows, and whether it lies between them."""
+    known = _returns(spark, sf_dir).filter(F.col("ret").isNotNull() & (F.abs("ret") != float("inf")))
+    exact = known.withColumn("rank", F.row_number().over(W.partitionBy("board", "year").orderBy("ret")) - 1)
+    wanted, slack = F.col("quantile") * (F.col("n") - 1), F.lit(rank_bound()) * F.col("n") + 1.5
+    asked = p4_percentiles(spark, sf_dir).withColumns({"low": F.greatest(F.floor(wanted - slack), F.lit(0)), "high": F.least(F.ceil(wanted + slack), F.col("n") - 1)})
+    at = asked.join(exact.select(F.col("board").alias("b"), F.col("year").alias("y"), "ret", "rank"), F.col("board").eqNullSafe(F.col("b")) & F.col("year").eqNullSafe(F.col("y")) & F.col("rank").isin(F.col("low"), F.col("high")))
+    both = at.groupBy("board", "year", "quantile").agg(F.min("ret").alias("least"), F.max("ret").alias("most"), F.min("estimate").alias("estimate"))
+    return both.select("board", "year", F.round(F.col("quantile") * 100).cast("int").alias("percentile"), "least", "most", F.col("estimate").between(F.col("least"), F.col("most")).alias("within"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -110,7 +124,7 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "graded_passages"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_percentiles, p4_certified, p6_ids, p6_counts, p6_round_trip, p7_containers, p7_fill, p7_valid, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_percentiles, p4_certified, p4_exact, p6_ids, p6_counts, p6_round_trip, p7_containers, p7_fill, p7_valid, p8_found, p8_levels)}
 
 ORACLE = {
     "p3_found": f"""WITH {CURRENT_BARS_SQL}, {CURRENT_EVENTS_SQL},
@@ -121,5 +135,10 @@ SELECT ranking, ts_code, strftime(d, '%Y-%m-%d') AS trade_day FROM a WHERE r <=
     "p4_certified": f"""WITH {EVENTS_SQL}, x AS (SELECT e.board, e.year FROM e JOIN ev ON ev.ts_code = e.ts_code AND ev.signal_date = e.signal_date WHERE isfinite(ev.ret_close_to_best_close_25))
 SELECT board, year, count(*) AS n, 6::BIGINT AS certified FROM x GROUP BY 1, 2""",
     "p7_valid": "SELECT 'documents' AS \"check\", count(*) AS n FROM documents UNION ALL SELECT unnest(['documents not whole', 'documents split without need', 'containers too full', 'windows too full', 'parts not end to end', 'containers in several groups', 'containers above 1.001 of the least number, and one', 'step groups off the mean cost by a tenth']), 0",
+    "p4_exact": f"""WITH {EVENTS_SQL}, x AS (SELECT e.board, e.year, ev.ret_close_to_best_close_25 AS ret FROM e JOIN ev ON ev.ts_code = e.ts_code AND ev.signal_date = e.signal_date WHERE isfinite(ev.ret_close_to_best_close_25)),
+r AS (SELECT *, row_number() OVER (PARTITION BY board, year ORDER BY ret) - 1 AS k, count(*) OVER (PARTITION BY board, year) AS n FROM x),
+q AS (SELECT unnest([0.1::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS q)
+SELECT board, year, round(q * 100)::INT AS percentile, min(ret) AS least, max(ret) AS most, true AS "within" FROM r, q
+WHERE k = greatest(floor(q * (n - 1) - {rank_bound()}::DOUBLE * n - 1.5::DOUBLE), 0) OR k = least(ceil(q * (n - 1) + {rank_bound()}::DOUBLE * n + 1.5::DOUBLE), n - 1) GROUP BY 1, 2, 3""",
     "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }

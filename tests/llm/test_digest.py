@@ -33,3 +33,35 @@ def test_single_values_and_empty(spark):
     got = {(r.g, r["quantile"]): r.estimate for r in certified_percentiles(df, ("g",), "v", (0.5,)).collect()}
     assert got == {("a", 0.5): 2.0, ("b", 0.5): 2.0}
     assert certified_percentiles(df.limit(0), ("g",), "v", (0.5,)).count() == 0
+
+
+def skewed(spark):
+    rng = np.random.default_rng(11)
+    values = np.concatenate([rng.lognormal(0, 3, size=30_000), np.full(9_000, 0.25)])
+    rows = [("hot" if i % 3 else None, float(v)) for i, v in enumerate(values)]
+    return rows, spark.createDataFrame(rows, "g string, v double").repartition(6)
+
+
+def test_estimates_outside_the_bound_are_refined(spark):
+    rows, df = skewed(spark)
+    bound = 0.0002
+    got = certified_percentiles(df, ("g",), "v", AT, delta=100.0, bound=bound).collect()
+    assert len(got) == 2 * len(AT)
+    for r in got:
+        mine = np.sort([v for g, v in rows if g == r.g])
+        wanted, slack = r["quantile"] * (len(mine) - 1), bound * len(mine) + 1.5
+        assert r.certified and r.n == len(mine)
+        assert (r.n_below, r.n_upto) == (np.searchsorted(mine, r.estimate, "left"), np.searchsorted(mine, r.estimate, "right"))
+        assert mine[max(int(np.floor(wanted - slack)), 0)] <= r.estimate <= mine[min(int(np.ceil(wanted + slack)), len(mine) - 1)]
+
+
+def test_many_groups_are_counted_without_a_broadcast(spark):
+    rows, df = skewed(spark)
+    one, other = (sorted((str(r.g), r["quantile"], r.estimate, r.n_below, r.n_upto, r.certified) for r in certified_percentiles(df, ("g",), "v", AT, broadcast_bytes=b).collect()) for b in (1 << 20, 0))
+    assert one == other and len(one) == 2 * len(AT)
+
+
+def test_plan_has_no_sorting_of_rows(spark):
+    _, df = skewed(spark)
+    plan = digests(df, ("g",), "v")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
