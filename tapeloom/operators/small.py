@@ -26,4 +26,12 @@ def checked_broadcast(side: DataFrame, most_bytes: int = BROADCAST_BYTES) -> Dat
     ``most_bytes``; a larger one is joined by shuffling. Only its size comes to the driver here."""
     held = cut(side)
     size = held.agg(F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in held.schema), F.lit(16))).alias("n")).first()["n"]
-    return F.broadcast(held) if (size or 0) <= most_bytes else held
+    small = (size or 0) <= most_bytes
+    out = F.broadcast(held) if small else held
+    out._is_broadcast = small
+    return out
+
+
+def is_broadcast(side: DataFrame) -> bool:
+    """Whether :func:`checked_broadcast` found ``side`` small enough."""
+    return getattr(side, "_is_broadcast", False)
