@@ -1,9 +1,9 @@
 """Token ids of a whole corpus, every distinct word encoded once.
 
 Documents are cut into pre-tokens (the public pattern); a block of documents keeps the sequence of its
-words as numbers and its list of distinct words. Those lists are shuffled by word across the corpus, every
-distinct word is encoded once where it lands, and its ids return to the blocks that have it, where the
-documents are put together again by position.
+words as numbers and its list of distinct words. The distinct words of all blocks are shuffled by word, every one
+is encoded once where it lands, its ids are joined back to the blocks' lists, and in the blocks the documents are put
+together again by position.
 """
 
 from collections.abc import Iterator
@@ -80,25 +80,15 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b["block"][i].as_py())), pa.array(np.arange(len(words), dtype=np.int32)), words], names=["block", "number", "word"])
 
 
-def _encode(vocabulary, most_held: int = 500_000):
+def _encode(vocabulary):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_buffer(vocabulary.value)
         tokenizer.encode_special_tokens = True
-        known: dict[str, np.ndarray] = {}
         for b in batches:
-            words = b["word"].to_pylist()
-            fresh = list({w for w in words if w not in known})
-            if len(known) + len(fresh) > most_held:
-                known.clear()
-                fresh = list(set(words))
-            for w, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, np.int32)
-            got = [known[w] for w in words]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
-            flat = np.concatenate(got) if got else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b["block"], b["number"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["block", "number", "ids"])
+            got = tokenizer.encode_batch(b["word"].to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([b["word"], pa.array([e.ids for e in got], pa.list_(pa.int32()))], names=["known", "ids"])
 
     return encode
 
@@ -134,8 +124,10 @@ def _encoded(documents: DataFrame, rules: Encoding, counts_only: bool) -> DataFr
     with open(rules.vocabulary, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     blocks = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cut(rules.block_chars), _BLOCKS).repartition("block")
-    words = blocks.mapInArrow(_words, _WORDS).repartition("word")
-    ids = words.mapInArrow(_encode(vocabulary), _IDS)
+    words = blocks.mapInArrow(_words, _WORDS)
+    encoded = words.select("word").distinct().mapInArrow(_encode(vocabulary), "known string, ids array<int>")
+    # The number of distinct words has no bound, so their table is never broadcast.
+    ids = words.join(encoded.hint("merge"), F.col("word") == F.col("known")).select("block", "number", "ids")
     schema = "doc_id long, n_tokens long" if counts_only else "doc_id long, ids array<int>"
     return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(counts_only), schema)
 
@@ -147,8 +139,10 @@ def encode_corpus(documents: DataFrame, rules: Encoding = Encoding()) -> DataFra
     Special tokens' strings are ordinary text. Repeated rows give repeated results, a null doc_id stays
     null, other columns are ignored; an empty table gives none.
 
-    Shuffled are the blocks (a number per pre-token) and each block's distinct words, there and back; a
-    word has one row a block, however often it occurs, so no word is a hot key. Blocks are numbered by
+    Shuffled are the blocks (a number per pre-token) and each block's distinct words, there and back. A word has one row
+    a block, however often it occurs there; to be encoded it is combined within every partition first. In the join a
+    word of most blocks is a hot key of the blocks' side, whose partition Spark splits at run time
+    (spark.sql.adaptive.skewJoin), sending the word's one row to every part. Blocks are numbered by
     partition, which is repeatable as long as the input's partitions are (a scan's are).
     """
     return _encoded(documents, rules, counts_only=False)
