@@ -1,8 +1,14 @@
 """Reading level of documents: a linear pairwise ranker over syntax and vocabulary features, calibrated
-into grades by isotonic regression."""
+into grades by isotonic regression.
+
+What a document says itself is told from headers, calls and formulas by two corpora: a phrase that many documents
+repeat word for word, though the graded passages don't talk like that, is a formula; and a head in
+which no two words follow each other as in a passage, up to the first colon, dash or line end, is a header. No list of phrases is kept.
+"""
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,33 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Procedural formulas and calls of the chair, digits written as 9, without end marks.
-FORMULAS = (
-    "mr president", "madam president", "madam president, honourable members", "thank you, madam president", "thank you", "thank you, mr president",
-    "mr president, colleagues", "colleagues", "madam deputy president", "mr deputy president", "thank you for your attention",
-    "i move the amendment standing in my name", "i commend the motion to the house", "i thank you for your attention", "i thank the honourable member",
-    "the vote will take place on thursday", "the member has the floor", "the ayes have it", "i call the next speaker on the list", "the sitting is suspended for ten minutes",
-    "order", "the debate is closed", "the motion was carried by 9 votes to 9", "the sitting is opened at 9 past nine", "the amendment is not moved", "the question is put",
-    "i remind members that speaking time is limited to 9 minutes", "the minutes of the previous sitting were approved", "hear, hear", "corrigendum", "yes", "no",
-    "herr präsident", "frau präsidentin", "meine damen und herren", "vielen dank, frau präsidentin", "vielen dank", "danke schön", "ich bitte um zustimmung", "ich danke für die aufmerksamkeit",
-    "ich danke dem herrn abgeordneten", "die redezeit beträgt 9 minuten", "die aussprache ist geschlossen", "ich rufe den nächsten redner auf", "die gegenprobe", "wer stimmt dafür",
-    "der antrag ist angenommen", "die sitzung ist für 9 minuten unterbrochen", "die sitzung ist eröffnet", "ja", "nein",
-    "merci, madame la présidente", "merci de votre attention", "je vous remercie", "je demande le vote", "je donne la parole au prochain orateur", "la séance est ouverte", "le scrutin est clos",
-    "la motion est adoptée par 9 voix contre 9", "la séance est suspendue pour 9 minutes", "je remercie l'orateur", "le débat est clos", "monsieur le président", "madame la présidente", "chers collègues",
-    "monsieur le président, chers collègues", "madame la présidente, chers collègues", "oui", "non",
-)
-# How announcements and calls of the chair begin.
-OPENINGS = ("the next item is", "nächster punkt", "point suivant", "speech 9", "president", "the president", "präsident", "die präsidentin", "der präsident", "le président", "la présidente")
-
-_ASIDES = re.compile(r"[(\[][^()\[\]]{0,200}[)\]]")
-# A name, with a party in brackets and a colon or dash, or alone on its line or before a dash.
-_HEADER = re.compile(r"\A\s*(?:Speech \d+\.\s*)?[^.!?:–—()\[\]\n]{1,60}(?:[(\[][^()\[\]\n]{1,40}[)\]]\s*(?:[.:]?\s*[–—]|:|\n)|\s*[.:]?\s*(?:[–—]\s|\n))")
-_ENDS = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=PRESIDENT\. –)\s+")
+
+_ASIDES = re.compile(r"[(\[][^()\[\]]*[)\]]")
+_ENDS = re.compile(r"[.!?。！？]+(?:\s+|$)|\s*\n\s*")
+_PARTS = re.compile(r"\s*:(?:\s+|$)|\s+[–—]+\s+")
+_HEAD = re.compile(r"\s*([^:\n]*?)(?::|\n|\s[–—]\s)")
 _BROKEN = re.compile("[ÃÂâ][\x80-\xbfŒ-™¡-¿]")
-_MARKUP = re.compile(r"<[^<>\n]{1,40}>|&(?:amp|lt|gt|nbsp|quot|#\d+);")
+_MARKUP = re.compile(r"<[^<>\n]*>|&(?:amp|lt|gt|nbsp|quot|#\d+);")
 _WORDS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
-_FORMULAS = frozenset(FORMULAS)
+_EDGES = " .!?:–—-\t\r\xa0"
+
+
+def _undo(pair: str) -> str:
+    try:
+        return pair.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return pair
 
 
 def repaired(text: str) -> str:
@@ -57,181 +53,362 @@ def repaired(text: str) -> str:
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
-def _undo(pair: str) -> str:
-    try:
-        return pair.encode("latin-1").decode("utf-8")
-    except UnicodeError:
-        return pair
+def own_text(text: str | None) -> str:
+    """The text repaired, in lower case, without anything in brackets."""
+    return _ASIDES.sub(" ", repaired(text)).lower() if text else ""
+
+
+def sentences_of(text: str) -> list[list[str]]:
+    """Sentences of an :func:`own_text` as their parts between colons and dashes."""
+    out = []
+    for sentence in _ENDS.split(text):
+        if sentence and (sentence := sentence.strip(_EDGES)):
+            out.append([part.strip(_EDGES) for part in _PARTS.split(sentence)] if ":" in sentence or "–" in sentence or "—" in sentence else [sentence])
+    return out
 
 
-def own_sentences(text: str) -> list[str]:
-    """The member's own sentences in lower case: without headers, interruptions, the chair and formulas."""
-    text = _ASIDES.sub(" ", _HEADER.sub("", repaired(text), count=1)) if text else ""
+def openings(part: str) -> list[str]:
+    """How a longer part begins: its words up to the first comma, and its first four words (marked as such) if there is no comma among them."""
     out = []
-    for part in _ENDS.split(text.strip()):
-        s = part.strip(" .!?:–—-\t\r").lower()
-        if not s or " " not in s:
-            continue
-        if "– " in s[:90]:
-            s = s.split("– ", 1)[1].strip()
-        key = _DIGITS.sub("9", s)
-        if key in _FORMULAS or key.startswith(OPENINGS) or len(s) < 4:
-            continue
-        out.append(s)
+    if 0 < (comma := part.find(",")):
+        out.append(part[:comma])
+    words = part.split(" ", 4)
+    if len(words) > 4 and "," not in "".join(words[:4]):
+        out.append(" ".join(words[:4]) + " …")
     return out
 
 
-SYNTAX = ("words a sentence", "letters a word", "long words", "very long words", "commas a sentence")
-VOCABULARY = ("mean grade of words", "mean grade of sentences", "plain words", "demanding words")
-SENTENCES = ("nested sentences", "sentences of demanding words", "either", "words in either")
-FEATURES = (*SYNTAX, *VOCABULARY, *SENTENCES)
-# Known words at which a sentence counts as nested by half, share of demanding words at which it counts as
-# demanding by half, and the widths of both transitions.
-NESTED, NESTED_WIDTH, DEMANDING, DEMANDING_WIDTH = 52.0, 6.0, 0.3, 0.04
+def phrase_key(part: str) -> int:
+    """A 64-bit key of a phrase, numbers in it alike."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(_DIGITS.sub("9", part) if any(map(str.isdigit, part)) else part) - (1 << 63)
+
+
+def repeated_phrases(documents: DataFrame, share: float, least: int) -> DataFrame:
+    """``key`` of every phrase (a part of a sentence, or how one begins) that stands in at least ``share`` of the documents, and in ``least``.
+
+    A document counts a phrase once, whatever its length; counts are combined before the shuffle. There are
+    at most as many as the mean number of phrases of a document, divided by ``share``.
+    """
+    total = documents.count()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for text in b["text"].to_pylist():
+                parts = [p for s in sentences_of(own_text(text)) for p in s if p]
+                seen.update({phrase_key(p) for part in parts for p in (part, *openings(part))})
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["key", "n"])
+
+    counts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "key long, n long")
+    return counts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(share * total, least)).select("key")
+
+
+@dataclass(frozen=True)
+class Reading:
+    """``share`` and ``least`` are how many documents repeat a formula; ``foreign`` is the share of a phrase's pairs
+    of words that no passage has from which on it is not the passages' way to talk. ``most_passages`` bounds the graded
+    passages, ``partners`` the lower passages that each is compared with; ``smoothing`` is how many passages
+    the estimate of a word's grade from its length weighs; ``ridge`` steadies the ranker."""
+
+    share: float = 0.0005
+    least: int = 5
+    foreign: float = 0.5
+    most_passages: int = 20_000
+    partners: int = 200
+    smoothing: float = 0.5
+    ridge: float = 30.0
+
+
+LONGEST = 40  # letters from which on words count as equally long
+UNKNOWN = 0.1  # weight of a word that no passage has, beside 1 for the others
+CUTS = ("words", "mean grade", "hard words")
+WIDTH = 0.25  # of a cut, in standard deviations of the sentences
 
 
 @dataclass(frozen=True)
 class ReadingModel:
-    """``words`` maps a word to its place in ``grades`` (its smoothed mean grade), ``sizes`` and ``tongues`` (the share
-    of each language in its passages); ``centre`` and ``scale`` have a row per language; ``weights`` is the ranker;
-    ``knots`` and ``levels`` are the isotonic calibration; ``least_words`` is how many graded words a
-    document needs to be a speech at all."""
+    """``words`` maps a word to its place in ``grades`` (its smoothed mean grade) and ``tongues`` (the share of each
+    language in its passages); ``by_length`` is the grade of an unknown word by letters and ``pairs`` are the passages'
+    pairs of words. ``hard`` is the grade from which on a word is hard, ``cuts`` are the sentence cuts of every step
+    between grades, ``width`` how far they reach; ``centre`` and ``scale`` have a row per language and one for all; ``weights`` is the ranker;
+    ``knots`` and ``levels`` are the isotonic calibration."""
 
     words: dict
     grades: np.ndarray
-    sizes: np.ndarray
     tongues: np.ndarray
+    by_length: np.ndarray
+    pairs: frozenset
+    hard: float
+    cuts: np.ndarray
+    width: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
     knots: np.ndarray
     levels: np.ndarray
-    least_words: int = 12
 
 
-def _features(sentences: Sequence[str], words: dict, grades: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features and the places of the known words; ``grades`` and ``sizes`` (letters) are indexed by ``words``.
+@dataclass
+class _Tokens:
+    """A text's words: ``at`` their places in the vocabulary (-1: unknown), ``size`` their letters; ``bounds`` where its
+    sentences begin, ``commas`` of each."""
+
+    at: np.ndarray
+    size: np.ndarray
+    bounds: np.ndarray
+    commas: np.ndarray
 
-    Only known words count, so names and numbers weigh nothing."""
-    at, bounds, commas, find, place = [], [0], 0, _WORDS.findall, words.get
+
+def _tokens(sentences: Sequence[str], words: dict) -> _Tokens:
+    at, size, bounds, commas, find, place = [], [], [], [], _WORDS.findall, words.get
     for s in sentences:
-        at += [k for w in find(s) if (k := place(w)) is not None]
-        if len(at) > bounds[-1]:
+        if found := find(s):
             bounds.append(len(at))
-            commas += s.count(",")
-    n = len(bounds) - 1
-    if not n:
-        return np.zeros(len(FEATURES)), np.zeros(0, int)
-    at = np.asarray(at)
-    g, letters = grades[at], sizes[at]
-    length = np.diff(bounds)
-    each = np.add.reduceat(g, bounds[:-1]) / length
-    hard = np.add.reduceat((g > 4.2).astype(float), bounds[:-1]) / length
-    nested = 1.0 / (1.0 + np.exp(-np.clip((length - NESTED) / NESTED_WIDTH, -30, 30)))
-    demanding = 1.0 / (1.0 + np.exp(-np.clip((hard - DEMANDING) / DEMANDING_WIDTH, -30, 30)))
-    whole = length > 3 if (length > 3).any() else length > 0
-    either = np.maximum(nested, demanding)[whole]
-    sentences_ = [nested[whole].mean(), demanding[whole].mean(), either.mean(), np.average(either, weights=length[whole])]
-    syntax = [np.log(len(at) / n), letters.mean(), (letters >= 8).mean(), (letters >= 12).mean(), np.log1p(commas / n)]
-    return np.array([*syntax, g.mean(), each.mean(), (g < 1.8).mean(), (g > 4.2).mean(), *sentences_]), at
+            commas.append(s.count(","))
+            at += [place(w, -1) for w in found]
+            size += map(len, found)
+    return _Tokens(np.asarray(at, np.int64), np.minimum(np.asarray(size, np.int64), LONGEST), np.asarray(bounds, np.int64), np.asarray(commas, float))
+
+
+def _word_grades(t: _Tokens, grades: np.ndarray, by_length: np.ndarray) -> np.ndarray:
+    return np.where(t.at >= 0, grades[t.at], by_length[t.size])
+
+
+def _sentence_table(t: _Tokens, g: np.ndarray, hard: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words, mean grade and share of hard words of each sentence; and the sentences' weights, their words."""
+    length = np.diff(np.append(t.bounds, len(g)))
+    weight = np.where(t.at >= 0, 1.0, UNKNOWN)
+    whole = np.add.reduceat(weight, t.bounds)
+    each = np.add.reduceat(g * weight, t.bounds) / whole
+    share = np.add.reduceat((g >= hard) * weight, t.bounds) / whole
+    return np.stack([np.log(length), each, share], axis=1), whole / whole.sum()
+
+
+def _features(t: _Tokens, g: np.ndarray, hard: float, cuts: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Syntax and vocabulary of a text: means over words and sentences, and for every step between two grades the share of
+    the sentences, and of the words in them, above the step's cuts: each cut by itself, words or hard words, any
+    and all of them. A sentence within ``width`` of a cut is above it in part."""
+    table, share = _sentence_table(t, g, hard)
+    over = 1.0 / (1.0 + np.exp(-np.clip((table[:, None, :] - cuts[None]) / width, -30, 30)))
+    shares = np.concatenate([over, over[..., [0, 2]].max(axis=2, keepdims=True), over.max(axis=2, keepdims=True), over.min(axis=2, keepdims=True)], axis=2)
+    steps = (shares * share[:, None, None]).sum(axis=0).ravel()
+    weight = np.where(t.at >= 0, 1.0, UNKNOWN)
+    weight = weight / weight.sum()
+    words = np.stack([t.size, t.size >= 8, t.size >= 12, g, g >= hard], axis=1)
+    return np.concatenate([[np.log(len(g) / len(table)), np.log1p(t.commas.mean())], weight @ words, steps, shares.mean(axis=0).ravel()])
+
+
+def _best_cut(low: np.ndarray, low_weight: np.ndarray, high: np.ndarray, high_weight: np.ndarray) -> float:
+    """The value at which the weighted distributions of two samples are furthest apart."""
+    values = np.concatenate([low, high])
+    gain = np.concatenate([-low_weight / low_weight.sum(), high_weight / high_weight.sum()])
+    order = np.argsort(values, kind="stable")
+    values, above = values[order], np.cumsum(gain[order][::-1])[::-1]
+    first = np.concatenate([[True], values[1:] > values[:-1]])
+    return float(values[first][np.argmax(above[first])])
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators fit of y on x: block centres and their levels."""
+    """Pool-adjacent-violators fit of y on x: both ends of every block, with its level; straight between blocks."""
     order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []
+    blocks: list[list[float]] = []  # level, weight, first and last x
     for a, b in zip(x[order], y[order], strict=True):
-        blocks.append([b, 1.0, a])
+        blocks.append([b, 1.0, a, a])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v, w, s = blocks.pop()
+            v, w, _, last = blocks.pop()
             u = blocks[-1]
-            blocks[-1] = [(u[0] * u[1] + v * w) / (u[1] + w), u[1] + w, (u[2] * u[1] + s * w) / (u[1] + w)]
-    return np.array([b[2] for b in blocks]), np.array([b[0] for b in blocks])
-
-
-def _rank(x: np.ndarray, grade: np.ndarray, ridge: float = 30.0, steps: int = 60) -> np.ndarray:
-    """Weights of the pairwise logistic ranker: every pair of different grades, the higher minus the lower."""
-    i, j = np.nonzero(grade[:, None] > grade[None, :])
-    d = x[i] - x[j]
+            blocks[-1] = [(u[0] * u[1] + v * w) / (u[1] + w), u[1] + w, u[2], last]
+    return np.array([e for b in blocks for e in b[2:]]), np.array([b[0] for b in blocks for _ in b[2:]])
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray, draws: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of isotonic fits to ``draws`` resamples (of a fixed seed), so that no single passage sets a threshold."""
+    rng, at = np.random.default_rng(0), np.unique(x)
+    fits = [np.interp(at, *_isotonic(x[k], y[k])) for k in (rng.integers(0, len(x), len(x)) for _ in range(draws))]
+    return at, np.mean(fits, axis=0)
+
+
+def _rank(x: np.ndarray, grade: np.ndarray, rules: Reading, steps: int = 60) -> np.ndarray:
+    """Weights of the pairwise logistic ranker. Every passage is compared with ``partners`` lower ones, drawn with a
+    fixed seed, or all of them where they are fewer; pairs are differences, so memory grows with the passages only."""
+    rng, order = np.random.default_rng(0), np.argsort(grade, kind="stable")
+    below = np.searchsorted(grade[order], grade, side="left")
+    first, second = [], []
+    for i, n in enumerate(below):
+        if n:
+            mine = order[:n] if n <= rules.partners else order[rng.choice(n, rules.partners, replace=False)]
+            first.append(np.full(len(mine), i))
+            second.append(mine)
     w = np.zeros(x.shape[1])
+    if not first:
+        return w
+    first, second = np.concatenate(first), np.concatenate(second)
     for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(np.clip(d @ w, -30, 30)))
-        slope = -(d.T @ p) + ridge * w
-        bend = (d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w))
+        slope, bend = rules.ridge * w, rules.ridge * np.eye(len(w))
+        for k in range(0, len(first), 100_000):
+            d = x[first[k : k + 100_000]] - x[second[k : k + 100_000]]
+            p = 1.0 / (1.0 + np.exp(np.clip(d @ w, -30, 30)))
+            slope = slope - d.T @ p
+            bend = bend + (d * (p * (1 - p))[:, None]).T @ d
         move = np.linalg.solve(bend, slope)
-        w -= move
+        w = w - move
         if np.abs(move).max() < 1e-6:
             break
     return w
 
 
-def fit_reading_model(passages: Sequence[tuple[str, int, str]], smoothing: float = 0.5) -> ReadingModel:
-    """Model from (text, grade, language) of the graded passages: a fixed reference set of a few hundred texts.
+def _word_pairs(part: str) -> list[tuple[str, str]]:
+    found = ["", *_WORDS.findall(part), ""]
+    return list(zip(found, found[1:], strict=False))
+
+
+def fit_reading_model(passages: Sequence[tuple[str, int, str]], rules: Reading = Reading()) -> ReadingModel:
+    """Model from (text, grade, language) of the graded passages.
 
-    A word's grade is the mean over the passages that have it, drawn to the middle by ``smoothing``
-    passages; a training passage's features use the words' grades without itself. Features are centred and
+    A word's grade is the mean over the passages that have it, drawn by ``smoothing`` passages to what its length lets
+    expect; a training passage's features use the words' grades without itself. Features are centred and
     scaled by language, so that long words weigh the same in all of them.
     """
-    texts = [own_sentences(t) for t, _, _ in passages]
+    texts = [[" ".join(s) for s in sentences_of(own_text(t))] for t, _, _ in passages]
     grade = np.array([float(g) for _, g, _ in passages])
     names = sorted({str(x) for _, _, x in passages})
     tongue = np.array([names.index(str(x)) for _, _, x in passages])
     sets = [{w for s in ss for w in _WORDS.findall(s)} for ss in texts]
-    words = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
-    total, count = np.zeros(len(words)), np.zeros(len(words))
-    tongues = np.zeros((len(words), len(names)))
+    vocabulary = sorted(set().union(*sets))
+    words = {w: i for i, w in enumerate(vocabulary)}
+    total, count, tongues = np.zeros(len(words)), np.zeros(len(words)), np.zeros((len(words), len(names)))
     for g, ws, x in zip(grade, sets, tongue, strict=True):
         at = [words[w] for w in ws]
         total[at] += g
         count[at] += 1
         tongues[at, x] += 1
-    tongues /= tongues.sum(axis=1, keepdims=True)
-    sizes = np.array([len(w) for w in sorted(words)])
-    middle = grade.mean()
-    rows = []
-    for g, ws, ss in zip(grade, sets, texts, strict=True):
-        t, c = total.copy(), count.copy()
+    tongues /= np.maximum(tongues.sum(axis=1, keepdims=True), 1)
+    size = np.minimum(np.array([len(w) for w in vocabulary], int), LONGEST)
+    knots, levels = _isotonic(size.astype(float), total / np.maximum(count, 1))
+    by_length = np.interp(np.arange(LONGEST + 1.0), knots, levels)
+    smooth = lambda t, c: (t + rules.smoothing * by_length[size]) / (c + rules.smoothing)
+    grades = smooth(total, count)
+    steps = np.unique(grade)
+    hard = float(np.quantile(np.repeat(grades, count.astype(int)), 0.9))
+    tokens, own = [_tokens(ss, words) for ss in texts], []
+    for g, ws, t in zip(grade, sets, tokens, strict=True):
+        a, c = total.copy(), count.copy()
         at = [words[w] for w in ws]
-        t[at] -= g
+        a[at] -= g
         c[at] -= 1
-        rows.append(_features(ss, words, (t + smoothing * middle) / (c + smoothing), sizes)[0])
-    x = np.array(rows)
-    centre = np.array([x[tongue == k].mean(axis=0) for k in range(len(names))])
-    scale = np.array([x[tongue == k].std(axis=0) for k in range(len(names))]) + 1e-9
+        own.append(_word_grades(t, smooth(a, c), by_length))
+    tables = [_sentence_table(t, g, hard) for t, g in zip(tokens, own, strict=True)]
+    cuts = np.full((max(len(steps) - 1, 0), len(CUTS)), np.inf)
+    for k in range(len(steps) - 1):
+        low, high = ([tables[i] for i in np.flatnonzero(grade == steps[k + d])] for d in (0, 1))
+        for j in range(len(CUTS)):
+            cuts[k, j] = _best_cut(*(np.concatenate(z) for z in ([t[:, j] for t, _ in low], [w for _, w in low], [t[:, j] for t, _ in high], [w for _, w in high])))
+    width = np.maximum(WIDTH * np.concatenate([t for t, _ in tables]).std(axis=0), 1e-3)
+    x = np.array([_features(t, g, hard, cuts, width) for t, g in zip(tokens, own, strict=True)])
+    groups = [tongue == k for k in range(len(names))] + [np.ones(len(grade), bool)]
+    centre = np.array([x[m].mean(axis=0) for m in groups])
+    scale = np.array([x[m].std(axis=0) for m in groups])
+    scale = np.where(scale > 1e-6, scale, np.inf)
     z = (x - centre[tongue]) / scale[tongue]
-    weights = _rank(z, grade)
-    knots, levels = _isotonic(z @ weights, grade)
-    return ReadingModel(words, (total + smoothing * middle) / (count + smoothing), sizes, tongues, centre, scale, weights, knots, levels)
-
-
-def reading_level(text: str | None, model: ReadingModel) -> tuple[float, float, int]:
-    """Score, calibrated level (grades 1 to 5 with fractions) and the number of graded words."""
-    x, at = _features(own_sentences(text), model.words, model.grades, model.sizes) if text else (None, ())
-    if len(at) < model.least_words:
-        return np.nan, np.nan, len(at)
-    k = int(np.argmax(model.tongues[at].sum(axis=0)))
+    weights = _rank(z, grade, rules)
+    pairs = frozenset(p for t, _, _ in passages for s in sentences_of(own_text(t)) for part in s for p in _word_pairs(part))
+    return ReadingModel(words, grades, tongues, by_length, pairs, hard, cuts, width, centre, scale, weights, *_calibrated(z @ weights, grade))
+
+
+class Speech:
+    """What a document says itself, by the repeated phrases and the passages' words."""
+
+    def __init__(self, model: ReadingModel, phrases: frozenset, rules: Reading):
+        self.model, self.phrases, self.rules, self.known = model, phrases, rules, {}
+
+    def is_formula(self, part: str) -> bool:
+        key = phrase_key(part)
+        if key not in self.phrases:
+            return False
+        if key not in self.known:
+            pairs = _word_pairs(part)
+            if part.endswith("…"):
+                pairs = pairs[:-1]
+            self.known[key] = sum(p not in self.model.pairs for p in pairs) >= self.rules.foreign * len(pairs)
+        return self.known[key]
+
+    def is_header(self, head: str) -> bool:
+        return not any(p in self.model.pairs for p in _word_pairs(head)[1:-1])
+
+    def said(self, part: str) -> str:
+        """The part without the formulas that it begins with, empty if it is one or an opening names it."""
+        while part:
+            if self.is_formula(part):
+                return ""
+            begins = openings(part)
+            if not begins:
+                return part
+            if begins[-1].endswith("…") and self.is_formula(begins[-1]):
+                return ""
+            if begins[0].endswith("…") or not self.is_formula(begins[0]):
+                return part
+            part = part[len(begins[0]) + 1 :].strip(_EDGES)
+        return part
+
+    def own(self, text: str | None) -> list[str]:
+        """The document's own sentences: without the head if it is a header, and without formulas. What follows a
+        formula and a colon is named by it and goes with it."""
+        text, out = own_text(text), []
+        if (head := _HEAD.match(text)) and (self.is_header(head.group(1)) or self.is_formula(head.group(1).strip(_EDGES))):
+            text = text[head.end() :]
+        for parts in sentences_of(text):
+            if len(parts) == 1:
+                said = self.said(parts[0])
+            else:
+                kept = []
+                for part in parts:
+                    if rest := self.said(part):
+                        kept.append(rest)
+                    elif part and not kept:
+                        break
+                said = " ".join(kept)
+            if _WORDS.search(said):
+                out.append(said)
+        return out
+
+
+def reading_level(sentences: Sequence[str], model: ReadingModel) -> tuple[float, float, int]:
+    """Score, calibrated level (grades 1 to 5 with fractions) and number of words; no values without words."""
+    t = _tokens(sentences, model.words)
+    if not len(t.at):
+        return np.nan, np.nan, 0
+    known = t.at[t.at >= 0]
+    k = int(np.argmax(model.tongues[known].sum(axis=0))) if len(known) else len(model.centre) - 1
+    x = _features(t, _word_grades(t, model.grades, model.by_length), model.hard, model.cuts, model.width)
     score = float(((x - model.centre[k]) / model.scale[k]) @ model.weights)
-    return score, float(np.interp(score, model.knots, model.levels)), len(at)
+    return score, float(np.interp(score, model.knots, model.levels)), len(t.at)
 
 
-def reading_levels(documents: DataFrame, graded_passages: DataFrame, most_passages: int = 20_000) -> DataFrame:
+def reading_levels(documents: DataFrame, graded_passages: DataFrame, rules: Reading = Reading()) -> DataFrame:
     """doc_id, score, level, grade and n_words of every row of ``documents`` (doc_id, text).
 
-    The model is fitted on the graded passages (text, grade, lang), which are a fixed reference set:
-    more than ``most_passages`` is an error. It travels as a broadcast variable, and every document is read
-    whole, where its row is. ``level`` runs from 1 to 5, ``grade`` is the nearest whole one; both are null for
-    documents without a speech (null, empty, only formulas or cries). Repeated rows give repeated results;
-    other columns are ignored; an empty table gives none.
+    The model is fitted on the graded passages (text, grade, lang), a reference set: more than
+    ``most_passages`` is an error. It travels as a broadcast variable, as do the keys of the phrases that the corpus
+    repeats; every document is read whole, where its row is. ``level`` runs from 1 to 5, ``grade`` is the nearest whole
+    one; both are null for documents without a word of their own (null, empty, only formulas or cries that other documents
+    repeat). Words that no passage has are graded by their length, so any text gets a level. Repeated rows
+    give repeated results, and count as documents of their own; other columns are ignored; an empty table gives none.
     """
-    held = graded_passages.select("text", F.col("grade").cast("int").alias("grade"), "lang").dropna(subset=["text", "grade"]).limit(most_passages + 1).collect()
-    if len(held) > most_passages:
-        raise ValueError(f"more than {most_passages} graded passages")
-    shared = documents.sparkSession.sparkContext.broadcast(fit_reading_model([(r.text, r.grade, r.lang) for r in held]))
+    held = graded_passages.select("text", F.col("grade").cast("int").alias("grade"), "lang").dropna(subset=["text", "grade"]).limit(rules.most_passages + 1).collect()
+    if len(held) > rules.most_passages:
+        raise ValueError(f"more than {rules.most_passages} graded passages")
+    context = documents.sparkSession.sparkContext
+    phrases = repeated_phrases(documents, rules.share, rules.least)
+    keys = frozenset(phrases.toArrow()["key"].to_pylist())
+    shared = context.broadcast((fit_reading_model([(r.text, r.grade, r.lang) for r in held], rules), keys))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, keys = shared.value
+        speech = Speech(model, keys, rules)
         for b in batches:
-            got = [reading_level(t, model) for t in b["text"].to_pylist()]
+            got = [reading_level(speech.own(t), model) for t in b["text"].to_pylist()]
             score = np.array([g[0] for g in got], float)
             level = np.array([g[1] for g in got], float)
             columns = [b["doc_id"], pa.array(score, from_pandas=True), pa.array(level, from_pandas=True), pa.array(np.clip(np.floor(level + 0.5), 1, 5), from_pandas=True).cast(pa.int32()), pa.array([g[2] for g in got], pa.int64())]
