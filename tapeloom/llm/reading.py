@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 
 _ASIDES = re.compile(r"[(\[][^()\[\]]*[)\]]")
-_ENDS = re.compile(r"[.!?。！？]+(?:\s+|$)|\s*\n\s*")
+_ENDS = re.compile(r"[.!?。！？]+(?:\s+|$)|\n")
 _PARTS = re.compile(r"\s*:(?:\s+|$)|\s+[–—]+\s+")
-_HEAD = re.compile(r"\s*([^:\n]*?)(?::|\n|\s[–—]\s)")
 _BROKEN = re.compile("[ÃÂâ][\x80-\xbfŒ-™¡-¿]")
 _MARKUP = re.compile(r"<[^<>\n]*>|&(?:amp|lt|gt|nbsp|quot|#\d+);")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -54,8 +54,19 @@ def repaired(text: str) -> str:
 
 
 def own_text(text: str | None) -> str:
-    """The text repaired, in lower case, without anything in brackets."""
-    return _ASIDES.sub(" ", repaired(text)).lower() if text else ""
+    """The text repaired, in lower case, without anything in brackets, numbers alike."""
+    return _DIGITS.sub("9", _ASIDES.sub(" ", repaired(text)).lower()) if text else ""
+
+
+def head_of(text: str) -> tuple[str, int]:
+    """The text up to its first colon, line end or dash between spaces, and where the rest begins (0: there is none)."""
+    text_ = text.lstrip()
+    skipped, best = len(text) - len(text_), (len(text_), 0)
+    for mark in (":", "\n", " – ", " — "):
+        at = text_.find(mark, 0, best[0])
+        if at >= 0:
+            best = (at, at + len(mark))
+    return text_[: best[0]], skipped + best[1] if best[1] else 0
 
 
 def sentences_of(text: str) -> list[list[str]]:
@@ -79,10 +90,8 @@ def openings(part: str) -> list[str]:
 
 
 def phrase_key(part: str) -> int:
-    """A 64-bit key of a phrase, numbers in it alike."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(_DIGITS.sub("9", part) if any(map(str.isdigit, part)) else part) - (1 << 63)
+    """A 64-bit key of a phrase."""
+    return xxh3_64_intdigest(part) - (1 << 63)
 
 
 def repeated_phrases(documents: DataFrame, share: float, least: int) -> DataFrame:
@@ -129,18 +138,15 @@ WIDTH = 0.25  # of a cut, in standard deviations of the sentences
 
 @dataclass(frozen=True)
 class ReadingModel:
-    """``words`` maps a word to its place in ``grades`` (its smoothed mean grade) and ``tongues`` (the share of each
-    language in its passages); ``by_length`` is the grade of an unknown word by letters and ``pairs`` are the passages'
-    pairs of words. ``hard`` is the grade from which on a word is hard, ``cuts`` are the sentence cuts of every step
-    between grades, ``width`` how far they reach; ``centre`` and ``scale`` have a row per language and one for all; ``weights`` is the ranker;
-    ``knots`` and ``levels`` are the isotonic calibration."""
+    """``words`` maps a word to its place in ``table`` (see :func:`_word_table`) and ``tongues`` (the share of each
+    language in its passages); ``pairs`` are the passages' pairs of words. ``cuts`` are the sentence cuts of every step
+    between grades, ``width`` how far they reach; ``centre`` and ``scale`` have a row per language and one for all; ``weights``
+    is the ranker; ``knots`` and ``levels`` are the isotonic calibration."""
 
     words: dict
-    grades: np.ndarray
+    table: np.ndarray
     tongues: np.ndarray
-    by_length: np.ndarray
     pairs: frozenset
-    hard: float
     cuts: np.ndarray
     width: np.ndarray
     centre: np.ndarray
@@ -150,54 +156,63 @@ class ReadingModel:
     levels: np.ndarray
 
 
+class _Places(dict):
+    """Words' places in the vocabulary; unknown words stand behind it by their length."""
+
+    def __missing__(self, word: str) -> int:
+        return len(self) + min(len(word), LONGEST)
+
+
 @dataclass
 class _Tokens:
-    """A text's words: ``at`` their places in the vocabulary (-1: unknown), ``size`` their letters; ``bounds`` where its
-    sentences begin, ``commas`` of each."""
+    """A text's words: ``at`` their places, ``bounds`` where its sentences begin, ``commas`` of each."""
 
     at: np.ndarray
-    size: np.ndarray
     bounds: np.ndarray
     commas: np.ndarray
 
 
-def _tokens(sentences: Sequence[str], words: dict) -> _Tokens:
-    at, size, bounds, commas, find, place = [], [], [], [], _WORDS.findall, words.get
+def _tokens(sentences: Sequence[str], words: _Places) -> _Tokens:
+    at, bounds, commas, find, place = [], [], [], _WORDS.findall, words.__getitem__
     for s in sentences:
         if found := find(s):
             bounds.append(len(at))
             commas.append(s.count(","))
-            at += [place(w, -1) for w in found]
-            size += map(len, found)
-    return _Tokens(np.asarray(at, np.int64), np.minimum(np.asarray(size, np.int64), LONGEST), np.asarray(bounds, np.int64), np.asarray(commas, float))
+            at.extend(map(place, found))
+    return _Tokens(np.array(at, np.int64), np.array(bounds, np.int64), np.array(commas, float))
 
 
-def _word_grades(t: _Tokens, grades: np.ndarray, by_length: np.ndarray) -> np.ndarray:
-    return np.where(t.at >= 0, grades[t.at], by_length[t.size])
+def _word_table(size: np.ndarray, grades: np.ndarray, by_length: np.ndarray, hard: float) -> np.ndarray:
+    """A row per place: the word's weight, and that times its letters, whether it has 8 and 12, its grade and whether it is hard."""
+    letters = np.concatenate([size, np.arange(LONGEST + 1)]).astype(float)
+    g = np.concatenate([grades, by_length])
+    weight = np.concatenate([np.ones(len(size)), np.full(LONGEST + 1, UNKNOWN)])
+    return np.stack([np.ones(len(g)), letters, letters >= 8, letters >= 12, g, g >= hard], axis=1) * weight[:, None]
 
 
-def _sentence_table(t: _Tokens, g: np.ndarray, hard: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words, mean grade and share of hard words of each sentence; and the sentences' weights, their words."""
-    length = np.diff(np.append(t.bounds, len(g)))
-    weight = np.where(t.at >= 0, 1.0, UNKNOWN)
-    whole = np.add.reduceat(weight, t.bounds)
-    each = np.add.reduceat(g * weight, t.bounds) / whole
-    share = np.add.reduceat((g >= hard) * weight, t.bounds) / whole
-    return np.stack([np.log(length), each, share], axis=1), whole / whole.sum()
+def _sentence_table(t: _Tokens, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithm of words, mean grade and share of hard words of each sentence; the sentences' weights, their words; and the
+    text's means of the word table."""
+    sums = np.add.reduceat(table[t.at], t.bounds, axis=0)
+    whole = sums[:, 0]
+    length = np.diff(t.bounds, append=len(t.at))
+    total = sums.sum(axis=0)
+    return np.stack([np.log(length), sums[:, 4] / whole, sums[:, 5] / whole], axis=1), whole / total[0], total[1:] / total[0]
 
 
-def _features(t: _Tokens, g: np.ndarray, hard: float, cuts: np.ndarray, width: np.ndarray) -> np.ndarray:
+def _features(t: _Tokens, table: np.ndarray, cuts: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Syntax and vocabulary of a text: means over words and sentences, and for every step between two grades the share of
     the sentences, and of the words in them, above the step's cuts: each cut by itself, words or hard words, any
     and all of them. A sentence within ``width`` of a cut is above it in part."""
-    table, share = _sentence_table(t, g, hard)
-    over = 1.0 / (1.0 + np.exp(-np.clip((table[:, None, :] - cuts[None]) / width, -30, 30)))
-    shares = np.concatenate([over, over[..., [0, 2]].max(axis=2, keepdims=True), over.max(axis=2, keepdims=True), over.min(axis=2, keepdims=True)], axis=2)
-    steps = (shares * share[:, None, None]).sum(axis=0).ravel()
-    weight = np.where(t.at >= 0, 1.0, UNKNOWN)
-    weight = weight / weight.sum()
-    words = np.stack([t.size, t.size >= 8, t.size >= 12, g, g >= hard], axis=1)
-    return np.concatenate([[np.log(len(g) / len(table)), np.log1p(t.commas.mean())], weight @ words, steps, shares.mean(axis=0).ravel()])
+    sentences, share, words = _sentence_table(t, table)
+    over = 1.0 / (1.0 + np.exp(np.clip((cuts[None] - sentences[:, None, :]) / width, -30, 30)))
+    shares = np.empty((*over.shape[:2], 6))
+    shares[..., :3] = over
+    shares[..., 3] = np.maximum(over[..., 0], over[..., 2])
+    shares[..., 4] = np.maximum(shares[..., 3], over[..., 1])
+    shares[..., 5] = over.min(axis=2)
+    flat = shares.reshape(len(shares), -1)
+    return np.concatenate([[np.log(len(t.at) / len(flat)), np.log1p(t.commas.mean())], words, share @ flat, flat.mean(axis=0)])
 
 
 def _best_cut(low: np.ndarray, low_weight: np.ndarray, high: np.ndarray, high_weight: np.ndarray) -> float:
@@ -277,7 +292,7 @@ def fit_reading_model(passages: Sequence[tuple[str, int, str]], rules: Reading =
     tongue = np.array([names.index(str(x)) for _, _, x in passages])
     sets = [{w for s in ss for w in _WORDS.findall(s)} for ss in texts]
     vocabulary = sorted(set().union(*sets))
-    words = {w: i for i, w in enumerate(vocabulary)}
+    words = _Places({w: i for i, w in enumerate(vocabulary)})
     total, count, tongues = np.zeros(len(words)), np.zeros(len(words)), np.zeros((len(words), len(names)))
     for g, ws, x in zip(grade, sets, tongue, strict=True):
         at = [words[w] for w in ws]
@@ -293,20 +308,20 @@ def fit_reading_model(passages: Sequence[tuple[str, int, str]], rules: Reading =
     steps = np.unique(grade)
     hard = float(np.quantile(np.repeat(grades, count.astype(int)), 0.9))
     tokens, own = [_tokens(ss, words) for ss in texts], []
-    for g, ws, t in zip(grade, sets, tokens, strict=True):
+    for g, ws in zip(grade, sets, strict=True):
         a, c = total.copy(), count.copy()
         at = [words[w] for w in ws]
         a[at] -= g
         c[at] -= 1
-        own.append(_word_grades(t, smooth(a, c), by_length))
-    tables = [_sentence_table(t, g, hard) for t, g in zip(tokens, own, strict=True)]
+        own.append(_word_table(size, smooth(a, c), by_length, hard))
+    tables = [_sentence_table(t, own_)[:2] for t, own_ in zip(tokens, own, strict=True)]
     cuts = np.full((max(len(steps) - 1, 0), len(CUTS)), np.inf)
     for k in range(len(steps) - 1):
         low, high = ([tables[i] for i in np.flatnonzero(grade == steps[k + d])] for d in (0, 1))
         for j in range(len(CUTS)):
             cuts[k, j] = _best_cut(*(np.concatenate(z) for z in ([t[:, j] for t, _ in low], [w for _, w in low], [t[:, j] for t, _ in high], [w for _, w in high])))
     width = np.maximum(WIDTH * np.concatenate([t for t, _ in tables]).std(axis=0), 1e-3)
-    x = np.array([_features(t, g, hard, cuts, width) for t, g in zip(tokens, own, strict=True)])
+    x = np.array([_features(t, own_, cuts, width) for t, own_ in zip(tokens, own, strict=True)])
     groups = [tongue == k for k in range(len(names))] + [np.ones(len(grade), bool)]
     centre = np.array([x[m].mean(axis=0) for m in groups])
     scale = np.array([x[m].std(axis=0) for m in groups])
@@ -314,7 +329,7 @@ def fit_reading_model(passages: Sequence[tuple[str, int, str]], rules: Reading =
     z = (x - centre[tongue]) / scale[tongue]
     weights = _rank(z, grade, rules)
     pairs = frozenset(p for t, _, _ in passages for s in sentences_of(own_text(t)) for part in s for p in _word_pairs(part))
-    return ReadingModel(words, grades, tongues, by_length, pairs, hard, cuts, width, centre, scale, weights, *_calibrated(z @ weights, grade))
+    return ReadingModel(words, _word_table(size, grades, by_length, hard), tongues, pairs, cuts, width, centre, scale, weights, *_calibrated(z @ weights, grade))
 
 
 class Speech:
@@ -356,8 +371,9 @@ class Speech:
         """The document's own sentences: without the head if it is a header, and without formulas. What follows a
         formula and a colon is named by it and goes with it."""
         text, out = own_text(text), []
-        if (head := _HEAD.match(text)) and (self.is_header(head.group(1)) or self.is_formula(head.group(1).strip(_EDGES))):
-            text = text[head.end() :]
+        head, end = head_of(text)
+        if end and (self.is_header(head) or self.is_formula(head.strip(_EDGES))):
+            text = text[end:]
         for parts in sentences_of(text):
             if len(parts) == 1:
                 said = self.said(parts[0])
@@ -379,9 +395,9 @@ def reading_level(sentences: Sequence[str], model: ReadingModel) -> tuple[float,
     t = _tokens(sentences, model.words)
     if not len(t.at):
         return np.nan, np.nan, 0
-    known = t.at[t.at >= 0]
+    known = t.at[t.at < len(model.tongues)]
     k = int(np.argmax(model.tongues[known].sum(axis=0))) if len(known) else len(model.centre) - 1
-    x = _features(t, _word_grades(t, model.grades, model.by_length), model.hard, model.cuts, model.width)
+    x = _features(t, model.table, model.cuts, model.width)
     score = float(((x - model.centre[k]) / model.scale[k]) @ model.weights)
     return score, float(np.interp(score, model.knots, model.levels)), len(t.at)
 
