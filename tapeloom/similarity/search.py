@@ -1,15 +1,17 @@
 """The search: recall per series, a global bound, re-ranking of the shortlist, and suppression of overlaps.
 
 Series are scanned where they lie (one shuffle by instrument, the query in the kernel's closure); only
-window metadata leaves the scan. The shortlist is bounded by ``recall_n``, so what follows is small.
+window metadata leaves the scan. The shortlist is bounded by ``recall_n``, so what follows is small. With ``exact``
+nothing is bounded: every legal window is re-ranked where its series lies.
 """
 
+import time
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ from tapeloom.similarity import measures as M
 
 @dataclass(frozen=True)
 class SearchRules:
-    """Fixed values of the search. ``step`` is the stride of the elastic scan; 1 looks at every window."""
+    """Fixed values of the search. ``step`` is the stride of the elastic scan (see :func:`stride`); 1 looks at every
+    window. ``min_length`` and ``max_length`` bound the windows of the elastic mode. ``exact`` re-ranks every window, in
+    elastic mode, whose score doesn't depend on the other candidates. Weights lie between 0 and 1."""
 
     mode: str = "fixed"
     min_length: int = 8
@@ -39,8 +43,26 @@ class SearchRules:
     weekly_weight: float = 0.25
     weekly_prior: int = 8
     event_bands: bool = True
+    exact: bool = False
     score_weights: dict = field(default_factory=lambda: {"mass": 0.15, "dtw": 0.30, "aligned": 0.20, "ret": 0.10, "vol": 0.05, "event": 0.20})
 
+    def check(self) -> None:
+        """ValueError for a mode, bound or weight out of range."""
+        if self.mode not in ("fixed", "elastic"):
+            raise ValueError("unknown mode")
+        if self.exact and self.mode != "elastic":
+            raise ValueError("scores of the fixed mode are ranks among the candidates: exact needs the elastic mode")
+        if min(self.lengths, self.step, self.local_top, self.recall_n, self.top_k) < 1 or self.weekly_prior < 0:
+            raise ValueError("counts must be 1 at least")
+        shares = (self.exclusion, self.warp, self.overlap, self.self_overlap, self.weekly_weight, *self.score_weights.values())
+        if not all(np.isfinite(x) and 0 <= x <= 1 for x in shares) or not sum(self.score_weights.values()) > 0 or not self.clip > 0:
+            raise ValueError("weights and shares must lie between 0 and 1")
+
+
+def stride(length: int, most: int = 8) -> int:
+    """The stride for a quick scan of windows of a length: a quarter of it, from 1 to ``most``."""
+    return min(most, max(1, length // 4))
+
 
 LAG_DAYS = {"D": 7, "W": 14, "M": 45}
 _BAR = ("open", "high", "low", "close", "vol")
@@ -99,101 +121,114 @@ def _previous(bars: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(starts > 0, close[np.maximum(starts - 1, 0)], close[starts])
 
 
-def _scan(code: str, days: np.ndarray, bars: np.ndarray, m: int, starts: np.ndarray, query: Query, rules: SearchRules, block: int = 1024) -> dict[str, np.ndarray]:
-    """Distances of the windows of length ``m`` at ``starts``, block by block."""
+def _scan(series: M.Series, m: int, starts: np.ndarray, query: Query, rules: SearchRules, block: int = 8192) -> dict[str, np.ndarray]:
+    """Distances of the windows of length ``m`` at ``starts``."""
     qf, qe, qs, _ = query.parts(rules)
-    found: dict[str, list] = {k: [] for k in ("mass", "structure", "event", "state", "coverage", "missing")}
-    elastic = rules.mode == "elastic"
+    coverage, missing = (x[starts] for x in series.coverage(qe, m))
+    if rules.mode == "fixed":
+        return {"mass": series.shape(query.bars[:, 3])[starts], "structure": series.structure(qf)[starts], "event": series.event(qe)[starts], "state": np.zeros(len(starts)), "coverage": coverage, "missing": missing}
     n = len(query.days)
     buckets = min(n, m, int(np.clip(round(n / 2), 8, 32)))
-    qc = M.coarse(*(query.bars[None, :, k] for k in range(5)), buckets) if elastic else None
+    own = M.coarse(*(query.bars[None, :, k] for k in range(5)), buckets)
+    own_features, own_modes = M.bar_features(*own, rules.use_volume)[0], M.bucket_modes(qs[None], buckets)[0]
+    own_events = np.maximum.reduceat(qe, M.bucket_starts(n, buckets), axis=0)
+    found: dict[str, list] = {k: [] for k in ("mass", "structure", "event", "state")}
     for k in range(0, len(starts), block):
         at = starts[k : k + block]
-        o, h, lo, c, v = _windows(bars, at, m)
-        events = M.board_events(o, h, lo, c, _previous(bars, at), limit_of(code))
-        if elastic:
-            full = M.bar_features(o, h, lo, c, v)
-            state, _ = M.states(full, events)
-            small = M.coarse(o, h, lo, c, v, buckets)
-            mass = M.shape_distance(qc[3], small[3])
-            structure = M.structure_distance(M.bar_features(*qc, rules.use_volume)[0], M.bar_features(*small, rules.use_volume))
-            modes = [M.bucket_modes(x, buckets) for x in (qs[None], state)]
-            differ = np.mean(modes[0] != modes[1], axis=(1, 2))
-            cutoff = [M.bucket_starts(x.shape[1], buckets) for x in (qe[None], events)]
-            event = M.event_distance(np.maximum.reduceat(qe, cutoff[0], axis=0), np.maximum.reduceat(events, cutoff[1], axis=1))
-        else:
-            mass, structure, differ = M.shape_distance(query.bars[:, 3], c), M.structure_distance(qf, M.bar_features(o, h, lo, c, v, rules.use_volume)), np.zeros(len(at))
-            event = M.event_distance(qe, events)
-        coverage, missing = M.event_coverage(qe, events)
-        for name, x in zip(found, (mass, structure, event, differ, coverage, missing), strict=True):
-            found[name].append(x)
-    return {k: np.concatenate(x) if x else np.zeros(0) for k, x in found.items()}
-
-
-def _recall_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int]):
+        small, events = series.coarse_windows(m, buckets, at)
+        found["mass"].append(M.shape_distance(own[3], small[3]))
+        found["structure"].append(M.structure_distance(own_features, M.bar_features(*small, rules.use_volume)))
+        found["event"].append(M.event_distance(own_events, events))
+        found["state"].append(np.mean(series.modes(m, buckets, at) != own_modes, axis=(1, 2)))
+    return {k: np.concatenate(x) if x else np.zeros(0) for k, x in found.items()} | {"coverage": coverage, "missing": missing}
+
+
+def _bars_of(table: pa.Table) -> tuple[str, np.ndarray, np.ndarray]:
+    """Code, days and bars (open, high, low, close, vol) of one series, in date order."""
+    table = table.sort_by("date")
+    bars = np.stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in _BAR], axis=1)
+    bars[:, 4] = np.nan_to_num(bars[:, 4])
+    return table["ts_code"][0].as_py(), table["date"].cast(pa.int32()).to_numpy(), bars
+
+
+def _legal(code: str, first: np.ndarray, last: np.ndarray, query: Query, rules: SearchRules, history_only: bool, exclude: bool) -> np.ndarray:
+    legal = np.ones(len(first), bool)
+    if history_only:
+        legal &= last < query.days[0]
+    if exclude and code == query.symbol:
+        span = np.minimum(last, query.days[-1]) - np.maximum(first, query.days[0])
+        legal &= np.maximum(span, 0) / (query.days[-1] - query.days[0] + 1) <= rules.self_overlap
+    return legal
+
+
+def _recall_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int], everything: bool = False):
+    """The best windows of each path of a series, or with ``everything`` all legal ones."""
+    names = [x.split()[0] for x in _CANDIDATE.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.string(), pa.date32(), pa.date32()]
+    has_events = bool(query.parts(rules)[1].any())
+    elastic = rules.mode == "elastic"
+
     def recall(table: pa.Table) -> pa.Table:
-        table = table.sort_by("date")
-        code = table["ts_code"][0].as_py()
-        days = table["date"].cast(pa.int32()).to_numpy()
-        bars = np.stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in _BAR], axis=1)
-        bars[:, 4] = np.nan_to_num(bars[:, 4])
-        has_events = bool(query.parts(rules)[1].any())
-        rows = []
+        code, days, bars = _bars_of(table)
+        series = M.Series(bars, limit_of(code), rules.use_volume)
+        out = []
         for m in lengths:
             if len(days) < m:
                 continue
-            step = rules.step if rules.mode == "elastic" and not latest else 1
+            step = rules.step if elastic and not latest else 1
             starts = np.array([len(days) - m]) if latest else np.arange(0, len(days) - m + 1, step)
-            found = _scan(code, days, bars, m, starts, query, rules)
+            found = _scan(series, m, starts, query, rules)
             first, last = days[starts], days[starts + m - 1]
-            legal = np.ones(len(starts), bool)
-            if history_only and not latest:
-                legal &= last < query.days[0]
-            if exclude and code == query.symbol:
-                span = np.minimum(last, query.days[-1]) - np.maximum(first, query.days[0])
-                legal &= np.maximum(span, 0) / (query.days[-1] - query.days[0] + 1) <= rules.self_overlap
+            legal = _legal(code, first, last, query, rules, history_only and not latest, exclude)
             miss = 2.0 * (1.0 - found["coverage"])
-            elastic = rules.mode == "elastic"
             total = found["mass"] + 0.75 * found["event"] + miss
             if elastic:
                 total = total + 0.35 * found["structure"] + 0.25 * found["state"]
             ways = {"mass": total, "structure": found["structure"]} | ({"state": found["state"]} if elastic else {}) | ({"event": found["event"] + miss} if has_events else {})
             radius = max(1, round(max(3, m * rules.exclusion) / step)) if elastic else max(5, int(m * rules.exclusion))
             paths: dict[int, list] = {}
-            for name, x in ways.items():
-                for k in M.local_minima(np.where(legal, x, np.inf), rules.local_top, radius):
-                    paths.setdefault(k, []).append(name)
-            rows += [(code, int(starts[k]), m, *[float(found[x][k]) for x in ("mass", "structure", "event", "state", "coverage")], int(found["missing"][k]), "+".join(sorted(p)), int(first[k]), int(last[k])) for k, p in paths.items()]
-        kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.string(), pa.int32(), pa.int32()]
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        columns[-2:] = [x.cast(pa.date32()) for x in columns[-2:]]
-        return pa.table(columns, names=[x.split()[0] for x in _CANDIDATE.split(", ")])
+            if everything:
+                paths = {int(k): ["all"] for k in np.flatnonzero(legal)}
+            else:
+                for name, x in ways.items():
+                    for k in M.local_minima(np.where(legal, x, np.inf), rules.local_top, radius):
+                        paths.setdefault(k, []).append(name)
+            at = np.fromiter(paths, np.int64, len(paths))
+            columns = [[code] * len(at), starts[at], np.full(len(at), m), *[found[x][at] for x in ("mass", "structure", "event", "state", "coverage")], found["missing"][at], ["+".join(sorted(p)) for p in paths.values()], first[at], last[at]]
+            arrays = [pa.array(x, pa.int32()).cast(k) if k == pa.date32() else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
+            out.append(pa.table(arrays, names=names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names=names)
 
     return recall
 
 
-def bounded(candidates: DataFrame, limit: int, events: bool) -> DataFrame:
+def _key() -> Column:
+    return F.col("mass") + 0.75 * F.col("event") + 2.0 * (1.0 - F.col("coverage"))
+
+
+def bounded(candidates: DataFrame, limit: int, events: bool) -> pd.DataFrame:
     """At most ``limit`` candidates: with query events first the complete ones (half of the limit at most), then the
-    structure path's (a third of the rest at most), then the best of the rest; ties go to later windows."""
-    key = F.col("mass") + 0.75 * F.col("event") + 2.0 * (1.0 - F.col("coverage"))
+    structure path's (a third of the rest at most), then the best of the rest; ties go to later windows.
+
+    Each of the three needs the head of its own order only, so one job brings at most ``3 * limit`` rows to the
+    driver, which puts them together."""
     order = [F.col("key"), F.col("ts_code").desc(), F.col("start_idx").desc(), F.col("length").desc()]
-    rest = candidates.withColumn("key", key)
+    keyed = candidates.withColumn("key", _key())
+    heads = [keyed.filter("missing = 0")] if events else []
+    heads += [keyed.filter(F.col("paths").contains("structure")), keyed]
+    union = heads[0].orderBy(*order).limit(limit)
+    for h in heads[1:]:
+        union = union.unionByName(h.orderBy(*order).limit(limit))
     ident = ["ts_code", "start_idx", "length"]
-    kept, room = [], limit
+    rest = union.toPandas().drop_duplicates(ident).sort_values(["key", *ident], ascending=[True, False, False, False], ignore_index=True)
+    kept = np.zeros(len(rest), bool)
     if events:
-        complete = cut(rest.filter("missing = 0").orderBy(*order).limit(max(1, limit // 2)))
-        kept.append(complete)
-        room -= complete.count()
-        rest = rest.join(F.broadcast(complete.select(*ident)), ident, "left_anti")
+        kept[np.flatnonzero(rest["missing"] == 0)[: max(1, limit // 2)]] = True
+    room = limit - kept.sum()
     if room > 0:
-        shaped = cut(rest.filter(F.col("paths").contains("structure")).orderBy(*order).limit(max(1, room // 3)))
-        kept.append(shaped)
-        rest = rest.join(F.broadcast(shaped.select(*ident)), ident, "left_anti").orderBy(*order).limit(max(0, room - shaped.count()))
-        kept.append(rest)
-    out = kept[0]
-    for x in kept[1:]:
-        out = out.unionByName(x)
-    return out
+        kept[np.flatnonzero(~kept & rest["paths"].str.contains("structure").to_numpy(bool))[: max(1, room // 3)]] = True
+        kept[np.flatnonzero(~kept)[: limit - kept.sum()]] = True
+    return rest[kept]
 
 
 _METRIC = "ts_code string, start_idx int, length int, dtw double, aligned double, ret double, vol double, event_seq double, state_edit double, anchor double, steps int, skipped_query int, skipped_window int, weekly double, weekly_share double, weekly_weeks int"
@@ -203,150 +238,229 @@ def _weeks(days: np.ndarray) -> np.ndarray:
     return (days + 5) // 7  # weeks end on Friday: day 0 is a Thursday
 
 
-def _rerank_kernel(query: Query, rules: SearchRules, middle: np.ndarray, spread: np.ndarray, timeframe: str):
-    def rerank(windows: pa.Table, table: pa.Table) -> pa.Table:
-        names = [x.split()[0] for x in _METRIC.split(", ")]
-        if not windows.num_rows:
-            return pa.table({n: [] for n in names})
-        table = table.sort_by("date")
-        code = table["ts_code"][0].as_py()
-        days = table["date"].cast(pa.int32()).to_numpy()
-        bars = np.stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in _BAR], axis=1)
-        bars[:, 4] = np.nan_to_num(bars[:, 4])
-        qf, qe, qs, ql = query.parts(rules)
-        weights = np.sqrt(M.FEATURE_WEIGHTS) * np.where(np.arange(7) < 6, 1.0, float(rules.use_volume))
-        elastic = rules.mode == "elastic"
-        scaled = (lambda x: x / np.maximum(qf.std(axis=0), 1e-3) * weights) if elastic else (lambda x: np.clip((x - middle) / spread, -rules.clip, rules.clip) * weights)
-        flags = np.sqrt(0.2 * M.EVENT_WEIGHTS)
-        q = np.concatenate([scaled(qf), qe * flags], axis=1)
-        qret, qvol = np.log(query.bars[-1, 3] / query.bars[0, 3]), np.diff(np.log(query.bars[:, 3])).std()
-        start, length = windows["start_idx"].to_numpy(), windows["length"].to_numpy()
-        out: dict[str, list] = {n: [] for n in names}
-        for m in np.unique(length):
-            at = start[length == m]
-            o, h, lo, c, v = _windows(bars, at, int(m))
-            events = M.board_events(o, h, lo, c, _previous(bars, at), limit_of(code))
-            x = np.concatenate([scaled(M.bar_features(o, h, lo, c, v, rules.use_volume)), events * flags], axis=2)
-            state, loud = M.states(M.bar_features(o, h, lo, c, v), events)
-            zero = np.zeros(len(at))
-            if elastic:
-                dtw, steps, over_q, over_c = M.elastic_distance(q, x, ql, loud)
-                edit, anchor = M.edit_distance(qs, state, ql, loud), M.anchor_distance(query.bars[:, 3], c)
-            else:
-                dtw, steps, over_q, over_c, edit, anchor = M.warped_distance(q, x, max(1, round(m * rules.warp))), zero, zero, zero, zero, zero
-            aligned = [float(np.sqrt(np.mean((M.resampled(w, len(q)) - q) ** 2))) if elastic else float(np.sqrt(np.mean(((w - q) ** 2).sum(axis=1)))) for w in x]
-            weekly = [M.weekly_distance(query.weekly, M.weekly_parts(_weeks(days), bars, int(k), int(k + m - 1), rules.weekly_prior), rules.use_volume) if query.weekly else (np.nan, np.nan, 0) for k in at]
-            ret = np.abs(np.log(c[:, -1] / c[:, 0]) - qret)
-            vol = np.abs(np.log((np.diff(np.log(c), axis=1).std(axis=1) + 1e-9) / (qvol + 1e-9)))
-            columns = [[code] * len(at), at, [m] * len(at), dtw, aligned, ret, vol, [M.event_sequence(qe, e)[0] for e in events], edit, anchor, steps, over_q, over_c, *zip(*weekly, strict=True)]
-            for n, values in zip(names, columns, strict=True):
-                out[n] += list(values)
-        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-        return pa.table([pa.array(np.asarray(out[n]).tolist(), kinds[t]) for n, t in (x.split() for x in _METRIC.split(", "))], names=names)
+def _rerank(code: str, days: np.ndarray, bars: np.ndarray, start: np.ndarray, m: int, query: Query, rules: SearchRules, middle: np.ndarray, spread: np.ndarray) -> list:
+    """Columns of ``_METRIC`` for the windows of ``m`` bars at ``start``."""
+    qf, qe, qs, ql = query.parts(rules)
+    weights = np.sqrt(M.FEATURE_WEIGHTS) * np.where(np.arange(7) < 6, 1.0, float(rules.use_volume))
+    elastic = rules.mode == "elastic"
+    scaled = (lambda x: x / np.maximum(qf.std(axis=0), 1e-3) * weights) if elastic else (lambda x: np.clip((x - middle) / spread, -rules.clip, rules.clip) * weights)
+    flags = np.sqrt(0.2 * M.EVENT_WEIGHTS)
+    q = np.concatenate([scaled(qf), qe * flags], axis=1)
+    qret, qvol = np.log(query.bars[-1, 3] / query.bars[0, 3]), np.diff(np.log(query.bars[:, 3])).std()
+    o, h, lo, c, v = _windows(bars, start, m)
+    events = M.board_events(o, h, lo, c, _previous(bars, start), limit_of(code))
+    x = np.concatenate([scaled(M.bar_features(o, h, lo, c, v, rules.use_volume)), events * flags], axis=2)
+    zero = np.zeros(len(start))
+    if elastic:
+        state, loud = M.states(M.bar_features(o, h, lo, c, v), events)
+        dtw, steps, over_q, over_c = M.elastic_distance(q, x, ql, loud)
+        edit, anchor = M.edit_distance(qs, state, ql, loud), M.anchor_distance(query.bars[:, 3], c)
+        aligned = np.sqrt(np.mean((M.resampled_windows(x, len(q)) - q) ** 2, axis=(1, 2)))
+    else:
+        dtw, steps, over_q, over_c, edit, anchor = M.warped_distance(q, x, max(1, round(m * rules.warp))), zero, zero, zero, zero, zero
+        aligned = np.sqrt(np.mean(((x - q) ** 2).sum(axis=2), axis=1))
+    weeks = _weeks(days)
+    weekly = [M.weekly_distance(query.weekly, M.weekly_parts(weeks, bars, int(k), int(k + m - 1), rules.weekly_prior), rules.use_volume) if query.weekly else (np.nan, np.nan, 0) for k in start]
+    ret = np.abs(np.log(c[:, -1] / c[:, 0]) - qret)
+    vol = np.abs(np.log((np.diff(np.log(c), axis=1).std(axis=1) + 1e-9) / (qvol + 1e-9)))
+    return [[code] * len(start), start, [m] * len(start), dtw, aligned, ret, vol, M.event_sequences(qe, events), edit, anchor, steps, over_q, over_c, *zip(*weekly, strict=True)]
+
+
+def _rerank_kernel(query: Query, rules: SearchRules, middle: np.ndarray, spread: np.ndarray, windows: dict[str, dict[int, np.ndarray]], block: int = 512):
+    """Metrics of a series' shortlisted ``windows`` (by code and length)."""
+    fields = [x.split() for x in _METRIC.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+    def rerank(table: pa.Table) -> pa.Table:
+        code, days, bars = _bars_of(table)
+        out = [pa.table([pa.array([], kinds[t]) for _, t in fields], names=[n for n, _ in fields])]
+        for m, start in windows.get(code, {}).items():
+            for k in range(0, len(start), block):
+                columns = _rerank(code, days, bars, start[k : k + block], m, query, rules, middle, spread)
+                out.append(pa.table([pa.array(np.asarray(x).tolist(), kinds[t]) for x, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]))
+        return pa.concat_tables(out)
 
     return rerank
 
 
-def _feature_rows(query: Query, rules: SearchRules):
+def _exact_kernel(recall, query: Query, rules: SearchRules, block: int = 512):
+    """Every legal window of a series with its metrics: recall and re-ranking in one."""
+    fields = [x.split() for x in _METRIC.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+    def whole(table: pa.Table) -> pa.Table:
+        candidates = recall(table)
+        code, days, bars = _bars_of(table)
+        start, length = candidates["start_idx"].to_numpy(), candidates["length"].to_numpy()
+        more: dict[str, list] = {n: [] for n, _ in fields[3:]}
+        # Candidates stand by length and start, as the kernel gives them.
+        for m in dict.fromkeys(length.tolist()):
+            own = start[length == m]
+            for k in range(0, len(own), block):
+                for (n, _), x in zip(fields[3:], _rerank(code, days, bars, own[k : k + block], m, query, rules, np.zeros(7), np.ones(7))[3:], strict=True):
+                    more[n] += np.asarray(x).tolist()
+        for n, t in fields[3:]:
+            candidates = candidates.append_column(n, pa.array(more[n], kinds[t]))
+        return candidates
+
+    return whole
+
+
+def _feature_kernel(rules: SearchRules, windows: dict[str, dict[int, np.ndarray]]):
     """Bar features of shortlisted windows, for the robust scale."""
 
-    def rows(windows: pa.Table, table: pa.Table) -> pa.Table:
-        names = [f"f{k}" for k in range(7)]
-        if not windows.num_rows:
-            return pa.table({n: pa.array([], pa.float64()) for n in names})
-        table = table.sort_by("date")
-        bars = np.stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in _BAR], axis=1)
-        bars[:, 4] = np.nan_to_num(bars[:, 4])
-        m = int(windows["length"][0].as_py())
-        x = M.bar_features(*_windows(bars, windows["start_idx"].to_numpy(), m), rules.use_volume).reshape(-1, 7)
-        return pa.table([x[:, k] for k in range(7)], names=names)
+    def rows(table: pa.Table) -> pa.Table:
+        code, _, bars = _bars_of(table)
+        x = [M.bar_features(*_windows(bars, start, m), rules.use_volume).reshape(-1, 7) for m, start in windows.get(code, {}).items()]
+        x = np.concatenate(x) if x else np.zeros((0, 7))
+        return pa.table([x[:, k] for k in range(7)], names=[f"f{k}" for k in range(7)])
 
     return rows
 
 
-def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRules = SearchRules(), timeframe: str = "D", history_only: bool = False, exclude_query: bool = True, latest: bool = False, counters: Observation | None = None) -> DataFrame:
-    """The best ``top_k`` windows like the query's: rank, ts_code, dates, length, score and all distances.
+def fused_score(weights: dict) -> Column:
+    """One minus the weighted ranks, as shares of the candidates, of the fixed mode's distances."""
+    ranked = {"mass": "mass", "dtw": "dtw", "aligned": "aligned", "ret": "ret", "vol": "vol", "event": "event_seq"}
+    return 1.0 - sum((F.percent_rank().over(W.orderBy(F.col(c))) * weights[k] for k, c in ranked.items()), F.lit(0.0))
 
-    ``bars``: ts_code, date, open, high, low, close, vol, unique by key; bars that are not finite and positive are
-    left out. ``timeframe`` W or M merges them first. ``history_only`` keeps windows that end before the query
-    starts; ``exclude_query`` those of its own series that overlap it; ``latest`` looks only at the last window of
-    every other series that is not out of date. ``counters`` gets the number of candidates and of each path's. ValueError for unknown modes, less than three bars or too many.
-    """
-    if rules.mode not in ("fixed", "elastic") or timeframe not in LAG_DAYS:
-        raise ValueError("unknown mode or timeframe")
+
+def banded_score(score: Column | str = "score") -> Column:
+    """A score in the band of its events: complete and in place above 0.5, complete above 0.25, others below."""
+    base = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+    quality = F.col("coverage") * F.least(F.greatest(1.0 - F.col("event_seq"), F.lit(0.0)), F.lit(1.0))
+    return F.when((F.col("missing") == 0) & (F.col("event_seq") <= 1e-9), 0.5 + 0.5 * base).when(F.col("missing") == 0, 0.25 + 0.25 * base * quality).otherwise(0.25 * (0.5 * base + 0.5 * quality))
+
+
+def scanned(bars: DataFrame, lengths: list[int], step: int = 1) -> DataFrame:
+    """How many series are long enough for one of the lengths, and how many windows a scan of them has."""
+    per = bars.groupBy("ts_code").agg(F.count("*").alias("n"))
+    windows = sum((F.when(F.col("n") >= m, F.floor((F.col("n") - m) / step) + 1).otherwise(0) for m in lengths), F.lit(0).cast("long"))
+    return per.select(windows.alias("w")).agg(F.count_if(F.col("w") > 0).alias("symbols"), F.sum("w").alias("windows_total"))
+
+
+def _framed(bars: DataFrame, timeframe: str) -> DataFrame:
+    """Finite, positive bars of a timeframe, cut and kept by instrument: the scan, the scale and the re-ranking read them."""
+    if timeframe not in LAG_DAYS:
+        raise ValueError("unknown timeframe")
     daily = valid_bars(bars, PRICES).select("ts_code", "date", *PRICES, F.coalesce("vol", F.lit(0)).cast("double").alias("vol"))
-    frame = daily if timeframe == "D" else resample(daily.withColumn("amount", F.lit(0.0)), timeframe).select("ts_code", "date", *PRICES, F.col("vol").cast("double").alias("vol"))
-    frame = cut(frame)  # read by the query, the scan, the scale and the re-ranking
-    own = frame.filter((F.col("ts_code") == symbol) & (F.col("date") <= F.lit(end).cast("date"))).orderBy(F.col("date").desc()).limit(rules.max_length + 64 + 8 * rules.weekly_prior).toPandas().sort_values("date")
-    inside = (pd.to_datetime(own["date"]) >= pd.Timestamp(start)).to_numpy()
-    if inside.sum() < 3 or inside.sum() > rules.max_length:
-        raise ValueError("the query needs 3 bars at least and max_length at most")
-    values, days = own[list(_BAR)].to_numpy(float), (pd.to_datetime(own["date"]) - pd.Timestamp(0)).dt.days.to_numpy()
+    if timeframe != "D":
+        daily = resample(daily.withColumn("amount", F.lit(0.0)), timeframe).select("ts_code", "date", *PRICES, F.col("vol").cast("double").alias("vol"))
+    return cut(daily.repartition("ts_code"))
+
+
+def query_of(frame: DataFrame, symbol: str, start: str, end: str, rules: SearchRules, timeframe: str = "D") -> Query:
+    """The query window with its weekly background. Its bars, and a bounded number before them, come to the driver."""
+    before = F.lit(start).cast("date")
+    own = frame.filter((F.col("ts_code") == symbol) & (F.col("date") <= F.lit(end).cast("date")))
+    near = own.filter(F.col("date") >= F.date_sub(before, 14 * (rules.weekly_prior + 2))).unionByName(own.filter(F.col("date") < before).orderBy(F.col("date").desc()).limit(5 * (rules.weekly_prior + 2))).distinct()
+    got = near.toPandas().sort_values("date")
+    inside = (pd.to_datetime(got["date"]) >= pd.Timestamp(start)).to_numpy()
+    if inside.sum() < 3 or (rules.mode == "elastic" and inside.sum() > rules.max_length):
+        raise ValueError("the query needs 3 bars at least, and max_length at most in elastic mode")
+    values, days = got[list(_BAR)].to_numpy(float), (pd.to_datetime(got["date"]) - pd.Timestamp(0)).dt.days.to_numpy()
     first = int(np.flatnonzero(inside)[0])
     weekly = M.weekly_parts(_weeks(days), values, first, len(days) - 1, rules.weekly_prior) if timeframe == "D" and rules.weekly_weight > 0 else None
     if weekly is not None and len(weekly[1]) < 3:
         weekly = None
-    query = Query(symbol, days[first:], values[first:], values[first - 1, 3] if first else values[first, 3], weekly)
-    _, qe, _, _ = query.parts(rules)
+    return Query(symbol, days[first:], values[first:], values[first - 1, 3] if first else values[first, 3], weekly)
+
+
+def window_distances(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRules = SearchRules()) -> DataFrame:
+    """Every window of the query's lengths with its distances in the recall: mass, structure, event, state, coverage, missing."""
+    rules.check()
+    frame = _framed(bars, "D")
+    query = query_of(frame, symbol, start, end, rules)
+    kernel = _recall_kernel(query, rules, False, False, False, candidate_lengths(len(query.days), rules), everything=True)
+    return frame.groupBy("ts_code").applyInArrow(kernel, _CANDIDATE).drop("paths")
+
+
+def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRules = SearchRules(), timeframe: str = "D", history_only: bool = False, exclude_query: bool = True, latest: bool = False, counters: Observation | None = None, seconds: dict | None = None) -> DataFrame:
+    """The best ``top_k`` windows like the query's: rank, ts_code, dates, length, score and all distances.
 
+    ``bars``: ts_code, date, open, high, low, close, vol, unique by key; bars that are not finite and positive are
+    left out. ``timeframe`` W or M merges them first. ``history_only`` keeps windows that end before the query
+    starts; ``exclude_query`` those of its own series that overlap it; ``latest`` looks only at the last window of
+    every other series that is not out of date. ``counters`` gets the number of candidates and of each path's (see :func:`scanned`
+    for series and windows), ``seconds`` the time of each phase that runs here. ValueError for modes, weights and
+    timeframes out of range, and for less than three bars or, in elastic mode, more than ``max_length``.
+    """
+    rules.check()
+    clock, spent = time.perf_counter, seconds if seconds is not None else {}
+
+    def mark(phase: str, began: float) -> float:
+        spent[phase] = clock() - began
+        return clock()
+
+    began = clock()
+    frame = _framed(bars, timeframe)
+    query = query_of(frame, symbol, start, end, rules, timeframe)
+    _, qe, _, _ = query.parts(rules)
+    began = mark("load", began)
     lengths = candidate_lengths(len(query.days), rules)
-    scanned = frame
+    scanned_ = frame
     if latest:
-        newest = frame.agg(F.max("date").alias("newest"))
-        fresh = frame.groupBy("ts_code").agg(F.max("date").alias("own_last")).join(F.broadcast(newest), F.col("own_last") >= F.date_sub("newest", LAG_DAYS[timeframe]))
-        scanned = frame.filter(F.col("ts_code") != symbol).join(fresh.select("ts_code"), "ts_code", "left_semi")
-    recalled = scanned.groupBy("ts_code").applyInArrow(_recall_kernel(query, rules, history_only, exclude_query, latest, lengths), _CANDIDATE)
-    if counters is not None:
-        recalled = recalled.observe(counters, F.count("*").alias("candidates"), *[F.count_if(F.col("paths").contains(p)).alias(f"{p}_path") for p in ("mass", "structure", "event", "state")])
-    recalled = cut(recalled)
-    shortlist = cut(bounded(recalled, rules.recall_n, bool(qe.any())))
-    near = frame.join(F.broadcast(shortlist.select("ts_code").distinct()), "ts_code", "left_semi")
-    pairs = lambda: shortlist.select("ts_code", "start_idx", "length").groupBy("ts_code").cogroup(near.groupBy("ts_code"))
-    middle, spread = np.zeros(7), np.ones(7)
-    if rules.mode == "fixed":
-        features = pairs().applyInArrow(_feature_rows(query, rules), ", ".join(f"f{k} double" for k in range(7)))
-        whole = features.unionByName(bars.sparkSession.createDataFrame(query.parts(rules)[0].tolist(), features.schema))
-        got = whole.agg(*[F.percentile(F.col(f"f{k}"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"f{k}") for k in range(7)]).first()
-        middle, spread = np.array([x[1] for x in got]), np.maximum(np.array([x[2] - x[0] for x in got]), 1e-6)
-    metrics = pairs().applyInArrow(_rerank_kernel(query, rules, middle, spread, timeframe), _METRIC)
-    df = shortlist.join(metrics, ["ts_code", "start_idx", "length"])
+        newest = frame.agg(F.max("date").alias("newest")).first()["newest"]
+        fresh = frame.groupBy("ts_code").agg(F.max("date").alias("own_last")).filter(F.col("own_last") >= F.date_sub(F.lit(newest), LAG_DAYS[timeframe])).select("ts_code")
+        scanned_ = frame.filter(F.col("ts_code") != symbol).join(fresh, "ts_code", "left_semi")
+    recall = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, rules.exact)
+    if rules.exact:
+        more = ", ".join(_METRIC.split(", ")[3:])
+        df = scanned_.groupBy("ts_code").applyInArrow(_exact_kernel(recall, query, rules), f"{_CANDIDATE}, {more}")
+    else:
+        recalled = scanned_.groupBy("ts_code").applyInArrow(recall, _CANDIDATE)
+        if counters is not None:
+            recalled = recalled.observe(counters, F.count("*").alias("candidates"), *[F.count_if(F.col("paths").contains(p)).alias(f"{p}_path") for p in ("mass", "structure", "event", "state")])
+        recalled = cut(recalled)
+        began = mark("recall", began)
+        kept = bounded(recalled, rules.recall_n, bool(qe.any()))
+        windows = {code: {int(m): x["start_idx"].to_numpy(np.int64) for m, x in g.groupby("length")} for code, g in kept.groupby("ts_code")}
+        shortlist = bars.sparkSession.createDataFrame(kept[[x.split()[0] for x in _CANDIDATE.split(", ")]], _CANDIDATE) if len(kept) else recalled.limit(0)
+        near = frame.filter(F.col("ts_code").isin(list(windows))).groupBy("ts_code")
+        began = mark("selection", began)
+        middle, spread = np.zeros(7), np.ones(7)
+        if rules.mode == "fixed":
+            features = near.applyInArrow(_feature_kernel(rules, windows), ", ".join(f"f{k} double" for k in range(7)))
+            whole = features.unionByName(bars.sparkSession.createDataFrame(query.parts(rules)[0].tolist(), features.schema))
+            got = whole.agg(*[F.percentile(F.col(f"f{k}"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"f{k}") for k in range(7)]).first()
+            middle, spread = np.array([x[1] for x in got]), np.maximum(np.array([x[2] - x[0] for x in got]), 1e-6)
+            began = mark("scale", began)
+        metrics = near.applyInArrow(_rerank_kernel(query, rules, middle, spread, windows), _METRIC)
+        df = metrics.join(F.broadcast(shortlist), ["ts_code", "start_idx", "length"])
     if rules.mode == "fixed":
-        w = rules.score_weights
-        ranked = {"mass": "mass", "dtw": "dtw", "aligned": "aligned", "ret": "ret", "vol": "vol", "event": "event_seq"}
-        loss = sum((F.percent_rank().over(W.orderBy(F.col(c))) * w[k] for k, c in ranked.items()), F.lit(0.0))
-        df = df.withColumn("score", 1.0 - loss)
+        df = df.withColumn("score", fused_score(rules.score_weights))
     else:
         path = 0.5 * F.least("ret", F.lit(2.0)) + 0.5 * F.least("vol", F.lit(2.0))
         total = 0.30 * F.col("dtw") + 0.25 * F.col("state_edit") + 0.20 * F.col("anchor") + 0.10 * path + 0.20 * F.col("event_seq") + 0.05 * F.abs(F.ln(F.col("length") / F.lit(float(len(query.days)))))
         df = df.withColumn("score", 1.0 / (1.0 + F.greatest(total, F.lit(0.0))))
     df = df.withColumn("daily_score", F.col("score"))
-    if weekly is not None:
+    if query.weekly is not None:
         week = F.col("weekly_share") / (1.0 + F.col("weekly"))
-        weight = rules.weekly_weight * min(1.0, len(weekly[1]) / 3.0)
+        weight = rules.weekly_weight * min(1.0, len(query.weekly[1]) / 3.0)
         df = df.withColumn("score", (1.0 - weight) * F.col("score") + weight * week)
     if rules.event_bands and qe.any():
-        base = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
-        quality = F.col("coverage") * F.least(F.greatest(1.0 - F.col("event_seq"), F.lit(0.0)), F.lit(1.0))
-        band = F.when((F.col("missing") == 0) & (F.col("event_seq") <= 1e-9), 0.5 + 0.5 * base).when(F.col("missing") == 0, 0.25 + 0.25 * base * quality).otherwise(0.25 * (0.5 * base + 0.5 * quality))
-        df = df.withColumn("score", band)
-    df = cut(df)  # recall_n rows at most, read twice
-    top = df.join(suppressed(df, rules.overlap), ["ts_code", "start_idx", "length"], "left_semi").orderBy(F.col("score").desc(), "ts_code", "start_date").limit(10 if latest else rules.top_k)
+        df = df.withColumn("score", banded_score())
+    count = 10 if latest else rules.top_k
+    best = suppressed(df, rules.overlap, count)
+    top = best.orderBy(F.col("score").desc(), "ts_code", "start_date").limit(count)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "ts_code", "start_date")))
 
 
-def suppressed(scored: DataFrame, overlap: float) -> DataFrame:
-    """The windows (ts_code, start_idx, length) that stay: from the best score down, none that shares more than
-    ``overlap`` of the shorter one's bars with a better one of its series. A series' windows are few."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "start_date"], ascending=[False, True])
-        kept: list[tuple[int, int]] = []
-        stays = []
-        for s, m in zip(pdf["start_idx"], pdf["length"], strict=True):
-            share = max(((min(s + m, a + n) - max(s, a)) / min(m, n) for a, n in kept), default=-1.0)
-            stays.append(share <= overlap)
-            if stays[-1]:
-                kept.append((s, m))
-        return pdf.loc[stays, ["ts_code", "start_idx", "length"]]
-
-    return scored.select("ts_code", "start_idx", "length", "score", "start_date").groupBy("ts_code").applyInPandas(keep, "ts_code string, start_idx int, length int")
+def suppressed(scored: DataFrame, overlap: float, most: int | None = None) -> DataFrame:
+    """The windows that stay: from the best score down, none that shares more than ``overlap`` of the shorter one's bars
+    with a better one of its series; at most ``most`` of a series."""
+    schema = scored.schema
+
+    def keep(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by([("score", "descending"), ("start_date", "ascending")])
+        start, length = (batch[c].to_numpy().astype(np.int64) for c in ("start_idx", "length"))
+        free, stays = np.ones(len(start), bool), []
+        for k in range(len(start)):
+            if free[k]:
+                stays.append(k)
+                if len(stays) == most:
+                    break
+                shared = np.minimum(start + length, start[k] + length[k]) - np.maximum(start, start[k])
+                free &= shared <= overlap * np.minimum(length, length[k])
+        return batch.take(stays)
+
+    return scored.groupBy("ts_code").applyInArrow(keep, schema)

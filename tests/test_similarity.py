@@ -5,22 +5,25 @@ import pytest
 from pyspark.sql import Observation
 
 from tapeloom.similarity import measures as M
-from tapeloom.similarity.search import SearchRules, bounded, candidate_lengths, search, suppressed
+from tapeloom.similarity.search import SearchRules, bounded, candidate_lengths, scanned, search, stride, suppressed
 
 SCHEMA = "ts_code string, date date, open double, high double, low double, close double, vol bigint"
 
 
-def sine(code, phase, n=180):
-    out = []
-    for i in range(n):
-        c = 10 + 0.03 * i + np.sin(i / 6 + phase)
-        out.append((code, dt.date(2020, 1, 1) + dt.timedelta(days=i), float(c - 0.05), float(c + 0.15), float(c - 0.15), float(c), 100 + i))
-    return out
+def ripples(code, lag, n=180, seed=0):
+    """Prices on three waves of unlike lengths, ``lag`` days late, with a little noise of the code's own."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(n) - lag
+    close = 24 * np.exp(0.06 * np.cos(t / 7.3) + 0.03 * np.sin(t / 2.9) - 0.02 * np.cos(t / 19.0) + 0.0004 * t + 0.0005 * rng.normal(size=n))
+    open_ = close * np.exp(0.004 * np.sin(t / 3.7))
+    high, low = np.maximum(open_, close) * (1.006 + 0.002 * np.cos(t / 5)), np.minimum(open_, close) * (0.993 - 0.002 * np.sin(t / 4))
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+    return [(code, d, *map(float, x), int(5000 + 900 * np.sin(i / 3.1))) for i, (d, *x) in enumerate(zip(days, open_, high, low, close, strict=True))]
 
 
 @pytest.fixture(scope="module")
 def bars(spark):
-    return spark.createDataFrame(sine("600001.SH", 0) + sine("600002.SH", 0.01) + sine("600003.SH", 2.0), SCHEMA).cache()
+    return spark.createDataFrame(ripples("600001.SH", 0) + ripples("600002.SH", 0.05, seed=1) + ripples("600003.SH", 12.0, seed=2), SCHEMA).cache()
 
 
 def w(*rows):
@@ -100,7 +103,62 @@ def test_event_measures():
     assert [x[0] for x in M.event_coverage(q, c[None])] == [pytest.approx(2 / 3), 1]
     a, b = np.zeros((11, 6)), np.zeros((21, 6))
     a[[2, 6], 0], a[8, 3], b[[4, 12], 0], b[16, 3] = 1, 1, 1, 1
-    assert M.event_sequence(a, b) == pytest.approx((0, 0, 0)) and M.event_sequence(a, np.zeros((21, 6))) == (1, 1, 1)
+    assert M.event_sequences(a, np.stack([b, np.zeros((21, 6))])) == pytest.approx([0, 1])
+    assert M.event_sequences(np.zeros((11, 6)), np.stack([b, np.zeros((21, 6))])) == pytest.approx([1, 0])
+
+
+def test_event_sequences_against_single_windows():
+    rng = np.random.default_rng(5)
+    query, events = (rng.random((17, 6)) < 0.15).astype(float), (rng.random((40, 23, 6)) < 0.12).astype(float)
+    want = []
+    for e in events:
+        number = place = total = 0.0
+        for k in range(6):
+            a, b = [i / 16 for i in range(17) if query[i, k]], [i / 22 for i in range(23) if e[i, k]]
+            if not a and not b:
+                continue
+            most, w = max(len(a), len(b)), M.EVENT_WEIGHTS[k]
+            total += w
+            number += w * (most - min(len(a), len(b))) / most
+            if not a or not b:
+                place += w
+                continue
+            spread = [[np.interp(j * (len(x) - 1) / max(most - 1, 1), range(len(x)), x) for j in range(most)] for x in (a, b)]
+            place += w * np.mean(np.abs(np.subtract(*spread)))
+        want.append((0.65 * number + 0.35 * place) / total if total else 0.0)
+    assert M.event_sequences(query, events) == pytest.approx(want)
+
+
+def test_series_scan_equals_the_measures_of_each_window():
+    rng = np.random.default_rng(17)
+    n = 160
+    close = 20 * np.exp(np.cumsum(rng.choice([0.0, 0.01, -0.012, 0.0953, -0.1054], n, p=[0.1, 0.4, 0.3, 0.1, 0.1])))
+    open_ = np.where(rng.random(n) < 0.2, close, close * np.exp(rng.normal(0, 0.02, n)))
+    bars = np.stack([open_, np.maximum(open_, close) * 1.01, np.minimum(open_, close) * 0.99, close, rng.integers(0, 5, n) * 100.0], axis=1).round(2)
+    for volume in (True, False):
+        series = M.Series(bars, 0.1, volume)
+        q = bars[30:55]
+        qf, qe = M.bar_features(*(q[None, :, k] for k in range(5)), volume)[0], M.board_events(*(q[None, :, k] for k in range(4)), bars[29:30, 3], 0.1)[0]
+        assert qe.any()
+        for m in (25, 31):
+            view = np.lib.stride_tricks.sliding_window_view(bars, m, axis=0)
+            o, h, lo, c, v = (view[:, k] for k in range(5))
+            starts = np.arange(n - m + 1)
+            before = np.where(starts > 0, bars[np.maximum(starts - 1, 0), 3], bars[starts, 3])
+            events = M.board_events(o, h, lo, c, before, 0.1)
+            if m == 25:
+                assert series.shape(q[:, 3]) == pytest.approx(M.shape_distance(q[:, 3], c), abs=1e-6)
+                assert series.structure(qf) == pytest.approx(M.structure_distance(qf, M.bar_features(o, h, lo, c, v, volume)), abs=1e-6)
+                assert series.event(qe) == pytest.approx(M.event_distance(qe, events), abs=1e-9)
+            assert np.allclose(series.coverage(qe, m), M.event_coverage(qe, events))
+            small, some = series.coarse_windows(m, 12, starts)
+            for got, want in zip(small, M.coarse(o, h, lo, c, v, 12), strict=True):
+                assert np.allclose(got, want)
+            assert np.array_equal(some, np.maximum.reduceat(events, M.bucket_starts(m, 12), axis=1) > 0)
+            state, _ = M.states(M.bar_features(o, h, lo, c, v), events)
+            assert np.array_equal(series.modes(m, 12, starts), M.bucket_modes(state, 12))
+            x = M.bar_features(o, h, lo, c, v)
+            assert np.allclose(M.resampled_windows(x, 20), [M.resampled(w_, 20) for w_ in x])
 
 
 def test_weekly_parts_see_nothing_behind_the_window():
@@ -117,13 +175,32 @@ def test_weekly_parts_see_nothing_behind_the_window():
 def test_quotas_and_suppression(spark):
     rows = [("A", i, 10, float(i), 0.0, 0.0, 0.0, 1.0, 1, "mass") for i in range(20)] + [("B", i, 10, 50.0 + i, 0.0, 0.0, 0.0, 1.0, 1, "structure") for i in range(8)]
     schema = "ts_code string, start_idx int, length int, mass double, structure double, event double, state double, coverage double, missing int, paths string"
-    kept = bounded(spark.createDataFrame(rows, schema), 9, False).collect()
-    assert len(kept) == 9 and sum(r.paths == "structure" for r in kept) == 3
+    kept = bounded(spark.createDataFrame(rows, schema), 9, False)
+    assert len(kept) == 9 and (kept.paths == "structure").sum() == 3
     rows = [("A", i, 10, float(i), 0.0, 0.0, 0.0, 0.5, 1, "mass") for i in range(20)] + [("B", i, 10, 50.0, 0.0, 0.0, 0.0, 1.0, 0, "mass") for i in range(4)]
-    kept = bounded(spark.createDataFrame(rows, schema), 8, True).collect()
-    assert len(kept) == 8 and sum(r.ts_code == "B" for r in kept) == 4
+    kept = bounded(spark.createDataFrame(rows, schema), 8, True)
+    assert len(kept) == 8 and (kept.ts_code == "B").sum() == 4
     scored = spark.createDataFrame([("A", 0, 10, 0.9, "2020-01-01"), ("A", 4, 10, 0.8, "2020-01-05"), ("A", 8, 10, 0.7, "2020-01-09"), ("B", 4, 10, 0.8, "2020-01-05")], "ts_code string, start_idx int, length int, score double, start_date string")
     assert {(r.ts_code, r.start_idx) for r in suppressed(scored, 0.25).collect()} == {("A", 0), ("A", 8), ("B", 4)}
+    assert {(r.ts_code, r.start_idx) for r in suppressed(scored, 0.25, 1).collect()} == {("A", 0), ("B", 4)}
+
+
+def test_exact_search_finds_what_the_bounded_one_finds(bars):
+    key = ("ts_code", "start_idx", "length")
+    rules = {"mode": "elastic", "top_k": 8}
+    near, whole = (search(bars, "600001.SH", "2020-04-01", "2020-04-30", r).select(*key, "score").collect() for r in (SearchRules(**rules), SearchRules(**rules, exact=True)))
+    assert len(whole) == 8 and near[0][:3] == whole[0][:3]
+    assert sorted(r.score for r in whole)[-3:] >= sorted(r.score for r in near)[-3:]
+    assert sum(any(r.ts_code == x.ts_code and abs(r.start_idx - x.start_idx) <= 6 for x in near) for r in whole) >= 6
+
+
+def test_long_queries_and_bad_weights(bars):
+    assert search(bars, "600001.SH", "2020-01-10", "2020-06-20", SearchRules(max_length=30)).count() > 0
+    for bad in ({"mode": "elastic", "max_length": 30}, {"weekly_weight": 1.5}, {"overlap": -0.1}, {"recall_n": 0}, {"exact": True}, {"score_weights": {"mass": 2.0}}):
+        with pytest.raises(ValueError):
+            search(bars, "600001.SH", "2020-01-10", "2020-06-20", SearchRules(**bad))
+    assert [stride(x) for x in (3, 8, 20, 42, 250)] == [1, 2, 5, 8, 8]
+    assert scanned(bars, [100, 170, 200], 4).first()[:] == (3, 3 * (21 + 3))
 
 
 def test_coarse_and_states():
