@@ -50,11 +50,19 @@ def similar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, SearchRules(mode="elastic", exact=True)))
 
 
+REFINED = SearchRules(mode="elastic", local_top=50, refine=300)
+
+
+def similar_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elastic search without a global bound, with all windows near the best candidates re-ranked too."""
+    return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, REFINED))
+
+
 def similar_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the exact elastic search's best 20 the bounded and the strided one find, and how many of its instruments."""
+    """How many of the exact elastic search's best 20 the others find, and how many of its instruments."""
     exact = similar_exact(spark, sf_dir).select("ts_code", "start_date", "length")
     out = None
-    for name, query in (("bounded", similar_elastic), ("strided", similar_elastic_strided)):
+    for name, query in (("bounded", similar_elastic), ("strided", similar_elastic_strided), ("refined", similar_refined)):
         found = query(spark, sf_dir).select("ts_code", "start_date", "length", F.lit(1).alias("hit"))
         joined = exact.join(found, ["ts_code", "start_date", "length"], "left")
         codes = exact.select("ts_code").distinct().join(found.select("ts_code", "hit").distinct(), "ts_code", "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("code_recall"))
@@ -87,7 +95,7 @@ def window_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.filter("mean is not null").select("ts_code", "date", r6("mean"), r6("spread"))
 
 
-QUERIES = {f.__name__: f for f in (similar_fixed, similar_history, similar_latest, similar_elastic, similar_elastic_strided, similar_exact, similar_recall, similar_windows, similar_size, similar_weekly, window_moments)}
+QUERIES = {f.__name__: f for f in (similar_fixed, similar_history, similar_latest, similar_elastic, similar_elastic_strided, similar_exact, similar_refined, similar_recall, similar_windows, similar_size, similar_weekly, window_moments)}
 
 _LIMIT = "CASE WHEN left(ts_code, 3) IN ('300', '301', '688', '689') THEN 0.2::DOUBLE WHEN left(ts_code, 1) IN ('4', '8') THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END"
 _HIT = lambda sign: f"(pc > 0 AND (abs(c - round_even(pc * (1 {sign} lim), 2)) <= 0.011::DOUBLE OR abs(c / pc - (1 {sign} lim)) <= 0.003::DOUBLE))::INT"

@@ -24,7 +24,9 @@ from tapeloom.similarity import measures as M
 class SearchRules:
     """Fixed values of the search. ``step`` is the stride of the elastic scan (see :func:`stride`); 1 looks at every
     window. ``min_length`` and ``max_length`` bound the windows of the elastic mode. ``exact`` re-ranks every window, in
-    elastic mode, whose score doesn't depend on the other candidates. Weights lie between 0 and 1."""
+    elastic mode, whose score doesn't depend on the other candidates. With ``refine`` all candidates of a series are re-ranked
+    where it lies, without the bound ``recall_n``, and so are all windows within ``refine_bars`` bars of the best
+    ``refine`` ones. Weights lie between 0 and 1."""
 
     mode: str = "fixed"
     min_length: int = 8
@@ -44,14 +46,16 @@ class SearchRules:
     weekly_prior: int = 8
     event_bands: bool = True
     exact: bool = False
+    refine: int = 0
+    refine_bars: int = 10
     score_weights: dict = field(default_factory=lambda: {"mass": 0.15, "dtw": 0.30, "aligned": 0.20, "ret": 0.10, "vol": 0.05, "event": 0.20})
 
     def check(self) -> None:
         """ValueError for a mode, bound or weight out of range."""
         if self.mode not in ("fixed", "elastic"):
             raise ValueError("unknown mode")
-        if self.exact and self.mode != "elastic":
-            raise ValueError("scores of the fixed mode are ranks among the candidates: exact needs the elastic mode")
+        if (self.exact or self.refine) and self.mode != "elastic":
+            raise ValueError("scores of the fixed mode are ranks among the candidates: exact and refine need the elastic mode")
         if min(self.lengths, self.step, self.local_top, self.recall_n, self.top_k) < 1 or self.weekly_prior < 0:
             raise ValueError("counts must be 1 at least")
         shares = (self.exclusion, self.warp, self.overlap, self.self_overlap, self.weekly_weight, *self.score_weights.values())
@@ -161,8 +165,8 @@ def _legal(code: str, first: np.ndarray, last: np.ndarray, query: Query, rules:
     return legal
 
 
-def _recall_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int], everything: bool = False):
-    """The best windows of each path of a series, or with ``everything`` all legal ones."""
+def _recall_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int], everything: bool = False, only: dict[str, np.ndarray] | None = None):
+    """The best windows of each path of a series, or with ``everything`` all legal ones, or those that start at ``only``."""
     names = [x.split()[0] for x in _CANDIDATE.split(", ")]
     kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.string(), pa.date32(), pa.date32()]
     has_events = bool(query.parts(rules)[1].any())
@@ -177,6 +181,10 @@ def _recall_kernel(query: Query, rules: SearchRules, history_only: bool, exclude
                 continue
             step = rules.step if elastic and not latest else 1
             starts = np.array([len(days) - m]) if latest else np.arange(0, len(days) - m + 1, step)
+            if only is not None:
+                starts = np.intersect1d(only.get(code, starts[:0]), starts)
+                if not len(starts):
+                    continue
             found = _scan(series, m, starts, query, rules)
             first, last = days[starts], days[starts + m - 1]
             legal = _legal(code, first, last, query, rules, history_only and not latest, exclude)
@@ -331,6 +339,29 @@ def banded_score(score: Column | str = "score") -> Column:
     return F.when((F.col("missing") == 0) & (F.col("event_seq") <= 1e-9), 0.5 + 0.5 * base).when(F.col("missing") == 0, 0.25 + 0.25 * base * quality).otherwise(0.25 * (0.5 * base + 0.5 * quality))
 
 
+def _scored(df: DataFrame, query: Query, rules: SearchRules) -> DataFrame:
+    """Adds daily_score, of the distances, and score, with the weekly background and the events' bands."""
+    if rules.mode == "fixed":
+        df = df.withColumn("score", fused_score(rules.score_weights))
+    else:
+        path = 0.5 * F.least("ret", F.lit(2.0)) + 0.5 * F.least("vol", F.lit(2.0))
+        total = 0.30 * F.col("dtw") + 0.25 * F.col("state_edit") + 0.20 * F.col("anchor") + 0.10 * path + 0.20 * F.col("event_seq") + 0.05 * F.abs(F.ln(F.col("length") / F.lit(float(len(query.days)))))
+        df = df.withColumn("score", 1.0 / (1.0 + F.greatest(total, F.lit(0.0))))
+    df = df.withColumn("daily_score", F.col("score"))
+    if query.weekly is not None:
+        week = F.col("weekly_share") / (1.0 + F.col("weekly"))
+        weight = rules.weekly_weight * min(1.0, len(query.weekly[1]) / 3.0)
+        df = df.withColumn("score", (1.0 - weight) * F.col("score") + weight * week)
+    if rules.event_bands and query.parts(rules)[1].any():
+        df = df.withColumn("score", banded_score())
+    return df
+
+
+def best_frame(frame: DataFrame, only: dict[str, np.ndarray]) -> DataFrame:
+    """``only`` as a table: a row per series, at most ``refine`` of them."""
+    return frame.sparkSession.createDataFrame([(code, x.tolist()) for code, x in only.items()], "ts_code string, inside array<int>")
+
+
 def scanned(bars: DataFrame, lengths: list[int], step: int = 1) -> DataFrame:
     """How many series are long enough for one of the lengths, and how many windows a scan of them has."""
     per = bars.groupBy("ts_code").agg(F.count("*").alias("n"))
@@ -403,9 +434,18 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         fresh = frame.groupBy("ts_code").agg(F.max("date").alias("own_last")).filter(F.col("own_last") >= F.date_sub(F.lit(newest), LAG_DAYS[timeframe])).select("ts_code")
         scanned_ = frame.filter(F.col("ts_code") != symbol).join(fresh, "ts_code", "left_semi")
     recall = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, rules.exact)
-    if rules.exact:
-        more = ", ".join(_METRIC.split(", ")[3:])
-        df = scanned_.groupBy("ts_code").applyInArrow(_exact_kernel(recall, query, rules), f"{_CANDIDATE}, {more}")
+    if rules.exact or rules.refine:
+        schema = f"{_CANDIDATE}, {', '.join(_METRIC.split(', ')[3:])}"
+        df = scanned_.groupBy("ts_code").applyInArrow(_exact_kernel(recall, query, rules), schema)
+        if rules.refine and not rules.exact:
+            df = cut(df)
+            best = _scored(df, query, rules).orderBy(F.col("score").desc(), "ts_code", "start_date").limit(rules.refine).select("ts_code", "start_idx").toPandas()
+            around = np.arange(-rules.refine_bars, rules.refine_bars + 1)
+            only = {code: np.unique((g["start_idx"].to_numpy()[:, None] + around).ravel()) for code, g in best.groupby("ts_code")}
+            whole = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, True, only)
+            near = scanned_.filter(F.col("ts_code").isin(list(only))).groupBy("ts_code").applyInArrow(_exact_kernel(whole, query, rules), schema)
+            df = near.unionByName(df.join(F.broadcast(best_frame(scanned_, only)), "ts_code", "left").filter("inside is null or not array_contains(inside, start_idx)").drop("inside"))
+            began = mark("refinement", began)
     else:
         recalled = scanned_.groupBy("ts_code").applyInArrow(recall, _CANDIDATE)
         if counters is not None:
@@ -426,19 +466,7 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
             began = mark("scale", began)
         metrics = near.applyInArrow(_rerank_kernel(query, rules, middle, spread, windows), _METRIC)
         df = metrics.join(F.broadcast(shortlist), ["ts_code", "start_idx", "length"])
-    if rules.mode == "fixed":
-        df = df.withColumn("score", fused_score(rules.score_weights))
-    else:
-        path = 0.5 * F.least("ret", F.lit(2.0)) + 0.5 * F.least("vol", F.lit(2.0))
-        total = 0.30 * F.col("dtw") + 0.25 * F.col("state_edit") + 0.20 * F.col("anchor") + 0.10 * path + 0.20 * F.col("event_seq") + 0.05 * F.abs(F.ln(F.col("length") / F.lit(float(len(query.days)))))
-        df = df.withColumn("score", 1.0 / (1.0 + F.greatest(total, F.lit(0.0))))
-    df = df.withColumn("daily_score", F.col("score"))
-    if query.weekly is not None:
-        week = F.col("weekly_share") / (1.0 + F.col("weekly"))
-        weight = rules.weekly_weight * min(1.0, len(query.weekly[1]) / 3.0)
-        df = df.withColumn("score", (1.0 - weight) * F.col("score") + weight * week)
-    if rules.event_bands and qe.any():
-        df = df.withColumn("score", banded_score())
+    df = _scored(df, query, rules)
     count = 10 if latest else rules.top_k
     best = suppressed(df, rules.overlap, count)
     top = best.orderBy(F.col("score").desc(), "ts_code", "start_date").limit(count)

@@ -194,6 +194,12 @@ def test_exact_search_finds_what_the_bounded_one_finds(bars):
     assert sum(any(r.ts_code == x.ts_code and abs(r.start_idx - x.start_idx) <= 6 for x in near) for r in whole) >= 6
 
 
+def test_refined_search_equals_the_exact_one(bars):
+    key = ("ts_code", "start_idx", "length", "score")
+    exact, refined = ([tuple(r) for r in search(bars, "600001.SH", "2020-04-01", "2020-04-30", SearchRules(mode="elastic", top_k=4, **more)).select(*key).collect()] for more in ({"exact": True}, {"refine": 40, "local_top": 30}))
+    assert [r[:3] for r in exact] == [r[:3] for r in refined] and np.allclose([r[3] for r in exact], [r[3] for r in refined])
+
+
 def test_long_queries_and_bad_weights(bars):
     assert search(bars, "600001.SH", "2020-01-10", "2020-06-20", SearchRules(max_length=30)).count() > 0
     for bad in ({"mode": "elastic", "max_length": 30}, {"weekly_weight": 1.5}, {"overlap": -0.1}, {"recall_n": 0}, {"exact": True}, {"score_weights": {"mass": 2.0}}):
