@@ -97,3 +97,43 @@ def same_calendar(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """Days that only one of two tables has, with the side; none if the calendars are equal."""
     a, b = left.select(column).distinct(), right.select(column).distinct()
     return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))
+
+
+def coverage_record(bars: DataFrame, copy: DataFrame, trade_calendar: DataFrame, basic: DataFrame, since: str) -> DataFrame:
+    """Per instrument of ``bars`` (unique by ts_code and date), 15 fields: first and last day, bars, bars since a day, whether
+    the deliveries came in date order, whether the second system has the instrument, how many rows, the same days and the
+    same vol and amount, missing sessions and the longest gap since that day, the listing date and how long after it the bars begin.
+
+    ``bars`` has ``delivered`` (a timestamp). Days and flows are compared in one full join by the whole key."""
+    b = bars.select("ts_code", "date", "vol", "amount", "delivered")
+    other = copy.select("ts_code", "date", F.col("vol").alias("c_vol"), F.col("amount").alias("c_amount"), F.lit(True).alias("there"))
+    both = b.withColumn("here", F.lit(True)).join(other, ["ts_code", "date"], "full")
+    same = F.col("vol").eqNullSafe(F.col("c_vol")) & F.col("amount").eqNullSafe(F.col("c_amount"))
+    paired = both.groupBy("ts_code").agg(
+        F.count("here").alias("bars"), F.count("there").alias("copy_rows"), F.min(F.when(F.col("here"), F.col("date"))).alias("first_date"), F.max(F.when(F.col("here"), F.col("date"))).alias("last_date"),
+        F.count_if(F.col("here") & (F.col("date") >= F.lit(since).cast("date"))).alias("bars_since"), F.count_if(F.col("here").isNull() | F.col("there").isNull()).alias("unpaired"), F.count_if(F.col("here") & F.col("there") & ~same).alias("different"),
+    ).filter("bars > 0")
+    order = W.partitionBy("ts_code").orderBy("date")
+    late = b.withColumn("back", F.col("delivered") < F.lag("delivered").over(order)).groupBy("ts_code").agg((F.count_if("back") == 0).alias("date_order_ok"))
+    gap = coverage(bars.filter(F.col("date") >= F.lit(since).cast("date")), trade_calendar).select("ts_code", "missing", "longest_gap")
+    listed = basic.groupBy("ts_code").agg(F.min("list_date").alias("list_date"))
+    out = paired.join(late, "ts_code").join(gap, "ts_code", "left").join(listed, "ts_code", "left")
+    aligned = (F.col("copy_rows") > 0) & (F.col("unpaired") == 0)
+    return out.select(
+        "ts_code", "first_date", "last_date", "bars", "bars_since", "date_order_ok", (F.col("copy_rows") > 0).alias("copy_exists"), "copy_rows", aligned.alias("aligned"), (aligned & (F.col("different") == 0)).alias("values_equal"), "different",
+        F.coalesce("missing", F.lit(0)).alias("missing_inside_span"), F.coalesce("longest_gap", F.lit(0)).alias("longest_internal_gap"), "list_date", F.datediff("first_date", "list_date").alias("start_gap_days"),
+    )
+
+
+def reconcile_rows(bars: DataFrame, adjusted: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """One row: whether both tables have equally many rows, keys on one side only, rows with a price further apart than
+    ``tolerance`` (one without a value counts), and rows with other vol or amount."""
+    a = bars.select("ts_code", "date", *[F.col(c).alias(f"a_{c}") for c in (*PRICES, "vol", "amount")], F.lit(True).alias("a"))
+    b = adjusted.select("ts_code", "date", *[F.col(c).alias(f"b_{c}") for c in (*PRICES, "vol", "amount")], F.lit(True).alias("b"))
+    both = a.join(b, ["ts_code", "date"], "full")
+    pair = F.col("a") & F.col("b")
+    bad = F.lit(False)
+    for p in PRICES:
+        bad = bad | F.coalesce(F.abs(F.col(f"a_{p}") - F.col(f"b_{p}")) > tolerance, ~F.col(f"a_{p}").eqNullSafe(F.col(f"b_{p}")))
+    flow = ~(F.col("a_vol").eqNullSafe(F.col("b_vol")) & F.col("a_amount").eqNullSafe(F.col("b_amount")))
+    return both.agg((F.count("a") == F.count("b")).alias("row_count_match"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("bad_key_rows"), F.count_if(pair & bad).alias("bad_price_rows"), F.count_if(pair & flow).alias("bad_flow_rows"))

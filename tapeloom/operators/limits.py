@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.boards import board_of, limit_share
+from tapeloom.functions.boards import board_of, limit_share, limit_share_by_code
 from tapeloom.functions.rounding import cents, cents_half_up
 from tapeloom.operators.bars import series, up_to_now, numbered, rows_between
 
@@ -49,3 +49,21 @@ def board_labels(bars: DataFrame) -> DataFrame:
     one = F.col("is_one_price")
     label = F.when(F.col("any_limit_down") & one, "one_word_down").when(F.col("any_limit_up") & one, "one_word_up").when(F.col("any_limit_down"), "limit_down").when(F.col("any_limit_up"), "limit_up").otherwise("")
     return df.withColumn("board_type", label)
+
+
+def daily_labels(bars: DataFrame) -> DataFrame:
+    """``board_type`` of a day's chart: one_word_up, t_board_up, gap_limit_up, one_word_down, limit_up, limit_down or the
+    empty text, the first that holds. Quoted prices count, against the quoted close before (on a first bar its own),
+    by the limit of the code; a close is at the limit within 1.1 cents or 0.3 per cent."""
+    before = F.coalesce(F.lag("close").over(series()), F.col("close"))
+    df = bars.withColumns({"_before": before, "_limit": limit_share_by_code(F.col("ts_code"))})
+    c, pc = F.col("close"), F.col("_before")
+    two = lambda x: F.rint(x * 100) / 100
+    hit = lambda edge: (F.abs(c - two(pc * edge)) <= 0.011) | (F.abs(c / pc - edge) <= 0.003)
+    near = lambda x: F.abs(F.col(x) - c) / c <= 0.006
+    prices = [two(F.col(x)) for x in ("open", "high", "low", "close")]
+    up, down, flat = hit(1 + F.col("_limit")), hit(1 - F.col("_limit")), F.greatest(*prices) == F.least(*prices)
+    gap = up & (F.col("open") / pc >= 1.02)
+    tee = gap & near("open") & ~flat & near("high") & (F.col("low") < c * 0.994)
+    label = F.when(up & flat, "one_word_up").when(tee, "t_board_up").when(gap, "gap_limit_up").when(down & flat, "one_word_down").when(up, "limit_up").when(down, "limit_down").otherwise("")
+    return df.withColumn("board_type", label).drop("_before", "_limit")

@@ -94,3 +94,24 @@ def deciles(returns: DataFrame, value: str) -> DataFrame:
     at = [q / 10 for q in range(1, 10)]
     both = F.arrays_zip(F.array(*[F.lit(int(q * 100 + 0.5)) for q in at]).alias("decile"), F.percentile(F.col(value), F.array(*[F.lit(q) for q in at])).alias("value"))
     return returns.agg(both.alias("x")).select(F.inline("x").alias("decile", "value"))
+
+
+def holding_status(returns: DataFrame, start: str) -> DataFrame:
+    """Adds full_period (a first bar within ten days of ``start`` and a last one on the interval's last day) and status, for
+    :func:`holding_returns`. The last day is one row, joined by equality."""
+    one = F.lit(1).alias("_one")
+    last = returns.agg(F.max("last_date").alias("_end")).select("_end", one)
+    df = returns.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
+    alive = F.col("last_date") == F.col("_end")
+    whole = alive & (F.col("first_date") <= F.date_add(F.lit(start).cast("date"), 10))
+    return df.withColumns({"full_period": whole, "status": F.when(alive, "trading").otherwise("delisted_or_suspended")}).drop("_one", "_end")
+
+
+def winners(run_ups: DataFrame, group: str, thresholds: dict[str, float]) -> DataFrame:
+    """Per threshold and group: stocks, how many rose by more than the threshold, their share of all that did and of the
+    group, and their median, mean and highest rise. Groups are few (boards, industries), so the totals are a window over them."""
+    each = F.array(*[F.struct(F.lit(name).alias("threshold"), F.lit(x).alias("_least")) for name, x in thresholds.items()])
+    rows = run_ups.select("*", F.inline(each)).withColumn("_won", F.when(F.col("run_up") > F.col("_least"), F.col("run_up")))
+    won = rows.groupBy("threshold", group).agg(F.count("*").alias("stocks"), F.count("_won").alias("over"), F.median("_won").alias("median_rise"), F.avg("_won").alias("mean_rise"), F.max("_won").alias("highest_rise"))
+    total = F.sum("over").over(W.partitionBy("threshold"))
+    return won.withColumns({"share_of_winners": F.try_divide(F.col("over"), total), "share_of_group": F.col("over") / F.col("stocks")})

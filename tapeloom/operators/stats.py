@@ -93,3 +93,34 @@ def spread_pick(events: DataFrame, group: Sequence[str], value: str, ties: Seque
 def seeded_sample(events: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
     """n rows by the order of a seeded hash of their keys: the same rows whatever the partitioning."""
     return events.orderBy(F.xxhash64(*[F.col(k).cast("string") for k in keys], F.lit(seed)), *keys).limit(n)
+
+
+def entry_summary(signals: DataFrame, forward: DataFrame, groupings: Sequence[Sequence[str]], entries: Sequence[str] = ("close", "open"), aligned: bool = False) -> DataFrame:
+    """One long table: group_by, group, entry, horizon and the statistics of return and excess.
+
+    ``signals``: ts_code, date and the grouping columns, joined to ``forward`` (a row per bar and horizon with
+    ret_ and ex_ of each entry). Open entries leave out the blocked ones. Groupings are grouping sets of one aggregation.
+    """
+    cell = [F.struct(F.lit(e).alias("entry"), F.col(f"ret_{e}").alias("ret"), F.col(f"ex_{e}").alias("ex"), (F.col("entry_blocked") if e == "open" else F.lit(False)).alias("blocked")) for e in entries]
+    columns = list(dict.fromkeys(c for g in groupings for c in g))
+    rows = forward.join(signals.select("ts_code", "date", *columns), ["ts_code", "date"]).select(*columns, "horizon", F.inline(F.array(*cell))).filter("not blocked")
+    sets = [[*[F.col(c) for c in g], F.col("entry"), F.col("horizon")] for g in groupings]
+    name = F.lit("all")
+    for g in groupings:
+        if g:
+            own = [F.grouping(c) == (0 if c in g else 1) for c in columns]
+            name = F.when(F.forall(F.array(*own), lambda x: x), F.lit("+".join(g))).otherwise(name)
+    label = F.concat_ws("|", *[F.when(F.col(c).isNotNull(), F.col(c).cast("string")) for c in columns]) if columns else F.lit("")
+    out = rows.groupingSets(sets, *[F.col(c) for c in columns], F.col("entry"), F.col("horizon")).agg(name.alias("group_by"), *description("ret", "ex", aligned))
+    return out.select("group_by", label.alias("group"), "entry", "horizon", *[c for c in out.columns if c not in ("group_by", "entry", "horizon", *columns)])
+
+
+def counter_examples(events: DataFrame, ret: str, regime: str, ties: Sequence[str], n: int = 10) -> DataFrame:
+    """The ``n`` lowest returns of bull markets that are not above 0, and the ``n`` highest of bear markets that are, with
+    ``kind`` and ``place``."""
+    picked = []
+    for kind, keep, order in (("bull_not_positive", (F.col(regime) == "bull") & (F.col(ret) <= 0), F.col(ret).asc()), ("bear_positive", (F.col(regime) == "bear") & (F.col(ret) > 0), F.col(ret).desc())):
+        by = [order, *[F.col(t) for t in ties]]
+        head = events.filter(keep).orderBy(*by).limit(n)
+        picked.append(head.withColumns({"kind": F.lit(kind), "place": F.row_number().over(W.orderBy(*by))}))
+    return picked[0].unionByName(picked[1])

@@ -110,6 +110,17 @@ def halvings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(df.drop("peak_close", "signal_close"), "drawdown", "terminal_return", "best_return")
 
 
+def halvings_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against the high of 504 bars."""
+    return _rounded(E.halvings(bars(spark, sf_dir)).drop("peak_close", "signal_close"), "drawdown", "terminal_return", "best_return")
+
+
+def one_price_pullbacks_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the published caps and boards at the limit to the cent."""
+    df = E.one_price_pullbacks(bars(spark, sf_dir), "2018-01-01")
+    return _rounded(df.drop("st_like", "board_close", "d1_close", "close", "prior_63_low"), "d1_return", "drop_pct", "signal_day_pct", "current_month_return", "prev_month_return")
+
+
 def holding_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ranking.holding_returns(B.backward_adjusted(bars(spark, sf_dir)), START, END)
     return df.select("ts_code", "first_date", "last_date", "days", r6("total_return"), r6("annualized"), "high_date", "low_date", "bars")
@@ -185,7 +196,7 @@ def limit_downs_after_strong_days(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {f.__name__: f for f in (
     limit_downs_after_strong_days, amount_leaders, weekly_bars, monthly_bars, weekly_averages, adjusted_view, placed_actions, built_factors, board_labels, limit_days, strict_boards, market_index, forward_returns, best_closes, month_returns,
-    one_price_pullbacks, pullback_paths, strong_day_pullbacks, halvings, holding_returns, return_panel, return_deciles, endpoint_leaders, run_ups, run_up_boards, index_drawdown, regime_days,
+    one_price_pullbacks, pullback_paths, strong_day_pullbacks, halvings, halvings_published, one_price_pullbacks_published, holding_returns, return_panel, return_deciles, endpoint_leaders, run_ups, run_up_boards, index_drawdown, regime_days,
     bars_around_events, weeks_overlapping, latest_dates, relative_start,
 )}
 
@@ -214,6 +225,7 @@ o2 AS (SELECT *, coalesce(d0_1 AND hc < hc1, false) s1, coalesce(d0_2 AND NOT (h
 op AS (SELECT ts_code, date AS signal_date, CASE WHEN s1 THEN dt1 ELSE dt2 END AS board_date, CASE WHEN s1 THEN date ELSE dt1 END AS d1_date, CASE WHEN s1 THEN 1 ELSE 2 END AS gap_bars, board,
   CASE WHEN s1 THEN hc/hc1 - 1 ELSE hc1/hc2 - 1 END AS d1_return, CASE WHEN s1 THEN hc/hc1 - 1 ELSE hc/hc2 - 1 END AS drop_pct, pct AS signal_day_pct, CASE WHEN s1 THEN up ELSE up1 END AS d1_limit_up, cur_m, prev_m
  FROM o2 WHERE ((s1 AND coalesce(hc1 <= 3.0::DOUBLE*low1, false)) OR (s2 AND coalesce(hc2 <= 3.0::DOUBLE*low2, false))) AND cur_m <= 5 AND prev_m <= 5 AND date >= DATE '2018-01-01')"""
+_ONE_PUBLISHED = _ONE.replace(REACH_SQL, LIMITS_SQL).replace("3.0::DOUBLE*low", "1.2::DOUBLE*low").replace("cur_m <= 5 AND prev_m <= 5", "cur_m <= 0.5::DOUBLE AND prev_m <= 0.5::DOUBLE")
 _HOLD = f"""h0 AS (SELECT ts_code, min(date) a, max(date) z, arg_min(hc, date) ca, arg_max(hc, date) cz, max(struct_pack(v := hh, d := -(date - DATE '1970-01-01'))) hi, min(struct_pack(v := hl, d := (date - DATE '1970-01-01'))) lo, count(*) n
  FROM b WHERE date BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1),
 h AS (SELECT ts_code, a AS first_date, z AS last_date, z - a AS days, cz/ca - 1 AS ret, CASE WHEN z - a >= 365 THEN pow(cz/ca, 365.25::DOUBLE/(z - a)) - 1 END AS ann, DATE '1970-01-01' + CAST(-hi.d AS INT) AS high_date, DATE '1970-01-01' + CAST(lo.d AS INT) AS low_date, n AS bars FROM h0)"""
@@ -228,6 +240,20 @@ _STRICT = """CASE WHEN right(ts_code,2)='SH' AND left(ts_code,3) IN ('688','689'
  WHEN right(ts_code,2)='BJ' AND left(ts_code,2)='92' THEN 'bse' WHEN (right(ts_code,2)='SH' AND left(ts_code,3) BETWEEN '600' AND '605') OR (right(ts_code,2)='SZ' AND left(ts_code,3) BETWEEN '000' AND '003') THEN 'main' END"""
 _YI = lambda x, n: f"floor(({x})/1e8::DOUBLE*1e4::DOUBLE+0.5::DOUBLE)/1e4::DOUBLE AS {n}"
 
+_FJ = f"""hs AS (SELECT unnest([1,5,20]) horizon),
+fw AS (SELECT ts_code, date, hc, lead(ho) OVER w no, lead(date) OVER w nd, coalesce(lead(one AND up) OVER w, false) blocked, lead(hc,1) OVER w c1, lead(date,1) OVER w d1, lead(hc,5) OVER w c5, lead(date,5) OVER w d5, lead(hc,20) OVER w c20, lead(date,20) OVER w d20 FROM l WINDOW w AS {_W}),
+fh AS (SELECT fw.*, horizon, CASE horizon WHEN 1 THEN c1 WHEN 5 THEN c5 ELSE c20 END xc, CASE horizon WHEN 1 THEN d1 WHEN 5 THEN d5 ELSE d20 END xd FROM fw, hs),
+fj AS (SELECT fh.*, m0.ci m0, m1.ci m1, mo.oi mo FROM fh LEFT JOIN mi m0 ON m0.date = fh.date LEFT JOIN mi m1 ON m1.date = xd LEFT JOIN mi mo ON mo.date = nd)"""
+
+_HALVES = f"""v0 AS (SELECT *, CASE WHEN count(*) OVER p = 63 THEN max(struct_pack(v := hc, n := -bar_no, d := date)) OVER p END pk, CASE WHEN count(*) OVER q = __LONG__ THEN max(hc) OVER q END lh, CASE WHEN count(*) OVER a = 25 THEN max(struct_pack(v := hh, n := -bar_no, d := date)) OVER a END bs,
+ lead(hc, 25) OVER (PARTITION BY ts_code ORDER BY date) ec, lead(date, 25) OVER (PARTITION BY ts_code ORDER BY date) ed FROM b
+ WINDOW p AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN __LONG__ PRECEDING AND 1 PRECEDING), a AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 25 FOLLOWING)),
+v1 AS (SELECT *, hc/pk.v - 1 AS dd, lag(hc/pk.v - 1) OVER (PARTITION BY ts_code ORDER BY date) ld FROM v0), v2 AS (SELECT * FROM v1 WHERE dd < -0.5::DOUBLE AND (ld IS NULL OR ld >= -0.5::DOUBLE)),
+th AS (SELECT ts_code, min(bar_no) k FROM v2 GROUP BY 1 UNION ALL SELECT v2.ts_code, min(v2.bar_no) FROM th JOIN v2 ON v2.ts_code = th.ts_code AND v2.bar_no >= th.k + 63 GROUP BY v2.ts_code)"""
+_HALVINGS = f"""SELECT v2.ts_code, v2.date AS signal_date, v2.pk.d AS peak_date, (v2.bar_no + v2.pk.n)::INT AS peak_to_signal_bars, {q6('dd', 'drawdown')}, v2.ed AS end_date, {q6('v2.ec/v2.hc - 1', 'terminal_return')}, v2.bs.d AS best_date, {q6('v2.bs.v/v2.hc - 1', 'best_return')},
+ coalesce(v2.pk.v > o.lh, false) AS peak_is_long_high, CASE WHEN v2.bs IS NOT NULL THEN 'complete' ELSE 'no_complete_window' END AS status
+FROM v2 JOIN th ON th.ts_code = v2.ts_code AND th.k = v2.bar_no LEFT JOIN v0 o ON o.ts_code = v2.ts_code AND o.date = v2.pk.d"""
+
 ORACLE = {
     "amount_leaders": f"""WITH {BARS_SQL}, q AS (SELECT * FROM b WHERE date BETWEEN DATE '2018-01-01' AND DATE '2026-12-31' AND amount >= 0), m AS (SELECT count(DISTINCT date) md FROM q),
 p AS (SELECT ts_code, count(DISTINCT date) td, sum(amount) s, avg(amount) a, max(amount) x FROM q GROUP BY 1 HAVING count(DISTINCT date) >= 20 ORDER BY a DESC, td DESC, ts_code LIMIT 50)
@@ -247,15 +273,14 @@ SELECT ts_code, date, board_type, up_c, down_c FROM z WHERE board_type <> ''""",
     "limit_days": f"WITH {LIMITS_SQL} SELECT board, date_part('year', date)::INT AS year, count(*) AS bars, sum(up::INT)::BIGINT AS ups, sum(down::INT)::BIGINT AS downs, sum(new_stock::INT)::BIGINT AS new_bars, sum(ups3)::BIGINT AS ups_before FROM l GROUP BY 1, 2",
     "strict_boards": f"WITH {BARS_SQL} SELECT DISTINCT ts_code, {_STRICT} AS board, CASE WHEN left(ts_code,3) IN ('300','301','688','689') THEN 0.2::DOUBLE WHEN left(ts_code,1) IN ('4','8') THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS search_limit FROM b",
     "market_index": f"WITH {BARS_SQL}, {_IDX} SELECT date, {q6('ci', 'close_idx')}, {q6('oi', 'open_idx')}, n FROM mi",
-    "forward_returns": f"""WITH {LIMITS_SQL}, {_IDX}, hs AS (SELECT unnest([1,5,20]) horizon),
-fw AS (SELECT ts_code, date, hc, lead(ho) OVER w no, lead(date) OVER w nd, coalesce(lead(one AND up) OVER w, false) blocked, lead(hc,1) OVER w c1, lead(date,1) OVER w d1, lead(hc,5) OVER w c5, lead(date,5) OVER w d5, lead(hc,20) OVER w c20, lead(date,20) OVER w d20 FROM l WINDOW w AS {_W}),
-fh AS (SELECT fw.*, horizon, CASE horizon WHEN 1 THEN c1 WHEN 5 THEN c5 ELSE c20 END xc, CASE horizon WHEN 1 THEN d1 WHEN 5 THEN d5 ELSE d20 END xd FROM fw, hs),
-fj AS (SELECT fh.*, m0.ci m0, m1.ci m1, mo.oi mo FROM fh LEFT JOIN mi m0 ON m0.date = fh.date LEFT JOIN mi m1 ON m1.date = xd LEFT JOIN mi mo ON mo.date = nd)
+    "forward_returns": f"""WITH {LIMITS_SQL}, {_IDX}, {_FJ}
 SELECT date, horizon, count(xc/hc - 1) AS n, sum(blocked::INT)::BIGINT AS blocked, {q6('avg(xc/hc - 1)', 'ret_close')}, {q6('avg(xc/hc - 1 - (m1/m0 - 1))', 'ex_close')}, {q6('avg(xc/no - 1)', 'ret_open')}, {q6('avg(xc/no - 1 - (m1/mo - 1))', 'ex_open')} FROM fj GROUP BY 1, 2""",
     "best_closes": f"""WITH {BARS_SQL}, z AS (SELECT *, count(*) OVER w n, max(struct_pack(v := hc, d := -(date - DATE '1970-01-01'))) OVER w m, lead(date, 25) OVER {_W} e FROM b WINDOW w AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 25 FOLLOWING))
 SELECT ts_code, date, DATE '1970-01-01' + CAST(-m.d AS INT) AS best_date, e AS end_date, {q6('m.v/hc - 1', 'best_return')} FROM z WHERE n = 25""",
     "month_returns": f"WITH {BARS_SQL}, {_MONTHS} SELECT b.ts_code, b.date, {q6('base/base2 - 1', 'prev_month_return')}, {q6('hc/base - 1', 'current_month_return')} FROM b JOIN mp ON mp.ts_code = b.ts_code AND mp.m = date_trunc('month', b.date)",
     "one_price_pullbacks": f"""WITH {_ONE} SELECT ts_code, signal_date, board_date, d1_date, gap_bars, board, d1_limit_up, {q6('d1_return')}, {q6('drop_pct')}, {q6('signal_day_pct')}, {q6('cur_m', 'current_month_return')}, {q6('prev_m', 'prev_month_return')},
+ CASE WHEN d1_return < 0 THEN 'down' WHEN d1_return > 0 THEN 'up' ELSE 'flat' END AS d1_direction, date_part('year', signal_date)::INT AS year FROM op""",
+    "one_price_pullbacks_published": f"""WITH {_ONE_PUBLISHED} SELECT ts_code, signal_date, board_date, d1_date, gap_bars, board, d1_limit_up, {q6('d1_return')}, {q6('drop_pct')}, {q6('signal_day_pct')}, {q6('cur_m', 'current_month_return')}, {q6('prev_m', 'prev_month_return')},
  CASE WHEN d1_return < 0 THEN 'down' WHEN d1_return > 0 THEN 'up' ELSE 'flat' END AS d1_direction, date_part('year', signal_date)::INT AS year FROM op""",
     "pullback_paths": f"""WITH {_ONE}, s AS (SELECT op.ts_code, op.board_date, gap_bars, b.bar_no k FROM op JOIN b ON b.ts_code = op.ts_code AND b.date = op.board_date),
 t3 AS (SELECT s.*, arg_min(b.bar_no - k, struct_pack(v := b.hl, n := b.bar_no)) entry, count(*) n3 FROM s JOIN b ON b.ts_code = s.ts_code AND b.bar_no BETWEEN k+1 AND k+3 GROUP BY ALL),
@@ -269,14 +294,11 @@ SELECT ts_code, date AS signal_date, sd AS strong_date, t::INT AS t, {q6('sc/sp
     "limit_downs_after_strong_days": f"""WITH {LIMITS_SQL}, {_STRONG}, d AS (SELECT ts_code, date, coalesce(lead(down,1) OVER w, false)::INT + coalesce(lead(down,2) OVER w, false)::INT + coalesce(lead(down,3) OVER w, false)::INT AS k FROM l WINDOW w AS (PARTITION BY ts_code ORDER BY date))
 SELECT d.ts_code, d.date, k AS limit_downs FROM d JOIN z4 ON z4.ts_code = d.ts_code AND z4.date = d.date""",
     "halvings": f"""WITH RECURSIVE {BARS_SQL},
-v0 AS (SELECT *, CASE WHEN count(*) OVER p = 63 THEN max(struct_pack(v := hc, n := -bar_no, d := date)) OVER p END pk, CASE WHEN count(*) OVER q = 126 THEN max(hc) OVER q END lh, CASE WHEN count(*) OVER a = 25 THEN max(struct_pack(v := hh, n := -bar_no, d := date)) OVER a END bs,
- lead(hc, 25) OVER (PARTITION BY ts_code ORDER BY date) ec, lead(date, 25) OVER (PARTITION BY ts_code ORDER BY date) ed FROM b
- WINDOW p AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 126 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY ts_code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 25 FOLLOWING)),
-v1 AS (SELECT *, hc/pk.v - 1 AS dd, lag(hc/pk.v - 1) OVER (PARTITION BY ts_code ORDER BY date) ld FROM v0), v2 AS (SELECT * FROM v1 WHERE dd < -0.5::DOUBLE AND (ld IS NULL OR ld >= -0.5::DOUBLE)),
-th AS (SELECT ts_code, min(bar_no) k FROM v2 GROUP BY 1 UNION ALL SELECT v2.ts_code, min(v2.bar_no) FROM th JOIN v2 ON v2.ts_code = th.ts_code AND v2.bar_no >= th.k + 63 GROUP BY v2.ts_code)
-SELECT v2.ts_code, v2.date AS signal_date, v2.pk.d AS peak_date, (v2.bar_no + v2.pk.n)::INT AS peak_to_signal_bars, {q6('dd', 'drawdown')}, v2.ed AS end_date, {q6('v2.ec/v2.hc - 1', 'terminal_return')}, v2.bs.d AS best_date, {q6('v2.bs.v/v2.hc - 1', 'best_return')},
- coalesce(v2.pk.v > o.lh, false) AS peak_is_long_high, CASE WHEN v2.bs IS NOT NULL THEN 'complete' ELSE 'no_complete_window' END AS status
-FROM v2 JOIN th ON th.ts_code = v2.ts_code AND th.k = v2.bar_no LEFT JOIN v0 o ON o.ts_code = v2.ts_code AND o.date = v2.pk.d""",
+{_HALVES.replace('__LONG__', '126')}
+{_HALVINGS}""",
+    "halvings_published": f"""WITH RECURSIVE {BARS_SQL},
+{_HALVES.replace('__LONG__', '504')}
+{_HALVINGS}""",
     "holding_returns": f"WITH {BARS_SQL}, {_HOLD} SELECT ts_code, first_date, last_date, days::INT AS days, {q6('ret', 'total_return')}, {q6('ann', 'annualized')}, high_date, low_date, bars FROM h",
     "return_panel": f"""WITH {BARS_SQL}, {_HOLD}, g AS (SELECT 'all' g, ret, ann FROM h UNION ALL SELECT CASE WHEN first_date <= DATE '2023-01-10' THEN 'full_period' ELSE 'later' END, ret, ann FROM h UNION ALL SELECT 'a_year_or_more', ret, ann FROM h WHERE ann IS NOT NULL)
 SELECT g AS "group", count(*) AS n, {q6('avg(ret)', 'mean')}, {q6('median(ret)', 'median')}, {q6('avg((ret > 0)::INT)', 'up_share')}, {q6('median(ann)', 'median_annualized')} FROM g GROUP BY 1""",
