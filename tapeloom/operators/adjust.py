@@ -53,3 +53,16 @@ def factors(bars: DataFrame, placed: DataFrame) -> DataFrame:
     steps = placed.filter(F.col("status") == "applied").groupBy("ts_code", F.col("trade_date").alias("date")).agg(F.product("ratio").alias("step"))
     run = W.partitionBy("ts_code").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     return bars.join(steps, ["ts_code", "date"], "left").withColumn("built_factor", F.product(F.coalesce("step", F.lit(1.0))).over(run)).drop("step")
+
+
+# The category of distributions, and the exchange of a market number.
+DISTRIBUTION, MARKETS = 1, {0: "SZ", 1: "SH", 2: "BJ"}
+
+
+def distributions(actions: DataFrame) -> DataFrame:
+    """Decoded corporate actions (market, code, category, date and their amounts) that are distributions, with ts_code
+    instead of market and code, and ex_date; those of unknown markets are left out. In order of code and date."""
+    place = F.create_map(*[F.lit(x) for pair in MARKETS.items() for x in pair])
+    known = actions.filter(F.col("category") == DISTRIBUTION).withColumn("_place", place[F.col("market").cast("int")]).filter("_place is not null")
+    named = known.withColumn("ts_code", F.concat(F.lpad(F.col("code").cast("string"), 6, "0"), F.lit("."), "_place")).withColumnRenamed("date", "ex_date")
+    return named.drop("_place", "market", "code", "category").orderBy("ts_code", "ex_date")

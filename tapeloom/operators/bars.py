@@ -87,9 +87,10 @@ def around(bars: DataFrame, targets: DataFrame, before: int, after: int) -> Data
 
     Targets without a bar on their date give nothing; windows are cut at the ends of the series."""
     known = numbered(bars)
-    at = known.join(targets.select("ts_code", F.col("date").alias("target_date")).distinct(), "ts_code").filter(F.col("date") == F.col("target_date")).select("ts_code", "target_date", F.col("bar_no").alias("at"))
-    near = known.join(at, "ts_code").filter(F.col("bar_no").between(F.col("at") - before, F.col("at") + after))
-    return near.withColumn("offset", F.col("bar_no") - F.col("at")).drop("at")
+    days = targets.select(F.col("ts_code").alias("_code"), F.col("date").alias("target_date")).distinct()
+    at = known.join(days, (F.col("ts_code") == F.col("_code")) & (F.col("date") == F.col("target_date"))).select("_code", "target_date", F.col("bar_no").alias("_at"))
+    wanted = at.select("_code", "target_date", F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset"), "_at")
+    return known.join(wanted, (F.col("ts_code") == F.col("_code")) & (F.col("bar_no") == F.col("_at") + F.col("offset"))).drop("_code", "_at")
 
 
 def overlapping(bars: DataFrame, first: str, last: str, period: str) -> DataFrame:

@@ -97,19 +97,18 @@ def halvings(bars: DataFrame, window: int = 63, horizon: int = 25, long_window:
     with the best high and the last close of the next ``horizon`` bars (null unless all are there)."""
     df = backward_adjusted(numbered(bars))
     before = rows_between(-window, -1)
-    peak = full_when(window, F.max(F.struct(F.col("hfq_close").alias("v"), (-F.col("bar_no")).alias("n"), F.col("date").alias("d"))), before)
-    df = df.withColumns({"peak": peak, "long_high": full_when(long_window, F.max("hfq_close"), rows_between(-long_window, -1))})
+    df = df.withColumn("long_high", full_when(long_window, F.max("hfq_close"), rows_between(-long_window, -1)))
+    peak = F.max(F.struct(F.col("hfq_close").alias("v"), (-F.col("bar_no")).alias("n"), F.col("date").alias("d"), F.col("long_high").alias("high")))
+    df = df.withColumn("peak", full_when(window, peak, before))
     df = df.withColumn("drawdown", F.col("hfq_close") / F.col("peak.v") - 1)
     last = F.lag("drawdown").over(series())
     best = full_when(horizon, F.max(F.struct(F.col("hfq_high").alias("v"), (-F.col("bar_no")).alias("n"), F.col("date").alias("d"))), rows_between(1, horizon))
     df = df.withColumns({"crossed": (F.col("drawdown") < -0.5) & (last.isNull() | (last >= -0.5)), "best": best, "end_close": F.lead("hfq_close", horizon).over(series()), "end_date": F.lead("date", horizon).over(series())})
-    peak_long = df.select("ts_code", F.col("date").alias("peak_date"), F.col("long_high").alias("peak_long_high"))
     hit = spaced(df.filter("crossed"), "ts_code", "bar_no", window)
-    hit = hit.withColumn("peak_date", F.col("peak.d")).join(peak_long, ["ts_code", "peak_date"], "left")
     return hit.select(
-        "ts_code", F.col("date").alias("signal_date"), "peak_date", F.col("peak.v").alias("peak_close"), F.col("hfq_close").alias("signal_close"), (F.col("bar_no") + F.col("peak.n")).alias("peak_to_signal_bars"), "drawdown",
+        "ts_code", F.col("date").alias("signal_date"), F.col("peak.d").alias("peak_date"), F.col("peak.v").alias("peak_close"), F.col("hfq_close").alias("signal_close"), (F.col("bar_no") + F.col("peak.n")).alias("peak_to_signal_bars"), "drawdown",
         "end_date", (F.col("end_close") / F.col("hfq_close") - 1).alias("terminal_return"), F.col("best.d").alias("best_date"), (F.col("best.v") / F.col("hfq_close") - 1).alias("best_return"),
-        F.coalesce(F.col("peak.v") > F.col("peak_long_high"), F.lit(False)).alias("peak_is_long_high"), F.when(F.col("best").isNotNull(), "complete").otherwise("no_complete_window").alias("status"),
+        F.coalesce(F.col("peak.v") > F.col("peak.high"), F.lit(False)).alias("peak_is_long_high"), F.when(F.col("best").isNotNull(), "complete").otherwise("no_complete_window").alias("status"),
     )
 
 

@@ -35,3 +35,29 @@ def resolve(master: DataFrame, text: str) -> DataFrame:
     found = master.withColumn("how", how).filter("how is not null")
     best = found.agg(F.min("how").alias("_best"))
     return found.join(F.broadcast(best), F.col("how") == F.col("_best")).drop("_best")
+
+
+def union_statuses(parts: dict[str, DataFrame], key: str = "ts_code", order: Sequence[str] = ("L", "P", "D")) -> DataFrame:
+    """The lists of several listing statuses as one, a row per key: the status that comes first in ``order`` wins, others
+    come last, in alphabetical order. Columns that a list lacks are null."""
+    out = None
+    for status, df in parts.items():
+        named = df.withColumn("list_status", F.lit(status))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return first_by_priority(out, key, "list_status", order, ("list_status",))
+
+
+def resolve_one(master: DataFrame, text: str) -> str:
+    """The one code that ``text`` means; ValueError if it means none or several."""
+    found = [r.ts_code for r in resolve(master, text).select("ts_code").distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{text!r} names {'no' if not found else 'more than one'} instrument")
+    return found[0]
+
+
+def required(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``table`` (unique by ``keys``); a row without a match is an error when it is computed."""
+    found = rows.join(table.withColumn("_found", F.lit(True)), list(keys), "left")
+    missing = F.concat(F.lit("no match for "), F.to_json(F.struct(*keys)))
+    sure = F.when(F.col("_found"), F.lit(True)).otherwise(F.raise_error(missing).cast("boolean"))
+    return found.withColumn("_found", sure).filter("_found").drop("_found")

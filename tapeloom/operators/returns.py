@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.operators.bars import series, full_when, rows_between
+from tapeloom.operators.bars import before_now, full_when, rows_between, series
 from tapeloom.operators.small import checked_broadcast
 
 
@@ -26,18 +26,17 @@ def forward_returns(bars: DataFrame, index: DataFrame, horizons: Sequence[int])
     """Per bar and horizon: ret_close, ex_close, ret_open, ex_open and whether the entry is blocked.
 
     Close entries buy at this close, open entries at the next open; both sell at the close ``horizon`` bars
-    ahead and have no value without it. Excess is over the market on the same dates. The horizons are
-    unpivoted before the index is looked up, so it is joined once per end, and it is broadcast only if
-    its days are few. ``bars``: limit features and hfq prices.
+    ahead and have no value without it. Excess is over the market on the same dates. The index is joined by date
+    once, before the windows, and looks ahead with the bars; it is broadcast only if its days are few. ``bars``: limit
+    features and hfq prices.
     """
     blocked = F.lead(F.col("is_one_price") & F.col("any_limit_up")).over(series())
-    ends = [F.struct(F.lit(h).alias("horizon"), F.lead("date", h).over(series()).alias("exit_date"), F.lead("hfq_close", h).over(series()).alias("exit_close")) for h in horizons]
-    df = bars.select("ts_code", "date", "hfq_close", F.lead("hfq_open").over(series()).alias("next_open"), F.lead("date").over(series()).alias("next_date"), F.coalesce(blocked, F.lit(False)).alias("entry_blocked"), F.array(*ends).alias("ends"))
-    df = df.select("ts_code", "date", "hfq_close", "next_open", "next_date", "entry_blocked", F.inline("ends"))
-    idx = checked_broadcast(index)
-    close_at = lambda day, name: idx.select(F.col("date").alias(day), F.col("close_idx").alias(name))
-    df = df.join(close_at("date", "m0"), "date", "left").join(close_at("exit_date", "m1"), "exit_date", "left")
-    df = df.join(idx.select(F.col("date").alias("next_date"), F.col("open_idx").alias("mo")), "next_date", "left")
+    days = checked_broadcast(index.select("date", "close_idx", "open_idx"))
+    df = bars.select("ts_code", "date", "hfq_open", "hfq_close", "is_one_price", "any_limit_up").join(days, "date", "left")
+    ends = [F.struct(F.lit(h).alias("horizon"), F.lead("hfq_close", h).over(series()).alias("exit_close"), F.lead("close_idx", h).over(series()).alias("m1")) for h in horizons]
+    ahead = [F.lead(c).over(series()).alias(name) for c, name in (("hfq_open", "next_open"), ("open_idx", "mo"))]
+    df = df.select("ts_code", "date", "hfq_close", F.col("close_idx").alias("m0"), *ahead, F.coalesce(blocked, F.lit(False)).alias("entry_blocked"), F.array(*ends).alias("ends"))
+    df = df.select("ts_code", "date", "hfq_close", "m0", "next_open", "mo", "entry_blocked", F.inline("ends"))
     ret_close, ret_open = F.col("exit_close") / F.col("hfq_close") - 1, F.col("exit_close") / F.col("next_open") - 1
     return df.select(
         "ts_code", "date", "horizon", "entry_blocked", ret_close.alias("ret_close"), (ret_close - (F.col("m1") / F.col("m0") - 1)).alias("ex_close"),
@@ -81,10 +80,13 @@ def lowest_bar_path(bars: DataFrame, signal_gap: str, horizon: int = 25) -> Data
 
 def monthly_momentum(bars: DataFrame) -> DataFrame:
     """Adds prev_month_return (between the closes of the two months with bars before this one) and
-    current_month_return (this close against the last close of the month before)."""
+    current_month_return (this close against the last close of the month before).
+
+    The last bar of a month is the one whose next is of another; its close, and the one that it looks back on, are
+    carried forward over the same partitioning and sort as the other windows."""
     month = F.trunc("date", "MM")
-    months = bars.groupBy("ts_code", month.alias("month")).agg(F.max_by("hfq_close", "date").alias("last"))
-    by = W.partitionBy("ts_code").orderBy("month")
-    months = months.withColumns({"base": F.lag("last", 1).over(by), "base2": F.lag("last", 2).over(by)})
-    joined = bars.withColumn("month", month).join(months.drop("last"), ["ts_code", "month"], "left")
-    return joined.withColumns({"prev_month_return": F.col("base") / F.col("base2") - 1, "current_month_return": F.col("hfq_close") / F.col("base") - 1}).drop("month", "base", "base2")
+    ends = F.coalesce(F.lead(month).over(series()) != month, F.lit(False))
+    df = bars.withColumn("_end", F.when(ends, F.col("hfq_close")))
+    df = df.withColumn("_base", F.last("_end", ignorenulls=True).over(before_now()))
+    df = df.withColumn("_base2", F.last(F.when(F.col("_end").isNotNull(), F.struct("_base")), ignorenulls=True).over(before_now())["_base"])
+    return df.withColumns({"prev_month_return": F.col("_base") / F.col("_base2") - 1, "current_month_return": F.col("hfq_close") / F.col("_base") - 1}).drop("_end", "_base", "_base2")

@@ -182,8 +182,8 @@ def latest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relative_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the last two years and 30 days per exchange."""
     df = bars(spark, sf_dir)
-    last = checked_broadcast(df.agg(F.max("date").alias("end")))
-    near = df.join(last, F.col("date") >= F.date_sub(F.add_months("end", -24), 30))
+    last = df.agg(F.max("date").alias("end")).first()["end"]  # one value
+    near = df.filter(F.col("date") >= F.date_sub(F.add_months(F.lit(last), -24), 30))
     return near.groupBy(F.substring("ts_code", 8, 2).alias("exchange")).agg(F.count("*").alias("bars"), F.min("date").alias("first_date"))
 
 

@@ -5,8 +5,38 @@ import numpy as np
 from tapeloom.screener.formula import Node, Statement, chosen
 
 
-def _roll(x: np.ndarray, n: int, f) -> np.ndarray:
-    return np.array([f(x[max(0, i + 1 - n) if n > 0 else 0 : i + 1]) for i in range(len(x))], float)
+def _rolled(name: str, x: np.ndarray, n: int) -> np.ndarray:
+    """A window function over the last ``n`` bars, or over all so far for 0."""
+    known = ~np.isnan(x)
+    true = known & (x != 0)
+    seen = np.arange(1, len(x) + 1)
+    if name in ("MA", "STD"):
+        if n <= 0 or not len(x) or n > len(x):
+            return np.full(len(x), np.nan)
+        frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
+        if name == "MA":
+            return frames.mean(axis=1)
+        return frames.std(axis=1, ddof=1) if n > 1 else np.full(len(x), np.nan)
+    if name in ("HHV", "LLV"):
+        f = np.fmax if name == "HHV" else np.fmin
+        if n <= 0:
+            return f.accumulate(x) if len(x) else x
+        frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
+        return f.reduce(frames, axis=1)
+
+    def total(values: np.ndarray) -> np.ndarray:
+        whole = np.concatenate([[0.0], np.cumsum(values)])
+        return whole[1:] - (whole[np.maximum(seen - n, 0)] if n > 0 else 0.0)
+
+    count = total(true.astype(float))
+    if name == "SUM":
+        if n > 0 and len(x):
+            frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(n - 1), np.where(known, x, 0.0)]), n)
+            return np.where(total(known.astype(float)) > 0, frames.sum(axis=1), np.nan)
+        return np.where(np.cumsum(known) > 0, np.cumsum(np.where(known, x, 0.0)), np.nan)
+    if name == "COUNT":
+        return count
+    return (count > 0).astype(float) if name == "EXIST" else (count == (np.minimum(seen, n) if n > 0 else seen)).astype(float)
 
 
 def _lag(x: np.ndarray, n: int) -> np.ndarray:
@@ -50,13 +80,7 @@ def value_of(node: Node, bars: dict[str, np.ndarray], known: dict[str, np.ndarra
         x, n = go(args[0]), int(args[1].value)
         if name == "REF":
             return _lag(x, n)
-        if name in ("MA", "STD"):
-            f = np.mean if name == "MA" else lambda w: np.std(w, ddof=1)
-            return _roll(x, n, lambda w: f(w) if len(w) == n and not np.isnan(w).any() else np.nan)
-        yes = lambda w: np.sum((w != 0) & ~np.isnan(w))
-        some = lambda f: lambda w: f(w[~np.isnan(w)]) if (~np.isnan(w)).any() else np.nan
-        ways = {"COUNT": yes, "EXIST": lambda w: yes(w) > 0, "EVERY": lambda w: yes(w) == len(w), "SUM": some(np.sum), "HHV": some(np.max), "LLV": some(np.min)}
-        return _roll(x, n, ways[name])
+        return _rolled(name, x, n)
     values = [go(a) for a in args]
     if name == "CROSS":
         a, b = values

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed value: the record's little-endian fields; prices are in hundredths.
@@ -78,18 +79,45 @@ def read_day_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parts, SCHEMA)
 
 
-def last_dates(spark: SparkSession, path: str) -> DataFrame:
-    """stem and the date of each file's last record, null where it is no date of 2000 to 2099.
+class _Tails(_Reader):
+    """The last whole record of every file, by seeking to it."""
 
-    Empty files have no row (Spark's binary reader passes over them)."""
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        stems, days = [], []
+        for path in partition.paths:
+            size = os.path.getsize(path)
+            if not size:
+                continue
+            with open(path, "rb") as f:
+                f.seek(max(size - RECORD.itemsize, 0))
+                tail = f.read()
+            got = decode(tail)["date"] if size % RECORD.itemsize == 0 else []
+            stems.append(os.path.splitext(os.path.basename(path))[0])
+            days.append(got[-1].astype(object) if len(got) else None)
+        yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(days, pa.date32())], names=["stem", "last_date"])
+
+
+class DayTails(DayBars):
+    """Data source ``daytails``: stem and last_date of day files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "daytails"
+
+    def schema(self) -> str:
+        return "stem string, last_date date"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Tails(self.options["path"], int(self.options.get("filespertask", 1024)))
+
+
+def last_dates(spark: SparkSession, path: str) -> DataFrame:
+    """stem and the date of each file's last record, null where it is no date of 2000 to 2099 or the file is broken.
+    32 bytes a file are read; empty files have no row."""
+    spark.dataSource.register(DayTails)
+    return spark.read.format("daytails").load(path)
 
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            stems, days = [], []
-            for name, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                got = decode(data[-RECORD.itemsize :]) if data and len(data) % RECORD.itemsize == 0 else {"date": []}
-                stems.append(os.path.splitext(os.path.basename(name))[0])
-                days.append(got["date"][-1].astype(object) if len(got["date"]) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(days, pa.date32())], names=["stem", "last_date"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tails, "stem string, last_date date")
+def close_series(bars: DataFrame, stem: str) -> DataFrame:
+    """date and close of one instrument or index, in date order."""
+    return bars.filter(F.col("stem") == stem).select("date", "close").orderBy("date")

@@ -35,8 +35,9 @@ def write_summary(row: DataFrame, path: str) -> dict:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A Markdown table of at most ``most`` rows, in the frame's order."""
-    rows = df.limit(most).collect()
+    """A Markdown table of at most ``most`` rows, in the frame's order; a line below it says so if there are more."""
+    rows = df.limit(most + 1).collect()
     cell = lambda x: "—" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(x) for x in r) + " |" for r in rows]) + "\n"
+    lines += ["| " + " | ".join(cell(x) for x in r) + " |" for r in rows[:most]]
+    return "\n".join(lines + (["", f"The first {most} rows; there are more."] if len(rows) > most else [])) + "\n"

@@ -6,7 +6,8 @@ import numpy as np
 
 from tapeloom.render import chart
 from tapeloom.sources import sinks
-from tapeloom.sources.daybars import RECORD, DayBars, last_dates, read_day_bars
+from tapeloom.sources.daybars import RECORD, DayBars, close_series, last_dates, read_day_bars
+from tapeloom.sources.sync import sync_files
 from tapeloom.sources.small_files import read_dbase, read_industries, read_names, read_snapshot
 
 
@@ -27,6 +28,19 @@ def test_day_files_both_ways(spark, tmp_path):
     assert {r.stem: str(r.last_date) for r in last_dates(spark, str(tmp_path / "*.day")).collect()} == {"sh600000": "2024-01-03", "bj920001": "None"}
 
 
+def test_series_and_sync(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name, close in (("sh000001", 300), ("sz399006", 200)):
+        day_file(tmp_path / "a" / f"{name}.day", [(20240103, 1, 2, 1, close + 1, 1.0, 1, 0), (20240102, 1, 2, 1, close, 1.0, 1, 0)])
+    bars = read_day_bars(spark, str(tmp_path / "a" / "*.day"))
+    assert [(str(r.date), r.close) for r in close_series(bars, "sz399006").collect()] == [("2024-01-02", 2.0), ("2024-01-03", 2.01)]
+    copy = lambda: {r.path[-12:]: r.copied for r in sync_files(spark, str(tmp_path / "a" / "*.day"), str(tmp_path / "b"), 1).collect()}
+    assert copy() == {"sh000001.day": True, "sz399006.day": True} and copy() == {"sh000001.day": False, "sz399006.day": False}
+    day_file(tmp_path / "a" / "sh000001.day", [(20240104, 1, 2, 1, 9, 1.0, 1, 0)])
+    assert copy() == {"sh000001.day": True, "sz399006.day": False}
+    assert (tmp_path / "b" / "sh000001.day").read_bytes() == (tmp_path / "a" / "sh000001.day").read_bytes() and len(list((tmp_path / "b").iterdir())) == 2
+
+
 def test_dbase_names_and_industries(spark, tmp_path):
     fields = [(b"SC", 1), (b"GPDM", 6), (b"ZGB", 8)]
     head = struct.pack("<BBBBIHH20x", 3, 24, 1, 1, 3, 32 + 32 * len(fields) + 1, 1 + 15)
@@ -49,6 +63,7 @@ def test_sinks(spark, tmp_path):
     assert "﻿ts_code" in text and "1.23" in text and "1.234" not in text
     assert sinks.write_summary(df.selectExpr("count(*) n"), str(tmp_path / "s.json")) == {"n": 2} == json.loads((tmp_path / "s.json").read_text())
     assert sinks.markdown(df.orderBy("ts_code")).splitlines()[2] == "| A | 2024-01-03 | — |"
+    assert sinks.markdown(df.orderBy("ts_code"), 1).splitlines()[3:] == ["", "The first 1 rows; there are more."]
 
 
 def test_chart_is_xml():
