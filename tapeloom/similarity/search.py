@@ -6,11 +6,9 @@ nothing is bounded: every legal window is re-ranked where its series lies.
 """
 
 import time
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,196 +16,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators.bars import PRICES, resample, valid_bars
 from tapeloom.operators.lineage import cut
 from tapeloom.similarity import measures as M
-
-
-@dataclass(frozen=True)
-class SearchRules:
-    """Fixed values of the search. ``step`` is the stride of the elastic scan (see :func:`stride`); 1 looks at every
-    window. ``min_length`` and ``max_length`` bound the windows of the elastic mode. ``exact`` re-ranks every window, in
-    elastic mode, whose score doesn't depend on the other candidates. With ``refine`` all candidates of a series are re-ranked
-    where it lies, without the bound ``recall_n``, and so are all windows within ``refine_bars`` bars of the best
-    ``refine`` ones. Weights lie between 0 and 1."""
-
-    mode: str = "fixed"
-    min_length: int = 8
-    max_length: int = 250
-    lengths: int = 3
-    step: int = 1
-    local_top: int = 20
-    recall_n: int = 1000
-    top_k: int = 20
-    exclusion: float = 0.25
-    warp: float = 0.08
-    clip: float = 5.0
-    overlap: float = 0.25
-    self_overlap: float = 0.2
-    use_volume: bool = True
-    weekly_weight: float = 0.25
-    weekly_prior: int = 8
-    event_bands: bool = True
-    exact: bool = False
-    refine: int = 0
-    refine_bars: int = 10
-    score_weights: dict = field(default_factory=lambda: {"mass": 0.15, "dtw": 0.30, "aligned": 0.20, "ret": 0.10, "vol": 0.05, "event": 0.20})
-
-    def check(self) -> None:
-        """ValueError for a mode, bound or weight out of range."""
-        if self.mode not in ("fixed", "elastic"):
-            raise ValueError("unknown mode")
-        if (self.exact or self.refine) and self.mode != "elastic":
-            raise ValueError("scores of the fixed mode are ranks among the candidates: exact and refine need the elastic mode")
-        if min(self.lengths, self.step, self.local_top, self.recall_n, self.top_k) < 1 or self.weekly_prior < 0:
-            raise ValueError("counts must be 1 at least")
-        shares = (self.exclusion, self.warp, self.overlap, self.self_overlap, self.weekly_weight, *self.score_weights.values())
-        if not all(np.isfinite(x) and 0 <= x <= 1 for x in shares) or not sum(self.score_weights.values()) > 0 or not self.clip > 0:
-            raise ValueError("weights and shares must lie between 0 and 1")
-
-
-def stride(length: int, most: int = 8) -> int:
-    """The stride for a quick scan of windows of a length: a quarter of it, from 1 to ``most``."""
-    return min(most, max(1, length // 4))
-
-
-LAG_DAYS = {"D": 7, "W": 14, "M": 45}
-_BAR = ("open", "high", "low", "close", "vol")
-_CANDIDATE = "ts_code string, start_idx int, length int, mass double, structure double, event double, state double, coverage double, missing int, paths string, start_date date, end_date date"
-
-
-def limit_of(code: str) -> float:
-    return 0.2 if code[:3] in ("300", "301", "688", "689") else 0.3 if code[:1] in ("4", "8") else 0.1
-
-
-def candidate_lengths(length: int, rules: SearchRules) -> list[int]:
-    """Window lengths to look at: the query's own, and in elastic mode the allowed ones nearest to it, of which the
-    search keeps the own and those closest to four and six fifths of it."""
-    if rules.mode == "fixed":
-        return [length]
-    if length < 8:
-        near = {length - 1, length, length + 1}
-    else:
-        delta = min(max(2, round(0.2 * length)), 20)
-        near = {length - delta, length, length + delta} | {round(length * r / 100) for r in range(75, 136, 10)}
-    low, high = max(rules.min_length, 3), rules.max_length
-    if low > high:
-        raise ValueError("min_length above max_length")
-    fit = [x for x in sorted(near, key=lambda x: (abs(x - length), x)) if low <= x <= high][:9] or [min(max(length, low), high)]
-    if len(fit) <= rules.lengths:
-        return sorted(fit)
-    aims = [length, 0.8 * length, 1.2 * length][: rules.lengths]
-    return sorted({min(fit, key=lambda x: (abs(x - aim), x)) for aim in aims})
-
-
-@dataclass
-class Query:
-    """The query window with all that the kernels need of it."""
-
-    symbol: str
-    days: np.ndarray
-    bars: np.ndarray
-    previous: float
-    weekly: tuple | None
-
-    def parts(self, rules: SearchRules):
-        o, h, lo, c, v = (self.bars[None, :, k] for k in range(5))
-        features = M.bar_features(o, h, lo, c, v, rules.use_volume)[0]
-        events = M.board_events(o, h, lo, c, np.array([self.previous]), limit_of(self.symbol))[0]
-        state, loud = M.states(M.bar_features(o, h, lo, c, v)[0], events)
-        return features, events, state, loud
-
-
-def _windows(bars: np.ndarray, starts: np.ndarray, m: int) -> list[np.ndarray]:
-    views = np.lib.stride_tricks.sliding_window_view(bars, m, axis=0)[starts]
-    return [views[:, k] for k in range(5)]
-
-
-def _previous(bars: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    close = bars[:, 3]
-    return np.where(starts > 0, close[np.maximum(starts - 1, 0)], close[starts])
-
-
-def _scan(series: M.Series, m: int, starts: np.ndarray, query: Query, rules: SearchRules, block: int = 8192) -> dict[str, np.ndarray]:
-    """Distances of the windows of length ``m`` at ``starts``."""
-    qf, qe, qs, _ = query.parts(rules)
-    coverage, missing = (x[starts] for x in series.coverage(qe, m))
-    if rules.mode == "fixed":
-        return {"mass": series.shape(query.bars[:, 3])[starts], "structure": series.structure(qf)[starts], "event": series.event(qe)[starts], "state": np.zeros(len(starts)), "coverage": coverage, "missing": missing}
-    n = len(query.days)
-    buckets = min(n, m, int(np.clip(round(n / 2), 8, 32)))
-    own = M.coarse(*(query.bars[None, :, k] for k in range(5)), buckets)
-    own_features, own_modes = M.bar_features(*own, rules.use_volume)[0], M.bucket_modes(qs[None], buckets)[0]
-    own_events = np.maximum.reduceat(qe, M.bucket_starts(n, buckets), axis=0)
-    found: dict[str, list] = {k: [] for k in ("mass", "structure", "event", "state")}
-    for k in range(0, len(starts), block):
-        at = starts[k : k + block]
-        small, events = series.coarse_windows(m, buckets, at)
-        found["mass"].append(M.shape_distance(own[3], small[3]))
-        found["structure"].append(M.structure_distance(own_features, M.bar_features(*small, rules.use_volume)))
-        found["event"].append(M.event_distance(own_events, events))
-        found["state"].append(np.mean(series.modes(m, buckets, at) != own_modes, axis=(1, 2)))
-    return {k: np.concatenate(x) if x else np.zeros(0) for k, x in found.items()} | {"coverage": coverage, "missing": missing}
-
-
-def _bars_of(table: pa.Table) -> tuple[str, np.ndarray, np.ndarray]:
-    """Code, days and bars (open, high, low, close, vol) of one series, in date order."""
-    table = table.sort_by("date")
-    bars = np.stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in _BAR], axis=1)
-    bars[:, 4] = np.nan_to_num(bars[:, 4])
-    return table["ts_code"][0].as_py(), table["date"].cast(pa.int32()).to_numpy(), bars
-
-
-def _legal(code: str, first: np.ndarray, last: np.ndarray, query: Query, rules: SearchRules, history_only: bool, exclude: bool) -> np.ndarray:
-    legal = np.ones(len(first), bool)
-    if history_only:
-        legal &= last < query.days[0]
-    if exclude and code == query.symbol:
-        span = np.minimum(last, query.days[-1]) - np.maximum(first, query.days[0])
-        legal &= np.maximum(span, 0) / (query.days[-1] - query.days[0] + 1) <= rules.self_overlap
-    return legal
-
-
-def _recall_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int], everything: bool = False, only: dict[str, np.ndarray] | None = None):
-    """The best windows of each path of a series, or with ``everything`` all legal ones, or those that start at ``only``."""
-    names = [x.split()[0] for x in _CANDIDATE.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.string(), pa.date32(), pa.date32()]
-    has_events = bool(query.parts(rules)[1].any())
-    elastic = rules.mode == "elastic"
-
-    def recall(table: pa.Table) -> pa.Table:
-        code, days, bars = _bars_of(table)
-        series = M.Series(bars, limit_of(code), rules.use_volume)
-        out = []
-        for m in lengths:
-            if len(days) < m:
-                continue
-            step = rules.step if elastic and not latest else 1
-            starts = np.array([len(days) - m]) if latest else np.arange(0, len(days) - m + 1, step)
-            if only is not None:
-                starts = np.intersect1d(only.get(code, starts[:0]), starts)
-                if not len(starts):
-                    continue
-            found = _scan(series, m, starts, query, rules)
-            first, last = days[starts], days[starts + m - 1]
-            legal = _legal(code, first, last, query, rules, history_only and not latest, exclude)
-            miss = 2.0 * (1.0 - found["coverage"])
-            total = found["mass"] + 0.75 * found["event"] + miss
-            if elastic:
-                total = total + 0.35 * found["structure"] + 0.25 * found["state"]
-            ways = {"mass": total, "structure": found["structure"]} | ({"state": found["state"]} if elastic else {}) | ({"event": found["event"] + miss} if has_events else {})
-            radius = max(1, round(max(3, m * rules.exclusion) / step)) if elastic else max(5, int(m * rules.exclusion))
-            paths: dict[int, list] = {}
-            if everything:
-                paths = {int(k): ["all"] for k in np.flatnonzero(legal)}
-            else:
-                for name, x in ways.items():
-                    for k in M.local_minima(np.where(legal, x, np.inf), rules.local_top, radius):
-                        paths.setdefault(k, []).append(name)
-            at = np.fromiter(paths, np.int64, len(paths))
-            columns = [[code] * len(at), starts[at], np.full(len(at), m), *[found[x][at] for x in ("mass", "structure", "event", "state", "coverage")], found["missing"][at], ["+".join(sorted(p)) for p in paths.values()], first[at], last[at]]
-            arrays = [pa.array(x, pa.int32()).cast(k) if k == pa.date32() else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
-            out.append(pa.table(arrays, names=names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names=names)
-
-    return recall
+from tapeloom.similarity.kernels import _BAR, _CANDIDATE, _METRIC, LAG_DAYS, Query, SearchRules, _exact_kernel, _feature_kernel, _recall_kernel, _rerank_kernel, _weeks, candidate_lengths, kept_windows, stride
 
 
 def _key() -> Column:
@@ -239,93 +48,6 @@ def bounded(candidates: DataFrame, limit: int, events: bool) -> pd.DataFrame:
     return rest[kept]
 
 
-_METRIC = "ts_code string, start_idx int, length int, dtw double, aligned double, ret double, vol double, event_seq double, state_edit double, anchor double, steps int, skipped_query int, skipped_window int, weekly double, weekly_share double, weekly_weeks int"
-
-
-def _weeks(days: np.ndarray) -> np.ndarray:
-    return (days + 5) // 7  # weeks end on Friday: day 0 is a Thursday
-
-
-def _rerank(code: str, days: np.ndarray, bars: np.ndarray, start: np.ndarray, m: int, query: Query, rules: SearchRules, middle: np.ndarray, spread: np.ndarray) -> list:
-    """Columns of ``_METRIC`` for the windows of ``m`` bars at ``start``."""
-    qf, qe, qs, ql = query.parts(rules)
-    weights = np.sqrt(M.FEATURE_WEIGHTS) * np.where(np.arange(7) < 6, 1.0, float(rules.use_volume))
-    elastic = rules.mode == "elastic"
-    scaled = (lambda x: x / np.maximum(qf.std(axis=0), 1e-3) * weights) if elastic else (lambda x: np.clip((x - middle) / spread, -rules.clip, rules.clip) * weights)
-    flags = np.sqrt(0.2 * M.EVENT_WEIGHTS)
-    q = np.concatenate([scaled(qf), qe * flags], axis=1)
-    qret, qvol = np.log(query.bars[-1, 3] / query.bars[0, 3]), np.diff(np.log(query.bars[:, 3])).std()
-    o, h, lo, c, v = _windows(bars, start, m)
-    events = M.board_events(o, h, lo, c, _previous(bars, start), limit_of(code))
-    x = np.concatenate([scaled(M.bar_features(o, h, lo, c, v, rules.use_volume)), events * flags], axis=2)
-    zero = np.zeros(len(start))
-    if elastic:
-        state, loud = M.states(M.bar_features(o, h, lo, c, v), events)
-        dtw, steps, over_q, over_c = M.elastic_distance(q, x, ql, loud)
-        edit, anchor = M.edit_distance(qs, state, ql, loud), M.anchor_distance(query.bars[:, 3], c)
-        aligned = np.sqrt(np.mean((M.resampled_windows(x, len(q)) - q) ** 2, axis=(1, 2)))
-    else:
-        dtw, steps, over_q, over_c, edit, anchor = M.warped_distance(q, x, max(1, round(m * rules.warp))), zero, zero, zero, zero, zero
-        aligned = np.sqrt(np.mean(((x - q) ** 2).sum(axis=2), axis=1))
-    weeks = _weeks(days)
-    weekly = [M.weekly_distance(query.weekly, M.weekly_parts(weeks, bars, int(k), int(k + m - 1), rules.weekly_prior), rules.use_volume) if query.weekly else (np.nan, np.nan, 0) for k in start]
-    ret = np.abs(np.log(c[:, -1] / c[:, 0]) - qret)
-    vol = np.abs(np.log((np.diff(np.log(c), axis=1).std(axis=1) + 1e-9) / (qvol + 1e-9)))
-    return [[code] * len(start), start, [m] * len(start), dtw, aligned, ret, vol, M.event_sequences(qe, events), edit, anchor, steps, over_q, over_c, *zip(*weekly, strict=True)]
-
-
-def _rerank_kernel(query: Query, rules: SearchRules, middle: np.ndarray, spread: np.ndarray, windows: dict[str, dict[int, np.ndarray]], block: int = 512):
-    """Metrics of a series' shortlisted ``windows`` (by code and length)."""
-    fields = [x.split() for x in _METRIC.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-
-    def rerank(table: pa.Table) -> pa.Table:
-        code, days, bars = _bars_of(table)
-        out = [pa.table([pa.array([], kinds[t]) for _, t in fields], names=[n for n, _ in fields])]
-        for m, start in windows.get(code, {}).items():
-            for k in range(0, len(start), block):
-                columns = _rerank(code, days, bars, start[k : k + block], m, query, rules, middle, spread)
-                out.append(pa.table([pa.array(np.asarray(x).tolist(), kinds[t]) for x, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]))
-        return pa.concat_tables(out)
-
-    return rerank
-
-
-def _exact_kernel(recall, query: Query, rules: SearchRules, block: int = 512):
-    """Every legal window of a series with its metrics: recall and re-ranking in one."""
-    fields = [x.split() for x in _METRIC.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-
-    def whole(table: pa.Table) -> pa.Table:
-        candidates = recall(table)
-        code, days, bars = _bars_of(table)
-        start, length = candidates["start_idx"].to_numpy(), candidates["length"].to_numpy()
-        more: dict[str, list] = {n: [] for n, _ in fields[3:]}
-        # Candidates stand by length and start, as the kernel gives them.
-        for m in dict.fromkeys(length.tolist()):
-            own = start[length == m]
-            for k in range(0, len(own), block):
-                for (n, _), x in zip(fields[3:], _rerank(code, days, bars, own[k : k + block], m, query, rules, np.zeros(7), np.ones(7))[3:], strict=True):
-                    more[n] += np.asarray(x).tolist()
-        for n, t in fields[3:]:
-            candidates = candidates.append_column(n, pa.array(more[n], kinds[t]))
-        return candidates
-
-    return whole
-
-
-def _feature_kernel(rules: SearchRules, windows: dict[str, dict[int, np.ndarray]]):
-    """Bar features of shortlisted windows, for the robust scale."""
-
-    def rows(table: pa.Table) -> pa.Table:
-        code, _, bars = _bars_of(table)
-        x = [M.bar_features(*_windows(bars, start, m), rules.use_volume).reshape(-1, 7) for m, start in windows.get(code, {}).items()]
-        x = np.concatenate(x) if x else np.zeros((0, 7))
-        return pa.table([x[:, k] for k in range(7)], names=[f"f{k}" for k in range(7)])
-
-    return rows
-
-
 def fused_score(weights: dict) -> Column:
     """One minus the weighted ranks, as shares of the candidates, of the fixed mode's distances."""
     ranked = {"mass": "mass", "dtw": "dtw", "aligned": "aligned", "ret": "ret", "vol": "vol", "event": "event_seq"}
@@ -380,11 +102,15 @@ def _framed(bars: DataFrame, timeframe: str) -> DataFrame:
 
 
 def query_of(frame: DataFrame, symbol: str, start: str, end: str, rules: SearchRules, timeframe: str = "D") -> Query:
-    """The query window with its weekly background. Its bars, and a bounded number before them, come to the driver."""
-    before = F.lit(start).cast("date")
+    """The query window with its weekly background. Its bars, and a bounded number before them, come to the driver: those of
+    twice the calendar days that the background spans, or where trading stopped the last bars before, however old."""
     own = frame.filter((F.col("ts_code") == symbol) & (F.col("date") <= F.lit(end).cast("date")))
-    near = own.filter(F.col("date") >= F.date_sub(before, 14 * (rules.weekly_prior + 2))).unionByName(own.filter(F.col("date") < before).orderBy(F.col("date").desc()).limit(5 * (rules.weekly_prior + 2))).distinct()
-    got = near.toPandas().sort_values("date")
+    weeks = rules.weekly_prior + 2
+    first_day = F.lit(start).cast("date")
+    got = own.filter(F.col("date") >= F.date_sub(first_day, 14 * weeks)).toPandas()
+    if (pd.to_datetime(got["date"]) < pd.Timestamp(start)).sum() < 5 * weeks:
+        got = pd.concat([got, own.filter(F.col("date") < first_day).orderBy(F.col("date").desc()).limit(5 * weeks).toPandas()]).drop_duplicates("date")
+    got = got.sort_values("date")
     inside = (pd.to_datetime(got["date"]) >= pd.Timestamp(start)).to_numpy()
     if inside.sum() < 3 or (rules.mode == "elastic" and inside.sum() > rules.max_length):
         raise ValueError("the query needs 3 bars at least, and max_length at most in elastic mode")
@@ -459,10 +185,11 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         began = mark("selection", began)
         middle, spread = np.zeros(7), np.ones(7)
         if rules.mode == "fixed":
-            features = near.applyInArrow(_feature_kernel(rules, windows), ", ".join(f"f{k} double" for k in range(7)))
-            whole = features.unionByName(bars.sparkSession.createDataFrame(query.parts(rules)[0].tolist(), features.schema))
-            got = whole.agg(*[F.percentile(F.col(f"f{k}"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"f{k}") for k in range(7)]).first()
-            middle, spread = np.array([x[1] for x in got]), np.maximum(np.array([x[2] - x[0] for x in got]), 1e-6)
+            # recall_n windows of the query's length at most.
+            got = near.applyInArrow(_feature_kernel(rules, windows), ", ".join(f"f{k} double" for k in range(7))).toArrow()
+            whole = np.concatenate([np.stack([got[f"f{k}"].to_numpy() for k in range(7)], axis=1), query.parts(rules)[0]])
+            low, middle, high = np.quantile(whole, (0.25, 0.5, 0.75), axis=0)
+            spread = np.maximum(high - low, 1e-6)
             began = mark("scale", began)
         metrics = near.applyInArrow(_rerank_kernel(query, rules, middle, spread, windows), _METRIC)
         df = metrics.join(F.broadcast(shortlist), ["ts_code", "start_idx", "length"])
@@ -476,19 +203,4 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
 def suppressed(scored: DataFrame, overlap: float, most: int | None = None) -> DataFrame:
     """The windows that stay: from the best score down, none that shares more than ``overlap`` of the shorter one's bars
     with a better one of its series; at most ``most`` of a series."""
-    schema = scored.schema
-
-    def keep(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by([("score", "descending"), ("start_date", "ascending")])
-        start, length = (batch[c].to_numpy().astype(np.int64) for c in ("start_idx", "length"))
-        free, stays = np.ones(len(start), bool), []
-        for k in range(len(start)):
-            if free[k]:
-                stays.append(k)
-                if len(stays) == most:
-                    break
-                shared = np.minimum(start + length, start[k] + length[k]) - np.maximum(start, start[k])
-                free &= shared <= overlap * np.minimum(length, length[k])
-        return batch.take(stays)
-
-    return scored.groupBy("ts_code").applyInArrow(keep, schema)
+    return scored.groupBy("ts_code").applyInArrow(kept_windows(overlap, most), scored.schema)
