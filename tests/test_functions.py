@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import boards, regimes, rounding
 from tapeloom.functions.codes import code_from_file_stem
 from tapeloom.operators import audit, bars as B, master
-from tapeloom.operators.small import checked_broadcast
+from tapeloom.operators.small import checked_broadcast, is_broadcast
 
 
 def values(spark, column, rows, schema):
@@ -49,8 +49,13 @@ def test_master(spark):
 
 def test_small_sides(spark):
     df = spark.range(10)
-    assert checked_broadcast(df, 10).count() == 10 and checked_broadcast(df, 9) is df
-    assert checked_broadcast(df.limit(0)).count() == 0
+    for most, small in ((240, True), (239, False)):  # 10 rows of 16 bytes and a number
+        side = checked_broadcast(df, most)
+        assert side.count() == 10 and is_broadcast(side) is small
+        assert ("BroadcastHashJoin" in df.join(side.hint("merge") if not small else side, "id")._jdf.queryExecution().executedPlan().toString()) is small
+    text = spark.createDataFrame([("a" * 1000, [1.0] * 50), (None, None)], "t string, x array<double>")
+    assert is_broadcast(checked_broadcast(text, 1500)) and not is_broadcast(checked_broadcast(text, 1400))
+    assert checked_broadcast(df.limit(0)).count() == 0 and is_broadcast(checked_broadcast(df.limit(0), 0))
 
 
 def test_windows_around_and_overlaps(spark):
