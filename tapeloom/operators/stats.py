@@ -91,8 +91,9 @@ def spread_pick(events: DataFrame, group: Sequence[str], value: str, ties: Seque
 
 
 def seeded_sample(events: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
-    """n rows by the order of a seeded hash of their keys: the same rows whatever the partitioning."""
-    return events.orderBy(F.xxhash64(*[F.col(k).cast("string") for k in keys], F.lit(seed)), *keys).limit(n)
+    """n rows by the order of a seeded hash (MD5) of their keys: the same rows whatever the partitioning, and in any system."""
+    mark = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return events.orderBy(mark, *keys).limit(n)
 
 
 def entry_summary(signals: DataFrame, forward: DataFrame, groupings: Sequence[Sequence[str]], entries: Sequence[str] = ("close", "open"), aligned: bool = False) -> DataFrame:

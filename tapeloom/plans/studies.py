@@ -186,6 +186,7 @@ SELECT "column", "value", count(*) AS n FROM u GROUP BY 1, 2""",
 UNION ALL SELECT board, 'low', row_number() OVER (PARTITION BY board ORDER BY ret, ts_code, signal_date), ts_code, signal_date, ret FROM k
 UNION ALL SELECT board, 'middle', row_number() OVER (PARTITION BY board ORDER BY abs(ret - m), ts_code, signal_date), ts_code, signal_date, ret FROM k) SELECT board, kind, place::INT AS place, ts_code, signal_date, {q6('ret')} FROM h WHERE place <= 5""",
     "threshold_events": f"WITH {EVENTS_SQL} SELECT ts_code, signal_date, {q6('ret')} FROM e WHERE ret > 0.3::DOUBLE",
+    "sampled_events": f"WITH {EVENTS_SQL} SELECT ts_code, signal_date, {q6('ret')} FROM e ORDER BY md5(ts_code || '|' || strftime(signal_date, '%Y-%m-%d') || '|20261002'), ts_code, signal_date LIMIT 14",
     "event_page": f"WITH {EVENTS_SQL} SELECT ts_code, signal_date FROM e ORDER BY signal_date DESC, ts_code LIMIT 200 OFFSET 200",
     "invalid_rows": f"""SELECT count(*) AS rows, sum((NOT ({_EVERY}))::INT)::BIGINT AS nonfinite_price, sum((({' OR '.join(f'({_NUM(p)} AND "{p}" <= 0)' for p in B.PRICES)}))::INT)::BIGINT AS nonpositive_price,
  sum((({_EVERY}) AND low > high)::INT)::BIGINT AS low_above_high, sum((({_EVERY}) AND (open > high OR open < low))::INT)::BIGINT AS open_outside, sum((({_EVERY}) AND ("close" > high OR "close" < low))::INT)::BIGINT AS close_outside,
