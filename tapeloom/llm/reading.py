@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 
-_ASIDES = re.compile(r"[(\[][^()\[\]]*[)\]]")
+_ASIDES = re.compile(r"[(\[][^()\[\]\n]*[)\]]")
 _ENDS = re.compile(r"[.!?。！？]+(?:\s+|$)|\n")
 _PARTS = re.compile(r"\s*:(?:\s+|$)|\s+[–—]+\s+")
 _BROKEN = re.compile("[ÃÂâ][\x80-\xbfŒ-™¡-¿]")
