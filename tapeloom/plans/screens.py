@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.plans.base import BARS_SQL, bars, q6, r6
-from tapeloom.screener.columns import forward_closes, horizon_summary, screen
+from tapeloom.screener.columns import horizon_summary, screen, screen_ahead
 
 CROSS = "M5:=MA(CLOSE,5);M20:=MA(CLOSE,20);XG:CROSS(M5,M20) AND VOL>REF(VOL,1);"
 PULLBACK = """A:=HHV(HIGH,20); B:=COUNT(CLOSE>OPEN,10)>=6
@@ -22,14 +22,12 @@ def screen_pullback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def screen_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with their forward returns, latest first."""
-    b = bars(spark, sf_dir)
-    df = forward_closes(screen(b, CROSS), b)
+    df = screen_ahead(bars(spark, sf_dir), CROSS)
     return df.orderBy(F.col("date").desc(), "ts_code").select("ts_code", "date", *[r6(f"ret_{h}") for h in (1, 3, 5, 10, 20)])
 
 
 def screen_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
-    return horizon_summary(forward_closes(screen(b, CROSS), b)).select("horizon", "samples", r6("average"))
+    return horizon_summary(screen_ahead(bars(spark, sf_dir), CROSS)).select("horizon", "samples", r6("average"))
 
 
 QUERIES = {f.__name__: f for f in (screen_cross, screen_pullback, screen_returns, screen_summary)}

@@ -92,6 +92,11 @@ def evaluate(bars: DataFrame, formula: str) -> DataFrame:
     return df.withColumn("value", F.col(value).cast("double")).drop(*known.values(), *[f"_f{k}" for k in range(len(statements))])
 
 
+def _is_hit() -> Column:
+    v = F.col("value")
+    return v.isNotNull() & ~F.isnan(v) & (v != 0) & (F.abs(v) != float("inf"))
+
+
 def screen(bars: DataFrame, formula: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Hits (ts_code, date, value) from ``start`` to ``end``, without limits over the whole span: the value is
     neither missing nor 0 nor infinite.
@@ -100,17 +105,29 @@ def screen(bars: DataFrame, formula: str, start: str | None = None, end: str | N
     """
     if end is not None:
         bars = bars.filter(F.col("date") <= F.lit(end).cast("date"))
-    v = F.col("value")
     hits = evaluate(bars, formula)
     if start is not None:
         hits = hits.filter(F.col("date") >= F.lit(start).cast("date"))
-    hits = hits.filter(v.isNotNull() & ~F.isnan(v) & (v != 0) & (F.abs(v) != float("inf")))
-    return hits.select("ts_code", "date", "value")
+    return hits.filter(_is_hit()).select("ts_code", "date", "value")
+
+
+def _ahead(horizons: Sequence[int]) -> list[Column]:
+    return [(F.lead("close", h).over(series()) / F.col("close") - 1).alias(f"ret_{h}") for h in horizons]
+
+
+def screen_ahead(bars: DataFrame, formula: str, horizons: Sequence[int] = (1, 3, 5, 10, 20), start: str | None = None, end: str | None = None) -> DataFrame:
+    """:func:`screen` and :func:`forward_closes` of the same bars in one pass: the series look back for the formula and ahead for
+    the returns over one partitioning and sort, so the bars are read and shuffled once."""
+    hits = evaluate(bars.select("*", *_ahead(horizons)), formula).filter(_is_hit())
+    for day, keep in ((start, lambda d: F.col("date") >= d), (end, lambda d: F.col("date") <= d)):
+        if day is not None:
+            hits = hits.filter(keep(F.lit(day).cast("date")))
+    return hits.select("ts_code", "date", "value", *[f"ret_{h}" for h in horizons])
 
 
 def forward_closes(hits: DataFrame, bars: DataFrame, horizons: Sequence[int] = (1, 3, 5, 10, 20)) -> DataFrame:
     """Hits with ``ret_<h>``: the close h bars later over this one; hits off the bars' dates drop out."""
-    ahead = bars.select("ts_code", "date", *[(F.lead("close", h).over(series()) / F.col("close") - 1).alias(f"ret_{h}") for h in horizons])
+    ahead = bars.select("ts_code", "date", *_ahead(horizons))
     return hits.join(ahead, ["ts_code", "date"])
 
 

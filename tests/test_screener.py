@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tapeloom.screener.columns import evaluate, forward_closes, horizon_summary, screen
+from tapeloom.screener.columns import evaluate, forward_closes, horizon_summary, screen, screen_ahead
 from tapeloom.screener.formula import FormulaError, chosen, lookback, parse
 from tapeloom.screener.session import run
 from tapeloom.streaming.screen import screen_stream
@@ -67,6 +67,14 @@ def test_forward_returns_and_summary(spark):
     assert {s.horizon: s.samples for s in horizon_summary(rows, (1, 2, 3)).collect()} == {1: 1, 2: 1, 3: 0}
 
 
+def test_one_pass_equals_the_join(spark):
+    df = spark.createDataFrame(series("A", [10, 10.2, 10.1, 10.5, 10.4, 10.9, 10.8]) + series("B", [5, 4, 6.0]), SCHEMA)
+    for start, end in ((None, None), ("2024-01-03", "2024-01-05")):
+        one = screen_ahead(df, "X:C>REF(C,1);", (1, 2), start, end)
+        two = forward_closes(screen(df, "X:C>REF(C,1);", start, end), df, (1, 2))
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.select(one.columns).collect())) and one.count() > 1
+
+
 def test_lookback():
     assert lookback(parse("A:=MA(C,5);XG:CROSS(REF(A,2),C);")) == 7
     assert lookback(parse("X:BARSCOUNT(C);")) is None and lookback(parse("X:HHV(H,0);")) is None
