@@ -27,7 +27,8 @@ def rank_bound(delta: float = DELTA) -> float:
 
 
 def cluster(means: np.ndarray, weights: np.ndarray, delta: float = DELTA) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of ``means`` with ``weights``, in any order, clustered anew."""
+    """Centroids of ``means`` with ``weights``, in any order, clustered anew. A mean lies between the least and the
+    greatest value of its cluster, also after rounding, so equal values keep their value."""
     order = np.argsort(means, kind="stable")
     means, weights = means[order], weights[order]
     total = weights.sum()
@@ -35,17 +36,25 @@ def cluster(means: np.ndarray, weights: np.ndarray, delta: float = DELTA) -> tup
     bucket = np.floor(delta / (2.0 * np.pi) * np.arcsin(2.0 * middle - 1.0))
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     weight = np.add.reduceat(weights, starts)
-    return np.add.reduceat(means * weights, starts) / weight, weight
+    shares = weights / np.repeat(weight, np.diff(np.append(starts, len(means))))
+    ends = np.append(starts[1:], len(means)) - 1
+    return np.clip(np.add.reduceat(means * shares, starts), means[starts], means[ends]), weight
 
 
 def quantiles(means: np.ndarray, weights: np.ndarray, least: float, most: float, at: Sequence[float]) -> np.ndarray:
-    """Values at the quantiles ``at``: linear between the centroids' middle ranks, ending in the extremes."""
+    """Values at the quantiles ``at``: linear between the centroids' middle ranks, ending in the extremes, and never outside
+    the two values around it: the refinement relies on that to take away a value in every round."""
     total = weights.sum()
     middle = np.cumsum(weights) - 0.5 * weights
     ranks = np.concatenate([[0.5], middle, [max(total - 0.5, 0.5)]])
     values = np.concatenate([[least], means, [most]])
     keep = np.concatenate([[True], np.diff(np.maximum.accumulate(ranks)) > 0])
-    return np.interp(np.asarray(at) * (total - 1) + 0.5, np.maximum.accumulate(ranks)[keep], np.maximum.accumulate(values)[keep])
+    ranks, values = np.maximum.accumulate(ranks)[keep], np.clip(np.maximum.accumulate(values)[keep], least, most)
+    wanted = np.clip(np.asarray(at) * (total - 1) + 0.5, ranks[0], ranks[-1])
+    low = np.clip(np.searchsorted(ranks, wanted, "right") - 1, 0, max(len(ranks) - 2, 0))
+    high = np.minimum(low + 1, len(ranks) - 1)
+    share = (wanted - ranks[low]) / np.maximum(ranks[high] - ranks[low], 1e-300)
+    return np.clip((1.0 - share) * values[low] + share * values[high], values[low], values[high])
 
 
 _DIGEST = "means array<double>, weights array<double>, least double, most double"

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tapeloom.llm.digest import certified_percentiles, digest_quantiles, digests, merge_digests, rank_bound
+from tapeloom.llm.digest import certified_percentiles, cluster, digest_quantiles, digests, merge_digests, quantiles, rank_bound
 
 AT = (0.1, 0.5, 0.9, 0.99)
 
@@ -61,6 +61,22 @@ def test_many_groups_are_counted_without_a_broadcast(spark):
     assert one == other and len(one) == 2 * len(AT)
 
 
+def test_equal_values_keep_their_value():
+    for value in (0.1, -0.42, 0.05, 1e308):
+        means, weights = cluster(np.full(3000, value), np.ones(3000))
+        assert (means == value).all() and weights.sum() == 3000
+        assert (quantiles(means, weights, value, value, AT) == value).all()
+    means, weights = cluster(np.array([-1e308, 1e308] * 50), np.ones(100))
+    got = quantiles(means, weights, -1e308, 1e308, AT)
+    assert np.isfinite(got).all() and (np.diff(got) >= 0).all()
+
+
+def test_refinement_ends_on_equal_values(spark):
+    rows = [(g, v) for g, n in (("a", 3000), ("b", 700)) for v in [0.1] * n + [-0.42] * (n // 3) + [0.05] * (n // 2) + [i / n for i in range(n // 10)]]
+    got = certified_percentiles(spark.createDataFrame(rows, "g string, v double").repartition(3), ("g",), "v", AT).collect()
+    assert len(got) == 2 * len(AT) and all(r.certified for r in got)
+
+
 def test_plan_has_no_sorting_of_rows(spark):
     _, df = skewed(spark)
     plan = digests(df, ("g",), "v")._jdf.queryExecution().executedPlan().toString()
