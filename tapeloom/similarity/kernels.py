@@ -11,7 +11,7 @@ from tapeloom.similarity import measures as M
 @dataclass(frozen=True)
 class SearchRules:
     """Fixed values of the search. ``step`` is the stride of the elastic scan (see :func:`stride`); 1 looks at every
-    window. ``min_length`` and ``max_length`` bound the windows of the elastic mode. ``exact`` re-ranks every window, in
+    window. ``min_length`` and ``max_length`` bound the windows of the elastic mode. ``exact`` compares every window, in
     elastic mode, whose score doesn't depend on the other candidates. With ``refine`` all candidates of a series are re-ranked
     where it lies, without the bound ``recall_n``, and so are all windows within ``refine_bars`` bars of the best
     ``refine`` ones. Weights lie between 0 and 1."""
@@ -205,32 +205,56 @@ def _weeks(days: np.ndarray) -> np.ndarray:
     return (days + 5) // 7  # weeks end on Friday: day 0 is a Thursday
 
 
-def _rerank(code: str, days: np.ndarray, bars: np.ndarray, start: np.ndarray, m: int, query: Query, rules: SearchRules, middle: np.ndarray, spread: np.ndarray) -> list:
-    """Columns of ``_METRIC`` for the windows of ``m`` bars at ``start``."""
-    qf, qe, qs, ql = query.parts(rules)
-    weights = np.sqrt(M.FEATURE_WEIGHTS) * np.where(np.arange(7) < 6, 1.0, float(rules.use_volume))
-    elastic = rules.mode == "elastic"
-    scaled = (lambda x: x / np.maximum(qf.std(axis=0), 1e-3) * weights) if elastic else (lambda x: np.clip((x - middle) / spread, -rules.clip, rules.clip) * weights)
-    flags = np.sqrt(0.2 * M.EVENT_WEIGHTS)
-    q = np.concatenate([scaled(qf), qe * flags], axis=1)
+def _weekly(days: np.ndarray, bars: np.ndarray, start: np.ndarray, m: int, query: Query, rules: SearchRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not query.weekly:
+        return np.full(len(start), np.nan), np.full(len(start), np.nan), np.zeros(len(start), int)
+    return M.weekly_distances(query.weekly, _weeks(days), bars, start, m, rules.weekly_prior, rules.use_volume)
+
+
+def _path(c: np.ndarray, query: Query) -> tuple[np.ndarray, np.ndarray]:
+    """How far returns and volatilities of windows of closes are from the query's."""
     qret, qvol = np.log(query.bars[-1, 3] / query.bars[0, 3]), np.diff(np.log(query.bars[:, 3])).std()
+    return np.abs(np.log(c[:, -1] / c[:, 0]) - qret), np.abs(np.log((np.diff(np.log(c), axis=1).std(axis=1) + 1e-9) / (qvol + 1e-9)))
+
+
+def _elastic_weights(qf: np.ndarray, rules: SearchRules) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the features, in units of the query's spread, and of the event flags."""
+    return np.sqrt(M.FEATURE_WEIGHTS) * np.where(np.arange(7) < 6, 1.0, float(rules.use_volume)) / np.maximum(qf.std(axis=0), 1e-3), np.sqrt(0.2 * M.EVENT_WEIGHTS)
+
+
+def _elastic(code: str, bars: np.ndarray, start: np.ndarray, m: int, query: Query, rules: SearchRules) -> tuple:
+    """What the elastic mode compares: the query, the windows, and the windows' events, states, salience and closes."""
+    qf, qe, _, _ = query.parts(rules)
+    weights, flags = _elastic_weights(qf, rules)
     o, h, lo, c, v = _windows(bars, start, m)
     events = M.board_events(o, h, lo, c, _previous(bars, start), limit_of(code))
-    x = np.concatenate([scaled(M.bar_features(o, h, lo, c, v, rules.use_volume)), events * flags], axis=2)
+    features = M.bar_features(o, h, lo, c, v)
+    state, loud = M.states(features, events)
+    used = features if rules.use_volume else M.bar_features(o, h, lo, c, v, False)
+    return np.concatenate([qf * weights, qe * flags], axis=1), np.concatenate([used * weights, events * flags], axis=2), events, state, loud, c
+
+
+def _rerank(code: str, days: np.ndarray, bars: np.ndarray, start: np.ndarray, m: int, query: Query, rules: SearchRules, middle: np.ndarray, spread: np.ndarray) -> list:
+    """Columns of ``_METRIC`` for the windows of ``m`` bars at ``start``."""
+    qf, qe, qs, ql = query.parts(rules)
     zero = np.zeros(len(start))
-    if elastic:
-        state, loud = M.states(M.bar_features(o, h, lo, c, v), events)
+    if rules.mode == "elastic":
+        q, x, events, state, loud, c = _elastic(code, bars, start, m, query, rules)
         dtw, steps, over_q, over_c = M.elastic_distance(q, x, ql, loud)
         edit, anchor = M.edit_distance(qs, state, ql, loud), M.anchor_distance(query.bars[:, 3], c)
         aligned = np.sqrt(np.mean((M.resampled_windows(x, len(q)) - q) ** 2, axis=(1, 2)))
     else:
+        weights, flags = np.sqrt(M.FEATURE_WEIGHTS) * np.where(np.arange(7) < 6, 1.0, float(rules.use_volume)), np.sqrt(0.2 * M.EVENT_WEIGHTS)
+        scaled = lambda x: np.clip((x - middle) / spread, -rules.clip, rules.clip) * weights
+        q = np.concatenate([scaled(qf), qe * flags], axis=1)
+        o, h, lo, c, v = _windows(bars, start, m)
+        events = M.board_events(o, h, lo, c, _previous(bars, start), limit_of(code))
+        x = np.concatenate([scaled(M.bar_features(o, h, lo, c, v, rules.use_volume)), events * flags], axis=2)
         dtw, steps, over_q, over_c, edit, anchor = M.warped_distance(q, x, max(1, round(m * rules.warp))), zero, zero, zero, zero, zero
         aligned = np.sqrt(np.mean(((x - q) ** 2).sum(axis=2), axis=1))
-    weeks = _weeks(days)
-    weekly = [M.weekly_distance(query.weekly, M.weekly_parts(weeks, bars, int(k), int(k + m - 1), rules.weekly_prior), rules.use_volume) if query.weekly else (np.nan, np.nan, 0) for k in start]
-    ret = np.abs(np.log(c[:, -1] / c[:, 0]) - qret)
-    vol = np.abs(np.log((np.diff(np.log(c), axis=1).std(axis=1) + 1e-9) / (qvol + 1e-9)))
-    return [[code] * len(start), start, [m] * len(start), dtw, aligned, ret, vol, M.event_sequences(qe, events), edit, anchor, steps, over_q, over_c, *zip(*weekly, strict=True)]
+    ret, vol = _path(c, query)
+    weekly = _weekly(days, bars, start, m, query, rules)
+    return [[code] * len(start), start, [m] * len(start), dtw, aligned, ret, vol, M.event_sequences(qe, events), edit, anchor, steps, over_q, over_c, *weekly]
 
 
 def _rerank_kernel(query: Query, rules: SearchRules, middle: np.ndarray, spread: np.ndarray, windows: dict[str, dict[int, np.ndarray]], block: int = 512):
@@ -250,6 +274,95 @@ def _rerank_kernel(query: Query, rules: SearchRules, middle: np.ndarray, spread:
     return rerank
 
 
+def _scores(total: np.ndarray, week: np.ndarray, event_seq: np.ndarray, coverage: np.ndarray, missing: np.ndarray, query: Query, rules: SearchRules) -> np.ndarray:
+    """The elastic mode's score; it falls with ``total`` and ``event_seq``, so with parts of them it is an upper bound."""
+    score = 1.0 / (1.0 + np.maximum(total, 0.0))
+    if query.weekly is not None:
+        weight = rules.weekly_weight * min(1.0, len(query.weekly[1]) / 3.0)
+        score = (1.0 - weight) * score + weight * week
+    if rules.event_bands and query.parts(rules)[1].any():
+        quality = coverage * np.clip(1.0 - event_seq, 0.0, 1.0)
+        score = np.where((missing == 0) & (event_seq <= 1e-9), 0.5 + 0.5 * score, np.where(missing == 0, 0.25 + 0.25 * score * quality, 0.25 * (0.5 * score + 0.5 * quality)))
+    return score
+
+
+_KEPT = "ts_code string, start_idx int, length int, score double, start_date date"
+#: Bounds are compared with this much room for rounding.
+_ROOM = 1e-6
+
+
+def _best_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int], count: int, block: int = 512):
+    """The windows of a series that can be among the best ``count`` of all, overlaps suppressed: every legal window has its
+    score, or an upper bound of it that lies below the score of ``count`` windows that stay in the series seen before.
+
+    Windows of one series don't suppress those of another, and better ones are never suppressed by worse ones, so what is
+    below that score can't change the result. A task's first series are scored whole."""
+    qf, qe, qs, ql = query.parts(rules)
+    weights, flags = _elastic_weights(qf, rules)
+    best: list[float] = []
+    keep = kept_windows(rules.overlap, count)
+
+    def floor() -> float:
+        return best[-1] - _ROOM if len(best) == count else -np.inf
+
+    def scored(code: str, days: np.ndarray, bars: np.ndarray, series: M.Series, beside: M.Beside, m: int) -> tuple[np.ndarray, np.ndarray]:
+        start = np.array([len(days) - m]) if latest else np.arange(0, len(days) - m + 1, rules.step)
+        start = start[_legal(code, days[start], days[start + m - 1], query, rules, history_only and not latest, exclude)]
+        coverage, missing = (x[start] for x in series.coverage(qe, m))
+        week, zero = np.ones(len(start)), np.zeros(len(start))
+        rest = 0.05 * abs(np.log(m / len(query.days))) + zero
+        starts, scores = [], []
+
+        def some(at: np.ndarray, total: np.ndarray, events: np.ndarray | float = 0.0) -> np.ndarray:
+            return _scores(total, week[at], zero[at] + events, coverage[at], missing[at], query, rules) >= floor()
+
+        for k in range(0, len(start), 8 * block):
+            at = np.arange(k, min(k + 8 * block, len(start)))
+            c = _windows(bars, start[at], m)[3]
+            ret, vol = _path(c, query)
+            rest[at] += 0.20 * M.anchor_distance(query.bars[:, 3], c) + 0.10 * (0.5 * np.minimum(ret, 2.0) + 0.5 * np.minimum(vol, 2.0))
+        left = np.flatnonzero(some(np.arange(len(start)), rest))
+        if query.weekly is not None and len(left):
+            distance, share, _ = _weekly(days, bars, start[left], m, query, rules)
+            week[left] = share / (1.0 + distance)
+            left = left[some(left, rest[left])]
+        if not len(left):
+            return start[:0], zero[:0]
+        least = beside.elastic_bound(m)[start]
+        left = left[some(left, rest[left] + 0.30 * least[left])]
+        for k in range(0, len(left), block):
+            at = left[k : k + block]
+            rest[at] += 0.25 * beside.edit(m, start[at])
+            at = at[some(at, rest[at] + 0.30 * least[at])]
+            if not len(at):
+                continue
+            q, x, events, _, loud, _ = _elastic(code, bars, start[at], m, query, rules)
+            sequence = M.event_sequences(qe, events)
+            total = rest[at] + 0.20 * sequence
+            stay = some(at, total + 0.30 * least[at], sequence)
+            at, sequence = at[stay], sequence[stay]
+            total = total[stay] + 0.30 * M.elastic_distance(q, x[stay], ql, loud[stay])[0]
+            starts.append(start[at])
+            scores.append(_scores(total, week[at], sequence, coverage[at], missing[at], query, rules))
+        return (np.concatenate(starts), np.concatenate(scores)) if starts else (start[:0], zero[:0])
+
+    def whole(table: pa.Table) -> pa.Table:
+        code, days, bars = _bars_of(table)
+        series = M.Series(bars, limit_of(code), rules.use_volume)
+        beside = M.Beside(series, np.concatenate([qf * weights, qe * flags], axis=1), qs, ql, weights, flags)
+        found = [(m, *scored(code, days, bars, series, beside, m)) for m in lengths if len(days) >= m]
+        start = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
+        score = np.concatenate([x[2] for x in found]) if found else np.zeros(0)
+        length = np.concatenate([np.full(len(x[1]), x[0]) for x in found]) if found else start
+        near = score >= floor()
+        columns = [pa.array([code] * int(near.sum()), pa.string()), pa.array(start[near], pa.int32()), pa.array(length[near], pa.int32()), pa.array(score[near], pa.float64()), pa.array(days[start[near]], pa.int32()).cast(pa.date32())]
+        stays = keep(pa.table(columns, names=[x.split()[0] for x in _KEPT.split(", ")]))
+        best[:] = sorted([*best, *stays["score"].to_pylist()], reverse=True)[:count]
+        return stays
+
+    return whole
+
+
 def _exact_kernel(recall, query: Query, rules: SearchRules, block: int = 512):
     """Every legal window of a series with its metrics: recall and re-ranking in one."""
     fields = [x.split() for x in _METRIC.split(", ")]
@@ -299,6 +412,6 @@ def kept_windows(overlap: float, most: int | None):
                     break
                 shared = np.minimum(start + length, start[k] + length[k]) - np.maximum(start, start[k])
                 free &= shared <= overlap * np.minimum(length, length[k])
-        return batch.take(stays)
+        return batch.take(pa.array(stays, pa.int64()))
 
     return keep

@@ -2,7 +2,7 @@
 
 Series are scanned where they lie (one shuffle by instrument, the query in the kernel's closure); only
 window metadata leaves the scan. The shortlist is bounded by ``recall_n``, so what follows is small. With ``exact``
-nothing is bounded: every legal window is re-ranked where its series lies.
+nothing is bounded: every legal window is scored where its series lies, as far as its parts leave it a chance.
 """
 
 import time
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators.bars import PRICES, resample, valid_bars
 from tapeloom.operators.lineage import cut
 from tapeloom.similarity import measures as M
-from tapeloom.similarity.kernels import _BAR, _CANDIDATE, _METRIC, LAG_DAYS, Query, SearchRules, _exact_kernel, _feature_kernel, _recall_kernel, _rerank_kernel, _weeks, candidate_lengths, kept_windows, stride
+from tapeloom.similarity.kernels import _BAR, _CANDIDATE, _KEPT, _METRIC, LAG_DAYS, Query, SearchRules, _best_kernel, _exact_kernel, _feature_kernel, _recall_kernel, _rerank_kernel, _weeks, candidate_lengths, kept_windows, stride
 
 
 def _key() -> Column:
@@ -159,19 +159,28 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         newest = frame.agg(F.max("date").alias("newest")).first()["newest"]
         fresh = frame.groupBy("ts_code").agg(F.max("date").alias("own_last")).filter(F.col("own_last") >= F.date_sub(F.lit(newest), LAG_DAYS[timeframe])).select("ts_code")
         scanned_ = frame.filter(F.col("ts_code") != symbol).join(fresh, "ts_code", "left_semi")
-    recall = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, rules.exact)
-    if rules.exact or rules.refine:
-        schema = f"{_CANDIDATE}, {', '.join(_METRIC.split(', ')[3:])}"
+    count = 10 if latest else rules.top_k
+    recall = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths)
+    schema = f"{_CANDIDATE}, {', '.join(_METRIC.split(', ')[3:])}"
+    if rules.exact:
+        kept = scanned_.groupBy("ts_code").applyInArrow(_best_kernel(query, rules, history_only, exclude_query, latest, lengths, count), _KEPT)
+        best = kept.orderBy(F.col("score").desc(), "ts_code", "start_date").limit(count).select("ts_code", "start_idx", "length").toPandas()
+        began = mark("scan", began)
+        only = {code: np.unique(g["start_idx"].to_numpy()) for code, g in best.groupby("ts_code")}
+        whole = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, True, only)
+        df = scanned_.filter(F.col("ts_code").isin(list(only))).groupBy("ts_code").applyInArrow(_exact_kernel(whole, query, rules), schema)
+        wanted = [F.struct(F.lit(code).alias("ts_code"), F.lit(int(k)).alias("start_idx"), F.lit(int(m)).alias("length")) for code, k, m in best.itertuples(index=False)]
+        df = df.filter(F.struct("ts_code", "start_idx", "length").isin(*wanted) if wanted else F.lit(False))
+    elif rules.refine:
         df = scanned_.groupBy("ts_code").applyInArrow(_exact_kernel(recall, query, rules), schema)
-        if rules.refine and not rules.exact:
-            df = cut(df)
-            best = _scored(df, query, rules).orderBy(F.col("score").desc(), "ts_code", "start_date").limit(rules.refine).select("ts_code", "start_idx").toPandas()
-            around = np.arange(-rules.refine_bars, rules.refine_bars + 1)
-            only = {code: np.unique((g["start_idx"].to_numpy()[:, None] + around).ravel()) for code, g in best.groupby("ts_code")}
-            whole = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, True, only)
-            near = scanned_.filter(F.col("ts_code").isin(list(only))).groupBy("ts_code").applyInArrow(_exact_kernel(whole, query, rules), schema)
-            df = near.unionByName(df.join(F.broadcast(best_frame(scanned_, only)), "ts_code", "left").filter("inside is null or not array_contains(inside, start_idx)").drop("inside"))
-            began = mark("refinement", began)
+        df = cut(df)
+        best = _scored(df, query, rules).orderBy(F.col("score").desc(), "ts_code", "start_date").limit(rules.refine).select("ts_code", "start_idx").toPandas()
+        around = np.arange(-rules.refine_bars, rules.refine_bars + 1)
+        only = {code: np.unique((g["start_idx"].to_numpy()[:, None] + around).ravel()) for code, g in best.groupby("ts_code")}
+        whole = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, True, only)
+        near = scanned_.filter(F.col("ts_code").isin(list(only))).groupBy("ts_code").applyInArrow(_exact_kernel(whole, query, rules), schema)
+        df = near.unionByName(df.join(F.broadcast(best_frame(scanned_, only)), "ts_code", "left").filter("inside is null or not array_contains(inside, start_idx)").drop("inside"))
+        began = mark("refinement", began)
     else:
         recalled = scanned_.groupBy("ts_code").applyInArrow(recall, _CANDIDATE)
         if counters is not None:
@@ -194,7 +203,6 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         metrics = near.applyInArrow(_rerank_kernel(query, rules, middle, spread, windows), _METRIC)
         df = metrics.join(F.broadcast(shortlist), ["ts_code", "start_idx", "length"])
     df = _scored(df, query, rules)
-    count = 10 if latest else rules.top_k
     best = suppressed(df, rules.overlap, count)
     top = best.orderBy(F.col("score").desc(), "ts_code", "start_date").limit(count)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "ts_code", "start_date")))

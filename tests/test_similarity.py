@@ -1,11 +1,13 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 
+from tapeloom.similarity import kernels as K
 from tapeloom.similarity import measures as M
-from tapeloom.similarity.search import SearchRules, bounded, candidate_lengths, scanned, search, stride, suppressed
+from tapeloom.similarity.search import SearchRules, _framed, bounded, candidate_lengths, query_of, scanned, search, stride, suppressed
 
 SCHEMA = "ts_code string, date date, open double, high double, low double, close double, vol bigint"
 
@@ -200,6 +202,52 @@ def test_refined_search_equals_the_exact_one(bars):
     assert [r[:3] for r in exact] == [r[:3] for r in refined] and np.allclose([r[3] for r in exact], [r[3] for r in refined])
 
 
+def test_exact_search_equals_scoring_every_window_and_warps_few(bars, monkeypatch):
+    got = [tuple(r) for r in search(bars, "600001.SH", "2020-04-01", "2020-04-30", SearchRules(mode="elastic", top_k=6, exact=True)).select("ts_code", "start_idx", "length", "score").collect()]
+    rules = SearchRules(mode="elastic", exact=True)
+    frame = _framed(bars, "D")
+    query = query_of(frame, "600001.SH", "2020-04-01", "2020-04-30", rules)
+    lengths = candidate_lengths(len(query.days), rules)
+    tables = [pa.Table.from_pandas(x.sort_values("date"), preserve_index=False) for _, x in frame.toPandas().groupby("ts_code")]
+    every = [K._exact_kernel(K._recall_kernel(query, rules, False, True, False, lengths, True), query, rules)(t).to_pandas() for t in tables]
+    scored = []
+    for x in every:
+        total = 0.30 * x.dtw + 0.25 * x.state_edit + 0.20 * x.anchor + 0.05 * x.ret.clip(upper=2.0) + 0.05 * x.vol.clip(upper=2.0) + 0.20 * x.event_seq + 0.05 * np.abs(np.log(x.length / len(query.days)))
+        score = K._scores(total.to_numpy(), (x.weekly_share / (1 + x.weekly)).to_numpy(), x.event_seq.to_numpy(), x.coverage.to_numpy(), x.missing.to_numpy(), query, rules)
+        scored.append(K.kept_windows(rules.overlap, 6)(pa.Table.from_pandas(x.assign(score=score), preserve_index=False)).to_pandas())
+    want = sorted((tuple(r) for x in scored for r in x[["ts_code", "start_idx", "length", "score"]].itertuples(index=False)), key=lambda r: -r[3])[:6]
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+
+    warped, warp = [], M.elastic_distance
+    monkeypatch.setattr(M, "elastic_distance", lambda q, x, *loud: warped.append(len(x)) or warp(q, x, *loud))
+    kernel = K._best_kernel(query, rules, False, True, False, lengths, 6)
+    for t in tables * 3:
+        kernel(t)
+    assert sum(warped) < 2 * sum(len(x) for x in every)
+
+
+def test_bounds_and_weeks_of_a_series_agree_with_single_windows():
+    rng = np.random.default_rng(23)
+    n = 150
+    close = 20 * np.exp(np.cumsum(rng.choice([0.0, 0.01, -0.012, 0.0953, -0.1054], n, p=[0.1, 0.4, 0.3, 0.1, 0.1])))
+    open_ = np.where(rng.random(n) < 0.2, close, close * np.exp(rng.normal(0, 0.02, n)))
+    bars = np.stack([open_, np.maximum(open_, close) * 1.01, np.minimum(open_, close) * 0.99, close, rng.integers(0, 5, n) * 100.0], axis=1).round(2)
+    days = np.sort(rng.choice(np.arange(18000, 18260), n, replace=False))
+    weeks = (days + 5) // 7
+    for volume in (True, False):
+        rules, weekly = SearchRules(mode="elastic", use_volume=volume), M.weekly_parts(weeks, bars, 70, 94, 8)
+        query = K.Query("600001.SH", days[70:95], bars[70:95], bars[69, 3], weekly)
+        qf, qe, qs, ql = query.parts(rules)
+        for m in (21, 25, 31):
+            starts = np.arange(n - m + 1)
+            q, x, _, state, loud, _ = K._elastic("600001.SH", bars, starts, m, query, rules)
+            beside = M.Beside(M.Series(bars, 0.1, volume), q, qs, ql, *K._elastic_weights(qf, rules))
+            assert (beside.elastic_bound(m) <= M.elastic_distance(q, x, ql, loud)[0] + 1e-6).all()
+            assert np.allclose(beside.edit(m, starts), M.edit_distance(qs, state, ql, loud))
+            want = [M.weekly_distance(weekly, M.weekly_parts(weeks, bars, int(k), int(k + m - 1), 8), volume) for k in starts]
+            assert np.allclose(np.column_stack(M.weekly_distances(weekly, weeks, bars, starts, m, 8, volume)), want)
+
+
 def test_long_queries_and_bad_weights(bars):
     assert search(bars, "600001.SH", "2020-01-10", "2020-06-20", SearchRules(max_length=30)).count() > 0
     for bad in ({"mode": "elastic", "max_length": 30}, {"weekly_weight": 1.5}, {"overlap": -0.1}, {"recall_n": 0}, {"exact": True}, {"score_weights": {"mass": 2.0}}):
