@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.bars import full_when, rows_between
 from tapeloom.plans.base import BARS_SQL, bars, q6, r6
-from tapeloom.similarity.search import SearchRules, candidate_lengths, scanned, search, stride, window_distances
+from tapeloom.similarity.search import SearchRules, candidate_lengths, scanned, search, searches, stride, window_distances
 
 SYMBOL, FIRST, LAST = "605999.SH", "2024-03-01", "2024-04-30"
 QUERY_BARS = 42
 _SHOWN = ("rank", "ts_code", "start_date", "end_date", "length", "paths")
+ELASTIC, STRIDED, EXACT = SearchRules(mode="elastic"), SearchRules(mode="elastic", step=stride(42)), SearchRules(mode="elastic", exact=True)
+REFINED = SearchRules(mode="elastic", local_top=50, refine=300)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -37,20 +39,17 @@ def similar_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_elastic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of three lengths by elastic warping, every start scanned."""
-    return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, SearchRules(mode="elastic")))
+    return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, ELASTIC))
 
 
 def similar_elastic_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quick elastic search that scans every eighth start only; most of the best windows lie between."""
-    return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, SearchRules(mode="elastic", step=stride(42))))
+    return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, STRIDED))
 
 
 def similar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The elastic search with every window re-ranked."""
-    return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, SearchRules(mode="elastic", exact=True)))
-
-
-REFINED = SearchRules(mode="elastic", local_top=50, refine=300)
+    return _shown(search(bars(spark, sf_dir), SYMBOL, FIRST, LAST, EXACT))
 
 
 def similar_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +59,11 @@ def similar_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the exact elastic search's best 20 the others find, and how many of its instruments."""
-    exact = similar_exact(spark, sf_dir).select("ts_code", "start_date", "length")
+    every = searches(bars(spark, sf_dir), SYMBOL, FIRST, LAST, {"exact": EXACT, "bounded": ELASTIC, "strided": STRIDED, "refined": REFINED})
+    exact = every["exact"].select("ts_code", "start_date", "length")
     out = None
-    for name, query in (("bounded", similar_elastic), ("strided", similar_elastic_strided), ("refined", similar_refined)):
-        found = query(spark, sf_dir).select("ts_code", "start_date", "length", F.lit(1).alias("hit"))
+    for name in ("bounded", "strided", "refined"):
+        found = every[name].select("ts_code", "start_date", "length", F.lit(1).alias("hit"))
         joined = exact.join(found, ["ts_code", "start_date", "length"], "left")
         codes = exact.select("ts_code").distinct().join(found.select("ts_code", "hit").distinct(), "ts_code", "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("code_recall"))
         row = joined.agg(F.lit(name).alias("search"), F.count("*").alias("best"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall")).join(F.broadcast(codes))

@@ -94,8 +94,15 @@ class Query:
     bars: np.ndarray
     previous: float
     weekly: tuple | None
+    known: dict = field(default_factory=dict, repr=False, compare=False)
 
     def parts(self, rules: SearchRules):
+        """Features, events, states and salience of the query's bars."""
+        if rules.use_volume not in self.known:
+            self.known[rules.use_volume] = self._parts(rules)
+        return self.known[rules.use_volume]
+
+    def _parts(self, rules: SearchRules):
         o, h, lo, c, v = (self.bars[None, :, k] for k in range(5))
         features = M.bar_features(o, h, lo, c, v, rules.use_volume)[0]
         events = M.board_events(o, h, lo, c, np.array([self.previous]), limit_of(self.symbol))[0]
@@ -113,7 +120,7 @@ def _previous(bars: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(starts > 0, close[np.maximum(starts - 1, 0)], close[starts])
 
 
-def _scan(series: M.Series, m: int, starts: np.ndarray, query: Query, rules: SearchRules, block: int = 8192) -> dict[str, np.ndarray]:
+def _scan(series: M.Series, m: int, starts: np.ndarray, query: Query, rules: SearchRules) -> dict[str, np.ndarray]:
     """Distances of the windows of length ``m`` at ``starts``."""
     qf, qe, qs, _ = query.parts(rules)
     coverage, missing = (x[starts] for x in series.coverage(qe, m))
@@ -124,15 +131,8 @@ def _scan(series: M.Series, m: int, starts: np.ndarray, query: Query, rules: Sea
     own = M.coarse(*(query.bars[None, :, k] for k in range(5)), buckets)
     own_features, own_modes = M.bar_features(*own, rules.use_volume)[0], M.bucket_modes(qs[None], buckets)[0]
     own_events = np.maximum.reduceat(qe, M.bucket_starts(n, buckets), axis=0)
-    found: dict[str, list] = {k: [] for k in ("mass", "structure", "event", "state")}
-    for k in range(0, len(starts), block):
-        at = starts[k : k + block]
-        small, events = series.coarse_windows(m, buckets, at)
-        found["mass"].append(M.shape_distance(own[3], small[3]))
-        found["structure"].append(M.structure_distance(own_features, M.bar_features(*small, rules.use_volume)))
-        found["event"].append(M.event_distance(own_events, events))
-        found["state"].append(np.mean(series.modes(m, buckets, at) != own_modes, axis=(1, 2)))
-    return {k: np.concatenate(x) if x else np.zeros(0) for k, x in found.items()} | {"coverage": coverage, "missing": missing}
+    found = series.coarse_distances(m, starts, own[3][0], own_features, own_events, own_modes)
+    return dict(zip(("mass", "structure", "event", "state"), found, strict=True)) | {"coverage": coverage, "missing": missing}
 
 
 def _bars_of(table: pa.Table) -> tuple[str, np.ndarray, np.ndarray]:
@@ -153,12 +153,9 @@ def _legal(code: str, first: np.ndarray, last: np.ndarray, query: Query, rules:
     return legal
 
 
-def _recall_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int], everything: bool = False, only: dict[str, np.ndarray] | None = None):
-    """The best windows of each path of a series, or with ``everything`` all legal ones, or those that start at ``only``."""
-    names = [x.split()[0] for x in _CANDIDATE.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.int32(), pa.string(), pa.date32(), pa.date32()]
+def _recall_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int], everything: bool = False, only: dict[str, dict[int, np.ndarray]] | None = None):
+    """The best windows of each path of a series, or with ``everything`` all legal ones, or those of ``only`` (starts by code and length)."""
     has_events = bool(query.parts(rules)[1].any())
-    elastic = rules.mode == "elastic"
 
     def recall(table: pa.Table) -> pa.Table:
         code, days, bars = _bars_of(table)
@@ -167,37 +164,57 @@ def _recall_kernel(query: Query, rules: SearchRules, history_only: bool, exclude
         for m in lengths:
             if len(days) < m:
                 continue
-            step = rules.step if elastic and not latest else 1
+            step = rules.step if rules.mode == "elastic" and not latest else 1
             starts = np.array([len(days) - m]) if latest else np.arange(0, len(days) - m + 1, step)
             if only is not None:
-                starts = np.intersect1d(only.get(code, starts[:0]), starts)
+                starts = np.intersect1d(only.get(code, {}).get(m, starts[:0]), starts)
                 if not len(starts):
                     continue
             found = _scan(series, m, starts, query, rules)
-            first, last = days[starts], days[starts + m - 1]
-            legal = _legal(code, first, last, query, rules, history_only and not latest, exclude)
-            miss = 2.0 * (1.0 - found["coverage"])
-            total = found["mass"] + 0.75 * found["event"] + miss
-            if elastic:
-                total = total + 0.35 * found["structure"] + 0.25 * found["state"]
-            ways = {"mass": total, "structure": found["structure"]} | ({"state": found["state"]} if elastic else {}) | ({"event": found["event"] + miss} if has_events else {})
-            radius = max(1, round(max(3, m * rules.exclusion) / step)) if elastic else max(5, int(m * rules.exclusion))
-            paths: dict[int, list] = {}
-            if everything:
-                paths = {int(k): ["all"] for k in np.flatnonzero(legal)}
-            else:
-                for name, x in ways.items():
-                    for k in M.local_minima(np.where(legal, x, np.inf), rules.local_top, radius):
-                        paths.setdefault(k, []).append(name)
-            at = np.fromiter(paths, np.int64, len(paths))
-            columns = [[code] * len(at), starts[at], np.full(len(at), m), *[found[x][at] for x in ("mass", "structure", "event", "state", "coverage")], found["missing"][at], ["+".join(sorted(p)) for p in paths.values()], first[at], last[at]]
-            arrays = [pa.array(x, pa.int32()).cast(k) if k == pa.date32() else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
-            out.append(pa.table(arrays, names=names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names=names)
+            legal = _legal(code, days[starts], days[starts + m - 1], query, rules, history_only and not latest, exclude)
+            paths = {int(k): ["all"] for k in np.flatnonzero(legal)} if everything else _paths(_minima(found, legal, m, rules, step, has_events, rules.local_top), rules.local_top)
+            out.append(_candidates(code, days, starts, m, found, paths))
+        return pa.concat_tables(out) if out else _table(_CANDIDATE, [[]] * 12)
 
     return recall
 
 
+_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "date": pa.date32()}
+
+
+def _table(schema: str, columns: list) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    arrays = [pa.array(x, pa.int32()).cast(pa.date32()) if t == "date" else pa.array(x, _KINDS[t]) for x, (_, t) in zip(columns, fields, strict=True)]
+    return pa.table(arrays, names=[n for n, _ in fields])
+
+
+def _minima(found: dict[str, np.ndarray], legal: np.ndarray, m: int, rules: SearchRules, step: int, has_events: bool, count: int) -> dict[str, list[int]]:
+    """The ``count`` best legal windows of each path, the best first, by their place in ``found``."""
+    elastic = rules.mode == "elastic"
+    miss = 2.0 * (1.0 - found["coverage"])
+    total = found["mass"] + 0.75 * found["event"] + miss
+    if elastic:
+        total = total + 0.35 * found["structure"] + 0.25 * found["state"]
+    ways = {"mass": total, "structure": found["structure"]} | ({"state": found["state"]} if elastic else {}) | ({"event": found["event"] + miss} if has_events else {})
+    radius = max(1, round(max(3, m * rules.exclusion) / step)) if elastic else max(5, int(m * rules.exclusion))
+    return {name: M.local_minima(np.where(legal, x, np.inf), count, radius) for name, x in ways.items()}
+
+
+def _paths(minima: dict[str, list[int]], count: int) -> dict[int, list[str]]:
+    """The paths that lead to a window: it is among the path's ``count`` best."""
+    paths: dict[int, list[str]] = {}
+    for name, places in minima.items():
+        for k in places[:count]:
+            paths.setdefault(k, []).append(name)
+    return paths
+
+
+def _candidates(code: str, days: np.ndarray, starts: np.ndarray, m: int, found: dict[str, np.ndarray], paths: dict[int, list[str]]) -> pa.Table:
+    at = np.fromiter(paths, np.int64, len(paths))
+    first = starts[at]
+    return _table(_CANDIDATE, [[code] * len(at), first, np.full(len(at), m), *[found[x][at] for x in ("mass", "structure", "event", "state", "coverage")], found["missing"][at], ["+".join(sorted(p)) for p in paths.values()], days[first], days[first + m - 1]])
+
+
 _METRIC = "ts_code string, start_idx int, length int, dtw double, aligned double, ret double, vol double, event_seq double, state_edit double, anchor double, steps int, skipped_query int, skipped_window int, weekly double, weekly_share double, weekly_weeks int"
 
 
@@ -291,78 +308,193 @@ _KEPT = "ts_code string, start_idx int, length int, score double, start_date dat
 _ROOM = 1e-6
 
 
-def _best_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int], count: int, block: int = 512):
-    """The windows of a series that can be among the best ``count`` of all, overlaps suppressed: every legal window has its
-    score, or an upper bound of it that lies below the score of ``count`` windows that stay in the series seen before.
+class _Scorer:
+    """Scores of the windows of a series that can reach a floor. A window is scored part by part, the cheap ones first, and
+    left out as soon as an upper bound of its score lies below its floor."""
 
-    Windows of one series don't suppress those of another, and better ones are never suppressed by worse ones, so what is
-    below that score can't change the result. A task's first series are scored whole."""
-    qf, qe, qs, ql = query.parts(rules)
-    weights, flags = _elastic_weights(qf, rules)
-    best: list[float] = []
-    keep = kept_windows(rules.overlap, count)
+    def __init__(self, query: Query, rules: SearchRules):
+        self.query, self.rules, self.parts = query, rules, query.parts(rules)
+        self.weights = _elastic_weights(self.parts[0], rules)
 
-    def floor() -> float:
-        return best[-1] - _ROOM if len(best) == count else -np.inf
+    def beside(self, series: M.Series) -> M.Beside:
+        qf, qe, qs, ql = self.parts
+        return M.Beside(series, np.concatenate([qf * self.weights[0], qe * self.weights[1]], axis=1), qs, ql, *self.weights)
 
-    def scored(code: str, days: np.ndarray, bars: np.ndarray, series: M.Series, beside: M.Beside, m: int) -> tuple[np.ndarray, np.ndarray]:
-        start = np.array([len(days) - m]) if latest else np.arange(0, len(days) - m + 1, rules.step)
-        start = start[_legal(code, days[start], days[start + m - 1], query, rules, history_only and not latest, exclude)]
+    def __call__(self, code: str, days: np.ndarray, bars: np.ndarray, series: M.Series, beside: M.Beside, m: int, start: np.ndarray, floor: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``start`` of the windows that reach their ``floor``, and their scores."""
+        query, rules, (_, qe, _, ql) = self.query, self.rules, self.parts
         coverage, missing = (x[start] for x in series.coverage(qe, m))
         week, zero = np.ones(len(start)), np.zeros(len(start))
         rest = 0.05 * abs(np.log(m / len(query.days))) + zero
-        starts, scores = [], []
+        places, scores = [], []
 
         def some(at: np.ndarray, total: np.ndarray, events: np.ndarray | float = 0.0) -> np.ndarray:
-            return _scores(total, week[at], zero[at] + events, coverage[at], missing[at], query, rules) >= floor()
+            return _scores(total, week[at], zero[at] + events, coverage[at], missing[at], query, rules) >= floor[at]
 
-        for k in range(0, len(start), 8 * block):
-            at = np.arange(k, min(k + 8 * block, len(start)))
+        for k in range(0, len(start), block):
+            at = np.arange(k, min(k + block, len(start)))
             c = _windows(bars, start[at], m)[3]
             ret, vol = _path(c, query)
             rest[at] += 0.20 * M.anchor_distance(query.bars[:, 3], c) + 0.10 * (0.5 * np.minimum(ret, 2.0) + 0.5 * np.minimum(vol, 2.0))
         left = np.flatnonzero(some(np.arange(len(start)), rest))
+        if len(left):
+            edit = 0.25 * beside.edit_bound(m)[start]
+            left = left[some(left, rest[left] + edit[left])]
         if query.weekly is not None and len(left):
             distance, share, _ = _weekly(days, bars, start[left], m, query, rules)
             week[left] = share / (1.0 + distance)
-            left = left[some(left, rest[left])]
-        if not len(left):
-            return start[:0], zero[:0]
-        least = beside.elastic_bound(m)[start]
-        left = left[some(left, rest[left] + 0.30 * least[left])]
+            left = left[some(left, rest[left] + edit[left])]
+        if len(left):
+            least = np.zeros(len(start))
+            for k in range(0, len(left), block):
+                least[left[k : k + block]] = 0.30 * beside.elastic_bound(m, start[left[k : k + block]])
+            left = left[some(left, rest[left] + edit[left] + least[left])]
         for k in range(0, len(left), block):
             at = left[k : k + block]
             rest[at] += 0.25 * beside.edit(m, start[at])
-            at = at[some(at, rest[at] + 0.30 * least[at])]
+            at = at[some(at, rest[at] + least[at])]
             if not len(at):
                 continue
             q, x, events, _, loud, _ = _elastic(code, bars, start[at], m, query, rules)
             sequence = M.event_sequences(qe, events)
             total = rest[at] + 0.20 * sequence
-            stay = some(at, total + 0.30 * least[at], sequence)
+            stay = some(at, total + least[at], sequence)
             at, sequence = at[stay], sequence[stay]
             total = total[stay] + 0.30 * M.elastic_distance(q, x[stay], ql, loud[stay])[0]
-            starts.append(start[at])
+            places.append(at)
             scores.append(_scores(total, week[at], sequence, coverage[at], missing[at], query, rules))
-        return (np.concatenate(starts), np.concatenate(scores)) if starts else (start[:0], zero[:0])
+        return (np.concatenate(places), np.concatenate(scores)) if places else (np.zeros(0, np.int64), zero[:0])
+
+
+class _Best:
+    """The best ``count`` values of a task so far; ``floor`` is the least of them, with room for rounding."""
+
+    def __init__(self, count: int):
+        self.count, self.values = count, np.zeros(0)
+
+    @property
+    def floor(self) -> float:
+        return self.values[0] - _ROOM if len(self.values) == self.count else -np.inf
+
+    def add(self, values: np.ndarray) -> None:
+        self.values = np.sort(np.concatenate([self.values, values]))[-self.count :]
+
+
+def _best_kernel(query: Query, rules: SearchRules, history_only: bool, exclude: bool, latest: bool, lengths: list[int], count: int):
+    """The windows of a series that can be among the best ``count`` of all, overlaps suppressed: every legal window has its
+    score, or an upper bound of it that lies below the score of ``count`` windows that stay in the series seen before.
+
+    Windows of one series don't suppress those of another, and better ones are never suppressed by worse ones, so what is
+    below that score can't change the result. A task's first series are scored whole."""
+    scorer, best, keep = _Scorer(query, rules), _Best(count), kept_windows(rules.overlap, count)
 
     def whole(table: pa.Table) -> pa.Table:
+        if len(table) < min(lengths):
+            return _table(_KEPT, [[]] * 5)
         code, days, bars = _bars_of(table)
         series = M.Series(bars, limit_of(code), rules.use_volume)
-        beside = M.Beside(series, np.concatenate([qf * weights, qe * flags], axis=1), qs, ql, weights, flags)
-        found = [(m, *scored(code, days, bars, series, beside, m)) for m in lengths if len(days) >= m]
-        start = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
-        score = np.concatenate([x[2] for x in found]) if found else np.zeros(0)
-        length = np.concatenate([np.full(len(x[1]), x[0]) for x in found]) if found else start
-        near = score >= floor()
-        columns = [pa.array([code] * int(near.sum()), pa.string()), pa.array(start[near], pa.int32()), pa.array(length[near], pa.int32()), pa.array(score[near], pa.float64()), pa.array(days[start[near]], pa.int32()).cast(pa.date32())]
-        stays = keep(pa.table(columns, names=[x.split()[0] for x in _KEPT.split(", ")]))
-        best[:] = sorted([*best, *stays["score"].to_pylist()], reverse=True)[:count]
+        beside, found = scorer.beside(series), []
+        for m in lengths:
+            if len(days) >= m:
+                start = np.array([len(days) - m]) if latest else np.arange(0, len(days) - m + 1, rules.step)
+                start = start[_legal(code, days[start], days[start + m - 1], query, rules, history_only and not latest, exclude)]
+                at, score = scorer(code, days, bars, series, beside, m, start, np.full(len(start), best.floor))
+                found.append((start[at], np.full(len(at), m), score))
+        start, length, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        near = score >= best.floor
+        stays = keep(_table(_KEPT, [[code] * int(near.sum()), start[near], length[near], score[near], days[start[near]]]))
+        best.add(stays["score"].to_numpy())
         return stays
 
     return whole
 
 
+class _Heads:
+    """Which candidates of a search can be among the first ``limit`` of a head of :func:`search.bounded`, as far as a task knows."""
+
+    def __init__(self, limit: int, events: bool):
+        self.heads = {x: _Best(limit) for x in ("all", "structure", *["complete"] * events)}
+
+    def __call__(self, found: dict[str, np.ndarray], paths: dict[int, list[str]]) -> dict[int, list[str]]:
+        at = np.fromiter(paths, np.int64, len(paths))
+        key = found["mass"][at] + 0.75 * found["event"][at] + 2.0 * (1.0 - found["coverage"][at])
+        in_heads = {"all": np.ones(len(at), bool), "structure": np.array(["structure" in p for p in paths.values()], bool), "complete": found["missing"][at] == 0}
+        stays = np.zeros(len(at), bool)
+        for name, best in self.heads.items():
+            best.add(-key[in_heads[name]])
+            stays |= in_heads[name] & (-key >= best.floor)
+        return {k: p for (k, p), kept in zip(paths.items(), stays, strict=True) if kept}
+
+
+_FOUND = f"search string, {_CANDIDATE}, score double"
+
+
+def _several_kernel(query: Query, searches: dict[str, SearchRules], history_only: bool, exclude: bool, lengths: list[int]):
+    """What the scans of several elastic searches take from a series, by the search's name, each series being looked at once. The
+    searches may differ in ``step``, ``local_top``, ``recall_n``, ``exact`` and ``refine``.
+
+    Of a bounded search: the candidates that can be in its shortlist. Of a refined one: the candidates that can be among
+    the best ``refine``, with their scores. Of an exact one: what :func:`_best_kernel` gives. What a task has seen decides."""
+    any_ = next(iter(searches.values()))
+    scorer, has_events = _Scorer(query, any_), bool(query.parts(any_)[1].any())
+    heads = {n: _Heads(r.recall_n, has_events) for n, r in searches.items() if not r.exact and not r.refine}
+    best = {n: _Best(r.refine or r.top_k) for n, r in searches.items() if r.exact or r.refine}
+    keep = {n: kept_windows(r.overlap, r.top_k) for n, r in searches.items() if r.exact}
+
+    def named(name: str, candidates: pa.Table, score: np.ndarray) -> pa.Table:
+        return pa.table([pa.array([name] * len(candidates), pa.string()), *candidates.columns, pa.array(score, pa.float64())], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    def several(table: pa.Table) -> pa.Table:
+        out, scored = [named("", _table(_CANDIDATE, [[]] * 12), [])], {n: [] for n in best}
+        if len(table) < min(lengths):
+            return out[0]
+        code, days, bars = _bars_of(table)
+        series = M.Series(bars, limit_of(code), any_.use_volume)
+        beside = scorer.beside(series)
+        for m in lengths:
+            if len(days) < m:
+                continue
+            starts = np.arange(len(days) - m + 1)
+            whole = _scan(series, m, starts, query, any_)
+            legal = _legal(code, days[starts], days[starts + m - 1], query, any_, history_only, exclude)
+            floor, wanted, minima = np.full(len(starts), np.inf), {}, {}
+            for name, rules in searches.items():
+                if rules.exact:
+                    at, paths = np.flatnonzero(legal[:: rules.step]), None
+                else:
+                    found = {k: x[:: rules.step] for k, x in whole.items()}
+                    if rules.step not in minima:
+                        minima[rules.step] = _minima(found, legal[:: rules.step], m, rules, rules.step, has_events, max(r.local_top for r in searches.values() if r.step == rules.step))
+                    paths = _paths(minima[rules.step], rules.local_top)
+                    if name in heads:
+                        if paths := heads[name](found, paths):
+                            kept = _candidates(code, days, starts[:: rules.step], m, found, paths)
+                            out.append(named(name, kept, np.full(len(kept), np.nan)))
+                        continue
+                    at = np.fromiter(paths, np.int64, len(paths))
+                wanted[name] = at, paths
+                floor[at * rules.step] = np.minimum(floor[at * rules.step], best[name].floor)
+            own = np.flatnonzero(floor < np.inf)
+            at, some = scorer(code, days, bars, series, beside, m, own, floor[own])
+            score = np.full(len(starts), -np.inf)
+            score[own[at]] = some
+            for name, (at, paths) in wanted.items():
+                step = searches[name].step
+                near = at[(score[at * step] > -np.inf) & (score[at * step] >= best[name].floor)]
+                if len(near):
+                    kept = _candidates(code, days, starts[::step], m, {k: x[::step] for k, x in whole.items()}, {k: paths[k] if paths else ["all"] for k in near.tolist()})
+                    scored[name].append(named(name, kept, score[near * step]))
+        for name, tables in scored.items():
+            if tables:
+                kept = pa.concat_tables(tables)
+                kept = keep[name](kept) if name in keep else kept
+                best[name].add(kept["score"].to_numpy())
+                out.append(kept)
+        return pa.concat_tables(out)
+
+    return several
+
+
 def _exact_kernel(recall, query: Query, rules: SearchRules, block: int = 512):
     """Every legal window of a series with its metrics: recall and re-ranking in one."""
     fields = [x.split() for x in _METRIC.split(", ")]

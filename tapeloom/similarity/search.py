@@ -6,6 +6,7 @@ nothing is bounded: every legal window is scored where its series lies, as far a
 """
 
 import time
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators.bars import PRICES, resample, valid_bars
 from tapeloom.operators.lineage import cut
 from tapeloom.similarity import measures as M
-from tapeloom.similarity.kernels import _BAR, _CANDIDATE, _KEPT, _METRIC, LAG_DAYS, Query, SearchRules, _best_kernel, _exact_kernel, _feature_kernel, _recall_kernel, _rerank_kernel, _weeks, candidate_lengths, kept_windows, stride
+from tapeloom.similarity.kernels import _BAR, _CANDIDATE, _FOUND, _KEPT, _METRIC, _ROOM, LAG_DAYS, Query, SearchRules, _best_kernel, _exact_kernel, _feature_kernel, _recall_kernel, _rerank_kernel, _several_kernel, _weeks, candidate_lengths, kept_windows, stride
 
 
 def _key() -> Column:
@@ -166,7 +167,7 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         kept = scanned_.groupBy("ts_code").applyInArrow(_best_kernel(query, rules, history_only, exclude_query, latest, lengths, count), _KEPT)
         best = kept.orderBy(F.col("score").desc(), "ts_code", "start_date").limit(count).select("ts_code", "start_idx", "length").toPandas()
         began = mark("scan", began)
-        only = {code: np.unique(g["start_idx"].to_numpy()) for code, g in best.groupby("ts_code")}
+        only = _by_length(best)
         whole = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, True, only)
         df = scanned_.filter(F.col("ts_code").isin(list(only))).groupBy("ts_code").applyInArrow(_exact_kernel(whole, query, rules), schema)
         wanted = [F.struct(F.lit(code).alias("ts_code"), F.lit(int(k)).alias("start_idx"), F.lit(int(m)).alias("length")) for code, k, m in best.itertuples(index=False)]
@@ -175,9 +176,8 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         df = scanned_.groupBy("ts_code").applyInArrow(_exact_kernel(recall, query, rules), schema)
         df = cut(df)
         best = _scored(df, query, rules).orderBy(F.col("score").desc(), "ts_code", "start_date").limit(rules.refine).select("ts_code", "start_idx").toPandas()
-        around = np.arange(-rules.refine_bars, rules.refine_bars + 1)
-        only = {code: np.unique((g["start_idx"].to_numpy()[:, None] + around).ravel()) for code, g in best.groupby("ts_code")}
-        whole = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, True, only)
+        only = _around(best, rules)
+        whole = _recall_kernel(query, rules, history_only, exclude_query, latest, lengths, True, {code: dict.fromkeys(lengths, x) for code, x in only.items()})
         near = scanned_.filter(F.col("ts_code").isin(list(only))).groupBy("ts_code").applyInArrow(_exact_kernel(whole, query, rules), schema)
         df = near.unionByName(df.join(F.broadcast(best_frame(scanned_, only)), "ts_code", "left").filter("inside is null or not array_contains(inside, start_idx)").drop("inside"))
         began = mark("refinement", began)
@@ -188,7 +188,7 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
         recalled = cut(recalled)
         began = mark("recall", began)
         kept = bounded(recalled, rules.recall_n, bool(qe.any()))
-        windows = {code: {int(m): x["start_idx"].to_numpy(np.int64) for m, x in g.groupby("length")} for code, g in kept.groupby("ts_code")}
+        windows = _by_length(kept)
         shortlist = bars.sparkSession.createDataFrame(kept[[x.split()[0] for x in _CANDIDATE.split(", ")]], _CANDIDATE) if len(kept) else recalled.limit(0)
         near = frame.filter(F.col("ts_code").isin(list(windows))).groupBy("ts_code")
         began = mark("selection", began)
@@ -202,12 +202,73 @@ def search(bars: DataFrame, symbol: str, start: str, end: str, rules: SearchRule
             began = mark("scale", began)
         metrics = near.applyInArrow(_rerank_kernel(query, rules, middle, spread, windows), _METRIC)
         df = metrics.join(F.broadcast(shortlist), ["ts_code", "start_idx", "length"])
-    df = _scored(df, query, rules)
-    best = suppressed(df, rules.overlap, count)
+    return _ranked(df, query, rules, count)
+
+
+def _ranked(df: DataFrame, query: Query, rules: SearchRules, count: int) -> DataFrame:
+    best = suppressed(_scored(df, query, rules), rules.overlap, count)
     top = best.orderBy(F.col("score").desc(), "ts_code", "start_date").limit(count)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "ts_code", "start_date")))
 
 
+def _by_length(windows: pd.DataFrame) -> dict[str, dict[int, np.ndarray]]:
+    """Starts of windows by code and length."""
+    return {code: {int(m): x["start_idx"].to_numpy(np.int64) for m, x in g.groupby("length")} for code, g in windows.groupby("ts_code")}
+
+
+def _around(best: pd.DataFrame, rules: SearchRules) -> dict[str, np.ndarray]:
+    """Starts within ``refine_bars`` bars of those of ``best``, by code."""
+    around = np.arange(-rules.refine_bars, rules.refine_bars + 1)
+    return {code: np.unique((g["start_idx"].to_numpy()[:, None] + around).ravel()) for code, g in best.groupby("ts_code")}
+
+
+def searches(bars: DataFrame, symbol: str, start: str, end: str, several: dict[str, SearchRules], history_only: bool = False, exclude_query: bool = True) -> dict[str, DataFrame]:
+    """What :func:`search` gives for each of the rules, by name (without ``paths``), from one scan of the series and one re-ranking.
+
+    The rules are of the elastic mode and may differ in ``step``, ``local_top``, ``recall_n``, ``top_k``, ``exact``, ``refine`` and
+    ``refine_bars``. A refined search's candidates below the best ``refine`` ones aren't re-ranked: they matter only where
+    fewer than ``top_k`` windows above them stay, and where that is so, the search is run by itself."""
+    free = dict.fromkeys(("step", "local_top", "recall_n", "top_k", "exact", "refine", "refine_bars"))
+    for rules in several.values():
+        rules.check()
+    if any(r.mode != "elastic" for r in several.values()) or len({str(replace(r, **dict.fromkeys(free, 0))) for r in several.values()}) != 1:
+        raise ValueError("the searches must be elastic, with equal rules but for steps, counts, exact and refine")
+    rules = next(iter(several.values()))
+    frame = _framed(bars, "D")
+    query = query_of(frame, symbol, start, end, rules)
+    lengths = candidate_lengths(len(query.days), rules)
+    found = cut(frame.groupBy("ts_code").applyInArrow(_several_kernel(query, several, history_only, exclude_query, lengths), _FOUND))
+    key = ["ts_code", "start_idx", "length"]
+    chosen, lowest = {}, {}
+    for name, r in several.items():
+        own = found.filter(F.col("search") == name).drop("search")
+        if r.exact or r.refine:
+            best = own.orderBy(F.col("score").desc(), "ts_code", "start_date").limit(r.refine or r.top_k).select(*key, "score").toPandas()
+            lowest[name] = best["score"].min() if len(best) == r.refine else -np.inf
+        else:
+            best = bounded(own.drop("score"), r.recall_n, bool(query.parts(r)[1].any()))
+        chosen[name] = _around(best, r) if r.refine else best[key]
+    only: dict[str, dict[int, np.ndarray]] = {}
+    for x in chosen.values():
+        for code, own in ({code: dict.fromkeys(lengths, at) for code, at in x.items()} if isinstance(x, dict) else _by_length(x)).items():
+            for m, at in own.items():
+                only.setdefault(code, {})[m] = np.union1d(only.get(code, {}).get(m, at), at)
+    whole = _recall_kernel(query, replace(rules, step=1), history_only, exclude_query, False, lengths, True, only)
+    every = cut(frame.filter(F.col("ts_code").isin(list(only))).groupBy("ts_code").applyInArrow(_exact_kernel(whole, query, rules), f"{_CANDIDATE}, {', '.join(_METRIC.split(', ')[3:])}").drop("paths"))
+    out = {}
+    for name, r in several.items():
+        if r.refine:
+            df = every.join(F.broadcast(best_frame(frame, chosen[name])), "ts_code").filter("array_contains(inside, start_idx)").drop("inside") if chosen[name] else every.limit(0)
+        else:
+            df = every.join(F.broadcast(frame.sparkSession.createDataFrame(chosen[name], "ts_code string, start_idx int, length int")), key) if len(chosen[name]) else every.limit(0)
+        out[name] = cut(_ranked(df, query, r, r.top_k))
+        if name in lowest and lowest[name] > -np.inf:
+            scores = [x["score"] for x in out[name].select("score").collect()]
+            if len(scores) < r.top_k or min(scores) < lowest[name] + _ROOM:
+                out[name] = search(bars, symbol, start, end, r, history_only=history_only, exclude_query=exclude_query).drop("paths")
+    return out
+
+
 def suppressed(scored: DataFrame, overlap: float, most: int | None = None) -> DataFrame:
     """The windows that stay: from the best score down, none that shares more than ``overlap`` of the shorter one's bars
     with a better one of its series; at most ``most`` of a series."""

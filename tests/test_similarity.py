@@ -1,12 +1,15 @@
 import datetime as dt
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 
+from tapeloom.plans import similar
 from tapeloom.similarity import kernels as K
 from tapeloom.similarity import measures as M
+from tapeloom.similarity import search as S
 from tapeloom.similarity.search import SearchRules, _framed, bounded, candidate_lengths, query_of, scanned, search, stride, suppressed
 
 SCHEMA = "ts_code string, date date, open double, high double, low double, close double, vol bigint"
@@ -265,3 +268,71 @@ def test_coarse_and_states():
     s = np.array([[0, 1, 1, 1, 1], [2, 1, 1, 1, 1]])
     assert M.edit_distance(s, s[None], np.zeros(2), np.zeros((1, 2)))[0] == 0
     assert M.local_minima(np.array([3.0, 1, 2, 5, 0, np.inf]), 3, 1) == [4, 1]
+
+
+def test_searches_of_one_scan_equal_those_by_themselves(bars, monkeypatch):
+    shared = {"mode": "elastic", "top_k": 6}
+    several = {"exact": SearchRules(**shared, exact=True), "bounded": SearchRules(**shared, recall_n=12), "strided": SearchRules(**shared, step=4), "refined": SearchRules(**shared, refine=30, local_top=30), "few": SearchRules(**shared, refine=2, refine_bars=0)}
+    args, shown = ("600001.SH", "2020-04-01", "2020-04-30"), ("rank", "ts_code", "start_idx", "length", "start_date")
+    rows = lambda df: (df.select(*shown).collect(), [r.score for r in df.select("score").collect()])
+    want = {name: rows(search(bars, *args, r)) for name, r in several.items()}
+    alone = []
+    monkeypatch.setattr(S, "search", lambda *a, **k: alone.append(a[4]) or search(*a, **k))
+    got = S.searches(bars, *args, several)
+    for name in several:
+        found = rows(got[name])
+        assert found[0] == want[name][0] and np.allclose(found[1], want[name][1])
+    # Two windows re-ranked don't make six; no other search is run by itself.
+    assert alone == [several["few"]]
+    with pytest.raises(ValueError):
+        S.searches(bars, *args, {"a": SearchRules(**shared), "b": SearchRules(**shared, overlap=0.5)})
+
+
+def test_recall_scans_the_series_once(bars, monkeypatch):
+    framed, made = S._framed, []
+    monkeypatch.setattr(S, "_framed", lambda *args: made.append(1) or framed(*args))
+    for name, value in {"SYMBOL": "600001.SH", "FIRST": "2020-04-01", "LAST": "2020-04-30", "bars": lambda *_: bars}.items():
+        monkeypatch.setattr(similar, name, value)
+    for name in [x for x in ("ELASTIC", "STRIDED", "EXACT", "REFINED") if hasattr(similar, x)]:
+        monkeypatch.setattr(similar, name, replace(getattr(similar, name), top_k=4))
+    got = {r.search: r for r in similar.similar_recall(bars.sparkSession, "").collect()}
+    assert len(made) == 1 and set(got) == {"bounded", "strided", "refined"}
+    assert all(r.best == 4 for r in got.values()) and (got["refined"].recall, got["refined"].code_recall) == (1.0, 1.0)
+
+
+def test_a_task_keeps_what_can_be_in_a_shortlist_and_bounds_hold():
+    rng = np.random.default_rng(31)
+    n = 220
+    close = 20 * np.exp(np.cumsum(rng.choice([0.0, 0.01, -0.012, 0.0953, -0.1054], n, p=[0.1, 0.4, 0.3, 0.1, 0.1])))
+    open_ = np.where(rng.random(n) < 0.2, close, close * np.exp(rng.normal(0, 0.02, n)))
+    x = np.stack([open_, np.maximum(open_, close) * 1.01, np.minimum(open_, close) * 0.99, close, rng.integers(0, 5, n) * 100.0], axis=1).round(2)
+    days = np.arange(18000, 18000 + n)
+    for volume in (True, False):
+        rules = SearchRules(mode="elastic", use_volume=volume)
+        query = K.Query("600001.SH", days[70:95], x[70:95], x[69, 3], None)
+        qf, qe, qs, ql = query.parts(rules)
+        series = M.Series(x, 0.1, volume)
+        for m in (21, 25, 31):
+            starts = np.arange(n - m + 1)
+            q, w_, _, state, loud, _ = K._elastic("600001.SH", x, starts, m, query, rules)
+            beside = M.Beside(series, q, qs, ql, *K._elastic_weights(qf, rules))
+            edits = M.edit_distance(qs, state, ql, loud)
+            assert (beside.edit_bound(m) <= edits + 1e-9).all() and beside.edit_bound(m).max() > 0.5 * edits.min()
+            assert np.allclose(beside.elastic_bound(m)[3::7], beside.elastic_bound(m, starts[3::7]))
+            # Coarse distances from the bars of the series equal those of each window.
+            small, some = series.coarse_windows(m, 12, starts[5:])
+            own, modes = M.coarse(*(x[None, 70:95, k] for k in range(5)), 12), M.bucket_modes(qs[None], 12)[0]
+            features, events = M.bar_features(*own, volume)[0], np.maximum.reduceat(qe, M.bucket_starts(25, 12), axis=0)
+            want = M.shape_distance(own[3], small[3]), M.structure_distance(features, M.bar_features(*small, volume)), M.event_distance(events, some), np.mean(series.modes(m, 12, starts[5:]) != modes, axis=(1, 2))
+            for a, b in zip(series.coarse_distances(m, starts[5:], own[3][0], features, events, modes), want, strict=True):
+                assert np.allclose(a, b, atol=1e-9)
+    heads, kept, keys = K._Heads(5, True), [], []
+    for _ in range(30):
+        found = {"mass": rng.random(8), "event": np.zeros(8), "coverage": np.ones(8), "missing": rng.integers(0, 2, 8)}
+        paths = {k: ["structure"] if k % 3 == 0 else ["mass"] for k in range(8)}
+        here = heads(found, paths)
+        kept += [found["mass"][k] for k in here]
+        keys += [(found["mass"][k], k % 3 == 0, found["missing"][k] == 0) for k in range(8)]
+    for own in (keys, [k for k in keys if k[1]], [k for k in keys if k[2]]):
+        assert {k[0] for k in sorted(own)[:5]} <= set(kept)
+    assert len(kept) < len(keys) / 2
